@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspan.llm import bpe, decontamination
+from larkspan.llm import bpe, decontamination, fingerprint, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,8 +49,19 @@ def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return bpe.round_trip(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.neighbours(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
+    "op5_quality": op5_quality,
+    "op7_fingerprint": op7_fingerprint,
     "op9_bpe": op9_bpe,
 }
 
