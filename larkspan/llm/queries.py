@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkspan.llm import bpe, decontamination, fingerprint, quality
+from larkspan.llm import bpe, decontamination, fingerprint, language, lines, quality, store, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive(_table(spark, sf_dir, "pages"), store.scratch(spark, "warc"))
+    return found.select(warc.page_id(F.col("record_id")).alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", warc.page_id(F.col("refers_to_record")).alias("refers_to"))
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT d, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN keeper > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN keeper > page_id THEN keeper END AS refers_to
+FROM p LEFT JOIN g USING (d)
+"""
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -49,6 +65,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return bpe.round_trip(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(language.evidence(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on web pages, which have an address and markup."""
+    return language.identify(language.page_evidence(_table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
@@ -58,13 +83,41 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.report(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i, string_split(text, chr(10))[i] AS line
+  FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(i)),
+w AS (
+  SELECT doc_id, i, trim(line, ' ') AS x, lead(trim(line, ' ')) OVER o AS y, lead(trim(line, ' '), 2) OVER o AS z
+  FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+n AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, i) AS nth
+  FROM w WHERE z IS NOT NULL AND NOT (x = '' AND y = '' AND z = '')),
+g AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM n WHERE nth > 1)
+SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN g USING (doc_id, i) GROUP BY l.doc_id
+"""
+
+
 QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
+    "op3_language": op3_language,
+    "page_language": page_language,
     "op5_quality": op5_quality,
     "op7_fingerprint": op7_fingerprint,
     "op9_bpe": op9_bpe,
+    "op10_lines": op10_lines,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc": OP1_SQL,
     "op2_decontamination": OP2_SQL,
+    "op10_lines": OP10_SQL,
 }
