@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import bpe, decontamination, fingerprint, language, lines, quality, store, warc
+from larkspan.llm import bpe, decontamination, fingerprint, language, lines, minhash, quality, store, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,10 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "stays")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.round_trip(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -112,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "page_language": page_language,
     "op5_quality": op5_quality,
     "op7_fingerprint": op7_fingerprint,
+    "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
     "op10_lines": op10_lines,
 }
