@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import bpe, decontamination, fingerprint, language, lines, minhash, quality, store, warc
+from larkspan.llm import bpe, decontamination, fingerprint, language, license, lines, minhash, quality, store, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +83,52 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license.scan(license.page_files(_table(spark, sf_dir, "pages")))
+    return found.select(F.col("id").alias("page_id"), "path", "license", "cosine", "known", "directory")
+
+
+def _op6_sql() -> str:
+    vectors = license.Vectors()
+    notices = ", ".join(f"({i}, '{name}', '{t}', CAST({x!r} AS DOUBLE))" for i, (name, v) in enumerate(vectors.notices) for t, x in v.items())
+    idf = ", ".join(f"('{t}', CAST({x!r} AS DOUBLE))" for t, x in sorted(vectors.idf.items()))
+    none = ", ".join(f"'{x}'" for x in license.FUNCTION_WORDS)
+    names = ", ".join(f"'{x}'" for x in license.LICENSE_FILES)
+    index = ", ".join(f"'{x}'" for x in license.INDEX_FILES if x)
+    return rf"""
+WITH RECURSIVE v(notice, name, t, x) AS (VALUES {notices}), idf(t, w) AS (VALUES {idf}),
+f AS (
+  SELECT page_id AS id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)', 1)), '') AS path,
+    lower(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', chr(10), 'g'),
+      '(?i)</?(p|div|h[1-6]|li|ul|ol|br|article|nav|footer|header|title|td|tr|table|section|body|head|html)\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g')) AS low
+  FROM pages),
+units AS (
+  SELECT id, i, list_filter(regexp_extract_all(string_split(low, chr(10))[i], '{license._TERM}'), lambda x: x NOT IN ({none})) AS terms FROM f, unnest(range(1, len(string_split(low, chr(10))) + 1)) AS r(i)
+  UNION ALL SELECT * FROM (SELECT id, 0, list_filter(regexp_extract_all(low, '{license._TERM}'), lambda x: x NOT IN ({none})) AS terms FROM f) WHERE len(terms) <= {license.FILE_TERMS}),
+tf AS (SELECT id, i, t, count(*) AS n FROM (SELECT id, i, unnest(terms) AS t FROM units) GROUP BY ALL),
+w AS (SELECT id, i, t, n * coalesce(idf.w, CAST({vectors.unseen!r} AS DOUBLE)) AS w FROM tf LEFT JOIN idf USING (t)),
+len AS (SELECT id, i, sqrt(sum(w * w)) AS length FROM w GROUP BY ALL),
+dot AS (SELECT id, i, notice, name, sum(w * x) AS d FROM w JOIN v USING (t) GROUP BY ALL),
+c AS (SELECT id, name, round(max(d / length), 9) AS cosine FROM dot JOIN len USING (id, i) GROUP BY ALL),
+best AS (SELECT id, name, cosine FROM c WHERE cosine >= {license.COSINE} QUALIFY row_number() OVER (PARTITION BY id ORDER BY cosine DESC, name) = 1),
+own AS (SELECT f.id, path, name AS license, round(cosine, 6) AS cosine FROM f LEFT JOIN best USING (id)),
+named AS (
+  SELECT path, license, regexp_replace(path, '/+$', '') AS bare, regexp_replace(regexp_extract(regexp_replace(path, '/+$', ''), '[^/]*$'), '\.[a-z0-9]+$', '') AS name,
+    path LIKE '%/' OR regexp_replace(path, '/+$', '') NOT LIKE '%/%' AS top FROM own WHERE license IS NOT NULL AND path IS NOT NULL),
+kinds AS (
+  SELECT path, license, CASE WHEN top THEN bare ELSE regexp_replace(bare, '/[^/]*$', '') END AS directory,
+    CASE WHEN name IN ({names}) THEN 0 WHEN top OR name IN ({index}) THEN 1 END AS kind FROM named),
+dirs AS (SELECT directory, license FROM kinds WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY directory ORDER BY kind, path, license) = 1),
+parts AS (SELECT DISTINCT path, string_split(regexp_replace(path, '/+$', ''), '/') AS p FROM own WHERE license IS NULL AND path IS NOT NULL),
+above AS (SELECT path, depth, array_to_string(p[1 : depth], '/') AS directory FROM parts, unnest(range(1, greatest(len(p) - 1, 1) + 1)) AS r(depth)),
+near AS (SELECT path, directory, license AS near FROM above JOIN dirs USING (directory) QUALIFY row_number() OVER (PARTITION BY path ORDER BY depth DESC) = 1)
+SELECT id AS page_id, own.path, coalesce(license, near) AS license, cosine,
+  CASE WHEN license IS NOT NULL THEN 'own' WHEN near IS NOT NULL THEN 'inherited' ELSE 'none' END AS known,
+  CASE WHEN license IS NULL THEN directory END AS directory
+FROM own LEFT JOIN near ON own.path = near.path
+"""
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.neighbours(_table(spark, sf_dir, "documents"))
 
@@ -115,6 +161,7 @@ QUERIES: dict[str, Query] = {
     "op3_language": op3_language,
     "page_language": page_language,
     "op5_quality": op5_quality,
+    "op6_license": op6_license,
     "op7_fingerprint": op7_fingerprint,
     "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
@@ -124,5 +171,6 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op2_decontamination": OP2_SQL,
+    "op6_license": _op6_sql(),
     "op10_lines": OP10_SQL,
 }
