@@ -185,24 +185,33 @@ def decode(tokens: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id"
 ROUND_TRIP = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Per row: its id, the number of tokens, and digests of the ids and of the bytes decoded from them.
 
-    The same pieces as ``encode`` and ``decode``, digested where they are made: no ids leave the worker.
+    The same pieces as ``encode`` and ``decode``, digested where they are made; ``with_ids`` adds the ids.
     """
     store.bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col), F.col(text_col))
     field = source.schema[0]
+    names = [field.name, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoding(path, pattern)
         for part in text.slices(batches):
             counts, ids, decoded = [], [], []
+            flat: list[int] = []
             for value in part.column(1).to_pylist():
                 pieces = own.pieces(value or "")
                 counts.append(sum(p[1] for p in pieces))
                 ids.append(hashlib.sha256(" ".join([p[0] for p in pieces]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(b"".join([p[2] for p in pieces])).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)], [field.name, *(x.split()[0] for x in ROUND_TRIP.split(", "))])
-
-    return source.mapInArrow(run, f"`{field.name}` {field.dataType.simpleString()}, {ROUND_TRIP}")
+                if with_ids:
+                    for p in pieces:
+                        flat.extend(p[3])
+            columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+            if with_ids:
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.array(flat, np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return source.mapInArrow(run, f"`{field.name}` {field.dataType.simpleString()}, {ROUND_TRIP}" + ", ids array<int>" * with_ids)

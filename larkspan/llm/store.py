@@ -6,8 +6,10 @@ a re-read, never a recomputation from the source.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def noted() -> Iterator[list[str]]:
+    """The scratch paths that are made inside, for whoever knows when they are done with."""
+    start, paths = len(_SCRATCH), []
+    try:
+        yield paths
+    finally:
+        paths += _SCRATCH[start:]
+        del _SCRATCH[start:]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again."""
     spark = df.sparkSession
