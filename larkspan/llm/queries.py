@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import bpe, decontamination, fingerprint, language, license, lines, minhash, quality, store, warc
+from larkspan.llm import bpe, decontamination, fingerprint, language, license, lines, minhash, passages, quality, store, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +78,12 @@ def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(language.page_evidence(_table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = store.written(passages.passages(_table(spark, sf_dir, "documents")), "passages")
+    names = {"id": "doc_id", "start": "start_word", "end": "end_word", "first_id": "first_doc_id", "first_start": "first_start_word"}
+    return passages.members(found).withColumnsRenamed(names)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
@@ -160,6 +166,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op3_language": op3_language,
     "page_language": page_language,
+    "op4_passages": op4_passages,
     "op5_quality": op5_quality,
     "op6_license": op6_license,
     "op7_fingerprint": op7_fingerprint,
