@@ -1,0 +1 @@
+"""Larkspan: decision support over open data as Spark DataFrame operators."""
