@@ -18,7 +18,7 @@ def _number(x: Column, pattern: str) -> Column:
 def rank_score(rank: Column) -> Column:
     """Points of a rank word; the first rule that fits counts."""
     best, place, nth = (_number(rank, p) for p in (r"ベスト\s*(\d+)", r"(\d+)\s*位", r"(\d+)\s*回戦"))
-    kanji = F.locate(F.regexp_extract(rank, "([一二三四五六七八九])回戦", 1), F.lit("一二三四五六七八九"))
+    kanji = F.instr(F.lit("一二三四五六七八九"), F.regexp_extract(rank, "([一二三四五六七八九])回戦", 1))
     return (
         F.when(rank.contains("準優勝"), 95)
         .when(rank.contains("優勝"), 100)

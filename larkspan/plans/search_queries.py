@@ -12,18 +12,7 @@ from larkspan.plans import standins as S
 #: Categories of similar clubs for the stand-in names.
 CATEGORIES = {"metal": ["gear", "bolt", "rod"], "flat": ["plate", "ring"]}
 
-QUERIES: dict[str, S.Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f: S.Query) -> S.Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = S.registry()
 
 
 def _strings(*values: Column) -> Column:

@@ -89,3 +89,20 @@ def duck(sql: str) -> str:
 
 def ctes(**named: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{k} AS ({duck(v)})" for k, v in named.items())
+
+
+def registry() -> tuple[dict[str, Query], dict[str, str], Callable]:
+    """Queries, their SQL, and the decorator that registers both."""
+    queries: dict[str, Query] = {}
+    oracles: dict[str, str] = {}
+
+    def query(name: str, sql: str | None = None):
+        def add(f: Query) -> Query:
+            queries[name] = f
+            if sql:
+                oracles[name] = sql
+            return f
+
+        return add
+
+    return queries, oracles, query
