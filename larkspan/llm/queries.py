@@ -106,7 +106,7 @@ WITH RECURSIVE v(notice, name, t, x) AS (VALUES {notices}), idf(t, w) AS (VALUES
 f AS (
   SELECT page_id AS id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)', 1)), '') AS path,
     lower(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', chr(10), 'g'),
-      '(?i)</?(p|div|h[1-6]|li|ul|ol|br|article|nav|footer|header|title|td|tr|table|section|body|head|html)\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g')) AS low
+      '(?i)</?(p|div|h[1-6]|li|ul|ol|br|article|nav|footer|header|title|td|tr|table|section|body|head|html)\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>|&[#A-Za-z0-9]+;', ' ', 'g')) AS low
   FROM pages),
 units AS (
   SELECT id, i, list_filter(regexp_extract_all(string_split(low, chr(10))[i], '{license._TERM}'), lambda x: x NOT IN ({none})) AS terms FROM f, unnest(range(1, len(string_split(low, chr(10))) + 1)) AS r(i)
