@@ -148,7 +148,7 @@ def sanitised(reply: Column) -> Column:
         word(wants["priority"]).alias("priority"),
         resolve_department(word(wants["dept"])).alias("dept"),
         F.array_intersect(F.coalesce(wants["course_types"], F.array().cast("array<string>")), F.array(F.lit(EVENING), F.lit(COLLEGE))).alias("course_types"),
-        F.filter(F.transform(F.coalesce(wants["clubs"], F.array().cast("array<string>")), F.trim), lambda x: x != "").alias("clubs"),
+        F.filter(F.transform(F.coalesce(wants["clubs"], F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "").alias("clubs"),
         F.coalesce(got["declined"], F.array().cast("array<string>")).alias("declined"),
     )
 

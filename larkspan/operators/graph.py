@@ -1,18 +1,22 @@
-"""Travel graphs: edges, shortest paths by iterated min-plus joins, matrices with access times."""
+"""Travel graphs: edges, shortest paths by search or by iterated min-plus joins, matrices with access times."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import heapq
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions import geo
 from larkspan.operators import sequences
+from larkspan.session import shared_folder
 
 # Minutes of changing lines and of boarding, and the longest journey kept.
 TRANSFER, BOARDING, CAP = 5.0, 4.0, 120
+#: Edges up to which a graph is broadcast (under 200 bytes each).
+SMALL = 500_000
 
 
 def ride_edges(stops: DataFrame, factors: DataFrame | None = None) -> DataFrame:
@@ -34,26 +38,59 @@ def transfer_edges(stops: DataFrame, minutes: float = TRANSFER) -> DataFrame:
     return pairs.select(F.struct("station", F.col("a").alias("line")).alias("src"), F.struct("station", F.col("b").alias("line")).alias("dst"), F.lit(minutes).alias("minutes"))
 
 
-def _folder(spark) -> str:
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='larkspan-')}"
+def shortest_paths(edges: DataFrame, origins: DataFrame, *, boarding: float = BOARDING, cap: float = CAP, small: int = SMALL) -> DataFrame:
+    """Least minutes from each origin station to every station within the cap; origins board on every line.
 
+    A graph of up to ``small`` edges is broadcast and searched origin by origin, in parallel; a larger one is relaxed
+    by joins, round by round.
+    """
+    nodes = edges.select("src").distinct()
+    start = origins.select(F.col("station").alias("origin")).distinct().join(nodes, F.col("src.station") == F.col("origin"))
+    if edges.count() <= small:
+        best = _searched(edges, start, boarding, cap)
+    else:
+        best = _relaxed(edges, start, boarding, cap)
+    return best.groupBy("origin", F.col("node.station").alias("station")).agg(F.min("minutes").alias("minutes"))
 
-def shortest_paths(edges: DataFrame, origins: DataFrame, *, boarding: float = BOARDING, cap: float = CAP, rounds: int = 1000) -> DataFrame:
-    """Least minutes from each origin station to every station within the cap.
 
-    Each round extends only what the last one improved, so that a round costs what is new; distances are written
-    every round, which cuts lineage, and the loop ends when nothing improves. Origins board on every line.
-    """
+def _searched(edges: DataFrame, start: DataFrame, boarding: float, cap: float) -> DataFrame:
+    """Dijkstra's search for each origin over the broadcast edges."""
     spark = edges.sparkSession
-    base = f"{_folder(spark)}/paths-{uuid.uuid4().hex}"
+    near: dict[tuple, list[tuple]] = {}
+    for r in edges.select("src.*", F.col("dst.station").alias("to"), F.col("dst.line").alias("on"), "minutes").toLocalIterator():
+        near.setdefault((r[0], r[1]), []).append(((r.to, r.on), r.minutes))
+    shared = spark.sparkContext.broadcast(near)
+    lines = start.groupBy("origin").agg(F.collect_set("src.line").alias("lines"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for origin, boarded in zip(pdf["origin"], pdf["lines"], strict=True):
+                heap = [(boarding, (origin, line)) for line in sorted(boarded)]
+                done: dict[tuple, float] = {}
+                while heap:
+                    minutes, node = heapq.heappop(heap)
+                    if node in done:
+                        continue
+                    done[node] = minutes
+                    for other, ride in shared.value.get(node, ()):
+                        if other not in done and minutes + ride <= cap:
+                            heapq.heappush(heap, (minutes + ride, other))
+                yield pd.DataFrame({"origin": origin, "station": [n[0] for n in done], "line": [n[1] for n in done], "minutes": list(done.values())})
+
+    found = lines.repartition("origin").mapInPandas(run, "origin string, station string, line string, minutes double")
+    return found.select("origin", F.struct("station", "line").alias("node"), "minutes")
+
+
+def _relaxed(edges: DataFrame, start: DataFrame, boarding: float, cap: float, rounds: int = 1000) -> DataFrame:
+    """Rounds that extend only what the last one improved; distances are written every round, which cuts lineage."""
+    spark = edges.sparkSession
+    base = shared_folder(spark, "paths")
 
     def kept(df: DataFrame, n: int, name: str) -> DataFrame:
         path = f"{base}/{n}-{name}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    nodes = edges.select("src").distinct()
-    start = origins.select(F.col("station").alias("origin")).distinct().join(nodes, F.col("src.station") == F.col("origin"))
     best = kept(start.select("origin", F.col("src").alias("node"), F.lit(float(boarding)).alias("minutes")), 0, "best")
     fresh = best
     for n in range(1, rounds + 1):
@@ -63,7 +100,7 @@ def shortest_paths(edges: DataFrame, origins: DataFrame, *, boarding: float = BO
         if fresh.isEmpty():
             break
         best = kept(best.unionByName(fresh).groupBy("origin", "node").agg(F.min("minutes").alias("minutes")), n, "best")
-    return best.groupBy("origin", F.col("node.station").alias("station")).agg(F.min("minutes").alias("minutes"))
+    return best
 
 
 def matrix(paths: DataFrame, access: DataFrame, *, cap: int = CAP) -> DataFrame:
