@@ -17,16 +17,10 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _kept(edges: DataFrame) -> tuple[DataFrame, str]:
-    path = store.scratch(edges.sparkSession, "links")
-    edges.write.parquet(path)
-    return edges.sparkSession.read.schema(edges.schema).parquet(path), path
-
-
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """node and component (the least node of it) of every node that has a link to another."""
     spark = links.sparkSession
-    edges, path = _kept(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    edges, path = store.kept(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
     before = None
     while (now := _state(edges)) != before:
         before, last = now, path
@@ -35,6 +29,6 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges, path = _kept(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+        edges, path = store.kept(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "links")
         store.delete(spark, last)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

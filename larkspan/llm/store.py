@@ -48,12 +48,17 @@ def noted() -> Iterator[list[str]]:
         del _SCRATCH[start:]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again."""
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, read again, and its path, for who can delete it early."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again."""
+    return kept(df, name)[0]
 
 
 def delete(spark: SparkSession, path: str) -> None:
