@@ -212,6 +212,9 @@ def _judge(keys: list[str], model: TextModel, tables: tuple, accept: frozenset[s
     declared, suffixes, every = tables
 
     def judge(part: pa.RecordBatch) -> tuple[list, np.ndarray, list, np.ndarray]:
+        if not model.languages:
+            none = [None] * part.num_rows
+            return none, np.zeros(part.num_rows), none, np.ones(part.num_rows, bool)
         at = {x: part.column(part.schema.get_field_index(x)) for x in keys}
         fits = model.likelihood(at["text"])
         sums = fits.copy()
@@ -222,9 +225,6 @@ def _judge(keys: list[str], model: TextModel, tables: tuple, accept: frozenset[s
                 if row is not None:
                     sums[i] += row
         sums += np.array([p if p is not None else every for p in at["prior"].to_pylist()]).reshape(sums.shape)
-        if not model.languages:
-            none = [None] * len(sums)
-            return none, np.zeros(len(sums)), none, np.ones(len(sums), bool)
         sums -= sums.max(axis=1, keepdims=True)
         weight = np.exp(sums)
         share = weight.max(axis=1) / weight.sum(axis=1)
@@ -237,9 +237,15 @@ def _judge(keys: list[str], model: TextModel, tables: tuple, accept: frozenset[s
     return judge
 
 
+def _no_priors(facts: DataFrame) -> DataFrame:
+    """No priors at all."""
+    return facts.sparkSession.createDataFrame([], "host string, prior array<double>")
+
+
 def _prepared(facts: DataFrame, fit_rows: int, hosts: int) -> tuple[TextModel, tuple, DataFrame, bool]:
     model = fit_text(facts, fit_rows)
-    n = len(model.languages)
+    if not (n := len(model.languages)):
+        return model, ({None: np.zeros(0)}, {None: np.zeros(0)}, np.zeros(0)), _no_priors(facts), True
     counts = store.written(_spoken(facts, model), "spoken")
     table, every = _priors(counts, n)
     table = store.written(table, "priors")
