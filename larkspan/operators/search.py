@@ -115,7 +115,9 @@ def candidates(requests: DataFrame, schools: DataFrame, commute: DataFrame, club
     within = asked.where(~F.coalesce("no_commute_limit", F.lit(False))).join(times, "station").where(F.col("minutes") <= F.col("most")).join(schools, "school")
     free = asked.where(F.coalesce("no_commute_limit", F.lit(False)))
     few = schools.limit(FEW + 1)
-    open_ = free.join(F.broadcast(few)).join(times, ["station", "school"], "left")
+    size = few.agg(F.count("*").alias("n_schools"))
+    few = few.crossJoin(size).where(F.when(F.col("n_schools") > FEW, F.raise_error(F.lit("too many schools for a request without a limit"))).isNull()).drop("n_schools")
+    open_ = free.crossJoin(F.broadcast(few)).join(times, ["station", "school"], "left")
     rows = within.unionByName(open_.select(*within.columns))
     course = (
         F.when(F.size("course_types") > 0, (F.array_contains("course_types", EVENING) & F.col("courses").contains(EVENING)) | (F.array_contains("course_types", COLLEGE) & (F.col("courses") == COLLEGE)))

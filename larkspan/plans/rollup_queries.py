@@ -81,19 +81,19 @@ def fuzzy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.fuzzy_dedupe(S.of(spark, sf_dir, _NAMES), ["brand"], "name", "category", "seq")
 
 
-_COURSES = "SELECT l_suppkey AS school, l_orderkey * 10 + l_linenumber AS pos, concat(p_type, '科') AS department, CASE WHEN l_linenumber = 3 THEN '-' ELSE concat(CAST(1 + l_linenumber AS STRING), ',', '000') END AS students, CASE WHEN l_returnflag = 'R' THEN '定時制' ELSE '全日制' END AS course FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"
+_COURSES = "SELECT l_suppkey AS school, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS pos, concat(p_type, '科') AS department, CASE WHEN l_linenumber = 3 THEN '-' ELSE concat(CAST(1 + l_linenumber AS STRING), ',', '000') END AS students, CASE WHEN l_returnflag = 'R' THEN '定時制' ELSE '全日制' END AS course FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"
 
 
 @query(
     "master_rollup",
-    f"""{S.ctes(c0=_COURSES)}, d AS (SELECT school, department, min(pos) AS first FROM c0 GROUP BY ALL), e AS (SELECT school, string_agg(department, '・' ORDER BY first) AS departments FROM d GROUP BY school)
+    f"""{S.ctes(c0=_COURSES)}, d AS (SELECT school, department, min(pos) AS first FROM c0 GROUP BY ALL), e AS (SELECT school, string_agg(department, '・' ORDER BY first, department) AS departments FROM d GROUP BY school)
 SELECT school, departments, CAST(sum(TRY_CAST(replace(students, ',', '') AS BIGINT)) AS BIGINT) AS students, bool_or(course = '全日制') AS full_time, bool_or(course = '定時制') AS evening FROM c0 JOIN e USING (school) GROUP BY school, departments""",
 )
 def master_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.rollup_courses(S.of(spark, sf_dir, _COURSES), "school")
 
 
-_RATIOS = "SELECT l_suppkey AS school, CAST(year(l_shipdate) AS INT) AS year, l_orderkey * 10 + l_linenumber AS seq, l_returnflag AS department, l_quantity / 32 AS ratio FROM {lineitem}"
+_RATIOS = "SELECT l_suppkey AS school, CAST(year(l_shipdate) AS INT) AS year, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, l_returnflag AS department, l_quantity / 32 AS ratio FROM {lineitem}"
 
 
 @query(

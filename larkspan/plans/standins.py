@@ -46,7 +46,7 @@ SELECT l_suppkey AS school, l_returnflag AS division, CAST(year(o_orderdate) AS
   CASE o_orderstatus WHEN 'P' THEN '全国大会' WHEN 'F' THEN '関東大会' ELSE '東京都大会' END AS meet,
   CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN '優勝' WHEN '2' THEN '準優勝' WHEN '3' THEN concat(CAST(1 + l_linenumber * 3 AS STRING), '位')
     WHEN '4' THEN concat('ベスト', CAST(4 + l_linenumber AS STRING)) ELSE concat(CAST(l_linenumber AS STRING), '回戦') END AS rank,
-  l_linestatus = 'O' AS official, l_orderkey * 10 + l_linenumber AS seq, l_linenumber AS line_no, l_partkey AS part
+  l_linestatus = 'O' AS official, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, l_linenumber AS line_no, l_partkey AS part
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"""
 
 #: Lines of stations: one line per region, and one per five neighbouring numbers, so that every station is on two.
