@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Points of rank words, levels of meets, order of stages.
-MEET_LEVELS = {"全国大会": 3, "関東大会": 2, "東京都大会": 1}
-STAGES = ("１回戦", "２回戦", "３回戦", "４回戦", "準々決勝", "準決勝", "決勝")
+# Levels of meets, rounds in order, points and strengths of rank words, bands.
+MEET_LEVELS = {"全国大会（インターハイ）": 3, "全国大会（定時制通信制）": 3, "全国大会": 3, "関東大会": 2, "東京都大会": 1, "東京都大会（予選）": 1}
+ROUNDS = ("一回戦", "二回戦", "三回戦", "四回戦", "五回戦", "準々決勝", "準決勝", "決勝")
+KANJI, FULL, HALF = "一二三四五六七八九", "１２３４５６７８９", "123456789"
+AWARDS = {"入賞": 70, "佳作": 45}
+STRENGTHS = {"優勝": 1000, "準優勝": 999, "全国決勝進出": 500, "全国準決勝進出": 400, "都大会出場": 100}
 BANDS = {"進学指導重点校": 5, "進学指導特別推進校": 4, "進学指導推進校": 3}
+SPORTS = "陸上|水泳|競泳|バレー|バスケ|サッカー|テニス|卓球|バドミントン|柔道|剣道|弓道|なぎなた|ソフトボール|ハンドボール|ラグビー|体操|新体操|ダンス|チア|空手|相撲|レスリング|フェンシング|ボート|カヌー|自転車|登山|ワンダーフォーゲル|少林寺|アーチェリー|ホッケー|ラクロス|山岳"
 
 
 def _number(x: Column, pattern: str) -> Column:
@@ -17,20 +21,19 @@ def _number(x: Column, pattern: str) -> Column:
 
 def rank_score(rank: Column) -> Column:
     """Points of a rank word; the first rule that fits counts."""
-    best, place, nth = (_number(rank, p) for p in (r"ベスト\s*(\d+)", r"(\d+)\s*位", r"(\d+)\s*回戦"))
-    kanji = F.instr(F.lit("一二三四五六七八九"), F.regexp_extract(rank, "([一二三四五六七八九])回戦", 1))
+    best, place, nth = (_number(rank, p) for p in (r"^ベスト\s*(\d+)", r"(\d+)\s*位", r"^(\d+)\s*回戦"))
+    kanji = F.instr(F.lit(KANJI), F.regexp_extract(rank, f"^([{KANJI}])回戦", 1))
     return (
-        F.when(rank.contains("準優勝"), 95)
-        .when(rank.contains("優勝"), 100)
+        F.when(rank == "優勝", 100)
+        .when(rank == "準優勝", 95)
         .when(best.isNotNull(), F.greatest(F.lit(50), 90 - best))
         .when(place.isNotNull(), F.greatest(F.lit(20), 92 - 2 * place))
-        .when(rank.contains("金賞") & rank.contains("代表"), 88)
-        .when(rank.contains("金"), 75)
-        .when(rank.contains("銀"), 55)
-        .when(rank.contains("銅"), 40)
-        .when(rank.contains("入賞"), 70)
-        .when(rank.contains("佳作"), 45)
-        .when(rank.rlike("[一二三四五六七八九]回戦"), 12 + 6 * kanji)
+        .when(rank.startswith("金賞"), F.when(rank.contains("最優秀"), 88).otherwise(75))
+        .when(rank.startswith("銀賞"), 55)
+        .when(rank.startswith("銅賞"), 40)
+        .when(rank == "入賞", AWARDS["入賞"])
+        .when(rank == "佳作", AWARDS["佳作"])
+        .when(rank.rlike(f"^[{KANJI}]回戦(進出|出場)"), 12 + 6 * kanji)
         .when(rank.contains("出場"), 15)
         .when(nth.isNotNull(), 10 + nth)
         .otherwise(5)
@@ -38,28 +41,26 @@ def rank_score(rank: Column) -> Column:
 
 
 def strength(rank: Column) -> Column:
-    """How strong a result is: first 1000, second 999, N-th 998 - N, awards 500, entry 400, else 100."""
-    place = _number(rank, r"(\d+)\s*位")
-    return F.when(rank.contains("準優勝"), 999).when(rank.contains("優勝"), 1000).when(place.isNotNull(), 998 - place).when(rank.contains("賞"), 500).when(rank.contains("出場"), 400).otherwise(100)
+    """How strong a result is: first, second, N-th by 998 - N, reaching a stage; 0 for anything else."""
+    return F.coalesce(*(F.when(rank == k, v) for k, v in STRENGTHS.items()), 998 - _number(rank, r"^(\d+)位$"), F.lit(0))
 
 
 def stage_order(stage: Column) -> Column:
-    """Ordinal of the first stage word, the longer words first."""
-    out = F.when(stage.contains("準々決勝"), 5).when(stage.contains("準決勝"), 6).when(stage.contains("決勝"), 7)
-    for i, word in enumerate(STAGES[:4]):
-        out = out.when(F.translate(stage, "1234", "１２３４").contains(word), i + 1)
-    return out
+    """Ordinal of the first round word in the order of rounds; digits may stand for numerals."""
+    plain = F.translate(F.translate(stage, FULL, KANJI), HALF, KANJI)
+    return F.coalesce(*(F.when(plain.contains(word), i + 1) for i, word in enumerate(ROUNDS)))
 
 
 def stage_label(order: Column, won: Column) -> Column:
-    """What a furthest stage means: won final, lost final, best 4 and 8, else the round."""
+    """What a furthest stage means; before the quarter-finals the round that was reached."""
+    reached = F.when(won, order + 1).otherwise(order)
+    names = F.array(*map(F.lit, ROUNDS))
     return (
-        F.when((order == 7) & won, "優勝")
-        .when(order == 7, "準優勝")
-        .when((order == 6) & won, "決勝進出")
-        .when(order == 6, "ベスト4")
-        .when(order == 5, "ベスト8")
-        .otherwise(F.concat(order.cast("string"), F.lit("回戦")))
+        F.when(order == 8, F.when(won, "優勝").otherwise("準優勝"))
+        .when(order == 7, F.when(won, "決勝進出").otherwise("ベスト4"))
+        .when(order == 6, F.when(won, "ベスト4").otherwise("ベスト8"))
+        .when(reached == 1, "一回戦出場")
+        .otherwise(F.concat(F.get(names, (reached - 1).cast("int")), F.lit("進出")))
     )
 
 
@@ -69,13 +70,20 @@ def meet_level(meet: Column) -> Column:
 
 def shown_rank(rank: Column, level: Column) -> Column:
     """Places beyond 8 and rounds at national and regional meets show as entries; awards stay."""
-    place = _number(rank, r"^(\d+)\s*位$")
-    return F.when((level >= 2) & (F.coalesce(place > 8, F.lit(False)) | rank.rlike(r"^\d+回戦$")), "出場").otherwise(rank)
+    award = rank.contains("賞") | (rank == "佳作")
+    far = F.coalesce(_number(rank, r"^(?:決勝|準決勝|準々決勝|予選)?\s*(\d+)\s*位$") > 8, F.lit(False)) | rank.rlike(r"^\d+\s*回戦$")
+    return F.when(~award & (level >= 2) & far, "出場").otherwise(rank)
 
 
-def plain_rank(rank: Column) -> Column:
-    """A rank for comparison: digits folded, blanks and suffixes dropped."""
-    return F.regexp_replace(F.translate(rank, "０１２３４５６７８９", "0123456789"), r"[\s　]|入賞$|進出$", "")
+def plain_rank(said: Column) -> Column:
+    """The rank that a text states, in comparable form, or null."""
+    best, place = F.regexp_extract(said, r"ベスト\s*([0-9０-９]+)", 1), F.regexp_extract(said, r"([0-9]+)\s*位", 1)
+    return F.when(said.contains("準優勝"), "準優勝").when(said.contains("優勝"), "優勝").when(best != "", F.concat(F.lit("ベスト"), best)).when(place != "", F.concat(place.try_cast("int").cast("string"), F.lit("位")))
+
+
+def sports(said: Column) -> Column:
+    """The words of sports in a text, each once, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(said, F.lit(f"({SPORTS})"), 1)))
 
 
 def band(designation: Column) -> Column:

@@ -102,9 +102,10 @@ def quote(x: Column) -> Column:
 
 
 def label(sport: Column, event: Column, longest: int = 16) -> Column:
-    """Sport and event, without naming the sport twice, of at most ``longest`` characters."""
-    joined = F.when(F.coalesce(event, F.lit("")) == "", sport).when(event.contains(sport), event).otherwise(F.concat(sport, event))
-    return F.substring(joined, 1, longest)
+    """Sport with its event, if that adds anything and both fit; else the one that there is."""
+    sport, event = F.trim(F.coalesce(sport, F.lit(""))), F.trim(F.coalesce(event, F.lit("")))
+    adds = (sport != "") & (event != "") & (event != "団体") & ~F.contains(sport, event)
+    return F.when(adds & (F.length(F.concat(sport, event)) <= longest), F.concat(sport, event)).when(sport != "", sport).otherwise(event)
 
 
 def packed(x: Column) -> Column:

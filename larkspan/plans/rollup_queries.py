@@ -12,13 +12,13 @@ from larkspan.sources import readers, sinks
 
 QUERIES, ORACLES, query = S.registry()
 
-_POINTS = """CASE WHEN contains(rank, '準優勝') THEN 95 WHEN contains(rank, '優勝') THEN 100
-  WHEN regexp_matches(rank, 'ベスト\\d+') THEN greatest(50, 90 - CAST(regexp_extract(rank, '(\\d+)', 1) AS INT))
+_POINTS = """CASE WHEN rank = '優勝' THEN 100 WHEN rank = '準優勝' THEN 95
+  WHEN regexp_matches(rank, '^ベスト\\d+') THEN greatest(50, 90 - CAST(regexp_extract(rank, '(\\d+)', 1) AS INT))
   WHEN regexp_matches(rank, '\\d+位') THEN greatest(20, 92 - 2 * CAST(regexp_extract(rank, '(\\d+)', 1) AS INT))
-  WHEN regexp_matches(rank, '\\d+回戦') THEN 10 + CAST(regexp_extract(rank, '(\\d+)', 1) AS INT) ELSE 5 END"""
+  WHEN regexp_matches(rank, '^\\d+回戦') THEN 10 + CAST(regexp_extract(rank, '(\\d+)', 1) AS INT) ELSE 5 END"""
 _LEVEL = "CASE meet WHEN '全国大会' THEN 3 WHEN '関東大会' THEN 2 ELSE 1 END"
-_STRENGTH = """CASE WHEN contains(rank, '準優勝') THEN 999 WHEN contains(rank, '優勝') THEN 1000
-  WHEN regexp_matches(rank, '\\d+位') THEN 998 - CAST(regexp_extract(rank, '(\\d+)', 1) AS INT) ELSE 100 END"""
+_STRENGTH = """CASE WHEN rank = '準優勝' THEN 999 WHEN rank = '優勝' THEN 1000
+  WHEN regexp_matches(rank, '^\\d+位$') THEN 998 - CAST(regexp_extract(rank, '(\\d+)', 1) AS INT) ELSE 0 END"""
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,13 +40,14 @@ def strength_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.strongest(_results(spark, sf_dir), ["school", "year", "meet"])
 
 
-_GAMES = "SELECT l_suppkey AS school, CAST(year(l_shipdate) AS INT) AS year, l_linenumber % 7 + 1 AS stage, l_returnflag = 'A' AS won FROM {lineitem}"
+_GAMES = "SELECT l_suppkey AS school, CAST(year(l_shipdate) AS INT) AS year, l_orderkey % 8 + 1 AS stage, l_returnflag = 'A' AS won FROM {lineitem}"
 
 
 @query(
     "furthest_stage",
     f"""{S.ctes(g0=_GAMES)}, b AS (SELECT school, year, max(stage * 2 + CAST(won AS INT)) AS m FROM g0 GROUP BY ALL), c AS (SELECT school, year, m // 2 AS stage, m % 2 = 1 AS won FROM b)
-SELECT *, CASE WHEN stage = 7 AND won THEN '優勝' WHEN stage = 7 THEN '準優勝' WHEN stage = 6 AND won THEN '決勝進出' WHEN stage = 6 THEN 'ベスト4' WHEN stage = 5 THEN 'ベスト8' ELSE concat(stage, '回戦') END AS label FROM c""",
+SELECT *, CASE WHEN stage = 8 THEN CASE WHEN won THEN '優勝' ELSE '準優勝' END WHEN stage = 7 THEN CASE WHEN won THEN '決勝進出' ELSE 'ベスト4' END WHEN stage = 6 THEN CASE WHEN won THEN 'ベスト4' ELSE 'ベスト8' END
+  WHEN stage + CAST(won AS INT) = 1 THEN '一回戦出場' ELSE ['一回戦', '二回戦', '三回戦', '四回戦', '五回戦', '準々決勝'][stage + CAST(won AS INT)] || '進出' END AS label FROM c""",
 )
 def furthest_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.furthest_stage(S.of(spark, sf_dir, _GAMES), ["school", "year"])
@@ -55,7 +56,7 @@ def furthest_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stage_order",
     f"""SELECT DISTINCT concat(CASE l_linenumber % 7 WHEN 0 THEN '準々決勝' WHEN 1 THEN '準決勝' WHEN 2 THEN '決勝' WHEN 3 THEN '2回戦' ELSE '４回戦' END, l_returnflag) AS stage,
-  CASE l_linenumber % 7 WHEN 0 THEN 5 WHEN 1 THEN 6 WHEN 2 THEN 7 WHEN 3 THEN 2 ELSE 4 END AS n FROM lineitem""",
+  CASE l_linenumber % 7 WHEN 0 THEN 6 WHEN 1 THEN 7 WHEN 2 THEN 8 WHEN 3 THEN 2 ELSE 4 END AS n FROM lineitem""",
 )
 def stage_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = "SELECT DISTINCT concat(CASE l_linenumber % 7 WHEN 0 THEN '準々決勝' WHEN 1 THEN '準決勝' WHEN 2 THEN '決勝' WHEN 3 THEN '2回戦' ELSE '４回戦' END, l_returnflag) AS stage FROM {lineitem}"
@@ -365,14 +366,15 @@ def reconcile_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.reconcile(official, reported)
 
 
-@query("band_of_designation", f"""{S.ctes(s0=S.SCHOOLS)} SELECT school, CASE school % 4 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 3 END AS band, CASE WHEN school % 2 = 0 THEN '3位' ELSE '5位' END AS plain FROM s0""")
+@query("band_of_designation", f"""{S.ctes(s0=S.SCHOOLS)} SELECT school, CASE school % 4 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 3 END AS band, CASE school % 3 WHEN 0 THEN '3位' WHEN 1 THEN '準優勝' END AS plain, CASE WHEN school % 2 = 0 THEN '卓球,柔道' ELSE '' END AS sports FROM s0""")
 def band_of_designation(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.element_at(F.array(*map(F.lit, ("進学指導重点校", "進学指導特別推進校", "進学指導推進校", ""))), (F.col("school") % 4 + 1).cast("int"))
-    said = F.when(F.col("school") % 2 == 0, "３位 入賞").otherwise("5　位")
-    return S.of(spark, sf_dir, S.SCHOOLS).select("school", ranks.band(named).alias("band"), ranks.plain_rank(said).alias("plain"))
+    said = F.when(F.col("school") % 3 == 0, "大会で第 3 位").when(F.col("school") % 3 == 1, "準優勝した").otherwise("出場")
+    sports = F.when(F.col("school") % 2 == 0, "柔道部と卓球部、柔道").otherwise("書道")
+    return S.of(spark, sf_dir, S.SCHOOLS).select("school", ranks.band(named).alias("band"), ranks.plain_rank(said).alias("plain"), F.array_join(ranks.sports(sports), ",").alias("sports"))
 
 
-@query("display_label", "SELECT p_partkey, substr(CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN contains(p_name, split_part(p_name, ' ', 1)) AND p_partkey % 3 = 1 THEN p_name ELSE concat(p_type, p_name) END, 1, 16) AS label FROM part")
+@query("display_label", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 3 = 1 THEN CASE WHEN length(split_part(p_name, ' ', 1) || p_name) <= 16 THEN split_part(p_name, ' ', 1) || p_name ELSE split_part(p_name, ' ', 1) END WHEN length(p_type || p_name) <= 16 THEN p_type || p_name ELSE p_type END AS label FROM part")
 def display_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = F.when(F.col("p_partkey") % 3 != 0, F.col("p_name"))
     sport = F.when(F.col("p_partkey") % 3 == 1, F.split_part("p_name", F.lit(" "), F.lit(1))).otherwise(F.col("p_type"))

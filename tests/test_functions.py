@@ -63,12 +63,25 @@ def test_tier_is_monotone_and_rough_contains_strict(spark, rows):
     assert [order[a] for _, a in ranked] == sorted(order[a] for _, a in ranked)
 
 
-@pytest.mark.parametrize(("rank", "points", "strength"), [("優勝", 100, 1000), ("準優勝", 95, 999), ("ベスト8", 82, 100), ("3位", 86, 995), ("金賞・代表", 88, 500), ("金賞", 75, 500), ("銀賞", 55, 500), ("銅賞", 40, 500), ("入賞", 70, 500), ("佳作", 45, 100), ("二回戦", 24, 100), ("出場", 15, 400), ("3回戦", 13, 100), ("参加", 5, 100)])
+@pytest.mark.parametrize(
+    ("rank", "points", "strength"),
+    [("優勝", 100, 1000), ("準優勝", 95, 999), ("ベスト8", 82, 0), ("ベスト64", 50, 0), ("3位", 86, 995), ("決勝 40位", 20, 0), ("金賞・最優秀", 88, 0), ("金賞", 75, 0), ("銀賞", 55, 0), ("銅賞", 40, 0), ("入賞", 70, 0), ("佳作", 45, 0), ("二回戦進出", 24, 0), ("一回戦出場", 18, 0), ("出場", 15, 0), ("都大会出場", 15, 100), ("全国決勝進出", 5, 500), ("3回戦", 13, 0), ("参加", 5, 0)],
+)
 def test_ranks(spark, rank, points, strength):
     assert one(spark, ranks.rank_score(F.lit(rank))) == points
     assert one(spark, ranks.strength(F.lit(rank))) == strength
 
 
+@pytest.mark.parametrize(("stage", "won", "label"), [("決勝", True, "優勝"), ("決勝", False, "準優勝"), ("準決勝", False, "ベスト4"), ("準々決勝", True, "ベスト4"), ("準々決勝", False, "ベスト8"), ("１回戦", False, "一回戦出場"), ("1回戦", True, "二回戦進出"), ("五回戦", True, "準々決勝進出")])
+def test_stages(spark, stage, won, label):
+    assert one(spark, ranks.stage_label(ranks.stage_order(F.lit(stage)), F.lit(won))) == label
+
+
+@pytest.mark.parametrize(("rank", "level", "shown"), [("9位", 3, "出場"), ("8位", 3, "8位"), ("95位", 1, "95位"), ("予選 12位", 2, "出場"), ("2回戦", 2, "出場"), ("銅賞", 3, "銅賞")])
+def test_shown_rank(spark, rank, level, shown):
+    assert one(spark, ranks.shown_rank(F.lit(rank), F.lit(level))) == shown
+
+
 def test_dates(spark):
     assert one(spark, dates.fiscal_year(F.lit(datetime.date(2024, 3, 31)))) == 2023
     assert one(spark, dates.fiscal_year(F.lit(datetime.date(2024, 4, 1)))) == 2024
