@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.llm import store, text
@@ -96,12 +96,12 @@ class Prefix:
         return low
 
 
-def sketches(points: list[np.ndarray]) -> tuple[list[str], np.ndarray]:
-    """Fingerprints of many texts, and their sketches, one row each."""
+def _sketched(points: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, whole-text hashes (both moduli in one) and sketches (one row each) of many texts."""
     lengths = np.array([len(x) for x in points], np.int64)
     first = np.concatenate([[0], np.cumsum(lengths)])
     prefix = Prefix(np.concatenate(points) if points else np.zeros(0, np.uint32))
-    whole = [prefix.spans(first[:-1], first[1:], k) for k in (0, 1)]
+    whole = prefix.spans(first[:-1], first[1:], 0) << np.uint64(32) | prefix.spans(first[:-1], first[1:], 1)
     sizes = np.maximum(lengths - SPAN + 1, np.minimum(lengths, 1))
     owner = np.repeat(np.arange(len(points)), sizes)
     start = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[owner]
@@ -111,10 +111,20 @@ def sketches(points: list[np.ndarray]) -> tuple[list[str], np.ndarray]:
     np.minimum.at(table, owner * BINS + bins, hashes & np.uint64((1 << 58) - 1))
     filled = table != np.iinfo(np.uint64).max
     values = np.where(filled, np.minimum(table & np.uint64(0xFFFF), np.uint64(_EMPTY - 1)), np.uint64(_EMPTY)).astype(np.uint16).reshape(-1, BINS)
+    return lengths, whole.astype(np.int64), values
+
+
+def sketches(points: list[np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """Fingerprints of many texts, and their sketches, one row each."""
+    lengths, whole, values = _sketched(points)
     body = values.astype(">u2").tobytes().hex()
     width = BINS * 4
-    prints = [f"{n:x}-{a:08x}{b:08x}-{body[i * width : (i + 1) * width]}" for i, (n, a, b) in enumerate(zip(lengths.tolist(), whole[0].tolist(), whole[1].tolist(), strict=True))]
-    return prints, values
+    return [f"{n:x}-{h:016x}-{body[i * width : (i + 1) * width]}" for i, (n, h) in enumerate(zip(lengths.tolist(), whole.tolist(), strict=True))], values
+
+
+def _print(length: str, whole: str, body: str) -> Column:
+    """The same text as ``sketches`` gives, of its parts."""
+    return F.concat_ws("-", F.lower(F.hex(length)), F.lower(F.lpad(F.hex(whole), 16, "0")), F.lower(F.hex(body)))
 
 
 def _alike(a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
@@ -137,41 +147,48 @@ def edited(value: str, successor: str) -> str:
     return value[: len(value) - k] + successor[:k]
 
 
-NAMES = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_prefix"]
-SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_prefix long"
+_PARTS = "n_chars long, whole long, body binary, edited_chars long, edited_whole long, edited_body binary, edited_digest binary, near_edited double, near_next double, common_prefix long"
+_NAMES = [x.split()[0] for x in _PARTS.split(", ")]
+_KINDS = [{"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}[x.split()[1]] for x in _PARTS.split(", ")]
 
 
 def _measure(values: list[str]) -> list[pa.Array]:
-    """Columns of all texts but the last, each with the one after it."""
+    """Columns of all texts but the last, each with the one after it; fingerprints in parts, which are half as long."""
     own = values[:-1]
     changed = [edited(a, b) for a, b in zip(own, values[1:], strict=True)]
     points = [codes(x) for x in values]
     changed_points = [codes(x) for x in changed]
-    prints, sketch = sketches(points)
-    changed_prints, changed_sketch = sketches(changed_points)
-    same = np.array([a == b for a, b in zip(prints, changed_prints, strict=False)], bool)
-    following = np.array([a == b for a, b in zip(prints, prints[1:], strict=False)], bool)
+    lengths, whole, sketch = _sketched(points)
+    changed_lengths, changed_whole, changed_sketch = _sketched(changed_points)
+
+    def same(n1, h1, s1, n2, h2, s2):
+        return (n1 == n2) & (h1 == h2) & (s1 == s2).all(axis=1)
+
+    mine = lengths[:-1], whole[:-1], sketch[:-1]
     extension = [Prefix(a).extension(0, Prefix(b), 0) for a, b in zip(points, changed_points, strict=False)]
-    return [
-        pa.array([len(x) for x in own], pa.int64()),
-        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in changed]),
-        pa.array(prints[:-1]),
-        pa.array(changed_prints),
-        pa.array(_alike(sketch[:-1], changed_sketch, same)),
-        pa.array(_alike(sketch[:-1], sketch[1:], following)),
-        pa.array(extension, pa.int64()),
+    columns = [
+        lengths[:-1],
+        whole[:-1],
+        [x.astype(">u2").tobytes() for x in sketch[:-1]],
+        changed_lengths,
+        changed_whole,
+        [x.astype(">u2").tobytes() for x in changed_sketch],
+        [hashlib.sha256(x.encode()).digest() for x in changed],
+        _alike(sketch[:-1], changed_sketch, same(*mine, changed_lengths, changed_whole, changed_sketch)),
+        _alike(sketch[:-1], sketch[1:], same(*mine, lengths[1:], whole[1:], sketch[1:])),
+        extension,
     ]
+    return [pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)]
 
 
 def _sequence(batches: Iterator[pa.RecordBatch], id_name: str) -> Iterator[pa.RecordBatch]:
     """Rows in order, each with its successor; the task's first and last text as further rows."""
     task = TaskContext.get().partitionId()
-    names = [id_name, "task", "place", "value", *NAMES]
-    blank = [None] * len(NAMES)
+    names = [id_name, "task", "place", "value", *_NAMES]
 
     def edge(key: pa.Scalar, place: str, value: str) -> pa.RecordBatch:
         columns = [pa.array([key.as_py()], key.type), pa.array([task], pa.int32()), pa.array([place]), pa.array([value])]
-        columns += [pa.array([None], t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())][: len(blank)]
+        columns += [pa.array([None], t) for t in _KINDS]
         return pa.RecordBatch.from_arrays(columns, names)
 
     last: tuple[pa.Scalar, str] | None = None
@@ -199,7 +216,7 @@ def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     order = [F.col(field.name).desc_nulls_last(), F.xxhash64("__text"), F.col("__text")]
     ranged = source.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     found = store.written(
-        ranged.mapInArrow(lambda batches: _sequence(batches, field.name), f"{kind}, task int, place string, value string, {SCHEMA}"), "fingerprints"
+        ranged.mapInArrow(lambda batches: _sequence(batches, field.name), f"{kind}, task int, place string, value string, {_PARTS}"), "fingerprints"
     )
     heads = found.where("place = 'head'").select(F.col("task").alias("head_task"), F.col("value").alias("successor"))
     tails = found.where("place = 'tail'").select(field.name, "task", "value")
@@ -212,6 +229,16 @@ def neighbours(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             for i in range(batch.num_rows):
                 pair = [batch.column(1)[i].as_py(), batch.column(2)[i].as_py()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *_measure(pair)], [field.name, *NAMES])
-
-    return found.where("place = 'row'").select(field.name, *NAMES).unionByName(edges.mapInArrow(close, f"{kind}, {SCHEMA}"))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *_measure(pair)], [field.name, *_NAMES])
+
+    parts = found.where("place = 'row'").select(field.name, *_NAMES).unionByName(edges.mapInArrow(close, f"{kind}, {_PARTS}"))
+    return parts.select(
+        field.name,
+        "n_chars",
+        F.lower(F.hex("edited_digest")).alias("edited_sha256"),
+        _print("n_chars", "whole", "body").alias("fingerprint"),
+        _print("edited_chars", "edited_whole", "edited_body").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        "common_prefix",
+    )
