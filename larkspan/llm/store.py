@@ -6,7 +6,9 @@ a re-read, never a recomputation from the source.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,6 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     if conf:
         return conf.rstrip("/")
     own = tempfile.mkdtemp(prefix="larkspan-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
 
