@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,6 +29,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's ``spark.checkpoint.dir``; below a temporary one where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='larkspan-')}"
+        own = tempfile.mkdtemp(prefix="larkspan-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/larkspan/{name}-{uuid.uuid4().hex}"
