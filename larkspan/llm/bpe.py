@@ -7,7 +7,7 @@ of theirs, so a window is wide enough once its first and last new token form suc
 tokens beside it. Encodings form a monoid under this join; decoding concatenates up the same tree.
 
 A text is split into matches of the public pre-tokenisation pattern, each encoded on its own, without
-special tokens. Encodings of pieces are kept per worker, in a bounded store; pieces that fall out are
+special tokens. Encodings of pieces are kept within a task, in a bounded store; pieces that fall out are
 encoded again.
 
 Defined results: a null or empty text has no tokens; strings of special tokens are ordinary text;
@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from larkspan.llm import store, text
 
 #: Pieces of one generation kept by a worker, the longest that is kept, and the halves, windows and pairs kept.
-KEPT, KEPT_BYTES, STORED = 200_000, 64, 150_000
+KEPT, KEPT_BYTES, STORED = 100_000, 48, 80_000
 #: Bytes of a leaf of the tree.
 LEAF = 4
 
-Piece = tuple[str, int, bytes, tuple[int, ...]]
+Piece = tuple[str, int, bytes]
 
 
 class Encoding:
@@ -103,16 +103,23 @@ class Encoding:
         encode = self.half if len(raw) <= KEPT_BYTES else self._tree
         return self.join(encode(raw[:middle]), encode(raw[middle:]))
 
+    def forget(self) -> None:
+        """Drop what is kept; a task ends so, as its worker lives on."""
+        self.young, self.old = {}, {}
+        for kept in (self.fits, self.window, self.half):
+            kept.cache_clear()
+        text.give_back()
+
     def encode_bytes(self, raw: bytes) -> list[bytes]:
         """The tokens of one piece."""
         return list(self._tree(raw))
 
     def piece(self, value: str) -> Piece:
-        """A piece's ids as decimals, their number, the bytes they decode to, and the ids."""
+        """A piece's ids as decimals, their number, and the bytes they decode to."""
         got = self.old.get(value)
         if got is None:
-            ids = tuple(map(self.ranks.__getitem__, self._tree(value.encode())))
-            got = (" ".join(map(str, ids)), len(ids), self.decode(ids), ids)
+            ids = [self.ranks[t] for t in self._tree(value.encode())]
+            got = (" ".join(map(str, ids)), len(ids), self.decode(ids))
         if len(value) <= KEPT_BYTES:
             if len(self.young) >= KEPT:
                 self.young, self.old = {}, self.young
@@ -124,7 +131,7 @@ class Encoding:
         return [kept(x) or own(x) for x in self.split(value)]
 
     def encode(self, value: str) -> list[int]:
-        return [i for p in self.pieces(value) for i in p[3]]
+        return ids_of(" ".join([p[0] for p in self.pieces(value)])).tolist()
 
     def decode(self, ids: Sequence[int]) -> bytes:
         """The bytes of the tokens, concatenated up the tree."""
@@ -134,6 +141,11 @@ class Encoding:
         return b"".join(level)
 
 
+def ids_of(decimals: str) -> np.ndarray:
+    """Ids written in decimals, as numbers."""
+    return np.fromstring(decimals, np.int32, sep=" ")
+
+
 _LOADED: dict[tuple[str, str], Encoding] = {}
 
 
@@ -147,6 +159,11 @@ def encoding(path: str, pattern: str) -> Encoding:
 SCHEMA = "n_tokens long, ids array<int>"
 
 
+def _lists(flat: list[np.ndarray], counts: np.ndarray) -> pa.Array:
+    ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *flat])))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: its id, the number of tokens and the token ids of its whole text."""
     store.bounded_batches(docs.sparkSession)
@@ -156,14 +173,10 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoding(path, pattern)
         for part in text.slices(batches):
-            flat: list[int] = []
-            ends = [0]
-            for value in part.column(1).to_pylist():
-                for p in own.pieces(value or ""):
-                    flat.extend(p[3])
-                ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends), pa.int64()), ids], [field.name, "n_tokens", "ids"])
+            flat = [ids_of(" ".join([p[0] for p in own.pieces(value or "")])) for value in part.column(1).to_pylist()]
+            counts = np.array([len(x) for x in flat])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), _lists(flat, counts)], [field.name, "n_tokens", "ids"])
+        own.forget()
 
     return source.mapInArrow(run, f"`{field.name}` {field.dataType.simpleString()}, {SCHEMA}")
 
@@ -199,19 +212,19 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_i
         own = encoding(path, pattern)
         for part in text.slices(batches):
             counts, ids, decoded = [], [], []
-            flat: list[int] = []
+            flat: list[np.ndarray] = []
             for value in part.column(1).to_pylist():
                 pieces = own.pieces(value or "")
-                counts.append(sum(p[1] for p in pieces))
-                ids.append(hashlib.sha256(" ".join([p[0] for p in pieces]).encode()).hexdigest())
+                counts.append(sum([p[1] for p in pieces]))
+                decimals = " ".join([p[0] for p in pieces])
+                ids.append(hashlib.sha256(decimals.encode()).hexdigest())
                 decoded.append(hashlib.sha256(b"".join([p[2] for p in pieces])).hexdigest())
                 if with_ids:
-                    for p in pieces:
-                        flat.extend(p[3])
+                    flat.append(ids_of(decimals))
             columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             if with_ids:
-                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.array(flat, np.int32))))
+                columns.append(_lists(flat, np.array(counts)))
             yield pa.RecordBatch.from_arrays(columns, names)
+        own.forget()
 
     return source.mapInArrow(run, f"`{field.name}` {field.dataType.simpleString()}, {ROUND_TRIP}" + ", ids array<int>" * with_ids)
