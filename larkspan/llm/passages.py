@@ -7,12 +7,18 @@ found without building the tree, as the positions that are the least of some t i
 smaller hash on either side (``REACH`` at most; longer passages are unions of shorter ones).
 
 Windows that share a signature (function and least hash) in two or more documents are grouped; each is paired
-with the window of the group's least document, never with all others. Where the intervals of a document's
+with the window of the group's least document first. Where the intervals of a document's
 windows from at least ``AGREE`` functions overlap, the documents they are paired with are candidates, and the
 shingles around are compared: a window of ``WORDS`` words counts if at least as many of its shingles as a
 Jaccard similarity of ``SIMILARITY`` asks for are in the aligned window of the earlier document (aligned up
 to ``SLACK`` words inserted or deleted). Overlapping windows merge to passages.
 
+Windows whose centre no passage covers then (the least document shares the shingle, not the passage) are compared
+with every place of every earlier document of their group, by the shingles within reach of a passage around the
+centre. Equal surroundings are compared once, and only those that hold one of a few rare shingles, of which a
+passage can't lack all; groups of more than ``BLOCK`` windows go in pairs of blocks. The least document that
+matches is the candidate. So every passage is found, at least around its centre, that two windows can witness.
+
 Defined results: null ids, null texts and texts of fewer than ``WORDS`` words have no passage; rows of one id are
 one document, which is not compared with itself; of a repeated row one is reported; an empty table gives an
 empty result. Ids are integers.
@@ -33,6 +39,8 @@ SHINGLE, WORDS, SIMILARITY = 5, 50, 0.8
 HASHES, AGREE = 4, 2
 #: Shingles to which a window reaches on either side, and the shift within an alignment.
 REACH, SLACK = 100, 3
+#: Windows of a group that are compared in one go.
+BLOCK = 10_000
 
 _POSITION = (1 << 24) - 1
 _TAG = (1 << 15) - 1
@@ -159,6 +167,103 @@ def _candidates(batches: Iterator[pa.RecordBatch], agree: int, width: int) -> It
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
 
+def _open(batches: Iterator[pa.RecordBatch], agree: int, shingle: int) -> Iterator[pa.RecordBatch]:
+    """Paired windows, as for ``_candidates``, whose centre is in none of the document's passages (last column)."""
+    for batch in batches:
+        listed = batch.column(2)
+        offsets, flat = listed.offsets.to_numpy(), listed.values
+        place, h = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 3))
+        c, left, right, function, _ = _unpack(place)
+        keep = np.zeros(len(place), bool)
+        spans = batch.column(3).to_pylist()
+        for i in range(batch.num_rows):
+            at = np.arange(offsets[i], offsets[i + 1])
+            at = at[_dense(left[at], right[at], function[at], agree)]
+            for span in spans[i] or ():
+                at = at[(c[at] < span["start"]) | (c[at] > span["end"] - shingle)]
+            keep[at] = True
+        owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(offsets))
+        # offsets of a slice need not begin at 0
+        inside = np.arange(offsets[0], offsets[-1])
+        kept = inside[keep[inside]]
+        yield pa.RecordBatch.from_arrays([pa.array(h[kept]), pa.array(owner[kept - offsets[0]]), pa.array(place[kept])], ["h", "id", "place"])
+
+
+def _earlier(ids: np.ndarray, place: np.ndarray, wanting: np.ndarray, side: np.ndarray | None, around: np.ndarray, width: int, similarity: float) -> list[tuple[int, int]]:
+    """(window, earlier window) of one group: for each of the windows ``wanting`` the least that shares a passage.
+
+    ``around``: a row of 2 * width - 1 shingles for each window, its centre in the middle, 0 beyond the text. With
+    ``side``, only windows of different sides are compared.
+    """
+    need = int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
+    # of this many shingles of a passage one at least is in its counterpart
+    probes = width - need + 1
+    half = (width + 1) // 2
+    halves = (np.arange(width - half, width), np.arange(width - 1, width - 1 + half)) if probes <= half else (np.arange(2 * width - 1),)
+    probes = probes if probes <= half else 2 * width - 1
+    order = np.lexsort((place, ids))
+    alike = np.column_stack([around[order], np.zeros(len(ids), np.uint32) if side is None else side[order]])
+    _, least = np.unique(alike, axis=0, return_index=True)
+    rows = order[np.sort(least)]  # by id
+    values = around[rows]
+    flat = values.ravel()
+    by = np.argsort(flat, kind="stable")
+    ordered, holder = flat[by], by // values.shape[1]
+    out = []
+    for m in np.flatnonzero(wanting).tolist():
+        own = around[m]
+        low, high = np.searchsorted(ordered, own, "left"), np.searchsorted(ordered, own, "right")
+        counts = np.where(own == 0, 0, high - low)
+        # a passage around the centre holds all of one half
+        picked = {int(x) for part in halves for x in part[np.argsort(counts[part], kind="stable")[:probes]]}
+        some = [holder[low[x] : high[x]] for x in picked if own[x]]
+        near = np.unique(np.concatenate(some)) if some else np.zeros(0, np.int64)
+        near = near[ids[rows[near]] < ids[m]]
+        if side is not None:
+            near = near[side[rows[near]] != side[m]]
+        for start in range(0, len(near), 256):
+            some = near[start : start + 256]
+            there = (own[None, :, None] == values[some][:, None, :]).any(2) & (own != 0)
+            sums = np.concatenate([np.zeros((len(some), 1), np.int64), np.cumsum(there, 1)], 1)
+            able = some[((sums[:, width:] - sums[:, :-width]) >= need).any(1)]
+            hit = next((r for r in able.tolist() if _covers(own, int(place[m]), values[r], int(place[rows[r]]), width, similarity)), None)
+            if hit is not None:
+                out.append((m, int(rows[hit])))
+                break
+    return out
+
+
+def _shifts(place: int, first: int) -> list[int]:
+    """Where the centres, beginnings or ends of two windows are aligned, as shifts against the centres."""
+    (c, left, right, _, _), (fc, fleft, fright, _, _) = _unpack(np.int64(place)), _unpack(np.int64(first))
+    return sorted({0, int(left - c) - int(fleft - fc), int(right - c) - int(fright - fc)})
+
+
+def _covers(a: np.ndarray, place: int, b: np.ndarray, first: int, width: int, similarity: float) -> bool:
+    a = np.where(a == 0, np.uint64(1) << np.uint64(32), a.astype(np.uint64))
+    return any(low <= width - 1 < high for low, high, _, _ in matched_spans(a, b.astype(np.uint64), _shifts(place, first), width, similarity))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows that agree in the first ``keys`` columns, each as one batch."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        cuts = np.flatnonzero(np.any([np.diff(x) != 0 for x in columns], axis=0)) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            key = tuple(int(x[low]) for x in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            last = key
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _grams(batches: Iterator[pa.RecordBatch], shingle: int, tag_at: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray | None]]]:
     """Batches of (id, text, ...), each with the shingles (32 bits) of its rows' texts; None where the tag is another's.
 
@@ -237,13 +342,71 @@ def passages(
     members, members_path = store.kept(windows.join(shared, "h"), "members")
     store.delete(spark, path)
     firsts = members.where("id = first_id").groupBy("h").agg(F.min("place").alias("first_place"))
-    later = members.where("id > first_id").join(firsts, "h").select("id", (F.shiftright("place", 48)).alias("tag"), F.struct("place", "first_id", "first_place").alias("p"))
+    later = members.where("id > first_id").join(firsts, "h").select("id", (F.shiftright("place", 48)).alias("tag"), F.struct("place", "first_id", "first_place", "h").alias("p"))
     # as many windows as a document has words, at most
-    gathered = later.groupBy("id", "tag").agg(F.collect_set("p").alias("pairs"))
+    gathered, gathered_path = store.kept(later.groupBy("id", "tag").agg(F.collect_set("p").alias("pairs")), "gathered")
     span = "struct<start:int,end:int>"
-    found = gathered.mapInArrow(lambda b: _candidates(b, agree, width), f"id long, tag long, first_id long, first_tag long, a {span}, b {span}, shifts array<int>")
-    pairs = store.written(found, "pairs")
+    pairs = f"id long, tag long, first_id long, first_tag long, a {span}, b {span}, shifts array<int>"
+    found = store.written(_verified(source, store.written(gathered.mapInArrow(lambda b: _candidates(b, agree, width), pairs), "pairs"), shingle, width, similarity), "found")
+    spans = found.groupBy("id", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    unfound = gathered.join(spans, ["id", "tag"], "left").select("id", "tag", "pairs", "spans").mapInArrow(lambda b: _open(b, agree, shingle), "h long, id long, place long")
+    unfound = store.written(unfound, "open")
+    store.delete(spark, gathered_path)
+    # of two windows all is compared already
+    sizes = members.join(unfound.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    wanting = unfound.withColumn("wanting", F.lit(True))
+    others = members.select("id", "h", "place").distinct().join(sizes, "h").join(wanting, ["h", "id", "place"], "left")
+    others = others.select("id", F.shiftright("place", 48).alias("tag"), F.struct("h", "place", F.coalesce("wanting", F.lit(False)).alias("wanting"), "n").alias("w"))
+    others, others_path = store.kept(others.groupBy("id", "tag").agg(F.collect_list("w").alias("w")), "others")
     store.delete(spark, members_path)
+    texts = source.join(others.select("id").distinct(), "id", "left_semi").join(others, "id").select("id", "text", "tag", "w")
+
+    def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, grams in _grams(batches, shingle, 2):
+            for i, own in enumerate(grams):
+                if own is None:
+                    continue
+                # 0 is beyond the text
+                padded = np.concatenate([np.zeros(width - 1, np.uint32), np.maximum(own, 1), np.zeros(width - 1, np.uint32)])
+                listed = part.column(3).slice(i, 1).flatten()
+                h, place, wants, n = (listed.field(k) for k in range(4))
+                c = _unpack(place.to_numpy(zero_copy_only=False))[0]
+                y = [padded[x : x + 2 * width - 1].tobytes() for x in c.tolist()]
+                yield pa.RecordBatch.from_arrays([h, pa.repeat(part.column(0)[i], len(y)), place, wants, n, pa.array(y, pa.binary())], ["h", "id", "place", "wanting", "n", "y"])
+
+    near = texts.mapInArrow(surroundings, "h long, id long, place long, wanting boolean, n long, y binary").distinct()
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    near = near.withColumn("block", F.pmod(F.xxhash64("id", "place"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    near = near.select("h", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "place", "wanting", "block", "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            ids, place, wants, block = (group.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5, 6))
+            if not wants.any():
+                continue
+            side = None if group.column(1)[0] == group.column(2)[0] else (block == group.column(1)[0].as_py()).astype(np.uint32)
+            around = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint32).reshape(len(ids), -1)
+            rows = []
+            for m, e in _earlier(ids, place, wants, side, around, width, similarity):
+                c, fc = int(_unpack(place[m])[0]), int(_unpack(place[e])[0])
+                a = {"start": max(0, c - 2 * width), "end": c + 2 * width + 1}
+                b = {"start": max(0, fc - 2 * width - SLACK), "end": fc + 2 * width + SLACK + 1}
+                rows.append((int(ids[m]), int(place[m]) >> 48, int(ids[e]), int(place[e]) >> 48, a, b, [c - fc + s for s in _shifts(int(place[m]), int(place[e]))]))
+            limits = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), limits, limits, pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["id", "tag", "first_id", "first_tag", "a", "b", "shifts"])
+
+    more = near.repartition("h", "one", "two").sortWithinPartitions("h", "one", "two").mapInArrow(compare, pairs)
+    whole = F.struct(F.min("a.start").alias("start"), F.max("a.end").alias("end")).alias("a"), F.struct(F.min("b.start").alias("start"), F.max("b.end").alias("end")).alias("b")
+    more = more.groupBy("id", "tag", "first_id", "first_tag").agg(*whole, F.array_distinct(F.flatten(F.collect_set("shifts"))).alias("shifts"))
+    more = store.written(more, "more")
+    store.delete(spark, others_path)
+    some = source.join(more.select("id").union(more.select("first_id")).distinct(), "id", "left_semi")
+    return found.unionByName(_verified(some, more, shingle, width, similarity)).distinct()
+
+
+def _verified(source: DataFrame, pairs: DataFrame, shingle: int, width: int, similarity: float) -> DataFrame:
+    """The passages of ``pairs``, as ``_candidates`` gives them."""
     requests = pairs.select("id", "tag", "first_id", "first_tag", F.col("a.start").alias("at"), F.col("a.end").alias("to"), F.col("b.start").alias("there"), F.col("b.end").alias("until"), "shifts")
     # texts are dealt out by id once, for both joins
     dealt = source.hint("merge")

@@ -91,3 +91,56 @@ def test_texts_of_one_id_are_told_apart(spark):
     docs = spark.createDataFrame([(1, " ".join(rows[1])), (5, " ".join(rows[3])), (5, " ".join(rows[2]))], "doc_id long, text string")
     got = passages.passages(docs).collect()
     assert [(r.id, r.start, r.end, r.first_id) for r in got] == [(5, 10, 80, 1)]
+
+
+def test_copies_behind_a_document_that_shares_a_phrase_only(spark):
+    rng = random.Random(5)
+
+    def words(n):
+        return [f"{rng.choice('abcdefgh')}{rng.randrange(50000)}" for _ in range(n)]
+
+    rows, place = [], {}
+    for k in range(24):
+        passage = words(55)
+        phrase = passage[8:48] if k % 2 else passage[:44]
+        rows.append((k, " ".join(words(20) + phrase + words(20))))
+        for copy in (1, 2, 3):
+            before = words(15 + copy)
+            place[100 * copy + k] = len(before)
+            rows.append((100 * copy + k, " ".join(before + passage + words(30))))
+    got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.id, r.start - place[r.id], r.end - place[r.id]) for r in got} == {(100 * copy + k, 0, 55) for copy in (2, 3) for k in range(24)}
+    assert all(r.id % 100 == r.first_id % 100 and r.first_id >= 100 for r in got)
+
+
+def test_copy_of_a_later_place_of_the_least_document(spark):
+    rng = random.Random(6)
+
+    def words(n):
+        return [f"{rng.choice('abcdefgh')}{rng.randrange(50000)}" for _ in range(n)]
+
+    rows = []
+    for k in range(12):
+        passage = words(55)
+        rows.append((k, " ".join(words(10) + passage[5:45] + words(300) + passage + words(10))))
+        rows.append((100 + k, " ".join(words(20) + passage)))
+    got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.id, r.start, r.end, r.first_id, r.first_start) for r in got} == {(100 + k, 20, 75, k, 350) for k in range(12)}
+
+
+def test_earlier_windows_are_those_of_brute_force():
+    rng = np.random.default_rng(2)
+    width = 46
+    base = rng.integers(1, 2**32, (3, 2 * width - 1)).astype(np.uint32)
+    around = np.array([np.where(rng.random(2 * width - 1) < rng.choice([0, 0.05, 0.2]), rng.integers(1, 2**32, 2 * width - 1).astype(np.uint32), base[k % 3]) for k in range(60)])
+    around[:, width - 1] = 7
+    around[1::7, :20] = 0
+    ids, place = rng.integers(0, 40, 60), (np.arange(60) + 100 << 24) | (50 << 17) | (50 << 3)
+    for side in (None, rng.integers(0, 2, 60).astype(np.uint32)):
+        got = {m: int(ids[e]) for m, e in passages._earlier(ids, place, np.ones(60, bool), side, around, width, 0.8)}
+        expected = {}
+        for m in range(60):
+            for e in range(60):
+                if ids[e] < ids[m] and (side is None or side[e] != side[m]) and passages._covers(around[m], int(place[m]), around[e], int(place[e]), width, 0.8):
+                    expected[m] = min(expected.get(m, 99), int(ids[e]))
+        assert got == expected and expected
