@@ -13,15 +13,17 @@ shingles around are compared: a window of ``WORDS`` words counts if at least as
 Jaccard similarity of ``SIMILARITY`` asks for are in the aligned window of the earlier document (aligned up
 to ``SLACK`` words inserted or deleted). Overlapping windows merge to passages.
 
-Windows whose centre no passage covers then (the least document shares the shingle, not the passage) are compared
-with every place of every earlier document of their group, by the shingles within reach of a passage around the
-centre. Equal surroundings are compared once, and only those that hold one of a few rare shingles, of which a
-passage can't lack all; groups of more than ``BLOCK`` windows go in pairs of blocks. The least document that
-matches is the candidate. So every passage is found, at least around its centre, that two windows can witness.
+The least document may share the shingle, but not the passage. Every window of ``WORDS`` words around a centre that
+is not inside a passage by then is therefore grouped once more, over all members of its signature's group: by the
+hash of its words, so that the least document of the group has the passage itself (no exact repeat is lost), and by
+least hashes of either half of its surroundings, for near copies. These groups are pre-aggregated to their least
+document and joined back: cost and rows grow with the windows, not with their pairs.
 
 Defined results: null ids, null texts and texts of fewer than ``WORDS`` words have no passage; rows of one id are
 one document, which is not compared with itself; of a repeated row one is reported; an empty table gives an
-empty result. Ids are integers.
+empty result. Of equal hashes in a text the leftmost is the least, of documents the one of the lowest id comes first.
+Very long texts are taken apart whole, each in a slice of its own. Ids are integers, or strings of digits; other
+columns are kept and may have any name.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ SHINGLE, WORDS, SIMILARITY = 5, 50, 0.8
 HASHES, AGREE = 4, 2
 #: Shingles to which a window reaches on either side, and the shift within an alignment.
 REACH, SLACK = 100, 3
-#: Windows of a group that are compared in one go.
-BLOCK = 10_000
+#: Passages of one earlier document that are asked for with one copy of its text, in expectation.
+ASKED = 200
 
 _POSITION = (1 << 24) - 1
 _TAG = (1 << 15) - 1
@@ -100,7 +102,7 @@ def _merged(owner: np.ndarray, values: np.ndarray, c: np.ndarray, left: np.ndarr
 
 
 def _signatures(docs: DataFrame, shingle: int, words: int, hashes: int) -> DataFrame:
-    """id, signature h and place (text's tag, c, c - l, r - c and function, packed) of every compact window."""
+    """id, text's tag, signature h and place (c, c - l, r - c and function, packed) of every compact window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = words - shingle + 1
@@ -115,16 +117,17 @@ def _signatures(docs: DataFrame, shingle: int, words: int, hashes: int) -> DataF
                 if not len(c):
                     continue
                 owner, signature, c, left, right = _merged(np.searchsorted(at, c, "right") - 1, text.mix(values[c]), c, left, right)
-                place = tags[owner] << 48 | (c - at[owner]) << 24 | (c - left) << 17 | (right - c) << 3 | f
-                yield pa.RecordBatch.from_arrays([pa.array(ids[owner], pa.int64()), pa.array(signature.view(np.int64)), pa.array(place, pa.int64())], ["id", "h", "place"])
+                place = (c - at[owner]) << 24 | (c - left) << 17 | (right - c) << 3 | f
+                columns = [pa.array(ids[owner], pa.int64()), pa.array(tags[owner], pa.int32()), pa.array(signature.view(np.int64)), pa.array(place, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "tag", "h", "place"])
 
-    return docs.mapInArrow(run, "id long, h long, place long")
+    return docs.mapInArrow(run, "id long, tag int, h long, place long")
 
 
-def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """c, l, r, function and tag of places."""
-    c = place >> 24 & _POSITION
-    return c, c - (place >> 17 & 127), c + (place >> 3 & 16383), place & 7, place >> 48
+def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """c, l, r and function of places."""
+    c = place >> 24
+    return c, c - (place >> 17 & 127), c + (place >> 3 & 16383), place & 7
 
 
 def _dense(left: np.ndarray, right: np.ndarray, function: np.ndarray, agree: int) -> np.ndarray:
@@ -139,16 +142,20 @@ def _dense(left: np.ndarray, right: np.ndarray, function: np.ndarray, agree: int
     return upto[right + 1] > upto[left]
 
 
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+#: What is compared: shingles a of the document with shingles b of the earlier one, aligned by shifts.
+_PAIRS = "id long, tag int, first_id long, first_tag int, a struct<start:int,end:int>, b struct<start:int,end:int>, shifts array<int>"
+
+
 def _candidates(batches: Iterator[pa.RecordBatch], agree: int, width: int) -> Iterator[pa.RecordBatch]:
     """Per document with its paired windows: the earlier documents to compare with, and where."""
     names = ["id", "tag", "first_id", "first_tag", "a", "b", "shifts"]
     for batch in batches:
-        ids, listed = batch.column(0).to_pylist(), batch.column(2)
+        ids, tags, listed = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
         offsets = listed.offsets.to_numpy()
-        flat = listed.values
-        place, first_id, first_place = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-        c, left, right, function, tag = _unpack(place)
-        fc, first_left, first_right, _, first_tag = _unpack(first_place)
+        place, first_id, first_place, first_tag = (listed.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+        c, left, right, function = _unpack(place)
+        fc, first_left, first_right, _ = _unpack(first_place)
         rows = []
         for i, own in enumerate(ids):
             at = np.arange(offsets[i], offsets[i + 1])
@@ -161,107 +168,85 @@ def _candidates(batches: Iterator[pa.RecordBatch], agree: int, width: int) -> It
                     b = {"start": max(0, int(first_left[g].min()) - width - SLACK), "end": int(first_right[g].max()) + width + SLACK + 1}
                     # windows of a repeated shingle may begin or end alike
                     shifts = np.unique(np.concatenate([c[g] - fc[g], left[g] - first_left[g], right[g] - first_right[g]]))
-                    rows.append((own, int(tag[g[0]]), int(first_id[g[0]]), int(first_tag[g[0]]), a, b, shifts))
-        span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), span, span, pa.list_(pa.int32())]
+                    rows.append((own, tags[i], int(first_id[g[0]]), int(first_tag[g[0]]), a, b, shifts))
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), _SPAN, _SPAN, pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
 
-def _open(batches: Iterator[pa.RecordBatch], agree: int, shingle: int) -> Iterator[pa.RecordBatch]:
-    """Paired windows, as for ``_candidates``, whose centre is in none of the document's passages (last column)."""
+def _around(place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last start of the windows of ``width`` shingles around each centre, within its compact window.
+
+    Windows merged from several have several centres, so all of them count.
+    """
+    c, left, right, _ = _unpack(place)
+    return np.maximum(left, c - width + 1), np.where(right - c > REACH, right - width + 1, np.minimum(c, right - width + 1))
+
+
+def _inside(low: np.ndarray, high: np.ndarray, spans: list[dict] | None) -> np.ndarray:
+    """Which intervals (in shingles, ends inclusive) are inside one of the spans."""
+    out = np.zeros(len(low), bool)
+    for x in spans or ():
+        out |= (low >= x["start"]) & (high < x["end"])
+    return out
+
+
+def _open(batches: Iterator[pa.RecordBatch], agree: int, shingle: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Paired windows, as for ``_candidates``, around which not all is inside passages (last column, in words)."""
     for batch in batches:
         listed = batch.column(2)
-        offsets, flat = listed.offsets.to_numpy(), listed.values
-        place, h = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 3))
-        c, left, right, function, _ = _unpack(place)
-        keep = np.zeros(len(place), bool)
-        spans = batch.column(3).to_pylist()
-        for i in range(batch.num_rows):
+        offsets = listed.offsets.to_numpy()
+        place, h = (listed.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 4))
+        _, left, right, function = _unpack(place)
+        low, high = _around(place, width)
+        kept, owner = [], []
+        for i, spans in enumerate(batch.column(3).to_pylist()):
             at = np.arange(offsets[i], offsets[i + 1])
             at = at[_dense(left[at], right[at], function[at], agree)]
-            for span in spans[i] or ():
-                at = at[(c[at] < span["start"]) | (c[at] > span["end"] - shingle)]
-            keep[at] = True
-        owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(offsets))
-        # offsets of a slice need not begin at 0
-        inside = np.arange(offsets[0], offsets[-1])
-        kept = inside[keep[inside]]
-        yield pa.RecordBatch.from_arrays([pa.array(h[kept]), pa.array(owner[kept - offsets[0]]), pa.array(place[kept])], ["h", "id", "place"])
+            at = at[(low[at] <= high[at]) & ~_inside(low[at], high[at] + width + shingle - 2, spans)]
+            kept.append(at)
+            owner.append(np.full(len(at), i))
+        kept, rows = np.concatenate([np.zeros(0, np.int64), *kept]), pa.array(np.concatenate([np.zeros(0, np.int64), *owner]))
+        yield pa.RecordBatch.from_arrays([pa.array(h[kept]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[kept])], ["h", "id", "tag", "place"])
 
 
-def _earlier(ids: np.ndarray, place: np.ndarray, wanting: np.ndarray, side: np.ndarray | None, around: np.ndarray, width: int, similarity: float) -> list[tuple[int, int]]:
-    """(window, earlier window) of one group: for each of the windows ``wanting`` the least that shares a passage.
+def _keys(grams: np.ndarray, h: np.ndarray, place: np.ndarray, wanting: np.ndarray, spans: list[dict] | None, shingle: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, positions (in shingles) and whether they are wanting, of some compact windows of one text.
 
-    ``around``: a row of 2 * width - 1 shingles for each window, its centre in the middle, 0 beyond the text. With
-    ``side``, only windows of different sides are compared.
+    A key is the hash of a window's shingles, of windows of the first function (an exact repeat has them all in
+    common), or of a signature and a least hash of the half before or after its centre.
     """
-    need = int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
-    # of this many shingles of a passage one at least is in its counterpart
-    probes = width - need + 1
+    n = len(grams)
+    c, _, _, function = _unpack(place)
+    up, down = text._POWERS.get(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(grams * up[:n], out=sums[1:])
+    own = function == 0
+    low, high = _around(place[own], width)
+    size = np.maximum(high - low + 1, 0)
+    starts = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+    first = np.unique(np.stack([starts, ~np.repeat(wanting[own], size)]), axis=1)
+    # of equal starts, one that is wanting comes first
+    fresh = np.ones(first.shape[1], bool)
+    fresh[1:] = first[0, 1:] != first[0, :-1]
+    at, wants = first[0, fresh], first[1, fresh] == 0
+    wants &= ~_inside(at, at + width + shingle - 2, spans)
+    out = [(text.mix((sums[at + width] - sums[at]) * down[at]), at, wants)]
     half = (width + 1) // 2
-    halves = (np.arange(width - half, width), np.arange(width - 1, width - 1 + half)) if probes <= half else (np.arange(2 * width - 1),)
-    probes = probes if probes <= half else 2 * width - 1
-    order = np.lexsort((place, ids))
-    alike = np.column_stack([around[order], np.zeros(len(ids), np.uint32) if side is None else side[order]])
-    _, least = np.unique(alike, axis=0, return_index=True)
-    rows = order[np.sort(least)]  # by id
-    values = around[rows]
-    flat = values.ravel()
-    by = np.argsort(flat, kind="stable")
-    ordered, holder = flat[by], by // values.shape[1]
-    out = []
-    for m in np.flatnonzero(wanting).tolist():
-        own = around[m]
-        low, high = np.searchsorted(ordered, own, "left"), np.searchsorted(ordered, own, "right")
-        counts = np.where(own == 0, 0, high - low)
-        # a passage around the centre holds all of one half
-        picked = {int(x) for part in halves for x in part[np.argsort(counts[part], kind="stable")[:probes]]}
-        some = [holder[low[x] : high[x]] for x in picked if own[x]]
-        near = np.unique(np.concatenate(some)) if some else np.zeros(0, np.int64)
-        near = near[ids[rows[near]] < ids[m]]
-        if side is not None:
-            near = near[side[rows[near]] != side[m]]
-        for start in range(0, len(near), 256):
-            some = near[start : start + 256]
-            there = (own[None, :, None] == values[some][:, None, :]).any(2) & (own != 0)
-            sums = np.concatenate([np.zeros((len(some), 1), np.int64), np.cumsum(there, 1)], 1)
-            able = some[((sums[:, width:] - sums[:, :-width]) >= need).any(1)]
-            hit = next((r for r in able.tolist() if _covers(own, int(place[m]), values[r], int(place[rows[r]]), width, similarity)), None)
-            if hit is not None:
-                out.append((m, int(rows[hit])))
-                break
-    return out
+    for side, shift in ((1, half - 1), (2, 0)):
+        begin = c - shift
+        use = (begin >= 0) & (begin + half <= n)
+        around = begin[use, None] + np.arange(half)
+        for k in (1, 2):
+            # the centre itself is in all of them
+            least = text.mix(np.where(around == c[use, None], np.uint64(0), grams[around]) ^ np.uint64((side * 8 + k) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+            least = np.where(around == c[use, None], np.iinfo(np.uint64).max, least).min(axis=1)
+            out.append((text.mix(least + h[use].view(np.uint64) * np.uint64(2 * k + side * 16 + 1)), c[use], wanting[use]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _shifts(place: int, first: int) -> list[int]:
-    """Where the centres, beginnings or ends of two windows are aligned, as shifts against the centres."""
-    (c, left, right, _, _), (fc, fleft, fright, _, _) = _unpack(np.int64(place)), _unpack(np.int64(first))
-    return sorted({0, int(left - c) - int(fleft - fc), int(right - c) - int(fright - fc)})
-
-
-def _covers(a: np.ndarray, place: int, b: np.ndarray, first: int, width: int, similarity: float) -> bool:
-    a = np.where(a == 0, np.uint64(1) << np.uint64(32), a.astype(np.uint64))
-    return any(low <= width - 1 < high for low, high, _, _ in matched_spans(a, b.astype(np.uint64), _shifts(place, first), width, similarity))
-
-
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows that agree in the first ``keys`` columns, each as one batch."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
-        cuts = np.flatnonzero(np.any([np.diff(x) != 0 for x in columns], axis=0)) + 1
-        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-            key = tuple(int(x[low]) for x in columns)
-            if held and key != last:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-            last = key
-            held.append(batch.slice(low, high - low))
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+def _shingles(words: text.Words, shingle: int) -> np.ndarray:
+    """32 bits of each shingle of one text."""
+    return (text.ngrams(words, shingle)[0] >> np.uint64(32)).astype(np.uint32)
 
 
 def _grams(batches: Iterator[pa.RecordBatch], shingle: int, tag_at: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray | None]]]:
@@ -277,7 +262,7 @@ def _grams(batches: Iterator[pa.RecordBatch], shingle: int, tag_at: int) -> Iter
             key = (own, values[i].as_py())
             if key != last:
                 words = text.Words(values.slice(i, 1))
-                last, grams, tag = key, (text.ngrams(words, shingle)[0] >> np.uint64(32)).astype(np.uint32), _tag(words, 0)
+                last, grams, tag = key, _shingles(words, shingle), _tag(words, 0)
             out.append(grams if tag == tags[i] else None)
         yield part, out
 
@@ -338,89 +323,83 @@ def passages(
     width = words - shingle + 1
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     windows, path = store.kept(_signatures(source, shingle, words, hashes), "windows")
-    shared = windows.groupBy("h").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id").drop("last_id")
+    shared = windows.groupBy("h").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n")).where("first_id < last_id").drop("last_id")
     members, members_path = store.kept(windows.join(shared, "h"), "members")
     store.delete(spark, path)
-    firsts = members.where("id = first_id").groupBy("h").agg(F.min("place").alias("first_place"))
-    later = members.where("id > first_id").join(firsts, "h").select("id", (F.shiftright("place", 48)).alias("tag"), F.struct("place", "first_id", "first_place", "h").alias("p"))
+    firsts = members.where("id = first_id").groupBy("h").agg(F.min(F.struct("place", "tag")).alias("first"))
+    later = members.where("id > first_id").join(firsts, "h").select("id", "tag", F.struct("place", "first_id", F.col("first.place").alias("first_place"), F.col("first.tag").alias("first_tag"), "h", "n").alias("p"))
     # as many windows as a document has words, at most
     gathered, gathered_path = store.kept(later.groupBy("id", "tag").agg(F.collect_set("p").alias("pairs")), "gathered")
-    span = "struct<start:int,end:int>"
-    pairs = f"id long, tag long, first_id long, first_tag long, a {span}, b {span}, shifts array<int>"
-    found = store.written(_verified(source, store.written(gathered.mapInArrow(lambda b: _candidates(b, agree, width), pairs), "pairs"), shingle, width, similarity), "found")
+    pairs, pairs_path = store.kept(gathered.mapInArrow(lambda b: _candidates(b, agree, width), _PAIRS), "pairs")
+    found, found_path = store.kept(_verified(source, pairs, shingle, width, similarity), "found")
+    store.delete(spark, pairs_path)
     spans = found.groupBy("id", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    unfound = gathered.join(spans, ["id", "tag"], "left").select("id", "tag", "pairs", "spans").mapInArrow(lambda b: _open(b, agree, shingle), "h long, id long, place long")
-    unfound = store.written(unfound, "open")
-    store.delete(spark, gathered_path)
     # of two windows all is compared already
-    sizes = members.join(unfound.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
-    wanting = unfound.withColumn("wanting", F.lit(True))
-    others = members.select("id", "h", "place").distinct().join(sizes, "h").join(wanting, ["h", "id", "place"], "left")
-    others = others.select("id", F.shiftright("place", 48).alias("tag"), F.struct("h", "place", F.coalesce("wanting", F.lit(False)).alias("wanting"), "n").alias("w"))
-    others, others_path = store.kept(others.groupBy("id", "tag").agg(F.collect_list("w").alias("w")), "others")
-    store.delete(spark, members_path)
-    texts = source.join(others.select("id").distinct(), "id", "left_semi").join(others, "id").select("id", "text", "tag", "w")
-
-    def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    most = gathered.select("id", "tag", F.filter("pairs", lambda p: p["n"] > 2).alias("pairs")).where(F.size("pairs") > 0)
+    unsettled = most.join(spans, ["id", "tag"], "left").select("id", "tag", "pairs", "spans")
+    opened, opened_path = store.kept(unsettled.mapInArrow(lambda b: _open(b, agree, shingle, width), "h long, id long, tag int, place long"), "open")
+    wanting = opened.distinct().withColumn("wanting", F.lit(True))
+    others = members.join(opened.select("h").distinct(), "h", "left_semi").join(wanting, ["h", "id", "tag", "place"], "left")
+    others = others.select("id", "tag", F.struct("h", "place", F.coalesce("wanting", F.lit(False)).alias("wanting")).alias("w")).groupBy("id", "tag").agg(F.collect_set("w").alias("w"))
+    others, others_path = store.kept(others.join(spans, ["id", "tag"], "left"), "others")
+    for done in (gathered_path, opened_path, members_path):
+        store.delete(spark, done)
+    texts = source.join(others.select("id").distinct(), "id", "left_semi").join(others, "id").select("id", "text", "tag", "w", "spans")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, grams in _grams(batches, shingle, 2):
+            spans_of = part.column(4).to_pylist()
             for i, own in enumerate(grams):
                 if own is None:
                     continue
-                # 0 is beyond the text
-                padded = np.concatenate([np.zeros(width - 1, np.uint32), np.maximum(own, 1), np.zeros(width - 1, np.uint32)])
                 listed = part.column(3).slice(i, 1).flatten()
-                h, place, wants, n = (listed.field(k) for k in range(4))
-                c = _unpack(place.to_numpy(zero_copy_only=False))[0]
-                y = [padded[x : x + 2 * width - 1].tobytes() for x in c.tolist()]
-                yield pa.RecordBatch.from_arrays([h, pa.repeat(part.column(0)[i], len(y)), place, wants, n, pa.array(y, pa.binary())], ["h", "id", "place", "wanting", "n", "y"])
-
-    near = texts.mapInArrow(surroundings, "h long, id long, place long, wanting boolean, n long, y binary").distinct()
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    near = near.withColumn("block", F.pmod(F.xxhash64("id", "place"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    near = near.select("h", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "id", "place", "wanting", "block", "y")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
-            ids, place, wants, block = (group.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5, 6))
-            if not wants.any():
-                continue
-            side = None if group.column(1)[0] == group.column(2)[0] else (block == group.column(1)[0].as_py()).astype(np.uint32)
-            around = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint32).reshape(len(ids), -1)
-            rows = []
-            for m, e in _earlier(ids, place, wants, side, around, width, similarity):
-                c, fc = int(_unpack(place[m])[0]), int(_unpack(place[e])[0])
-                a = {"start": max(0, c - 2 * width), "end": c + 2 * width + 1}
-                b = {"start": max(0, fc - 2 * width - SLACK), "end": fc + 2 * width + SLACK + 1}
-                rows.append((int(ids[m]), int(place[m]) >> 48, int(ids[e]), int(place[e]) >> 48, a, b, [c - fc + s for s in _shifts(int(place[m]), int(place[e]))]))
-            limits = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), limits, limits, pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["id", "tag", "first_id", "first_tag", "a", "b", "shifts"])
-
-    more = near.repartition("h", "one", "two").sortWithinPartitions("h", "one", "two").mapInArrow(compare, pairs)
-    whole = F.struct(F.min("a.start").alias("start"), F.max("a.end").alias("end")).alias("a"), F.struct(F.min("b.start").alias("start"), F.max("b.end").alias("end")).alias("b")
-    more = more.groupBy("id", "tag", "first_id", "first_tag").agg(*whole, F.array_distinct(F.flatten(F.collect_set("shifts"))).alias("shifts"))
-    more = store.written(more, "more")
+                h, place, wants = (listed.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                key, at, want = _keys(own.astype(np.uint64), h, place, wants, spans_of[i], shingle, width)
+                columns = [pa.array(key.view(np.int64)), pa.repeat(part.column(0)[i], len(key)), pa.repeat(part.column(2)[i], len(key)), pa.array(at, pa.int32()), pa.array(want)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "id", "tag", "at", "wanting"])
+
+    keys, keys_path = store.kept(texts.mapInArrow(keyed, "key long, id long, tag int, at int, wanting boolean"), "keys")
     store.delete(spark, others_path)
+    least = keys.groupBy("key").agg(F.min(F.struct("id", "tag", "at")).alias("first"), F.max(F.when(F.col("wanting"), F.col("id"))).alias("last")).where("first.id < last").drop("last")
+    again = keys.where("wanting").join(least, "key").where("id > first.id")
+    shift = F.col("at") - F.col("first.at")
+    a = F.struct(F.min(F.greatest(F.col("at") - 2 * width, F.lit(0))).alias("start"), F.max(F.col("at") + 3 * width).alias("end"))
+    b = F.struct(F.min(F.greatest(F.col("first.at") - 2 * width - SLACK, F.lit(0))).alias("start"), F.max(F.col("first.at") + 3 * width + SLACK).alias("end"))
+    more = again.groupBy("id", "tag", F.col("first.id").alias("first_id"), F.col("first.tag").alias("first_tag")).agg(a.alias("a"), b.alias("b"), F.collect_set(shift).alias("shifts"))
+    more, more_path = store.kept(more, "more")
+    store.delete(spark, keys_path)
     some = source.join(more.select("id").union(more.select("first_id")).distinct(), "id", "left_semi")
-    return found.unionByName(_verified(some, more, shingle, width, similarity)).distinct()
+    out = store.written(found.unionByName(_verified(some, more, shingle, width, similarity)).distinct(), "passages")
+    for done in (found_path, more_path):
+        store.delete(spark, done)
+    return out
 
 
 def _verified(source: DataFrame, pairs: DataFrame, shingle: int, width: int, similarity: float) -> DataFrame:
-    """The passages of ``pairs``, as ``_candidates`` gives them."""
-    requests = pairs.select("id", "tag", "first_id", "first_tag", F.col("a.start").alias("at"), F.col("a.end").alias("to"), F.col("b.start").alias("there"), F.col("b.end").alias("until"), "shifts")
+    """The passages of ``pairs``, as ``_candidates`` gives them.
+
+    The earlier document's part is cut out first. One copy of its text serves some ``ASKED`` pairs, however many ask.
+    """
+    asked = pairs.groupBy("first_id").agg(F.ceil(F.count("*") / F.lit(ASKED)).cast("int").alias("parts"))
+    request = F.struct("id", "tag", "first_tag", F.col("a.start").alias("at"), F.col("a.end").alias("to"), F.col("b.start").alias("there"), F.col("b.end").alias("until"), "shifts")
+    dealt_out = pairs.join(asked, "first_id").withColumn("part", F.pmod(F.xxhash64("id", "tag"), F.col("parts")))
+    requests = dealt_out.groupBy("first_id", "part").agg(F.collect_list(request).alias("requests"))
     # texts are dealt out by id once, for both joins
     dealt = source.hint("merge")
-    ahead = dealt.withColumnRenamed("id", "first_id").join(requests, "first_id").select("first_id", "text", "first_tag", "id", "tag", "at", "to", "there", "until", "shifts")
+    ahead = dealt.withColumnRenamed("id", "first_id").join(requests, "first_id").select("first_id", "text", "requests")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, grams in _grams(batches, shingle, 2):
-            there, until = part.column(7).to_pylist(), part.column(8).to_pylist()
-            y = [None if g is None else g[low:high].tobytes() for g, low, high in zip(grams, there, until, strict=True)]
-            keep = pa.array([g is not None for g in grams])
-            order = (3, 4, 0, 5, 6, 7, 9)
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in order), pa.array(y, pa.binary())], ["id", "tag", "first_id", "at", "to", "there", "shifts", "y"]).filter(keep)
-
-    regions = ahead.mapInArrow(cut, "id long, tag long, first_id long, at int, to int, there int, shifts array<int>, y binary")
+        for part in text.slices(batches):
+            for i, own in enumerate(part.column(0).to_pylist()):
+                words = text.Words(part.column(1).slice(i, 1))
+                grams, tag = _shingles(words, shingle), _tag(words, 0)
+                asking = part.column(2).slice(i, 1).flatten()
+                asking = pa.RecordBatch.from_struct_array(asking.filter(pa.array(asking.field(2).to_numpy(zero_copy_only=False) == tag)))
+                y = [grams[low:high].tobytes() for low, high in zip(asking.column(5).to_pylist(), asking.column(6).to_pylist(), strict=True)]
+                columns = [*(asking.column(k) for k in (0, 1)), pa.repeat(pa.scalar(own, pa.int64()), len(y)), *(asking.column(k) for k in (3, 4, 5, 7)), pa.array(y, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "tag", "first_id", "at", "to", "there", "shifts", "y"])
+
+    regions = ahead.mapInArrow(cut, "id long, tag int, first_id long, at int, to int, there int, shifts array<int>, y binary")
     both = dealt.join(regions, "id").select("id", "text", "tag", "first_id", "at", "to", "there", "shifts", "y")
     names = ["id", "tag", "start", "end", "first_id", "first_start", "similarity"]
 
@@ -433,11 +412,11 @@ def _verified(source: DataFrame, pairs: DataFrame, shingle: int, width: int, sim
                     moved = [s - at[i] + there[i] for s in shifts[i]]
                     for low, high, place, share in matched_spans(own[at[i] : to[i]], np.frombuffer(ys[i], np.uint32), moved, width, similarity):
                         rows.append((ids[i], tags[i], at[i] + low, at[i] + high + shingle - 1, firsts[i], there[i] + place, share))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
     # a row that is repeated gives its passages again; they count once
-    return both.mapInArrow(verify, "id long, tag long, start int, end int, first_id long, first_start int, similarity double").distinct()
+    return both.mapInArrow(verify, "id long, tag int, start int, end int, first_id long, first_start int, similarity double").distinct()
 
 
 def members(found: DataFrame) -> DataFrame:
@@ -449,10 +428,12 @@ def members(found: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the passages that occur in an earlier document; a passage goes from its first word to its last."""
-    found = store.written(passages(docs, id_col=id_col, text_col=text_col, **options), "passages")
-    spans = found.groupBy(F.col("id").alias("__pid"), F.col("tag").alias("__tag")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__spans"))
+    found = passages(docs, id_col=id_col, text_col=text_col, **options)
+    key, cut = store.fresh(docs, "id", "cuts")
+    spans = found.groupBy("id", "tag").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     # a row for each text of an id; the text's digest decides
-    joined = docs.join(spans.groupBy("__pid").agg(F.collect_list(F.struct("__tag", "__spans")).alias("__cuts")), docs[id_col].cast("long") == F.col("__pid"), "left").select(*(docs[c] for c in docs.columns), "__cuts")
+    cuts = spans.groupBy(F.col("id").alias(key)).agg(F.collect_list(F.struct("tag", "spans")).alias(cut))
+    joined = docs.withColumn(key, F.col(id_col).cast("long")).join(cuts, key, "left").select(*docs.columns, cut)
     at, last = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -464,7 +445,7 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
                 words = text.Words(part.column(at).slice(i, 1))
                 tag = _tag(words, 0)
                 raw, kept, end = values[i].encode(), [], 0
-                for span in next((c["__spans"] for c in cuts if c["__tag"] == tag), []):
+                for span in next((c["spans"] for c in cuts if c["tag"] == tag), []):
                     low, high = int(words.start[span["start"]]), int(words.end[span["end"] - 1])
                     kept.append(raw[end : max(low, end)])
                     end = max(end, high)

@@ -79,7 +79,7 @@ def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = store.written(passages.passages(_table(spark, sf_dir, "documents")), "passages")
+    found = passages.passages(_table(spark, sf_dir, "documents"))
     names = {"id": "doc_id", "start": "start_word", "end": "end_word", "first_id": "first_doc_id", "first_start": "first_start_word"}
     return passages.members(found).withColumnsRenamed(names)
 

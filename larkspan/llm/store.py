@@ -76,6 +76,20 @@ def drop_scratch(spark: SparkSession) -> None:
         delete(spark, _SCRATCH.pop())
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        made, k = f"__{name}", 0
+        while made in taken:
+            k += 1
+            made = f"__{name}_{k}"
+        taken.add(made)
+        out.append(made)
+    return out
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long texts: at most ``ARROW_ROWS`` rows each."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
