@@ -28,10 +28,12 @@ columns are kept and may have any name.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ HASHES, AGREE = 4, 2
 REACH, SLACK = 100, 3
 #: Passages of one earlier document that are asked for with one copy of its text, in expectation.
 ASKED = 200
+#: Shingles that are handed over in one batch, beside a single text's.
+SENT = 1 << 22
 
 _POSITION = (1 << 24) - 1
 _TAG = (1 << 15) - 1
@@ -98,11 +102,12 @@ def _merged(owner: np.ndarray, values: np.ndarray, c: np.ndarray, left: np.ndarr
     fresh = np.ones(len(c), bool)
     fresh[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1]) | (left[1:] > right[:-1] + 1) | (c[1:] >> 13 != c[:-1] >> 13)
     at = np.flatnonzero(fresh)
-    return owner[at], values[at], c[at], np.minimum.reduceat(left, at), np.maximum.reduceat(right, at)
+    several = np.diff(np.append(at, len(c))) > 1
+    return owner[at], values[at], c[at], np.minimum.reduceat(left, at), np.maximum.reduceat(right, at), several
 
 
 def _signatures(docs: DataFrame, shingle: int, words: int, hashes: int) -> DataFrame:
-    """id, text's tag, signature h and place (c, c - l, r - c and function, packed) of every compact window."""
+    """id, text's tag, signature h and place (c, c - l, r - c, whether it is several merged, and function, packed) of every compact window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = words - shingle + 1
@@ -116,8 +121,8 @@ def _signatures(docs: DataFrame, shingle: int, words: int, hashes: int) -> DataF
                 c, left, right = compact_windows(values, at, width)
                 if not len(c):
                     continue
-                owner, signature, c, left, right = _merged(np.searchsorted(at, c, "right") - 1, text.mix(values[c]), c, left, right)
-                place = (c - at[owner]) << 24 | (c - left) << 17 | (right - c) << 3 | f
+                owner, signature, c, left, right, several = _merged(np.searchsorted(at, c, "right") - 1, text.mix(values[c]), c, left, right)
+                place = (c - at[owner]) << 25 | (c - left) << 18 | (right - c) << 4 | several.astype(np.int64) << 3 | f
                 columns = [pa.array(ids[owner], pa.int64()), pa.array(tags[owner], pa.int32()), pa.array(signature.view(np.int64)), pa.array(place, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "tag", "h", "place"])
 
@@ -126,8 +131,12 @@ def _signatures(docs: DataFrame, shingle: int, words: int, hashes: int) -> DataF
 
 def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """c, l, r and function of places."""
-    c = place >> 24
-    return c, c - (place >> 17 & 127), c + (place >> 3 & 16383), place & 7
+    c = place >> 25
+    return c, c - (place >> 18 & 127), c + (place >> 4 & 16383), place & 7
+
+
+def _several(place: np.ndarray) -> np.ndarray:
+    return (place & 8) > 0
 
 
 def _dense(left: np.ndarray, right: np.ndarray, function: np.ndarray, agree: int) -> np.ndarray:
@@ -156,6 +165,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], agree: int, width: int) -> It
         place, first_id, first_place, first_tag = (listed.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
         c, left, right, function = _unpack(place)
         fc, first_left, first_right, _ = _unpack(first_place)
+        several = _several(place) | _several(first_place)
         rows = []
         for i, own in enumerate(ids):
             at = np.arange(offsets[i], offsets[i + 1])
@@ -167,7 +177,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], agree: int, width: int) -> It
                     a = {"start": max(0, int(left[g].min()) - width), "end": int(right[g].max()) + width + 1}
                     b = {"start": max(0, int(first_left[g].min()) - width - SLACK), "end": int(first_right[g].max()) + width + SLACK + 1}
                     # windows of a repeated shingle may begin or end alike
-                    shifts = np.unique(np.concatenate([c[g] - fc[g], left[g] - first_left[g], right[g] - first_right[g]]))
+                    m = g[several[g]]
+                    shifts = np.unique(np.concatenate([c[g] - fc[g], left[m] - first_left[m], right[m] - first_right[m]]))
                     rows.append((own, tags[i], int(first_id[g[0]]), int(first_tag[g[0]]), a, b, shifts))
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), _SPAN, _SPAN, pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
@@ -179,40 +190,60 @@ def _around(place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     Windows merged from several have several centres, so all of them count.
     """
     c, left, right, _ = _unpack(place)
-    return np.maximum(left, c - width + 1), np.where(right - c > REACH, right - width + 1, np.minimum(c, right - width + 1))
+    last = right - width + 1
+    return np.where(_several(place), left, np.maximum(left, c - width + 1)), np.where(_several(place), last, np.minimum(c, last))
 
 
-def _inside(low: np.ndarray, high: np.ndarray, spans: list[dict] | None) -> np.ndarray:
-    """Which intervals (in shingles, ends inclusive) are inside one of the spans."""
-    out = np.zeros(len(low), bool)
-    for x in spans or ():
-        out |= (low >= x["start"]) & (high < x["end"])
-    return out
+class _Spans:
+    """Passages of the texts of a batch, for asking which intervals are inside one of them."""
+
+    def __init__(self, start: np.ndarray, end: np.ndarray) -> None:
+        order = np.argsort(start, kind="stable")
+        self.start, self.end = start[order], np.maximum.accumulate(end[order]) if len(end) else end
+
+    def hold(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Positions count on over all texts; an interval's ends are in one text."""
+        if not len(self.start):
+            return np.zeros(len(low), bool)
+        at = np.searchsorted(self.start, low, "right") - 1
+        return (at >= 0) & (self.end[np.maximum(at, 0)] > high)
+
+
+def _flat(listed: pa.Array, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """start and end of all spans in a column of lists, moved by the base of each row."""
+    inner = listed.flatten()
+    size = np.array(pc.fill_null(pc.list_value_length(listed), 0), np.int64)
+    move = np.repeat(base, size)
+    return tuple(inner.field(k).to_numpy(zero_copy_only=False) + move for k in (0, 1))
+
+
+#: Beyond every position in a text.
+_FAR = np.int64(1 << 40)
 
 
 def _open(batches: Iterator[pa.RecordBatch], agree: int, shingle: int, width: int) -> Iterator[pa.RecordBatch]:
     """Paired windows, as for ``_candidates``, around which not all is inside passages (last column, in words)."""
     for batch in batches:
-        listed = batch.column(2)
-        offsets = listed.offsets.to_numpy()
-        place, h = (listed.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 4))
+        offsets = batch.column(2).offsets.to_numpy()
+        listed = batch.column(2).flatten()
+        place, h = (listed.field(k).to_numpy(zero_copy_only=False) for k in (0, 4))
         _, left, right, function = _unpack(place)
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
         low, high = _around(place, width)
-        kept, owner = [], []
-        for i, spans in enumerate(batch.column(3).to_pylist()):
-            at = np.arange(offsets[i], offsets[i + 1])
-            at = at[_dense(left[at], right[at], function[at], agree)]
-            at = at[(low[at] <= high[at]) & ~_inside(low[at], high[at] + width + shingle - 2, spans)]
-            kept.append(at)
-            owner.append(np.full(len(at), i))
-        kept, rows = np.concatenate([np.zeros(0, np.int64), *kept]), pa.array(np.concatenate([np.zeros(0, np.int64), *owner]))
-        yield pa.RecordBatch.from_arrays([pa.array(h[kept]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[kept])], ["h", "id", "tag", "place"])
+        spans = _Spans(*_flat(batch.column(3), np.arange(batch.num_rows) * _FAR))
+        use = (low <= high) & ~spans.hold(low + owner * _FAR, high + owner * _FAR + width + shingle - 2)
+        bounds = (offsets - offsets[0]).tolist()
+        for i, (a, b) in enumerate(itertools.pairwise(bounds)):
+            if use[a:b].any():
+                use[a:b] &= _dense(left[a:b], right[a:b], function[a:b], agree)
+        rows = pa.array(owner[use])
+        yield pa.RecordBatch.from_arrays([pa.array(h[use]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[use])], ["h", "id", "tag", "place"])
 
 
-def _keys(grams: np.ndarray, h: np.ndarray, place: np.ndarray, wanting: np.ndarray, spans: list[dict] | None, shingle: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, positions (in shingles) and whether they are wanting, of some compact windows of one text.
+def _keys(grams: np.ndarray, h: np.ndarray, place: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys, the windows they are of, and positions in ``grams``, of compact windows in texts at begin to end.
 
-    A key is the hash of a window's shingles, of windows of the first function (an exact repeat has them all in
+    A key is the hash of a passage's shingles, for windows of the first function (an exact repeat has them all in
     common), or of a signature and a least hash of the half before or after its centre.
     """
     n = len(grams)
@@ -220,51 +251,45 @@ def _keys(grams: np.ndarray, h: np.ndarray, place: np.ndarray, wanting: np.ndarr
     up, down = text._POWERS.get(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(grams * up[:n], out=sums[1:])
-    own = function == 0
+    own = np.flatnonzero(function == 0)
     low, high = _around(place[own], width)
     size = np.maximum(high - low + 1, 0)
-    starts = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
-    first = np.unique(np.stack([starts, ~np.repeat(wanting[own], size)]), axis=1)
-    # of equal starts, one that is wanting comes first
-    fresh = np.ones(first.shape[1], bool)
-    fresh[1:] = first[0, 1:] != first[0, :-1]
-    at, wants = first[0, fresh], first[1, fresh] == 0
-    wants &= ~_inside(at, at + width + shingle - 2, spans)
-    out = [(text.mix((sums[at + width] - sums[at]) * down[at]), at, wants)]
+    at = np.repeat(low + begin[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    yield text.mix((sums[at + width] - sums[at]) * down[at]), np.repeat(own, size), at
     half = (width + 1) // 2
     for side, shift in ((1, half - 1), (2, 0)):
-        begin = c - shift
-        use = (begin >= 0) & (begin + half <= n)
-        around = begin[use, None] + np.arange(half)
+        start = c + begin - shift
+        use = np.flatnonzero((start >= begin) & (start + half <= end))
         for k in (1, 2):
-            # the centre itself is in all of them
-            least = text.mix(np.where(around == c[use, None], np.uint64(0), grams[around]) ^ np.uint64((side * 8 + k) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
-            least = np.where(around == c[use, None], np.iinfo(np.uint64).max, least).min(axis=1)
-            out.append((text.mix(least + h[use].view(np.uint64) * np.uint64(2 * k + side * 16 + 1)), c[use], wanting[use]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            values = text.mix(grams ^ np.uint64((side * 8 + k) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+            # the centre itself is in all of them: the least of the others
+            around = start[use, None] + (np.arange(half - 1) + (side == 2))
+            least = values[around].min(axis=1) if len(use) else np.zeros(0, np.uint64)
+            yield text.mix(least + h[use].view(np.uint64) * np.uint64(2 * k + side * 16 + 1)), use, c[use] + begin[use]
 
 
-def _shingles(words: text.Words, shingle: int) -> np.ndarray:
-    """32 bits of each shingle of one text."""
-    return (text.ngrams(words, shingle)[0] >> np.uint64(32)).astype(np.uint32)
+class _Texts:
+    """The shingles (32 bits) of the texts of a slice whose rows are (id, text, ...).
 
+    Rows come in order of their ids, so that a text is taken apart once for all its rows. grams: of all texts, one
+    after the other; begin, end: where those of each row's text are; words: the number of its first word; tags.
+    """
 
-def _grams(batches: Iterator[pa.RecordBatch], shingle: int, tag_at: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray | None]]]:
-    """Batches of (id, text, ...), each with the shingles (32 bits) of its rows' texts; None where the tag is another's.
+    def __init__(self, part: pa.RecordBatch, shingle: int) -> None:
+        ids, values = part.column(0), part.column(1)
+        fresh = np.ones(part.num_rows, bool)
+        if part.num_rows > 1:
+            same = pc.and_(pc.equal(ids.slice(1), ids.slice(0, part.num_rows - 1)), pc.equal(values.slice(1), values.slice(0, part.num_rows - 1)))
+            fresh[1:] = ~same.to_numpy(zero_copy_only=False)
+        words = text.Words(values.filter(pa.array(fresh)))
+        grams, at = text.ngrams(words, shingle)
+        self.grams = (grams >> np.uint64(32)).astype(np.uint32)
+        row = np.cumsum(fresh) - 1
+        self.begin, self.end, self.words = at[row], at[row + 1], words.first[row]
+        self.tags = np.array([_tag(words, d) for d in range(int(fresh.sum()))], np.int32)[row]
 
-    Rows come in order of their ids, so that a text is taken apart once for all its rows.
-    """
-    last, grams, tag = None, None, None
-    for part in text.slices(batches):
-        out: list[np.ndarray | None] = []
-        ids, values, tags = part.column(0).to_pylist(), part.column(1), part.column(tag_at).to_pylist()
-        for i, own in enumerate(ids):
-            key = (own, values[i].as_py())
-            if key != last:
-                words = text.Words(values.slice(i, 1))
-                last, grams, tag = key, _shingles(words, shingle), _tag(words, 0)
-            out.append(grams if tag == tags[i] else None)
-        yield part, out
+    def row(self, i: int) -> np.ndarray:
+        return self.grams[self.begin[i] : self.end[i]]
 
 
 def matched_spans(a: np.ndarray, b: np.ndarray, shifts: list[int], width: int, similarity: float = SIMILARITY) -> list[tuple[int, int, int, float]]:
@@ -279,10 +304,13 @@ def matched_spans(a: np.ndarray, b: np.ndarray, shifts: list[int], width: int, s
         return []
     for center in shifts:
         equal = np.zeros(len(a), bool)
-        for shift in range(center - SLACK, center + SLACK + 1):
+        # the shift itself first: nothing can be added where all is equal
+        for shift in sorted(range(center - SLACK, center + SLACK + 1), key=lambda x: abs(x - center)):
             low, high = max(0, shift), min(len(a), len(b) + shift)
             if low < high:
                 equal[low:high] |= a[low:high] == b[low - shift : high - shift]
+            if equal.all():
+                break
         sums = np.concatenate([[0], np.cumsum(equal)])
         starts = np.flatnonzero(sums[width:] - sums[:-width] >= need)
         mark = np.zeros(len(a) + 1, np.int64)
@@ -347,16 +375,23 @@ def passages(
     texts = source.join(others.select("id").distinct(), "id", "left_semi").join(others, "id").select("id", "text", "tag", "w", "spans")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, grams in _grams(batches, shingle, 2):
-            spans_of = part.column(4).to_pylist()
-            for i, own in enumerate(grams):
-                if own is None:
-                    continue
-                listed = part.column(3).slice(i, 1).flatten()
-                h, place, wants = (listed.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                key, at, want = _keys(own.astype(np.uint64), h, place, wants, spans_of[i], shingle, width)
-                columns = [pa.array(key.view(np.int64)), pa.repeat(part.column(0)[i], len(key)), pa.repeat(part.column(2)[i], len(key)), pa.array(at, pa.int32()), pa.array(want)]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "id", "tag", "at", "wanting"])
+        for part in text.slices(batches):
+            own = _Texts(part, shingle)
+            size = np.array(pc.list_value_length(part.column(3)), np.int64)
+            row = np.repeat(np.arange(part.num_rows), size)
+            listed = part.column(3).flatten()
+            h, place, wants = (listed.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            # texts of one id: the tag decides
+            use = own.tags[row] == part.column(2).to_numpy()[row]
+            h, place, wants, row = h[use], place[use], wants[use], row[use]
+            spans = _Spans(*_flat(part.column(4), np.arange(part.num_rows) * _FAR))
+            for k, (key, of, at) in enumerate(_keys(own.grams.astype(np.uint64), h, place, own.begin[row], own.end[row], width)):
+                where = at - own.begin[row[of]]
+                want = wants[of]
+                if not k:
+                    want &= ~spans.hold(where + row[of] * _FAR, where + row[of] * _FAR + width + shingle - 2)
+                rows = pa.array(row[of])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(rows), part.column(2).take(rows), pa.array(where, pa.int32()), pa.array(want)], ["key", "id", "tag", "at", "wanting"])
 
     keys, keys_path = store.kept(texts.mapInArrow(keyed, "key long, id long, tag int, at int, wanting boolean"), "keys")
     store.delete(spark, others_path)
@@ -390,13 +425,21 @@ def _verified(source: DataFrame, pairs: DataFrame, shingle: int, width: int, sim
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text.slices(batches):
-            for i, own in enumerate(part.column(0).to_pylist()):
-                words = text.Words(part.column(1).slice(i, 1))
-                grams, tag = _shingles(words, shingle), _tag(words, 0)
-                asking = part.column(2).slice(i, 1).flatten()
-                asking = pa.RecordBatch.from_struct_array(asking.filter(pa.array(asking.field(2).to_numpy(zero_copy_only=False) == tag)))
-                y = [grams[low:high].tobytes() for low, high in zip(asking.column(5).to_pylist(), asking.column(6).to_pylist(), strict=True)]
-                columns = [*(asking.column(k) for k in (0, 1)), pa.repeat(pa.scalar(own, pa.int64()), len(y)), *(asking.column(k) for k in (3, 4, 5, 7)), pa.array(y, pa.binary())]
+            own = _Texts(part, shingle)
+            size = np.array(pc.list_value_length(part.column(2)), np.int64)
+            row = np.repeat(np.arange(part.num_rows), size)
+            asking = pa.RecordBatch.from_struct_array(part.column(2).flatten())
+            use = asking.column(2).to_numpy() == own.tags[row]
+            asking, row = asking.filter(pa.array(use)), row[use]
+            length = (own.end - own.begin)[row]
+            low, high = (np.minimum(asking.column(k).to_numpy(), length) for k in (5, 6))
+            begin, size = own.begin[row] + low, np.maximum(high - low, 0)
+            for some in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) // SENT)) + 1):
+                ends = np.concatenate([[0], np.cumsum(size[some])])
+                y = own.grams[np.repeat(begin[some] - ends[:-1], size[some]) + np.arange(ends[-1])]
+                y = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(4 * ends), pa.py_buffer(y)]).cast(pa.binary())
+                picked = pa.array(some)
+                columns = [*(asking.column(k).take(picked) for k in (0, 1)), part.column(0).take(pa.array(row[some])), *(asking.column(k).take(picked) for k in (3, 4, 5, 7)), y]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "tag", "first_id", "at", "to", "there", "shifts", "y"])
 
     regions = ahead.mapInArrow(cut, "id long, tag int, first_id long, at int, to int, there int, shifts array<int>, y binary")
@@ -404,14 +447,14 @@ def _verified(source: DataFrame, pairs: DataFrame, shingle: int, width: int, sim
     names = ["id", "tag", "start", "end", "first_id", "first_start", "similarity"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, grams in _grams(batches, shingle, 2):
+        for part in text.slices(batches):
+            texts = _Texts(part, shingle)
             rows = []
             ids, tags, firsts, at, to, there, shifts, ys = (part.column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6, 7, 8))
-            for i, own in enumerate(grams):
-                if own is not None:
-                    moved = [s - at[i] + there[i] for s in shifts[i]]
-                    for low, high, place, share in matched_spans(own[at[i] : to[i]], np.frombuffer(ys[i], np.uint32), moved, width, similarity):
-                        rows.append((ids[i], tags[i], at[i] + low, at[i] + high + shingle - 1, firsts[i], there[i] + place, share))
+            for i in np.flatnonzero(texts.tags == part.column(2).to_numpy()).tolist():
+                moved = [s - at[i] + there[i] for s in shifts[i]]
+                for low, high, place, share in matched_spans(texts.row(i)[at[i] : to[i]], np.frombuffer(ys[i], np.uint32), moved, width, similarity):
+                    rows.append((ids[i], tags[i], at[i] + low, at[i] + high + shingle - 1, firsts[i], there[i] + place, share))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
