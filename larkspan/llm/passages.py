@@ -78,17 +78,20 @@ def compact_windows(hashes: np.ndarray, first: np.ndarray, width: int, reach: in
     begin, end = first[of - 1], first[of]
     # equal elements on the left are smaller, on the right greater: compare value, then position
     value = packed >> np.uint64(24)
+    # least values of 1, 2, 4 ... elements in a row: a side grows by the greatest power of two that it can
+    table = [value]
+    while 2 << len(table) - 1 <= reach and len(table[-1]) > 1 << len(table) - 1:
+        table.append(np.minimum(table[-1][: -(1 << len(table) - 1)], table[-1][1 << len(table) - 1 :]))
     left, right = c.copy(), c.copy()
-    for side, step, edge in ((left, -1, begin), (right, 1, end - 1)):
-        alive = np.arange(len(c))
-        for _ in range(reach):
-            alive = alive[side[alive] != edge[alive]]
-            there = side[alive] + step
-            mine = value[c[alive]]
-            alive = alive[value[there] > mine if step < 0 else value[there] >= mine]
-            if not len(alive):
-                break
-            side[alive] += step
+    mine = value[c]
+    for k in reversed(range(len(table))):
+        step = 1 << k
+        able = np.flatnonzero((left - step >= begin) & (c - left + step <= reach))
+        able = able[table[k][left[able] - step] > mine[able]]
+        left[able] -= step
+        able = np.flatnonzero((right + step < end) & (right - c + step <= reach))
+        able = able[table[k][right[able] + 1] >= mine[able]]
+        right[able] += step
     return c, left, right
 
 
@@ -260,12 +263,11 @@ def _keys(grams: np.ndarray, h: np.ndarray, place: np.ndarray, begin: np.ndarray
     for side, shift in ((1, half - 1), (2, 0)):
         start = c + begin - shift
         use = np.flatnonzero((start >= begin) & (start + half <= end))
-        for k in (1, 2):
-            values = text.mix(grams ^ np.uint64((side * 8 + k) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
-            # the centre itself is in all of them: the least of the others
-            around = start[use, None] + (np.arange(half - 1) + (side == 2))
-            least = values[around].min(axis=1) if len(use) else np.zeros(0, np.uint64)
-            yield text.mix(least + h[use].view(np.uint64) * np.uint64(2 * k + side * 16 + 1)), use, c[use] + begin[use]
+        values = text.mix(grams ^ np.uint64(side * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+        # the centre itself is in all of them: the least of the others
+        around = start[use, None] + (np.arange(half - 1) + (side == 2))
+        least = values[around].min(axis=1) if len(use) else np.zeros(0, np.uint64)
+        yield text.mix(least + h[use].view(np.uint64) * np.uint64(side * 16 + 1)), use, c[use] + begin[use]
 
 
 class _Texts:
@@ -415,9 +417,9 @@ def _verified(source: DataFrame, pairs: DataFrame, shingle: int, width: int, sim
 
     The earlier document's part is cut out first. One copy of its text serves some ``ASKED`` pairs, however many ask.
     """
-    asked = pairs.groupBy("first_id").agg(F.ceil(F.count("*") / F.lit(ASKED)).cast("int").alias("parts"))
+    asked = pairs.groupBy("first_id").agg(F.ceil(F.count("*") / F.lit(ASKED)).cast("int").alias("parts")).where("parts > 1")
     request = F.struct("id", "tag", "first_tag", F.col("a.start").alias("at"), F.col("a.end").alias("to"), F.col("b.start").alias("there"), F.col("b.end").alias("until"), "shifts")
-    dealt_out = pairs.join(asked, "first_id").withColumn("part", F.pmod(F.xxhash64("id", "tag"), F.col("parts")))
+    dealt_out = pairs.join(asked, "first_id", "left").withColumn("part", F.pmod(F.xxhash64("id", "tag"), F.coalesce("parts", F.lit(1))))
     requests = dealt_out.groupBy("first_id", "part").agg(F.collect_list(request).alias("requests"))
     # texts are dealt out by id once, for both joins
     dealt = source.hint("merge")
