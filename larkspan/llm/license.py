@@ -1,18 +1,20 @@
-"""Licence scans: sparse TF-IDF cosine of notices and licence files to templates, and inheritance by directory.
+"""Licence scans: sparse TF-IDF cosine of headers and licence files to templates, and inheritance by directory.
 
-A file is compared line by line (headers, notices) and, if it is short, as a whole (licence files); its licence
-is the template of greatest cosine, at least ``COSINE``. A file without a licence of its own inherits that of
-the nearest ancestor directory which declares one; a directory declares the licence of the licence files in it
-(by name), or of the index file when it has none.
+A file is compared line by line (one-line notices), paragraph by paragraph (wrapped headers: consecutive lines
+that are not blank) and as a whole (licence files), whatever its length; its licence is the template of greatest
+cosine, at least ``COSINE``. Templates are notices and whole licence texts. A file without a licence of its own
+inherits that of the nearest ancestor directory which declares one; a directory declares the licence of the licence
+files in it (by name), or of the index file when it has none.
 
-Everything is DataFrame functions. Terms and weights of the few templates are an inline table. A line
-is looked at only if it has one of the key terms: by the Cauchy-Schwarz inequality a line without any can't reach
-the threshold with any template, so nothing is lost. Equal lines are compared once, however many files have them. Terms that no template has count in a line's length with
-the weight of a term unseen.
+Everything is DataFrame functions. Terms and weights of the few templates are an inline table. A unit
+is looked at only if it has one of the key terms: by the Cauchy-Schwarz inequality a unit without any can't reach
+the threshold with any template, so nothing is lost. Equal units are compared once, however many files have them.
+Terms that no template has count in a unit's length with the weight of a term unseen.
 
 Defined results: null texts and empty ones have no notice; null paths are in no directory and inherit nothing; of
-equal cosines the first template by name wins; repeated rows are each reported; an empty table gives an
-empty result.
+equal cosines the first template by name wins, and of licence files in one directory the first path; very long
+texts are compared whole; repeated rows are each reported; ids are of any type; columns other than id, path and text
+are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,22 +30,72 @@ from larkspan.llm import store
 
 #: Least cosine of a match.
 COSINE = 0.6
-#: Terms up to which a whole text is compared as a licence file.
-FILE_TERMS = 400
 #: File names, without extension and in lower case, that make a file a licence file; and index files.
 LICENSE_FILES = ("license", "licence", "copying", "copyright", "notice", "unlicense")
 INDEX_FILES = ("", "index", "readme")
 
-#: Identifiers and the notices that licence texts ask for, in short.
+#: Whole licence texts, as their authors published them.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD_1_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+SOFTWARE."""
+_APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS
+IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+language governing permissions and limitations under the License."""
+_GPL_HEADER = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty
+of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see
+<https://www.gnu.org/licenses/>."""
+_MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+#: Identifiers, and the notices that licence texts ask for, in short and in full.
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        _APACHE_HEADER,
         "SPDX-License-Identifier: Apache-2.0",
     ],
+    "BSD-2-Clause": [f"{_BSD_1_2}\n{_BSD_END}", "SPDX-License-Identifier: BSD-2-Clause"],
     "BSD-3-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        f"{_BSD_1_2}\n{_BSD_3}\n{_BSD_END}",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
@@ -51,19 +103,24 @@ TEMPLATES = {
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+        _GPL_HEADER,
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
+    "ISC": [_ISC, "SPDX-License-Identifier: ISC"],
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        _MIT,
         "SPDX-License-Identifier: MIT",
     ],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", _MPL_HEADER, "SPDX-License-Identifier: MPL-2.0"],
 }
 
 #: English function words, which are no terms.
 FUNCTION_WORDS = ("a an and any are as at be by can for form found in is it may not of on or that the this to use with you").split()
 
+#: Between paragraphs: a blank line or more.
+PARAGRAPH = r"\n[ \t\r]*\n\s*"
 #: A word or a version number.
 _TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 
@@ -128,14 +185,14 @@ def page_files(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     return pages.select(F.col(id_col).alias("id"), F.nullif(F.lower(path), F.lit("")).alias("path"), lines.alias("text"))
 
 
-def own(files: DataFrame, *, cosine: float = COSINE, file_terms: int = FILE_TERMS, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
+def own(files: DataFrame, *, cosine: float = COSINE, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """id, path, and the licence that each file declares itself, with its cosine."""
     vectors = Vectors(templates)
     keys = vectors.keys(cosine)
     keyed = "(?<![a-z0-9])(" + "|".join(map(re.escape, keys)) + ")(?![a-z0-9])"
-    lines = F.transform(F.filter(F.split("low", "\n", -1), lambda x: x.rlike(keyed)), lambda x: F.struct(x.alias("unit"), _terms(x).alias("terms")))
     view = files.select("id", "path", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    whole = F.filter(F.array(F.struct(F.col("low").alias("unit"), _terms(F.col("low")).alias("terms"))), lambda u: F.size(u["terms"]) <= file_terms)
+    texts = F.concat(F.split("low", "\n", -1), F.split("low", PARAGRAPH, -1), F.array("low"))
+    units = F.transform(F.array_distinct(F.filter(texts, lambda x: x.rlike(keyed))), lambda x: F.struct(x.alias("unit"), _terms(x).alias("terms")))
     # the same inequality for the terms that a unit shares with each notice, first without the unit's other terms, then with
     shares = F.array(*(F.array(*(F.struct(F.lit(t).alias("t"), F.lit(x * x).alias("x"), F.lit(vectors.idf[t] ** 2).alias("w")) for t, x in v.items())) for _, v in vectors.notices))
     known = F.array(*map(F.lit, sorted(vectors.idf)))
@@ -155,9 +212,8 @@ def own(files: DataFrame, *, cosine: float = COSINE, file_terms: int = FILE_TERM
         return F.exists(shares, lambda n: F.aggregate(n, start, add, lambda a: a["x"] * a["s"] >= wanted * (a["s"] + others)))
 
     # a text without a key term has no unit
-    left = F.transform(F.filter(F.filter(F.concat(lines, whole), able), near), lambda u: u["unit"])
-    units = F.when(F.col("low").rlike(keyed), F.array_distinct(left))
-    held = store.written(view.select(F.monotonically_increasing_id().alias("row"), "id", "path", units.alias("units")), "files")
+    left = F.transform(F.filter(F.filter(units, able), near), lambda u: u["unit"])
+    held = store.written(view.select(F.monotonically_increasing_id().alias("row"), "id", "path", F.when(F.col("low").rlike(keyed), left).alias("units")), "files")
     each = held.select("row", F.explode("units").alias("unit"))
     best = each.join(match(each.select("unit"), vectors, cosine), "unit").groupBy("row").agg(F.min("best").alias("best"))
     return held.join(best, "row", "left").select("id", "path", F.col("best.name").alias("license"), F.round(-F.col("best.negative"), 6).alias("cosine"))

@@ -109,13 +109,13 @@ f AS (
       '(?i)</?(p|div|h[1-6]|li|ul|ol|br|article|nav|footer|header|title|td|tr|table|section|body|head|html)\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>|&[#A-Za-z0-9]+;', ' ', 'g')) AS low
   FROM pages),
 units AS (
-  SELECT id, i, list_filter(regexp_extract_all(string_split(low, chr(10))[i], '{license._TERM}'), lambda x: x NOT IN ({none})) AS terms FROM f, unnest(range(1, len(string_split(low, chr(10))) + 1)) AS r(i)
-  UNION ALL SELECT * FROM (SELECT id, 0, list_filter(regexp_extract_all(low, '{license._TERM}'), lambda x: x NOT IN ({none})) AS terms FROM f) WHERE len(terms) <= {license.FILE_TERMS}),
-tf AS (SELECT id, i, t, count(*) AS n FROM (SELECT id, i, unnest(terms) AS t FROM units) GROUP BY ALL),
-w AS (SELECT id, i, t, n * coalesce(idf.w, CAST({vectors.unseen!r} AS DOUBLE)) AS w FROM tf LEFT JOIN idf USING (t)),
-len AS (SELECT id, i, sqrt(sum(w * w)) AS length FROM w GROUP BY ALL),
-dot AS (SELECT id, i, notice, name, sum(w * x) AS d FROM w JOIN v USING (t) GROUP BY ALL),
-c AS (SELECT id, name, round(max(d / length), 9) AS cosine FROM dot JOIN len USING (id, i) GROUP BY ALL),
+  SELECT id, unit, list_filter(regexp_extract_all(unit, '{license._TERM}'), lambda x: x NOT IN ({none})) AS terms
+  FROM (SELECT DISTINCT id, unnest(list_concat(string_split(low, chr(10)), regexp_split_to_array(low, '{license.PARAGRAPH}'), [low])) AS unit FROM f)),
+tf AS (SELECT id, unit, t, count(*) AS n FROM (SELECT id, unit, unnest(terms) AS t FROM units) GROUP BY ALL),
+w AS (SELECT id, unit, t, n * coalesce(idf.w, CAST({vectors.unseen!r} AS DOUBLE)) AS w FROM tf LEFT JOIN idf USING (t)),
+len AS (SELECT id, unit, sqrt(sum(w * w)) AS length FROM w GROUP BY ALL),
+dot AS (SELECT id, unit, notice, name, sum(w * x) AS d FROM w JOIN v USING (t) GROUP BY ALL),
+c AS (SELECT id, name, round(max(d / length), 9) AS cosine FROM dot JOIN len USING (id, unit) GROUP BY ALL),
 best AS (SELECT id, name, cosine FROM c WHERE cosine >= {license.COSINE} QUALIFY row_number() OVER (PARTITION BY id ORDER BY cosine DESC, name) = 1),
 own AS (SELECT f.id, path, name AS license, round(cosine, 6) AS cosine FROM f LEFT JOIN best USING (id)),
 named AS (

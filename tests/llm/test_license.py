@@ -50,7 +50,7 @@ def test_own_and_inherited(spark):
 
 
 def test_filter_loses_nothing(spark):
-    notices = [n for group in license.TEMPLATES.values() for n in group]
+    notices = [n.replace("\n", " ") for group in license.TEMPLATES.values() for n in group]
     texts = [f"{n[: len(n) * k // 4]} words of other kinds {'and more ' * j}" for n in notices for k in (2, 3, 4) for j in (0, 3)]
     files = spark.createDataFrame([(i, f"r{i}/f", t) for i, t in enumerate(texts)], "id long, path string, text string")
     got = {r.id: r for r in license.own(files).collect()}
@@ -62,6 +62,25 @@ def test_filter_loses_nothing(spark):
             assert got[i].license is None
 
 
+def test_licence_files_of_any_length_and_wrapped_headers(spark):
+    import textwrap
+
+    mit = license.TEMPLATES["MIT"][2]
+    apache = "\n".join("# " + x for x in textwrap.wrap(license.TEMPLATES["Apache-2.0"][2], 50))
+    notice = "\n".join(textwrap.wrap(license.TEMPLATES["CC-BY-NC-4.0"][1], 40))
+    code = "\n".join(f"value{i} = {i}" for i in range(900))
+    files = {
+        1: ("r/license", "Copyright 2020 Nobody\n\n" + "\n".join(textwrap.wrap(mit, 30))),
+        2: ("r/copying", "\n".join([mit] * 40)),
+        3: ("s/a.py", f"{apache}\n\n{code}"),
+        4: ("s/b.html", f"{code}\n\n{notice}\n\n{code}"),
+        5: ("s/c.py", code),
+        6: ("t/license", "\n".join(license.TEMPLATES["BSD-3-Clause"][2].split(" "))),
+    }
+    got = {r.id: r.license for r in license.own(spark.createDataFrame([(i, *x) for i, x in files.items()], "id long, path string, text string")).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "Apache-2.0", 4: "CC-BY-NC-4.0", 5: None, 6: "BSD-3-Clause"}
+
+
 def test_main_path_has_no_python(spark):
     files = spark.createDataFrame(FILES, "id long, path string, text string")
     plan = license.scan(files)._jdf.queryExecution().executedPlan().toString()
