@@ -6,13 +6,15 @@ windows; a larger benchmark goes in blocks of that size, each a scan of its own,
 joined per document. A hash hit counts only after its words were compared.
 
 Defined results: a null or empty text, and a text without words, has 0 words and no hit; a null or
-wordless item has no windows; items with the same id count as one; repeated document rows are each
-reported; documents and items of empty tables give an empty result or no hits. Columns besides the
-id and text are kept by ``remove`` and ignored by ``scan``.
+wordless item has no windows; an item without an id hits, but is not listed; items with the same id count as one;
+repeated document rows are each reported; every window counts, so that there are no ties; very long texts are scanned
+whole, each in a slice of its own; documents and items of empty tables give an empty result or no hits. Columns
+besides the id and text, whatever their names, are kept by ``remove`` and ignored by ``scan``.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -35,8 +37,8 @@ SCHEMA = f"n_words long, n_hit long, n_items long, items_sha256 string, contamin
 class Windows:
     """Windows of benchmark items by length and hash, with their words and item ids."""
 
-    def __init__(self, rows: list[tuple[str, str]], n: int) -> None:
-        self.by_length: dict[int, dict[int, dict[bytes, set[str]]]] = {}
+    def __init__(self, rows: list[tuple[str | None, str]], n: int) -> None:
+        self.by_length: dict[int, dict[int, dict[bytes, set[str | None]]]] = {}
         for item, words in rows:
             parts = text.Words(pa.array([words]))
             total = int(parts.counts()[0])
@@ -71,6 +73,20 @@ class Windows:
                     yield i, m, items
 
 
+class _Block:
+    """Items of one broadcast set; the windows are built once in each worker."""
+
+    def __init__(self, rows: list[tuple[str | None, str]], n: int) -> None:
+        self.rows, self.n = rows, n
+
+    def __reduce__(self):
+        return _Block, (self.rows, self.n)
+
+    @functools.cached_property
+    def windows(self) -> Windows:
+        return Windows(self.rows, self.n)
+
+
 def _runs(covered: np.ndarray) -> list[dict[str, int]]:
     edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
     return [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)]
@@ -96,7 +112,7 @@ def _report(words: text.Words, windows: Windows) -> tuple[np.ndarray, list[list[
         own = covered[words.first[d] : words.first[d + 1]]
         n_hit[d] = own.sum()
         spans[d] = _runs(own)
-    return n_hit, [sorted(items.get(d, ())) for d in range(len(counts))], spans
+    return n_hit, [sorted(x for x in items.get(d, ()) if x is not None) for d in range(len(counts))], spans
 
 
 def _columns(n_words: np.ndarray, n_hit: np.ndarray, items: list[list[str]], spans: list) -> list[pa.Array]:
@@ -115,10 +131,10 @@ def _columns(n_words: np.ndarray, n_hit: np.ndarray, items: list[list[str]], spa
 _NAMES = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block: int) -> list[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block: int) -> list[list[tuple[str | None, str]]]:
     """The items in blocks of at most ``block`` windows (a single longer item is a block)."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
-    out: list[list[tuple[str, str]]] = [[]]
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
+    out: list[list[tuple[str | None, str]]] = [[]]
     held = 0
     for row in items.toLocalIterator(prefetchPartitions=False):
         size = max(1, int(text.Words(pa.array([row.t])).counts()[0]) - n + 1)
@@ -150,7 +166,7 @@ def scan(
     schema = f"`{id_field.name}` {id_field.dataType.simpleString()}, {SCHEMA}"
     if len(blocks) == 1:
         return source.mapInArrow(_scanner(spark, blocks[0], n, id_field.name), schema)
-    row = "__row"
+    (row,) = store.fresh(source, "row")
     numbered = store.written(source.select(F.monotonically_increasing_id().alias(row), "*"), "scan-documents")
     parts = [numbered.mapInArrow(_scanner(spark, b, n, id_field.name, skip=1), f"{row} long, {schema}") for b in blocks]
     found = parts[0]
@@ -182,17 +198,17 @@ def scan(
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        (F.size("items") > 0).alias("contaminated"),
+        (F.size("spans") > 0).alias("contaminated"),
         "items",
         "spans",
     )
 
 
 def _scanner(spark, rows: list[tuple[str, str]], n: int, id_name: str, skip: int = 0):
-    shared = spark.sparkContext.broadcast(rows)
+    shared = spark.sparkContext.broadcast(_Block(rows, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(shared.value, n)
+        windows = shared.value.windows
         for part in text.slices(batches, skip + 1):
             words = text.Words(part.column(skip + 1))
             n_hit, items, spans = _report(words, windows)
@@ -228,10 +244,10 @@ def remove(
 
 
 def _remover(spark, rows: list[tuple[str, str]], n: int, at: int, what: str):
-    shared = spark.sparkContext.broadcast(rows)
+    shared = spark.sparkContext.broadcast(_Block(rows, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(shared.value, n)
+        windows = shared.value.windows
         for part in text.slices(batches, at):
             words = text.Words(part.column(at))
             n_hit, _, spans = _report(words, windows)

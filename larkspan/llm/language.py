@@ -14,8 +14,9 @@ Evidence that is null is left out. A document is accepted if its best language h
 of the posterior and, where a set of languages is asked for, is one of them.
 
 Defined results: null and empty texts rest on the other evidence; without any declared language at all
-every language is null and every document is accepted; repeated rows are each reported; an empty table
-gives an empty result.
+every language is null and every document is accepted; of equal posteriors the first language by name wins, and of
+equal likelihoods the text says none; very long texts are read whole, each in a slice of its own; repeated rows are each
+reported; ids are of any type; other columns, whatever their names, are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -277,9 +278,10 @@ def keep_accepted(
     facts = evidence(docs, id_col=id_col, text_col=text_col, declared=declared, host=host)
     model, tables, priors, small = _prepared(facts, fit_rows, hosts)
     named = {"declared": F.lit(None).cast("string") if declared is None else primary(F.col(declared)), "suffix": F.lit(None).cast("string"), "host": F.lit(None).cast("string") if host is None else F.nullif(F.lower(F.col(host)), F.lit(""))}
-    seen = docs.select("*", *(v.alias(f"__{k}") for k, v in named.items()))
-    priors = priors.select(F.col("host").alias("__host"), F.col("prior").alias("__prior"))
-    joined = seen.join(F.broadcast(priors) if small else priors, "__host", "left").select(*(seen[c] for c in docs.columns), "__declared", "__suffix", "__prior")
+    names = dict(zip((*named, "prior"), store.fresh(docs, *named, "prior"), strict=True))
+    seen = docs.select("*", *(v.alias(names[k]) for k, v in named.items()))
+    priors = priors.select(F.col("host").alias(names["host"]), F.col("prior").alias(names["prior"]))
+    joined = seen.join(F.broadcast(priors) if small else priors, names["host"], "left").select(*docs.columns, *(names[k] for k in ("declared", "suffix", "prior")))
     shared = spark.sparkContext.broadcast((model, tables))
     wanted, width, at = None if accept is None else frozenset(accept), len(docs.columns), docs.columns.index(text_col)
 

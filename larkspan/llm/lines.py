@@ -7,8 +7,9 @@ not counted. The first occurrences are found by a pre-aggregated group-by and jo
 window shared by a third of all rows is neither gathered nor paired.
 
 Defined results: null texts stay null, and with empty texts and those of fewer than three lines have
-nothing removed; null ids order last; rows equal in id and text are one occurrence (both keep it);
-an empty table gives an empty result; other columns are kept as they are.
+nothing removed; null ids order last, ids that are not integers by their text; rows equal in id and text are one
+occurrence (both keep it), and so there are no ties; very long texts are cut whole, each in a slice of its own;
+an empty table gives an empty result; other columns, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 from larkspan.llm import store, text
 
@@ -28,9 +30,12 @@ WINDOW = 3
 _ID, _HASH, _POS = "__id", "__hash", "__pos"
 
 
-def _key(id_col: str, text_col: str) -> list[Column]:
-    """The order of documents: the id (null last), then a hash of the text."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias(_ID), F.xxhash64(F.col(text_col)).alias(_HASH)]
+def _key(kind: DataType, id_col: str, text_col: str) -> list[Column]:
+    """The order of documents: the id (null last; ids that are not integers by their text), then a hash of the text."""
+    own = F.col(id_col)
+    whole = isinstance(kind, IntegralType)
+    order = F.coalesce(own.cast("long"), F.lit((1 << 63) - 1)) if whole else F.coalesce(F.concat(F.lit("0"), own.cast("string")), F.lit("1"))
+    return [order.alias(_ID), F.xxhash64(F.col(text_col)).alias(_HASH)]
 
 
 def windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -50,7 +55,7 @@ def windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             F.struct(i.alias(_POS), part(i, "a").alias("a"), part(i, "b").alias("b")),
         ),
     )
-    each = docs.select(*_key(id_col, text_col), hashed.alias("__lines")).where(F.size("__lines") >= window)
+    each = docs.select(*_key(docs.schema[id_col].dataType, id_col, text_col), hashed.alias("__lines")).where(F.size("__lines") >= window)
     return each.select(_ID, _HASH, F.explode(made).alias("w")).where("w is not null").select(_ID, _HASH, "w.*")
 
 
@@ -65,8 +70,10 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     found = repeated(docs, id_col=id_col, text_col=text_col, window=window)
-    keys = _key(id_col, text_col)
-    return docs.select("*", *keys).join(found, [_ID, _HASH], "left").select(*(docs[c] for c in docs.columns), "__later")
+    names = store.fresh(docs, "id", "hash", "later")
+    keys = [key.alias(name) for key, name in zip(_key(docs.schema[id_col].dataType, id_col, text_col), names, strict=False)]
+    found = found.withColumnsRenamed(dict(zip((_ID, _HASH, "__later"), names, strict=True)))
+    return docs.select("*", *keys).join(found, names[:2], "left").select(*docs.columns, names[2])
 
 
 def _covered(later: list[int] | None, n: int, window: int) -> np.ndarray:

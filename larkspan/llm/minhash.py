@@ -18,8 +18,9 @@ Weights are 1 unless ``weights="count"`` makes them the shingles' multiplicity;
 weighted likewise.
 
 Defined results: null, empty and wordless texts are classes of their own; a text of fewer than five words has one
-shingle, all its words; the class id is the least id of the class (null only if all are null); repeated rows are
-in one class, of which one row stays; an empty table gives an empty result.
+shingle, all its words; the class id is the least id of the class (null only if all are null); of equal ids the row
+read first stays; repeated rows are in one class, of which one row stays; very long texts are taken whole, each in a
+slice of its own; ids are of any type; other columns, whatever their names, are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -314,26 +315,27 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", br
     """``docs`` with one row of each class: that of the least id."""
     spark = docs.sparkSession
     store.bounded_batches(spark)
-    keys = ["__kid", "__ka", "__kb"]
+    keys = store.fresh(docs, "kid", "ka", "kb")
     found = store.written(classes(docs, id_col=id_col, text_col=text_col, broadcast=broadcast, **options), "stays").where("da is not null")
     rows = found.select(*(F.col(c).alias(k) for c, k in zip(("id", "da", "db"), keys, strict=True)), "stays")
     stay, gone = rows.where("stays").select(*keys), rows.where("not stays").select(*keys)
     # a row that goes has another id or other words than the one that stays, unless a row is repeated
     dropped, repeated = store.written(gone.subtract(stay), "dropped"), store.written(gone.intersect(stay), "repeated")
     at = docs.columns.index(text_col)
+    da, db = store.fresh(docs, "da", "db")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text.slices(batches, at):
-            yield pa.RecordBatch.from_arrays([*part.columns, *_digests(text.Words(part.column(at)))], [*part.schema.names, "__da", "__db"])
+            yield pa.RecordBatch.from_arrays([*part.columns, *_digests(text.Words(part.column(at)))], [*part.schema.names, da, db])
 
-    marked = docs.mapInArrow(mark, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__da long", "__db long"]))
+    marked = docs.mapInArrow(mark, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"{da} long", f"{db} long"]))
 
     def same(side: DataFrame):
-        return marked[id_col].eqNullSafe(side["__kid"]) & (marked["__da"] == side["__ka"]) & (marked["__db"] == side["__kb"])
+        return marked[id_col].eqNullSafe(side[keys[0]]) & (marked[da] == side[keys[1]]) & (marked[db] == side[keys[2]])
 
     small = dropped.count() <= broadcast
     out = marked.join(F.broadcast(dropped) if small else dropped, same(dropped), "left_anti")
     if repeated.isEmpty():
         return out.select(*docs.columns)
-    once = out.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, "__da", "__db"])
+    once = out.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, da, db])
     return out.join(repeated, same(repeated), "left_anti").unionByName(once).select(*docs.columns)

@@ -30,7 +30,7 @@ def brute(docs, items, n=10):
         w = words_of(x)
         hit, found = set(), set()
         for item, y in items:
-            if item is None or y is None:
+            if y is None:
                 continue
             v = words_of(y)
             m = min(n, len(v))
@@ -38,7 +38,7 @@ def brute(docs, items, n=10):
                 for p in range(len(w) - m + 1):
                     if w[p : p + m] == v[k : k + m]:
                         hit |= set(range(p, p + m))
-                        found.add(str(item))
+                        found |= {str(item)} - {"None"}
         out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=str)
 
