@@ -7,8 +7,8 @@ inherits that of the nearest ancestor directory which declares one; a directory
 files in it (by name), or of the index file when it has none.
 
 Everything is DataFrame functions. Terms and weights of the few templates are an inline table. A unit
-is looked at only if it has one of the key terms: by the Cauchy-Schwarz inequality a unit without any can't reach
-the threshold with any template, so nothing is lost. Equal units are compared once, however many files have them.
+is looked at only if it has one of the key terms of short notices, or as many terms of long ones as any of them
+takes: by the Cauchy-Schwarz inequality no other unit can reach the threshold with any template, so nothing is lost. Equal units are compared once, however many files have them.
 Terms that no template has count in a unit's length with the weight of a term unseen.
 
 Defined results: null texts and empty ones have no notice; null paths are in no directory and inherit nothing; of
@@ -19,6 +19,7 @@ are not read, whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -30,6 +31,8 @@ from larkspan.llm import store
 
 #: Least cosine of a match.
 COSINE = 0.6
+#: Terms of a notice that counts as long, at least; the key terms of the other notices are looked for one by one.
+LONG = 20
 #: File names, without extension and in lower case, that make a file a licence file; and index files.
 LICENSE_FILES = ("license", "licence", "copying", "copyright", "notice", "unlicense")
 INDEX_FILES = ("", "index", "readme")
@@ -139,10 +142,19 @@ class Vectors:
             length = math.sqrt(sum(x * x for x in raw.values()))
             self.notices.append((name, {t: x / length for t, x in sorted(raw.items())}))
 
-    def keys(self, cosine: float) -> list[str]:
-        """Terms of which a text needs one to reach the cosine with any notice."""
-        out: set[str] = set()
+    def least(self, cosine: float) -> list[int]:
+        """How many terms of each notice a text needs at least to reach the cosine with it."""
+        out = []
         for _, vector in self.notices:
+            sums = itertools.accumulate(sorted((x * x for x in vector.values()), reverse=True))
+            out.append(1 + sum(x < cosine * cosine - 1e-9 for x in sums))
+        return out
+
+    def keys(self, cosine: float, which: list[int]) -> list[str]:
+        """Terms of which a text needs one to reach the cosine with any of the notices ``which``."""
+        out: set[str] = set()
+        for i in which:
+            vector = self.notices[i][1]
             rest = sum(x * x for t, x in vector.items() if t not in out)
             for t, x in sorted(vector.items(), key=lambda p: (-p[1], p[0])):
                 if math.sqrt(max(rest, 0.0)) < cosine:
@@ -188,18 +200,21 @@ def page_files(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
 def own(files: DataFrame, *, cosine: float = COSINE, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """id, path, and the licence that each file declares itself, with its cosine."""
     vectors = Vectors(templates)
-    keys = vectors.keys(cosine)
-    keyed = "(?<![a-z0-9])(" + "|".join(map(re.escape, keys)) + ")(?![a-z0-9])"
-    view = files.select("id", "path", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    texts = F.concat(F.split("low", "\n", -1), F.split("low", PARAGRAPH, -1), F.array("low"))
-    units = F.transform(F.array_distinct(F.filter(texts, lambda x: x.rlike(keyed))), lambda x: F.struct(x.alias("unit"), _terms(x).alias("terms")))
+    least = vectors.least(cosine)
+    short, long = ([i for i, (_, v) in enumerate(vectors.notices) if (len(v) >= LONG) == x] for x in (False, True))
+    keyed = "(?<![a-z0-9])(" + "|".join(map(re.escape, vectors.keys(cosine, short))) + ")(?![a-z0-9])"
+    fewest = min((least[i] for i in long), default=0)
+    of_long = F.array(*map(F.lit, sorted({t for i in long for t in vectors.notices[i][1]}))).cast("array<string>")
     # the same inequality for the terms that a unit shares with each notice, first without the unit's other terms, then with
-    shares = F.array(*(F.array(*(F.struct(F.lit(t).alias("t"), F.lit(x * x).alias("x"), F.lit(vectors.idf[t] ** 2).alias("w")) for t, x in v.items())) for _, v in vectors.notices))
+    shares = [F.array(*(F.struct(F.lit(t).alias("t"), F.lit(x * x).alias("x"), F.lit(vectors.idf[t] ** 2).alias("w")) for t, x in v.items())) for _, v in vectors.notices]
     known = F.array(*map(F.lit, sorted(vectors.idf)))
     wanted = cosine * cosine - 1e-9
 
+    def shared(u: Column, which: list[int]) -> Column:
+        return F.exists(F.array(*(shares[i] for i in which)), lambda n: F.aggregate(n, F.lit(0.0), lambda a, p: a + F.when(F.array_contains(u["common"], p["t"]), p["x"]).otherwise(0.0)) >= wanted) if which else F.lit(False)
+
     def able(u: Column) -> Column:
-        return F.exists(shares, lambda n: F.aggregate(n, F.lit(0.0), lambda a, p: a + F.when(F.array_contains(u["terms"], p["t"]), p["x"]).otherwise(0.0)) >= wanted)
+        return (u["unit"].rlike(keyed) & shared(u, short)) | ((F.size(u["common"]) >= fewest) & shared(u, long))
 
     def near(u: Column) -> Column:
         others = F.size(F.array_except(u["terms"], known)) * vectors.unseen**2
@@ -209,11 +224,18 @@ def own(files: DataFrame, *, cosine: float = COSINE, templates: dict[str, list[s
             return F.struct((a["x"] + F.when(times > 0, p["x"]).otherwise(0.0)).alias("x"), (a["s"] + times * times * p["w"]).alias("s"))
 
         start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("s"))
-        return F.exists(shares, lambda n: F.aggregate(n, start, add, lambda a: a["x"] * a["s"] >= wanted * (a["s"] + others)))
+        return F.exists(F.array(*shares), lambda n: F.aggregate(n, start, add, lambda a: a["x"] * a["s"] >= wanted * (a["s"] + others)))
 
-    # a text without a key term has no unit
+    # no unit has what the whole text lacks
+    view = files.select("id", "path", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    texts = F.array_distinct(F.concat(F.split("low", "\n", -1), F.split("low", PARAGRAPH, -1), F.array("low")))
+    # as many terms of long notices as any of them takes
+    lengthy = F.lit(bool(long)) & (F.size(F.array_intersect(_terms(F.col("low")), of_long)) >= fewest)
+    some = F.when(lengthy, texts).when(F.col("low").rlike(keyed), F.filter(texts, lambda x: x.rlike(keyed)))
+    units = F.transform(some, lambda x: F.struct(x.alias("unit"), _terms(x).alias("terms")))
+    units = F.transform(units, lambda u: F.struct(u["unit"].alias("unit"), u["terms"].alias("terms"), F.array_intersect(u["terms"], known).alias("common")))
     left = F.transform(F.filter(F.filter(units, able), near), lambda u: u["unit"])
-    held = store.written(view.select(F.monotonically_increasing_id().alias("row"), "id", "path", F.when(F.col("low").rlike(keyed), left).alias("units")), "files")
+    held = store.written(view.select(F.monotonically_increasing_id().alias("row"), "id", "path", left.alias("units")), "files")
     each = held.select("row", F.explode("units").alias("unit"))
     best = each.join(match(each.select("unit"), vectors, cosine), "unit").groupBy("row").agg(F.min("best").alias("best"))
     return held.join(best, "row", "left").select("id", "path", F.col("best.name").alias("license"), F.round(-F.col("best.negative"), 6).alias("cosine"))
