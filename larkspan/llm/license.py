@@ -217,12 +217,11 @@ def own(files: DataFrame, *, cosine: float = COSINE, templates: dict[str, list[s
         return (u["unit"].rlike(keyed) & shared(u, short)) | ((F.size(u["common"]) >= fewest) & shared(u, long))
 
     def near(u: Column) -> Column:
-        others = F.size(F.array_except(u["terms"], known)) * vectors.unseen**2
-
         def add(a: Column, p: Column) -> Column:
-            times = F.size(u["terms"]) - F.size(F.array_remove(u["terms"], p["t"]))
+            times = F.size(u["inner"]) - F.size(F.array_remove(u["inner"], p["t"]))
             return F.struct((a["x"] + F.when(times > 0, p["x"]).otherwise(0.0)).alias("x"), (a["s"] + times * times * p["w"]).alias("s"))
 
+        others = u["others"] * vectors.unseen**2
         start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("s"))
         return F.exists(F.array(*shares), lambda n: F.aggregate(n, start, add, lambda a: a["x"] * a["s"] >= wanted * (a["s"] + others)))
 
@@ -233,8 +232,10 @@ def own(files: DataFrame, *, cosine: float = COSINE, templates: dict[str, list[s
     lengthy = F.lit(bool(long)) & (F.size(F.array_intersect(_terms(F.col("low")), of_long)) >= fewest)
     some = F.when(lengthy, texts).when(F.col("low").rlike(keyed), F.filter(texts, lambda x: x.rlike(keyed)))
     units = F.transform(some, lambda x: F.struct(x.alias("unit"), _terms(x).alias("terms")))
-    units = F.transform(units, lambda u: F.struct(u["unit"].alias("unit"), u["terms"].alias("terms"), F.array_intersect(u["terms"], known).alias("common")))
-    left = F.transform(F.filter(F.filter(units, able), near), lambda u: u["unit"])
+    units = F.filter(F.transform(units, lambda u: F.struct(u["unit"].alias("unit"), u["terms"].alias("terms"), F.array_intersect(u["terms"], known).alias("common"))), able)
+    # how often a unit has its terms of notices, and how many other terms
+    inner = F.transform(units, lambda u: F.struct(u["unit"].alias("unit"), F.filter(u["terms"], lambda t: F.array_contains(u["common"], t)).alias("inner"), (F.size(F.array_distinct(u["terms"])) - F.size(u["common"])).alias("others")))
+    left = F.transform(F.filter(inner, near), lambda u: u["unit"])
     held = store.written(view.select(F.monotonically_increasing_id().alias("row"), "id", "path", left.alias("units")), "files")
     each = held.select("row", F.explode("units").alias("unit"))
     best = each.join(match(each.select("unit"), vectors, cosine), "unit").groupBy("row").agg(F.min("best").alias("best"))
