@@ -214,7 +214,7 @@ def own(files: DataFrame, *, cosine: float = COSINE, templates: dict[str, list[s
         return F.exists(F.array(*(shares[i] for i in which)), lambda n: F.aggregate(n, F.lit(0.0), lambda a, p: a + F.when(F.array_contains(u["common"], p["t"]), p["x"]).otherwise(0.0)) >= wanted) if which else F.lit(False)
 
     def able(u: Column) -> Column:
-        return (u["unit"].rlike(keyed) & shared(u, short)) | ((F.size(u["common"]) >= fewest) & shared(u, long))
+        return shared(u, short) | ((F.size(u["common"]) >= fewest) & shared(u, long))
 
     def near(u: Column) -> Column:
         def add(a: Column, p: Column) -> Column:
@@ -227,10 +227,11 @@ def own(files: DataFrame, *, cosine: float = COSINE, templates: dict[str, list[s
 
     # no unit has what the whole text lacks
     view = files.select("id", "path", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    texts = F.array_distinct(F.concat(F.split("low", "\n", -1), F.split("low", PARAGRAPH, -1), F.array("low")))
+    parts = F.array_distinct(F.concat(F.split("low", "\n", -1), F.split("low", PARAGRAPH, -1)))
     # as many terms of long notices as any of them takes
     lengthy = F.lit(bool(long)) & (F.size(F.array_intersect(_terms(F.col("low")), of_long)) >= fewest)
-    some = F.when(lengthy, texts).when(F.col("low").rlike(keyed), F.filter(texts, lambda x: x.rlike(keyed)))
+    some = F.when(lengthy, parts).when(F.col("low").rlike(keyed), F.filter(parts, lambda x: x.rlike(keyed)))
+    some = F.array_union(some, F.array("low"))
     units = F.transform(some, lambda x: F.struct(x.alias("unit"), _terms(x).alias("terms")))
     units = F.filter(F.transform(units, lambda u: F.struct(u["unit"].alias("unit"), u["terms"].alias("terms"), F.array_intersect(u["terms"], known).alias("common"))), able)
     # how often a unit has its terms of notices, and how many other terms
