@@ -56,3 +56,8 @@ class Engine:
     def health(self, expected: dict[str, int]) -> DataFrame:
         tables = {"schools": self.schools, "commute": self.commute, "clubs": self.clubs, "stats": self.stats, "stations": self.stations}
         return rollups.expected_counts({k: v for k, v in tables.items() if v is not None}, expected)
+
+    def health_model(self, calls: DataFrame, *, most: int = 6) -> DataFrame:
+        """Probes of the model (id, at): those beyond ``most`` in an hour are answered with rate_limited, uncalled."""
+        limited = dialogue.rate_limit(calls, [], "at", "id", most)
+        return limited.select("id", "at", "ok", F.when(~F.col("ok"), "rate_limited").alias("error"))

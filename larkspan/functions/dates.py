@@ -36,4 +36,5 @@ def edition_year(edition: Column, reference: int, era: int) -> Column:
 
 
 def hour(ts: Column) -> Column:
-    return F.date_trunc("hour", ts)
+    """A time up to its hour, as thirteen characters."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH")

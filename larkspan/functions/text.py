@@ -74,17 +74,19 @@ def strip_noise(page: Column) -> Column:
 
 
 def html_text(page: Column) -> Column:
-    """Text of HTML: tags are blanks, the two commonest entities decoded, blanks collapsed."""
-    plain = F.regexp_replace(strip_noise(page), r"(?s)<[^>]*>", " ")
+    """Text of HTML: a blank between tags that adjoin, so that a tag inside a word doesn't part it; blanks collapsed."""
+    broken = F.regexp_replace(strip_noise(page), r"(?i)<br\s*/?>", " ")
+    plain = F.regexp_replace(F.regexp_replace(broken, r">\s*<", "> <"), r"(?s)<[^>]*>", "")
     decoded = F.replace(F.replace(plain, F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&"))
     return F.trim(F.regexp_replace(decoded, r"[\s　]+", " "))
 
 
 def html_lines(page: Column) -> Column:
-    """Non-blank lines of HTML, where block tags end a line."""
-    broken = F.regexp_replace(strip_noise(page), r"(?i)<(br|/p|/div|/li|/tr|/h[1-6]|/title)\b[^>]*>", "\n")
-    lines = F.split(F.regexp_replace(broken, r"(?s)<[^>]*>", ""), "\n")
-    return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[\s　]+", " "))), lambda x: x != "")
+    """Non-blank lines of HTML: block tags end a line, other tags are blanks, the head is left out, entities decoded."""
+    body = F.regexp_replace(strip_noise(page), r"(?is)<head\b.*?</head\s*>", " ")
+    broken = F.regexp_replace(body, r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6])\s*>", "\n")
+    lines = F.split(unescape(F.regexp_replace(broken, r"(?s)<[^>]*>", " ")), "\n")
+    return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[\s\x{A0}　]+", " "))), lambda x: x != "")
 
 
 def section(x: Column, start: str, stop: str, limit: int) -> Column:
@@ -133,11 +135,53 @@ IRREGULAR = {"シ": "shi", "チ": "chi", "ツ": "tsu", "フ": "fu", "ジ": "ji",
 
 
 def romaji(kana: Column) -> Column:
-    """Katakana as a Hepburn slug: digraphs first, small tsu doubles, long vowels collapse."""
+    """Katakana as a Hepburn slug: digraphs first, small tsu doubles, long vowels collapse; nothing else is kept."""
     table = DIGRAPHS | {c: r + v for r, row in ROWS.items() for c, v in zip(row, "aiueo", strict=True)} | IRREGULAR
     out = kana
     for k in sorted(table, key=lambda x: (-len(x), x)):
         out = F.replace(out, F.lit(k), F.lit(table[k]))
     out = F.regexp_replace(out, "ッ(?=ch)", "t")
     out = F.regexp_replace(out, "ッ([a-z])", "$1$1")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "ー", ""), "o[ou]", "o"), "uu", "u")
+    out = F.translate(out, "ァィゥェォ", "aiueo")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "[^a-z]", ""), "o[ou]", "o"), "uu", "u")
+
+
+# Suffixes that go, up to twice; what is no club: words anywhere in a name, and whole names.
+CLUB_SUFFIX = "(部|班|同好会|愛好会|クラブ|会)$"
+NOT_CLUB = r"委員会|生徒会|部活動一覧|部活動について|活動方針|年間行事|お知らせ|新着情報|一覧へ|詳しく|サイトマップ|問い合わせ|募集要項|学校説明会|ダウンロード|活動日|練習日|活動場所|大会|優勝|入賞|予選|報告|参加|開催|結果|により|に応じて|不定期|あり$|なし$|[：:！!※]|^\d+$|^令和|^平成|^[^\p{L}\p{N}_]+$"
+NOT_CLUB_NAMES = ("ホーム", "トップ", "ページ", "このページの先頭へ", "アクセス", "PDF", "pdf", "詳細", "一覧", "こちら", "次へ", "前へ", "メニュー", "検索", "部活動")
+
+
+def club(x: Column) -> Column:
+    """A club's name in one spelling: compatible characters, no blanks, brackets or suffixes; a gender in brackets leads."""
+    plain = nfkc(x)
+    inner = F.transform(F.regexp_extract_all(plain, F.lit(r"\(([^)]*)\)"), 1), lambda b: F.regexp_replace(b, r"\s", ""))
+    said = F.filter(F.transform(inner, lambda b: F.when(b.isin("男子", "男"), "男子").when(b.isin("女子", "女"), "女子")), lambda g: g.isNotNull())
+    gender = F.coalesce(F.try_element_at(said, F.lit(-1)), F.lit(""))
+    bare_name = F.regexp_replace(F.regexp_replace(plain, r"\([^)]*\)", ""), r"[\s　・]", "")
+    short = F.regexp_replace(F.regexp_replace(bare_name, CLUB_SUFFIX, ""), CLUB_SUFFIX, "")
+    return F.when((gender != "") & ~short.startswith("男子") & ~short.startswith("女子"), F.concat(gender, short)).otherwise(short)
+
+
+def is_club(x: Column) -> Column:
+    """Whether a listed item can be a club, and no heading, note or link."""
+    return ~x.rlike(NOT_CLUB) & ~x.isin(*NOT_CLUB_NAMES)
+
+
+def extension(url: Column, content_type: Column) -> Column:
+    """The file extension that a content type or an address tells."""
+    kind, low = F.lower(F.coalesce(content_type, F.lit(""))), F.lower(F.coalesce(url, F.lit("")))
+    table = kind.contains("excel") | kind.contains("spreadsheet") | low.endswith(".xlsx") | low.endswith(".xls")
+    named = F.when(kind.contains("pdf") | low.endswith(".pdf"), ".pdf").when(kind.contains("csv") | low.endswith(".csv"), ".csv")
+    return named.when(table, ".xlsx").when(kind.contains("json"), ".json").otherwise(".html")
+
+
+def resolved(base: Column, href: Column) -> Column:
+    """An address given relative to another, whole: parent steps are taken, query and fragment go."""
+    origin = F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    path = F.regexp_replace(F.substring(base, F.length(origin) + 1, F.length(base)), "[?#].*$", "")
+    bare_href = F.regexp_replace(href, "[?#].*$", "")
+    joined = F.when(bare_href == "", path).when(bare_href.startswith("/"), bare_href).otherwise(F.concat(F.regexp_replace(F.when(path == "", "/").otherwise(path), "[^/]*$", ""), bare_href))
+    steps = F.split(F.regexp_replace(joined, "/[.]{1,2}$", "$0/"), "/")
+    walked = F.aggregate(steps, F.expr("cast(array() as array<string>)"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(x))))
+    return F.when(bare_href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), bare_href).when(bare_href.startswith("//"), F.concat(F.regexp_extract(base, "^[^:]*:", 0), bare_href)).otherwise(F.concat(origin, F.array_join(walked, "/")))

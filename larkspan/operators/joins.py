@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions import geo
+from larkspan.session import shared_folder
 
 
 def strict_lookup(rows: DataFrame, names: DataFrame, key: str, what: str = "name") -> DataFrame:
@@ -35,50 +36,68 @@ def normalise(rows: DataFrame, dictionary: DataFrame, key: str, value: str, defa
     return rows.join(dictionary, key, "left").withColumn(value, F.coalesce(value, fallback))
 
 
-def nearest(points: DataFrame, places: DataFrame, cell: float = 1.0, rings: int = 2) -> DataFrame:
+def nearest(points: DataFrame, places: DataFrame, cell: float = 1.0, rings: int = 2, others: bool = False) -> DataFrame:
     """The nearest place of each point by equirectangular distance; of equal ones that of least id.
 
-    Places within ``rings`` cells are found by an equality join on the grid; only points that have none that is
-    provably nearest are compared with all places.
+    Places within ``rings`` cells are found by an equality join on the grid; points that have none that is provably
+    nearest are looked for again with cells of twice the size, until one cell holds every place. A point without
+    coordinates has no place. With ``others``, a place of the point's own id doesn't count.
     """
-    around = F.explode(F.sequence(F.lit(-rings), F.lit(rings)))
-    near = points.withColumn("dx", around).withColumn("dy", around)
-    near = near.withColumn("cx", F.floor(F.col("lat") / cell) + F.col("dx")).withColumn("cy", F.floor(F.col("lon") / cell) + F.col("dy"))
-    there = places.select(F.col("id").alias("place"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), F.floor(F.col("lat") / cell).alias("cx"), F.floor(F.col("lon") / cell).alias("cy"))
+    spark = points.sparkSession
+    there = places.select(F.col("id").alias("place"), F.col("lat").alias("plat"), F.col("lon").alias("plon")).where("plat is not null and plon is not null")
     km = geo.flat(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    best = near.join(there, ["cx", "cy"]).select("id", km.alias("km"), "place").groupBy("id").agg(F.min(F.struct("km", "place")).alias("best"))
-    # what lies outside the rings is at least this far
-    safe = rings * cell * geo.DEGREE * F.least(F.lit(1.0), F.cos(F.radians(F.abs("lat") + (rings + 1) * cell)))
-    known = points.join(best, "id", "left").withColumn("sure", F.coalesce(F.col("best.km") <= safe, F.lit(False)))
-    rest = known.where("not sure").select("id", "lat", "lon")
-    every = rest.join(there).select("id", km.alias("km"), "place").groupBy("id").agg(F.min(F.struct("km", "place")).alias("best"))
-    found = known.where("sure").select("id", "best").unionByName(every)
-    return found.select("id", "best.place", "best.km")
-
-
-def _prefixes(text: Column, longest: Column | int) -> Column:
-    most = F.least(F.length(text), F.lit(longest) if isinstance(longest, int) else longest)
+    blank = points.where("lat is null or lon is null").select("id", F.lit(None).cast(there.schema["place"].dataType).alias("place"), F.lit(None).cast("double").alias("km"))
+    rest, found = points.where("lat is not null and lon is not null").select("id", "lat", "lon"), [blank]
+    while True:
+        around = F.explode(F.sequence(F.lit(-rings), F.lit(rings)))
+        near = rest.withColumn("dx", around).withColumn("dy", around)
+        near = near.withColumn("cx", F.floor(F.col("lat") / cell) + F.col("dx")).withColumn("cy", F.floor(F.col("lon") / cell) + F.col("dy"))
+        dealt = there.withColumn("cx", F.floor(F.col("plat") / cell)).withColumn("cy", F.floor(F.col("plon") / cell))
+        hits = near.join(dealt, ["cx", "cy"])
+        best = (hits.where("id <> place") if others else hits).select("id", km.alias("km"), "place").groupBy("id").agg(F.min(F.struct("km", "place")).alias("best"))
+        # what lies outside the rings is at least this far
+        safe = rings * cell * geo.DEGREE * F.least(F.lit(1.0), F.cos(F.radians(F.least(F.abs("lat") + (rings + 1) * cell, F.lit(90.0)))))
+        last = cell >= 360
+        known = rest.join(best, "id", "left").withColumn("sure", F.lit(last) | F.coalesce(F.col("best.km") <= safe, F.lit(False)))
+        path = shared_folder(spark, "nearest")
+        known.write.parquet(path)
+        known = spark.read.schema(known.schema).parquet(path)
+        found.append(known.where("sure").select("id", "best.place", "best.km"))
+        rest = known.where("not sure").select("id", "lat", "lon")
+        if last or rest.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), found)
+        cell *= 2
+
+
+def _longest(names: DataFrame, name: str | Column = "name") -> int:
+    """The length of the longest name."""
+    return names.agg(F.max(F.length(name))).first()[0] or 0
+
+
+def _prefixes(text: Column, longest: int | None = None) -> Column:
+    most = F.length(text) if longest is None else F.least(F.length(text), F.lit(longest))
     return F.explode(F.transform(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda n: F.substring(text, F.lit(1), n)))
 
 
-def longest_prefix(texts: DataFrame, names: DataFrame, *, key: str = "text", longest: int = 64) -> DataFrame:
-    """The longest name that each text begins with, or null; names are of ``longest`` characters at most."""
+def longest_prefix(texts: DataFrame, names: DataFrame, *, key: str = "text") -> DataFrame:
+    """The longest name that each text begins with, or null."""
     wanted = names.select(F.col("name")).distinct()
-    hits = texts.select(key).distinct().select(key, _prefixes(F.col(key), longest).alias("name")).join(wanted, "name")
+    hits = texts.select(key).distinct().select(key, _prefixes(F.col(key), _longest(names)).alias("name")).join(wanted, "name")
     best = hits.groupBy(key).agg(F.max_by("name", F.length("name")).alias("name"))
     return texts.join(best, key, "left")
 
 
-def qualified_prefix(texts: DataFrame, names: DataFrame, *, key: str = "text", longest: int = 64) -> DataFrame:
+def qualified_prefix(texts: DataFrame, names: DataFrame, *, key: str = "text") -> DataFrame:
     """The name that a text begins with, where a ward may stand before it.
 
     Candidates are names at the start and names after the name's own ward. One is valid if what follows is not
     itself the start of a name; valid ones come first, then those after a ward, then longer ones.
     """
+    longest = _longest(names)
     distinct = texts.select(key).distinct()
     plain = distinct.select(key, _prefixes(F.col(key), longest).alias("name")).join(names, "name").select(key, "name", F.lit(False).alias("warded"), F.length("name").alias("used"))
     whole = names.select("name", F.concat("ward", "name").alias("full")).where("ward is not null and ward <> ''")
-    warded = distinct.select(key, _prefixes(F.col(key), 2 * longest).alias("full")).join(whole, "full").select(key, "name", F.lit(True).alias("warded"), F.length("full").alias("used"))
+    warded = distinct.select(key, _prefixes(F.col(key), _longest(whole, "full")).alias("full")).join(whole, "full").select(key, "name", F.lit(True).alias("warded"), F.length("full").alias("used"))
     both = plain.unionByName(warded).withColumn("rest", F.substring(F.col(key), F.col("used") + 1, F.length(key)))
     rests = both.where("rest <> ''").select("rest").distinct()
     starts = rests.select("rest", _prefixes(F.col("rest"), longest).alias("name")).join(names.select("name").distinct(), "name").select("rest").distinct().withColumn("again", F.lit(True))
@@ -129,6 +148,30 @@ def gazetteer(lines: DataFrame, names: DataFrame, *, suffix: str, rejected: tupl
     return ranked.where("nth = 1").select("line_id", F.col("word").alias("name"), suffixed.alias("suffixed"))
 
 
+# What stands after a name that is a destination or a line, not a place to board.
+NOT_BOARDED = "^[」』]?\\s*駅?\\s*(行|方面|ゆき|経由|線)"
+STATION = "^[」』]?\\s*駅"
+
+
+def boarded(lines: DataFrame, names: DataFrame, keys: list[str], line: str) -> DataFrame:
+    """keys and the name of the place at which each line boards, for lines that have one.
+
+    Every part of a line of a name's length is looked up by equality, so that names are found inside words and no line
+    meets every name. A name that is a destination or a line each time doesn't count. Names of two characters that
+    are called a station come first, then any of three; the longest wins, then the first in order.
+    """
+    longest = _longest(names)
+    distinct = names.select(F.col("name").alias("__name")).distinct()
+    starts = lines.select(*keys, F.col(line).alias("__line")).where(F.length("__line") >= 2).withColumn("__at", F.explode(F.sequence(F.lit(1), F.length("__line") - 1)))
+    room = F.least(F.lit(longest), F.length("__line") - F.col("__at") + 1)
+    parts = starts.where(room >= 2).withColumn("__n", F.explode(F.sequence(F.lit(2), room))).withColumn("__name", F.substring(F.col("__line"), F.col("__at"), F.col("__n")))
+    hits = parts.join(distinct, "__name").withColumn("__rest", F.substring(F.col("__line"), F.col("__at") + F.col("__n"), F.length("__line")))
+    seen = hits.groupBy(*keys, "__name").agg(F.bool_or(F.col("__rest").rlike(STATION)).alias("called"), F.bool_or(~F.col("__rest").rlike(NOT_BOARDED)).alias("boards"))
+    able = seen.where(F.col("boards") & (F.col("called") | (F.length("__name") >= 3)))
+    best = F.min(F.struct((~F.col("called")).alias("x"), (-F.length("__name")).alias("y"), F.col("__name").alias("name")))
+    return able.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.name").alias("name"))
+
+
 def by_priority(sources: list[tuple[DataFrame, int]], keys: list[str], whole: str, value: str) -> DataFrame:
     """Rows of the strongest source that has any for ``whole``; of one strength the least value for each key."""
     every = reduce(lambda a, b: a.unionByName(b), (df.withColumn("strength", F.lit(s)) for df, s in sources))
@@ -152,11 +195,11 @@ def one_character(names: DataFrame, *, name: str = "name", least: int = 4, excep
     return pairs
 
 
-def abbreviations(names: DataFrame, *, name: str = "name", least: int = 3, longer: int = 3, longest: int = 64) -> DataFrame:
+def abbreviations(names: DataFrame, *, name: str = "name", least: int = 3, longer: int = 3) -> DataFrame:
     """For each name the first longer names that begin with it."""
     distinct = names.select(F.col(name).alias("long")).distinct()
     short = distinct.select(F.col("long").alias("short")).where(F.length("short") >= least)
-    pairs = distinct.select("long", _prefixes(F.col("long"), longest).alias("short")).where("long <> short").join(short, "short")
+    pairs = distinct.select("long", _prefixes(F.col("long")).alias("short")).where("long <> short").join(short, "short")
     ranked = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("short").orderBy("long"))).where(F.col("nth") <= longer)
     return ranked.groupBy("short").agg(F.array_join(F.array_sort(F.collect_list("long")), ",").alias("longer"))
 
@@ -169,9 +212,9 @@ def both_forms(names: DataFrame, *, name: str, first: str, second: str) -> DataF
     return one.join(other, "base", "left_semi").distinct()
 
 
-def drop_redundant(rows: DataFrame, keys: list[str], name: str, longest: int = 64) -> DataFrame:
+def drop_redundant(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Rows but those whose name is the beginning of a longer one of the same keys."""
-    begun = rows.select(*keys, F.col(name).alias("__long")).distinct().select(*keys, "__long", _prefixes(F.col("__long"), longest).alias(name)).where(F.col("__long") != F.col(name))
+    begun = rows.select(*keys, F.col(name).alias("__long")).distinct().select(*keys, "__long", _prefixes(F.col("__long")).alias(name)).where(F.col("__long") != F.col(name))
     return rows.join(begun.select(*keys, name).distinct(), [*keys, name], "left_anti")
 
 

@@ -63,3 +63,17 @@ def strategies(pages: DataFrame, marker: str, id_col: str = "page_id", html_col:
     generic = items(pages, id_col, html_col).join(counts.where(F.col("n") >= enough), id_col, "left_anti").select(id_col, "value", F.lit(3).alias("strategy"))
     every = both.unionByName(generic)
     return every.groupBy(id_col, "value").agg(F.min("strategy").alias("strategy"))
+
+
+def ranked_links(pages: DataFrame, words: list[str], most: int = 4, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
+    """The first links of each page by the first word of the list that address or label has: page, nth, url.
+
+    Addresses are whole and distinct; files to download don't count. Of one rank the first on the page leads.
+    """
+    base = pages.select(F.col(id_col), F.col(url_col).alias("__base"))
+    found = links(pages, id_col, html_col).join(base, id_col).where("url <> ''").withColumn("whole", text.resolved(F.col("__base"), F.col("url")))
+    said = F.concat_ws(" ", "url", "label")
+    rank = F.coalesce(*(F.when(said.contains(w), i) for i, w in enumerate(words)))
+    best = found.withColumn("rank", rank).where("rank is not null").where(~F.lower("whole").rlike("[.](pdf|jpg|png)$")).groupBy(id_col, "whole").agg(F.min(F.struct("rank", "pos")).alias("b"))
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy("b"))
+    return best.withColumn("nth", nth).where(F.col("nth") <= most).select(id_col, "nth", F.col("whole").alias("url"))

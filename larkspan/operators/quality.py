@@ -62,3 +62,8 @@ def tagged_union(sources: dict[str, DataFrame], *, exact: bool = True) -> DataFr
             if odd := set(df.columns) ^ set(first.columns):
                 raise ValueError(f"{name}: unknown or missing columns {', '.join(sorted(odd))}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=not exact), (df.withColumn("source", F.lit(n)) for n, df in sources.items()))
+
+
+def with_subject(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows that have any of the columns, blank ones not counting."""
+    return rows.where(F.coalesce(*(F.nullif(F.trim(F.col(c)), F.lit("")) for c in columns)).isNotNull())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions import ranks, text
+from larkspan.session import shared_folder
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -135,7 +136,7 @@ def top_elements(values: Column, n: int) -> Column:
     return F.transform(F.array_sort(F.transform(F.slice(F.array_sort(numbered), 1, n), lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x")))), lambda s: s["x"])
 
 
-def within_budget(values: Column, budget: int, least: int) -> Column:
+def within_budget(values: Column, budget: int, least: int, between: str = "") -> Column:
     """Distinct elements in order while they fit the budget of characters, joined; null if fewer than ``least``."""
     start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("full"), F.array().cast("array<string>").alias("kept"))
 
@@ -146,7 +147,7 @@ def within_budget(values: Column, budget: int, least: int) -> Column:
         )
 
     kept = F.aggregate(F.array_distinct(values), start, step, lambda acc: acc["kept"])
-    return F.when(F.size(kept) >= least, F.array_join(kept, ""))
+    return F.when(F.size(kept) >= least, F.array_join(kept, between))
 
 
 def best_links(links: DataFrame, page: str = "page_id") -> DataFrame:
@@ -155,3 +156,17 @@ def best_links(links: DataFrame, page: str = "page_id") -> DataFrame:
     order = Window.partitionBy(page).orderBy(F.col("score").desc(), F.length("url"), "url")
     ranked = once.withColumn("nth", F.row_number().over(order)).where("nth <= 2")
     return ranked.groupBy(page).agg(F.max(F.when(F.col("nth") == 1, F.col("url"))).alias("url"), F.max(F.when(F.col("nth") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("nth") == 2, F.col("url"))).alias("url_alt"))
+
+
+def positions(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """Rows with their place (``pos``, from 1) in the order: a range sort, and the rows before each part of it."""
+    spark = rows.sparkSession
+    path = shared_folder(spark, "sorted")
+    rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    kept = spark.read.parquet(path)
+    # a part's number is in the upper bits
+    part = F.shiftright("__at", 33)
+    sizes = kept.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
+    numbered = kept.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return numbered.select(*rows.columns, (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("pos"))

@@ -62,3 +62,9 @@ def layered(text: Column, patterns: list[str]) -> Column:
 
 def _layer(rest: Column, pattern: str, number: int) -> Column:
     return F.transform(F.regexp_extract_all(rest, F.lit(f"({pattern})"), 1), lambda m: F.struct(F.lit(number).alias("layer"), m.alias("match")))
+
+
+def positional(rows: DataFrame, keys: list[str], values: str, names: DataFrame, name: str = "name", pos: str = "pos") -> DataFrame:
+    """Arrays by position, as rows of keys, the name at that position (from 0) and the value."""
+    each = rows.select(*keys, F.posexplode(values).alias(pos, "value"))
+    return each.join(names.select(pos, name), pos).select(*keys, name, "value")

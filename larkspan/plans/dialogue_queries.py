@@ -200,7 +200,7 @@ def streaming_session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_folder(spark, "stream")
     updates = sessions.session_state(_streamed(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")))
     job = updates.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/state/batch={n}")).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    job.awaitTermination(300)
+    job.awaitTermination()
     state = spark.read.parquet(f"{out}/state").where("not expired")
     return state.groupBy("user_id").agg(F.max(F.struct("events", "total", "last_type")).alias("s")).select("user_id", "s.*")
 
@@ -209,5 +209,5 @@ def streaming_session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streaming_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_folder(spark, "stream")
     job = _streamed(spark, sf_dir).writeStream.foreachBatch(sessions.upsert_batches(f"{out}/counters")).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    job.awaitTermination(300)
+    job.awaitTermination()
     return sessions.counters(spark, f"{out}/counters")

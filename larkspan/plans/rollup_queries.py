@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.functions import dates, ranks, text
-from larkspan.operators import graph, joins, quality, rollups
+from larkspan.operators import graph, joins, quality, rollups, sequences
 from larkspan.plans import standins as S
+from larkspan.session import shared_folder
 from larkspan.sources import readers, sinks
 
 QUERIES, ORACLES, query = S.registry()
@@ -293,14 +294,63 @@ def id_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.id_conflicts(part.groupBy("p_name").agg(F.min("p_partkey").alias("a")), part.groupBy("p_name").agg(F.max("p_partkey").alias("b")), "p_name", "a", "b")
 
 
-@query("sort_missing_last", "SELECT o_orderkey, row_number() OVER (ORDER BY coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END, 0) DESC, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice ELSE -1 END, o_orderkey) AS pos FROM orders ORDER BY pos LIMIT 100")
+@query("sort_missing_last", "SELECT o_orderkey, row_number() OVER (ORDER BY coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END, 0) DESC, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice ELSE -1 END, o_orderkey) AS pos FROM orders")
 def sort_missing_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = S.table(spark, sf_dir, "orders")
     band = F.coalesce(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")), F.lit(0))
     ratio = F.coalesce(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")), F.lit(-1.0))
-    top = orders.orderBy(band.desc(), ratio, "o_orderkey").limit(100)
-    listed = F.array_sort(F.collect_list(F.struct((-band).alias("x"), ratio.alias("y"), "o_orderkey")))
-    return top.agg(listed.alias("l")).select(F.posexplode("l").alias("i", "s")).select("s.o_orderkey", (F.col("i") + 1).cast("long").alias("pos"))
+    rows = orders.select("o_orderkey", band.alias("band"), ratio.alias("ratio"))
+    return rollups.positions(rows, F.col("band").desc(), "ratio", "o_orderkey").select("o_orderkey", "pos")
+
+
+@query(
+    "insert_statements",
+    """WITH p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS pos, '(' || c_custkey || ', ' || chr(39) || replace(c_name || chr(39) || 's', chr(39), chr(39) || chr(39)) || chr(39) || ', ' || CASE WHEN c_custkey % 3 = 0 THEN 'NULL' ELSE CAST(c_nationkey AS VARCHAR) END || ')' AS t FROM customer)
+SELECT CAST((pos - 1) // 250 AS BIGINT) AS chunk, 'INSERT INTO customer (id, name, nation) VALUES' || chr(10) || '  ' || string_agg(t, ',' || chr(10) || '  ' ORDER BY pos) || ';' AS statement FROM p GROUP BY 1""",
+)
+def insert_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat("c_name", F.lit("'s")).alias("name"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey")).alias("nation"))
+    return sinks.insert_statements(rows, "customer", {"id": False, "name": True, "nation": False}, ["id"], 250)
+
+
+@query("positional_zip", "SELECT o_orderkey, n_name AS name, CAST(o_orderkey % 100 + n_nationkey AS BIGINT) AS value FROM orders, nation WHERE n_nationkey < 4")
+def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.table(spark, sf_dir, "orders").select("o_orderkey", F.array(*((F.col("o_orderkey") % 100 + k).cast("long") for k in range(4))).alias("values"))
+    names = S.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"))
+    return sequences.positional(rows, ["o_orderkey"], "values", names)
+
+
+@query("subject_filter", "SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0 OR p_size % 2 = 0")
+def subject_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = S.table(spark, sf_dir, "part")
+    rows = part.select("p_partkey", F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")).alias("sport"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(" ").alias("event"))
+    return quality.with_subject(rows, "sport", "event").select("p_partkey")
+
+
+@query("csv_round_trip", "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, 'a, \"' || s_nationkey || '\"' AS note FROM supplier")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delimited text, written and read again."""
+    path = shared_folder(spark, "csv")
+    rows = S.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.concat(F.lit('a, "'), F.col("s_nationkey").cast("string"), F.lit('"')).alias("note"))
+    sinks.write_csv(rows, path, ["id", "name", "note"])
+    return readers.read_csv(spark, path)
+
+
+@query("json_round_trip", "SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS balance FROM customer")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gzipped JSON lines, written and read again."""
+    path = shared_folder(spark, "json")
+    rows = S.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("balance"))
+    sinks.write_json_gz(rows, path)
+    return readers.read_json_gz(spark, path, rows.schema.simpleString()[7:-1].replace(":", " "))
+
+
+@query("sitemap_slugs", "SELECT DISTINCT 'nation-' || n_name AS slug FROM nation")
+def sitemap_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "sitemap")
+    nation = S.table(spark, sf_dir, "nation")
+    nation.select(F.concat(F.lit("<url><loc>https://h.example/s/nation-"), "n_name", F.lit("/</loc></url>"))).write.text(path)
+    return readers.read_sitemap(spark, path)
 
 
 @query("extremes", "(SELECT 'near' AS side, c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 5) UNION ALL (SELECT 'far', c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5)")
@@ -335,7 +385,7 @@ def param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "fiscal_year",
     """WITH x AS (SELECT o_orderkey, o_orderdate, CASE WHEN month(o_orderdate) <= 3 THEN year(o_orderdate) - 1 ELSE year(o_orderdate) END AS f FROM orders)
-SELECT o_orderkey, f AS fiscal, f - 2018 AS era, '令和' || CASE WHEN f + 25 - 2018 = 1 THEN '元' ELSE CAST(f + 25 - 2018 AS VARCHAR) END || '年度' AS text, f + 25 - 2018 AS parsed, date_trunc('hour', o_orderdate) AS hour, f - 1960 - 63 + 5 AS edition FROM x""",
+SELECT o_orderkey, f AS fiscal, f - 2018 AS era, '令和' || CASE WHEN f + 25 - 2018 = 1 THEN '元' ELSE CAST(f + 25 - 2018 AS VARCHAR) END || '年度' AS text, f + 25 - 2018 AS parsed, strftime(o_orderdate, '%Y-%m-%dT%H') AS hour, f - 1960 - 63 + 5 AS edition FROM x""",
 )
 def fiscal_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = dates.fiscal_year(F.col("o_orderdate"))

@@ -6,25 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.functions import geo, text
-from larkspan.operators import joins, pages, rollups, sequences
+from larkspan.operators import extraction, joins, pages, rollups, sequences
 from larkspan.plans import standins as S
 from larkspan.sources import readers
 
 QUERIES, ORACLES, query = S.registry()
 
 _CLEAN = r"regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g')"
+#: The entities of the pages; the ampersand last.
+_ENTITIES = "replace(replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
 _BARE = r"trim(regexp_replace(regexp_replace({0}, '(?s)<[^>]*>', ' ', 'g'), '[\s　]+', ' ', 'g'))"
 
 
-@query("html_text", rf"""SELECT page_id, sha256(trim(regexp_replace(replace(replace(regexp_replace({_CLEAN}, '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '[\s　]+', ' ', 'g'))) AS text_sha256 FROM pages""")
+@query(
+    "html_text",
+    rf"""SELECT page_id, sha256(trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({_CLEAN}, '(?i)<br\s*/?>', ' ', 'g'), '>\s*<', '> <', 'g'), '(?s)<[^>]*>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '[\s　]+', ' ', 'g'))) AS text_sha256 FROM pages""",
+)
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "pages").select("page_id", F.sha2(text.html_text(F.col("html")), 256).alias("text_sha256"))
 
 
 @query(
     "html_lines",
-    rf"""WITH b AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace({_CLEAN}, '(?i)<(br|/p|/div|/li|/tr|/h[1-6]|/title)\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[\s　]+', ' ', 'g'))), lambda x: x <> '') AS l FROM pages)
-SELECT page_id, CAST(len(l) AS INT) AS n, sha256(array_to_string(l, chr(10))) AS lines_sha256 FROM b""",
+    rf"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_CLEAN}, '(?is)<head\b.*?</head\s*>', ' ', 'g'), '(?i)<br\s*/?>|</(p|div|li|tr|h[1-6])\s*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g') AS x FROM pages),
+b AS (SELECT page_id, list_filter(list_transform(string_split(html_unescape_(x), chr(10)), lambda x: trim(regexp_replace(x, '[\s\x{{A0}}　]+', ' ', 'g'))), lambda x: x <> '') AS l FROM p)
+SELECT page_id, CAST(len(l) AS INT) AS n, sha256(array_to_string(l, chr(10))) AS lines_sha256 FROM b""".replace("html_unescape_(x)", _ENTITIES),
 )
 def html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = S.table(spark, sf_dir, "pages").select("page_id", text.html_lines(F.col("html")).alias("l"))
@@ -214,15 +220,15 @@ def b64_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "events").select("event_id", F.from_json(text.token(token), "u long, t string").alias("j")).select("event_id", "j.u", "j.t")
 
 
-@query("romaji_slugs", "SELECT n_nationkey AS id, CASE n_nationkey % 5 WHEN 0 THEN 'shinjuku' WHEN 1 THEN 'tokyo' WHEN 2 THEN 'nippori' WHEN 3 THEN 'kotcho' ELSE 'hibiya' END AS slug FROM nation")
+@query("romaji_slugs", "SELECT n_nationkey AS id, CASE n_nationkey % 7 WHEN 0 THEN 'shinjuku' WHEN 1 THEN 'tokyo' WHEN 2 THEN 'nippori' WHEN 3 THEN 'kotcho' WHEN 4 THEN 'fuaabc' WHEN 5 THEN 'chuo' ELSE 'hibiya' END AS slug FROM nation")
 def romaji_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kana = F.element_at(F.array(*map(F.lit, ("シンジュク", "トウキョウ", "ニッポリ", "コッチョウ", "ヒビヤ"))), F.col("n_nationkey") % 5 + 1)
+    kana = F.element_at(F.array(*map(F.lit, ("シンジュク", "トウキョウ", "ニッポリ", "コッチョウ", "ファー・abc", "チュウオウ", "ヒビヤ"))), F.col("n_nationkey") % 7 + 1)
     return S.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), text.romaji(kana).alias("slug"))
 
 
-@query("ordered_array_union", "WITH w AS (SELECT conv_id, turn, i, regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')[i] AS w FROM conversations, unnest(range(1, 4)) AS r(i)), f AS (SELECT conv_id, w, min(turn * 10 + i) AS first FROM w WHERE w IS NOT NULL GROUP BY ALL) SELECT conv_id, string_agg(w, ',' ORDER BY first) AS words FROM f GROUP BY conv_id")
+@query("ordered_array_union", "WITH l AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-zÀ-ÿ]+') AS l FROM conversations), w AS (SELECT conv_id, turn, i, l[i] AS w FROM l, unnest(range(1, len(l) + 1)) AS r(i)), f AS (SELECT conv_id, w, min(turn * 10000000 + i) AS first FROM w GROUP BY ALL) SELECT conv_id, string_agg(w, ',' ORDER BY first) AS words FROM f GROUP BY conv_id")
 def ordered_array_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = S.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(F.regexp_extract_all("text", F.lit("([A-Za-zÀ-ÿ]+)"), 1), 1, 3).alias("w"))
+    turns = S.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract_all("text", F.lit("([A-Za-zÀ-ÿ]+)"), 1).alias("w"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "w"))), lambda x: x["w"])
     merged = turns.groupBy("conv_id").agg(F.array_distinct(F.flatten(parts)).alias("words"))
     return merged.where(F.size("words") > 0).select("conv_id", F.array_join("words", ",").alias("words"))
@@ -281,17 +287,29 @@ def gazetteer_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.gazetteer(lines, S.of(spark, sf_dir, _GAZETTEER), suffix="is", rejected=("or", "and"))
 
 
-_WORDS = "SELECT DISTINCT lower(split_part(text, ' ', 1)) AS name FROM {documents} UNION SELECT DISTINCT lower(split_part(text, ' ', 2)) FROM {documents}"
+#: Every word of the documents, and (for abbreviations) of the parts' names.
+_WORDS = "SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-zà-ÿ]+')) AS name FROM documents"
+_PART_WORDS = "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name FROM part UNION SELECT p_name FROM part"
+
 
+def _words(df: DataFrame, column: str, between: str) -> DataFrame:
+    return df.select(F.explode(F.array_distinct(F.split(F.lower(column), between))).alias("name")).distinct()
 
-@query("one_char_typos", f"""{S.ctes(n0=_WORDS)} SELECT a.name AS a, b.name AS b FROM n0 a JOIN n0 b ON length(a.name) = length(b.name) AND a.name < b.name AND length(a.name) >= 4 WHERE len(list_filter(range(1, length(a.name) + 1), lambda i: substr(a.name, i, 1) <> substr(b.name, i, 1))) = 1""")
+
+@query(
+    "one_char_typos",
+    f"""WITH n0 AS ({_WORDS}), k AS (SELECT name, i, substr(name, 1, i - 1) || '#' || substr(name, i + 1) AS hole FROM n0, unnest(range(1, length(name) + 1)) AS r(i) WHERE length(name) >= 4)
+SELECT DISTINCT a.name AS a, b.name AS b FROM k a JOIN k b ON a.hole = b.hole AND a.i = b.i AND a.name < b.name""",
+)
 def one_char_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.one_character(S.of(spark, sf_dir, _WORDS))
+    return joins.one_character(_words(S.table(spark, sf_dir, "documents"), "text", "[^a-zà-ÿ]+"))
 
 
-@query("prefix_abbrev", f"""{S.ctes(n0=_WORDS)}, p AS (SELECT s.name AS short, l.name AS long FROM n0 s JOIN n0 l ON length(s.name) >= 3 AND l.name <> s.name AND starts_with(l.name, s.name) QUALIFY row_number() OVER (PARTITION BY s.name ORDER BY l.name) <= 3) SELECT short, string_agg(long, ',' ORDER BY long) AS longer FROM p GROUP BY short""")
+@query("prefix_abbrev", f"""WITH n0 AS ({_PART_WORDS}), p AS (SELECT s.name AS short, l.name AS long FROM n0 s JOIN n0 l ON length(s.name) >= 3 AND l.name <> s.name AND starts_with(l.name, s.name) QUALIFY row_number() OVER (PARTITION BY s.name ORDER BY l.name) <= 3) SELECT short, string_agg(long, ',' ORDER BY long) AS longer FROM p GROUP BY short""")
 def prefix_abbrev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.abbreviations(S.of(spark, sf_dir, _WORDS))
+    part = S.table(spark, sf_dir, "part")
+    names = part.select(F.explode(F.split("p_name", " ")).alias("name")).unionByName(part.select(F.col("p_name").alias("name")))
+    return joins.abbreviations(names)
 
 
 _PARTIAL = "SELECT p_partkey AS id, p_brand AS brand, p_type AS division, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) ELSE p_name END AS sport FROM {part}"
@@ -311,11 +329,11 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (v[0].cast("double") * 10).alias("lat"), (v[1].cast("double") * 10).alias("lon"))
 
 
-@query("nearest_neighbour", f"""WITH p AS ({_POINTS_SQL.format(1, 2)}), a AS (SELECT * FROM p WHERE id % 2 = 0), b AS (SELECT * FROM p WHERE id % 2 = 1), d AS (SELECT a.id, b.id AS place, {_FLAT} AS km FROM a, b)
+@query("nearest_neighbour", f"""WITH p AS ({_POINTS_SQL.format(1, 2)}), d AS (SELECT a.id, b.id AS place, {_FLAT} AS km FROM p a JOIN p b ON a.id % 50 = 0 AND a.id <> b.id)
 SELECT id, place, round(km, 5) AS km, CAST(ceil(round(km, 9) * 1.3 * 1000 / 80) AS INT) AS walk FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY km, place) = 1""")
 def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    found = joins.nearest(points.where("id % 2 = 0"), points.where("id % 2 = 1"), cell=0.25)
+    found = joins.nearest(points.where("id % 50 = 0"), points, cell=0.25, others=True)
     return found.select("id", "place", F.round("km", 5).alias("km"), geo.walk_minutes(F.round("km", 9)).alias("walk"))
 
 
@@ -324,3 +342,68 @@ def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _points(spark, sf_dir)
     b = a.select((F.col("id") - 1).alias("id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     return a.join(b, "id").select("id", F.round(geo.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 6).alias("km"))
+
+
+_CLUB_SPELLINGS = """SELECT p_partkey AS id, concat(CASE p_partkey % 4 WHEN 0 THEN '女子' WHEN 1 THEN '' ELSE '' END, split_part(p_name, ' ', 1), CASE p_partkey % 7 WHEN 0 THEN '部（男子）' WHEN 1 THEN ' 同好会' WHEN 2 THEN '部会' WHEN 3 THEN '(女) クラブ' WHEN 4 THEN '・班' WHEN 5 THEN '大会報告' ELSE '' END) AS name FROM {part}"""
+
+
+@query(
+    "club_names",
+    f"""{S.ctes(c0=_CLUB_SPELLINGS)}, w AS (SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS w, p_partkey % 4 = 0 AS girls, p_partkey % 7 AS k FROM part)
+SELECT id, CASE WHEN girls THEN '女子' || w WHEN k = 0 THEN '男子' || w WHEN k = 3 THEN '女子' || w ELSE w END || CASE WHEN k = 5 THEN '大会報告' ELSE '' END AS club, k <> 5 AS is_club FROM w""",
+)
+def club_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.of(spark, sf_dir, _CLUB_SPELLINGS).select("id", text.club(F.col("name")).alias("club"), text.is_club(F.col("name")).alias("is_club"))
+
+
+_WAYS = """SELECT s_suppkey AS doc, 1 AS pos, 'JR八王子駅からのご利用' AS line FROM {supplier}
+UNION ALL SELECT s_suppkey, 2, concat('バス「新宿駅行き」乗車', CAST(3 + s_suppkey % 9 AS STRING), '分 徒歩', CAST(1 + s_suppkey % 5 AS STRING), '分') FROM {supplier}
+UNION ALL SELECT s_suppkey, 3, CASE s_suppkey % 3 WHEN 0 THEN '最寄り駅から徒歩10分' WHEN 1 THEN '都営三田線平和台より徒歩7分' ELSE '有楽町線 新宿駅 徒歩12分' END FROM {supplier}"""
+_STATIONS = "SELECT name FROM VALUES ('八王子'), ('新宿'), ('平和台'), ('有楽町'), ('三田') AS t(name)"
+
+
+@query(
+    "access_ways",
+    """SELECT s_suppkey AS doc, 2 AS pos, '八王子' AS station, 'bus' AS mode, CAST(3 + s_suppkey % 9 AS INT) AS ride, CAST(1 + s_suppkey % 5 AS INT) AS walk FROM supplier
+UNION ALL SELECT s_suppkey, 3, CASE s_suppkey % 3 WHEN 0 THEN '八王子' WHEN 1 THEN '平和台' ELSE '新宿' END, 'walk', NULL, CASE s_suppkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 7 ELSE 12 END FROM supplier""",
+)
+def access_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.access(S.of(spark, sf_dir, _WAYS), spark.sql(_STATIONS)).select("doc", "pos", "station", "mode", "ride", "walk")
+
+
+_SECTIONS = """SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN '制服はありません。標準服を定めています' WHEN 1 THEN '私服での登校です' WHEN 2 THEN '男子は学ラン、女子はセーラー服です' WHEN 3 THEN 'ブレザーにネクタイ。スラックスとスカートを選択できます' WHEN 4 THEN '冬服と夏服があります' ELSE '校舎の案内' END AS section FROM {supplier}"""
+
+
+@query(
+    "uniform_kinds",
+    """SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN '標準服（制服なし）' WHEN 1 THEN '制服なし（服装自由）' WHEN 2 THEN '学ラン・セーラー' WHEN 3 THEN 'ブレザー' WHEN 4 THEN '制服あり（形は公式サイト参照）' END AS kind, s_suppkey % 6 = 3 AS choice FROM supplier""",
+)
+def uniform_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    section = F.col("section")
+    return S.of(spark, sf_dir, _SECTIONS).select("id", extraction.uniform(section).alias("kind"), extraction.may_choose(section).alias("choice"))
+
+
+@query("sport_hints", "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '水泳' WHEN 1 THEN '自転車' WHEN 2 THEN '陸上競技' WHEN 3 THEN '' ELSE 'ボート' END AS sport FROM part")
+def sport_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    event = F.element_at(F.array(*map(F.lit, ("100m自由形", "ロード・レース", "走幅跳", "ダブルス", "漕艇"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return S.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), extraction.sport_of(F.lit(None).cast("string"), event).alias("sport"))
+
+
+@query(
+    "link_choice",
+    """SELECT s_suppkey AS page_id, 1 AS nth, 'https://h.example/a/about/' || s_suppkey AS url FROM supplier UNION ALL SELECT s_suppkey, 2, 'https://h.example/top/index' FROM supplier UNION ALL SELECT s_suppkey, 3, 'https://x.example/goal' FROM supplier""",
+)
+def link_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey").cast("string")
+    html = F.concat(F.lit('<a href="//x.example/goal#x">third</a><a href="../top/./index?q=1">greeting</a><a href="about/'), key, F.lit('">about</a><a href="b/about.pdf">about</a><a href="../a/about/'), key, F.lit('">again</a>'))
+    sites = S.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"), html.alias("html"), F.lit("https://h.example/a/home").alias("url"))
+    return pages.ranked_links(sites, ["about", "greeting", "goal"])
+
+
+@query(
+    "file_extensions",
+    "SELECT page_id, CASE page_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.csv' WHEN 2 THEN '.xlsx' WHEN 3 THEN '.json' ELSE '.html' END AS extension FROM pages",
+)
+def file_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ("application/pdf", "text/csv; charset=cp932", "application/vnd.ms-excel", "application/json", "text/html"))), (F.col("page_id") % 5 + 1).cast("int"))
+    return S.table(spark, sf_dir, "pages").select("page_id", text.extension(F.col("url"), kind).alias("extension"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspan.operators import rollups
+
 
 def typed(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Strings as loaded types: blank is null, numbers that aren't any are null, integers are cut."""
@@ -32,7 +34,7 @@ def write_csv(rows: DataFrame, path: str, columns: list[str], files: int | None
     if odd := set(rows.columns) ^ set(columns):
         raise ValueError(f"columns that are not expected or missing: {', '.join(sorted(odd))}")
     out = rows.select(*columns)
-    (out.coalesce(files) if files else out).write.mode("overwrite").option("header", True).csv(path)
+    (out.coalesce(files) if files else out).write.mode("overwrite").option("header", True).option("escape", "\"").csv(path)
 
 
 def write_json_gz(rows: DataFrame, path: str) -> None:
@@ -82,3 +84,17 @@ def markdown(rows: DataFrame, title: str, most: int = 200) -> str:
     if len(shown) > most:
         lines.append(f"\n… {rows.count() - most} more rows")
     return "\n".join(lines) + "\n"
+
+
+def literal(x: Column) -> Column:
+    """A value as an SQL literal: quotes doubled, null as NULL."""
+    return F.coalesce(F.concat(F.lit("'"), F.replace(x.cast("string"), F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL"))
+
+
+def insert_statements(rows: DataFrame, table: str, columns: dict[str, bool], order: list[str], per: int = 100) -> DataFrame:
+    """INSERT statements of ``per`` rows each, numbered; ``columns``: which are written, and whether as text."""
+    tuples = F.concat(F.lit("("), F.concat_ws(", ", *(literal(F.col(c)) if quoted else F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c, quoted in columns.items())), F.lit(")"))
+    placed = rollups.positions(rows, *order).select(F.floor((F.col("pos") - 1) / per).alias("chunk"), "pos", tuples.alias("t"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"])
+    head = f"INSERT INTO {table} ({', '.join(columns)}) VALUES\n  "
+    return placed.groupBy("chunk").agg(listed.alias("l")).select("chunk", F.concat(F.lit(head), F.array_join("l", ",\n  "), F.lit(";")).alias("statement"))
