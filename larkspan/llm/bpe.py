@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from larkspan.llm import store, text
 
 #: Pieces of one generation kept by a worker, the longest that is kept, and the halves, windows and pairs kept.
-KEPT, KEPT_BYTES, STORED = 200_000, 48, 60_000
+KEPT, KEPT_BYTES, STORED = 120_000, 48, 40_000
 #: Bytes of the texts whose pieces are gathered together, unless a single text is longer.
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Bytes of a leaf of the tree, token ids of a leaf of decoding, and how many parts meet in a node of it.
 LEAF, RUN, FAN = 4, 1024, 64
 
