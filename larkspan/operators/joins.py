@@ -142,10 +142,9 @@ def gazetteer(lines: DataFrame, names: DataFrame, *, suffix: str, rejected: tupl
     words = lines.select("line_id", F.posexplode("words").alias("pos", "w")).select("line_id", "pos", "w.word", "w.next")
     hits = words.join(names.select(F.col("name").alias("word")).distinct(), "word").where(~F.coalesce(F.col("next").isin(*rejected), F.lit(False)))
     suffixed = F.coalesce(F.col("next") == suffix, F.lit(False))
-    ranked = hits.where(F.when(suffixed, F.length("word") >= least[0]).otherwise(F.length("word") >= least[1])).withColumn(
-        "nth", F.row_number().over(Window.partitionBy("line_id").orderBy(suffixed.desc(), F.length("word").desc(), "pos"))
-    )
-    return ranked.where("nth = 1").select("line_id", F.col("word").alias("name"), suffixed.alias("suffixed"))
+    able = hits.where(F.when(suffixed, F.length("word") >= least[0]).otherwise(F.length("word") >= least[1]))
+    best = F.min(F.struct((~suffixed).alias("bare"), (-F.length("word")).alias("length"), "pos", "word"))
+    return able.groupBy("line_id").agg(best.alias("b")).select("line_id", F.col("b.word").alias("name"), (~F.col("b.bare")).alias("suffixed"))
 
 
 # What stands after a name that is a destination or a line, not a place to board.

@@ -281,9 +281,10 @@ SELECT doc_id AS line_id, word AS name, suffixed FROM h WHERE length(word) >= CA
 )
 def gazetteer_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), "[^a-zà-ÿ]+"), lambda w: w != "")
-    zipped = F.arrays_zip(words.alias("word"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("next"))
-    lines = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_id"), zipped.alias("z"))
-    lines = lines.select("line_id", F.transform("z", lambda x: F.struct(x["word"].alias("word"), x["next"].alias("next"))).alias("words"))
+    # the words once, then with the one after each
+    lines = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_id"), words.alias("w"))
+    after = F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1)))
+    lines = lines.select("line_id", F.zip_with("w", after, lambda a, b: F.struct(a.alias("word"), b.alias("next"))).alias("words"))
     return joins.gazetteer(lines, S.of(spark, sf_dir, _GAZETTEER), suffix="is", rejected=("or", "and"))
 
 
