@@ -24,6 +24,11 @@ class Engine:
         """Shown rows of every request; see ``unknown_stations`` and ``relaxations`` for requests without any."""
         return explain.sentences(search.search(requests, self.schools, self.commute, self.clubs))
 
+    def answer(self, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of every request the status, count and offers, and the rows that it is answered with."""
+        shown = search.search(requests, self.schools, self.commute, self.clubs)
+        return search.responses(requests, shown, self.commute), search.answers(shown).withColumn("text", explain.school_text())
+
     def unknown_stations(self, requests: DataFrame) -> DataFrame:
         """Requests whose station is missing or has no travel times."""
         return requests.join(self.commute.select("station").distinct(), "station", "left_anti")

@@ -15,6 +15,15 @@ BANDS = {"進学指導重点校": 5, "進学指導特別推進校": 4, "進学
 SPORTS = "陸上|水泳|競泳|バレー|バスケ|サッカー|テニス|卓球|バドミントン|柔道|剣道|弓道|なぎなた|ソフトボール|ハンドボール|ラグビー|体操|新体操|ダンス|チア|空手|相撲|レスリング|フェンシング|ボート|カヌー|自転車|登山|ワンダーフォーゲル|少林寺|アーチェリー|ホッケー|ラクロス|山岳"
 
 
+# Words that tell the level of a meet, the highest first; words of qualifiers, which are city results.
+MEET_WORDS = {
+    "全国大会": "全国大会|インターハイ|インハイ|全国高等学校総合体育大会|甲子園|全国選抜",
+    "関東大会": "関東大会|関東高等学校|関東選抜",
+    "東京都大会": "東京都|都大会|都立|西東京|東東京|支部",
+}
+QUALIFIER, QUALIFIED = "予選|地区大会|支部大会|都大会予選", "東京都大会（予選）"
+
+
 def _number(x: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(x, pattern, 1), F.lit("")).try_cast("int")
 
@@ -68,6 +77,12 @@ def meet_level(meet: Column) -> Column:
     return F.coalesce(*(F.when(meet == k, v) for k, v in MEET_LEVELS.items()), F.lit(0))
 
 
+def meet_of(said: Column) -> Column:
+    """The level that a sentence names, '' without any; a qualifier of a national or regional meet is the city's."""
+    named = F.coalesce(*(F.when(said.rlike(p), k) for k, p in MEET_WORDS.items()), F.lit(""))
+    return F.when(named.isin("全国大会", "関東大会") & said.rlike(QUALIFIER), QUALIFIED).otherwise(named)
+
+
 def shown_rank(rank: Column, level: Column) -> Column:
     """Places beyond 8 and rounds at national and regional meets show as entries; awards stay."""
     award = rank.contains("賞") | (rank == "佳作")

@@ -34,6 +34,19 @@ SELECTION_LABELS = {
     "kosen": "高専は入試の方式が都立高校と異なります（学力検査3教科＋調査書）",
 }
 
+# What is said of a tier, and why there is none.
+TIER_REASONS = {"s": "目安点を上回っています", "m": "目安点とほぼ同じです", "c": "目安点をやや下回ります"}
+NO_TIER = {
+    "no_exam": "学力検査がないため点数では判定しません",
+    "高専": "高専は入試の方式が異なるため（学力検査3教科＋調査書）、都立高校の目安点では判定していません",
+    "定時制": "定時制は学力検査の教科数が学校ごとに違うため、5教科の目安点では判定していません",
+    "併設": "定時制は全日制と入試の方式が違うため、全日制の目安点では判定していません",
+    "target": "目安点が未設定です",
+    "score": "成績の入力がないため点数では判定しません",
+    "above": "余裕がありすぎるため候補から外しています",
+    "below": "目安点から離れているため候補から外しています",
+}
+
 
 def half_up(x: Column) -> Column:
     """Rounding with halves towards plus infinity, to an int."""
@@ -93,6 +106,20 @@ def tier(selection: Column, target: Column, score: Column, rough: Column, relaxe
     )
 
 
+def tier_reason(selection: Column, target: Column, score: Column, tier: Column, gap: Column, courses: Column, foreign: Column) -> Column:
+    """What the tier says, or why there is none; ``foreign`` rows are judged by another course's examination."""
+    evening = F.coalesce(courses.contains("定時制") & ~courses.contains("全日制"), F.lit(False))
+    unset = F.when(courses == "高専", NO_TIER["高専"]).when(evening, NO_TIER["定時制"]).otherwise(NO_TIER["target"])
+    said = F.coalesce(*(F.when(tier == k, v) for k, v in TIER_REASONS.items()))
+    return (
+        F.when(foreign, NO_TIER["併設"])
+        .when(selection == "no_exam", NO_TIER["no_exam"])
+        .when(target.isNull(), unset)
+        .when(score.isNull(), NO_TIER["score"])
+        .otherwise(F.coalesce(said, F.when(gap > 0, NO_TIER["above"]).otherwise(NO_TIER["below"])))
+    )
+
+
 def match_score(
     minutes: Column, tier: Column, priority: Column, academic: Column, designation: Column, dept_fits: Column, clubs_matched: Column, clubs_exact: Column, clubs_wanted: Column
 ) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -81,8 +82,8 @@ def _searched(edges: DataFrame, start: DataFrame, boarding: float, cap: float) -
     return found.select("origin", F.struct("station", "line").alias("node"), "minutes")
 
 
-def _relaxed(edges: DataFrame, start: DataFrame, boarding: float, cap: float, rounds: int = 1000) -> DataFrame:
-    """Rounds that extend only what the last one improved; distances are written every round, which cuts lineage."""
+def _relaxed(edges: DataFrame, start: DataFrame, boarding: float, cap: float) -> DataFrame:
+    """Rounds that extend only what the last one improved, until none does (minutes are never negative); distances are written every round, which cuts lineage."""
     spark = edges.sparkSession
     base = shared_folder(spark, "paths")
 
@@ -93,7 +94,7 @@ def _relaxed(edges: DataFrame, start: DataFrame, boarding: float, cap: float, ro
 
     best = kept(start.select("origin", F.col("src").alias("node"), F.lit(float(boarding)).alias("minutes")), 0, "best")
     fresh = best
-    for n in range(1, rounds + 1):
+    for n in itertools.count(1):
         step = fresh.join(edges.withColumnRenamed("minutes", "ride"), F.col("node") == F.col("src"))
         reached = step.select("origin", F.col("dst").alias("node"), (F.col("minutes") + F.col("ride")).alias("minutes")).where(F.col("minutes") <= cap).groupBy("origin", "node").agg(F.min("minutes").alias("minutes"))
         fresh = kept(reached.join(best.withColumnRenamed("minutes", "known"), ["origin", "node"], "left").where("known is null or minutes < known - 1e-9").select("origin", "node", "minutes"), n, "fresh")

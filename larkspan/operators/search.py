@@ -1,8 +1,8 @@
 """Set-oriented search: many requests against many candidates in one plan.
 
 Requests, candidates and travel times are joined on their keys, filtered, judged by column expressions and
-ranked per request by windows. Requests without a travel limit need every candidate; they are expanded only
-if the candidates are few (``FEW``), and rejected otherwise.
+ranked per request by windows. Requests without a travel limit meet all candidates of the courses that they
+want, by equality of the course, however many those are.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from larkspan.functions import scoring
 
-#: Candidates up to which a request without a limit is expanded to all of them.
-FEW = 100_000
+#: Parts into which the requests for one course are dealt, as one course may be most of the candidates.
+SALTS = 64
 
 # Default course, codes of courses and departments, quotas, categories of similar clubs.
 FULL_TIME, EVENING, COLLEGE, TECHNICAL = "全日制", "定時制", "高専", "工"
@@ -99,6 +99,16 @@ def _matched(rows: DataFrame, clubs: DataFrame) -> DataFrame:
     return rows.join(listed, "school", "left").withColumn("matched", F.coalesce(names, F.array().cast("array<string>"))).drop("listed")
 
 
+def _of_course(asked: DataFrame, schools: DataFrame) -> DataFrame:
+    """Every request with every school of a course that it wants; no school has two of the courses that one request wants."""
+    full, evening, college = (F.lit(c) for c in (FULL_TIME, EVENING, COLLEGE))
+    wants = F.when(F.size("course_types") > 0, F.array_intersect("course_types", F.array(evening, college))).otherwise(F.array_compact(F.array(full, F.when(F.col("suggest"), college))))
+    has = F.array_compact(F.array(F.when(F.contains("courses", full), full), F.when(F.contains("courses", evening), evening), F.when(F.col("courses") == COLLEGE, college)))
+    left = asked.withColumn("__salt", F.pmod(F.xxhash64("req_id"), F.lit(SALTS))).withColumn("__course", F.explode(wants))
+    right = schools.withColumn("__course", F.explode(has)).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return left.join(right, ["__salt", "__course"]).drop("__salt", "__course")
+
+
 def candidates(requests: DataFrame, schools: DataFrame, commute: DataFrame, clubs: DataFrame | None = None, categories: dict[str, list[str]] = CLUB_CATEGORIES) -> DataFrame:
     """Every admissible (request, school) with travel minutes and matched clubs.
 
@@ -114,10 +124,7 @@ def candidates(requests: DataFrame, schools: DataFrame, commute: DataFrame, club
     times = commute.select("station", "school", F.col("minutes"), F.col("via"))
     within = asked.where(~F.coalesce("no_commute_limit", F.lit(False))).join(times, "station").where(F.col("minutes") <= F.col("most")).join(schools, "school")
     free = asked.where(F.coalesce("no_commute_limit", F.lit(False)))
-    few = schools.limit(FEW + 1)
-    size = few.agg(F.count("*").alias("n_schools"))
-    few = few.crossJoin(size).where(F.when(F.col("n_schools") > FEW, F.raise_error(F.lit("too many schools for a request without a limit"))).isNull()).drop("n_schools")
-    open_ = free.crossJoin(F.broadcast(few)).join(times, ["station", "school"], "left")
+    open_ = _of_course(free, schools).join(times, ["station", "school"], "left")
     rows = within.unionByName(open_.select(*within.columns))
     course = (
         F.when(F.size("course_types") > 0, (F.array_contains("course_types", EVENING) & F.col("courses").contains(EVENING)) | (F.array_contains("course_types", COLLEGE) & (F.col("courses") == COLLEGE)))
@@ -218,3 +225,39 @@ def filtered(schools: DataFrame, *, ward: str | None = None, designation: str |
 def detail(schools: DataFrame, stats: DataFrame, school: Column | int | str) -> DataFrame:
     """One school with its yearly figures, newest first."""
     return schools.where(F.col("school") == school).join(stats, "school").orderBy(F.col("year").desc(), "department")
+
+
+# Fixed value: the source of travel times that every answer names.
+COMMUTE_SOURCE = "駅間所要時間の自前計算（station_database CC BY-SA 4.0 / 急行補正済）"
+
+
+def answers(shown: DataFrame) -> DataFrame:
+    """Shown rows as a user reads them: ranges, labels, notes and the sources of their figures.
+
+    Columns of sources, layers and notes that the schools lack are null.
+    """
+
+    def own(name: str) -> Column:
+        return F.col(name).cast("string") if name in shown.columns else F.lit(None).cast("string")
+
+    foreign = F.coalesce(F.array_contains("course_types", EVENING) & F.col("courses").contains(EVENING) & F.col("courses").contains(FULL_TIME), F.lit(False))
+    reason = scoring.tier_reason(F.col("selection_type"), F.col("target_score"), F.col("student.score"), F.col("tier"), F.col("gap"), F.col("courses"), foreign)
+    sources = F.struct(own("source_master").alias("master"), own("source_designation").alias("designation"), own("source_target_score").alias("target_score"), F.lit(COMMUTE_SOURCE).alias("commute"))
+    return shown.select(
+        "req_id", "rank", "school", "name", "ward", "departments", "designation", F.col("minutes").alias("commute_minutes"), scoring.commute_range(F.col("minutes")).alias("commute_range"),
+        "tier", F.coalesce(*(F.when(F.col("tier") == k, v) for k, v in scoring.TIER_LABELS.items())).alias("tier_label"), F.coalesce(reason, F.lit("")).alias("tier_reason"), F.when(F.col("target_score").isNotNull(), F.col("gap")).alias("score_gap"), "target_score", "selection_type",
+        scoring.selection_note(own("selection_note"), F.col("selection_type")).alias("selection_note"), own("score_layer").alias("score_layer"), F.col("encourage"), F.col("courses").alias("course_types"),
+        F.coalesce(F.size("course_types") > 0, F.lit(False)).alias("requested_course"), F.coalesce(F.col("role") == "suggested", F.lit(False)).alias("suggested_course"), F.col("matched").alias("matched_clubs"), "match_score", "why", sources.alias("sources"),
+    )
+
+
+def responses(requests: DataFrame, shown: DataFrame, commute: DataFrame) -> DataFrame:
+    """Per request: status (400 without a station, 404 for an unknown one, else 200), number of rows, and offers if there are none."""
+    known = commute.select("station").distinct().withColumn("__known", F.lit(True))
+    counts = shown.groupBy("req_id").agg(F.count("*").alias("__n"))
+    joined = relaxation_options(requests).join(known, "station", "left").join(counts, "req_id", "left")
+    blank = F.coalesce(F.trim(F.col("station").cast("string")) == "", F.lit(True))
+    status = F.when(blank, 400).when(F.col("__known").isNull(), 404).otherwise(200)
+    n = F.when(status == 200, F.coalesce("__n", F.lit(0))).otherwise(0)
+    error = F.when(blank, "station_required").when(F.col("__known").isNull(), "station_not_found")
+    return joined.select("req_id", status.alias("status"), error.alias("error"), n.alias("count"), F.when((status == 200) & (n == 0), F.col("options")).alias("options"), ((status == 200) & (n == 0) & F.col("exhausted")).alias("exhausted"))

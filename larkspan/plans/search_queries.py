@@ -251,3 +251,78 @@ def commute_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 def selection_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.when(F.col("school") % 5 == 0, F.concat(F.lit("n"), F.col("school").cast("string"))).otherwise("")
     return S.of(spark, sf_dir, S.SCHOOLS).select("school", scoring.selection_note(own, F.col("selection_type")).alias("note"))
+
+
+#: One request without a limit from each nation.
+_OPEN = """
+SELECT n_nationkey AS req_id, CAST(n_nationkey AS STRING) AS station, CAST(NULL AS INT) AS commute_limit, TRUE AS no_commute_limit,
+  CAST(NULL AS INT) AS naishin, CAST(5 + n_nationkey % 21 AS INT) AS naishin5, CAST(4 + n_nationkey % 17 AS INT) AS jitsugi, CAST(NULL AS INT) AS sonai,
+  CAST(NULL AS INT) AS toujitsu, CAST(NULL AS INT) AS esat, CAST(NULL AS STRING) AS priority, FALSE AS academic, CASE WHEN n_nationkey % 5 = 0 THEN '工' END AS dept,
+  CASE WHEN n_nationkey % 7 = 0 THEN '定時制' WHEN n_nationkey % 11 = 0 THEN '高専' END AS course
+FROM {nation}"""
+
+
+@query(
+    "search_no_limit",
+    f"""{S.ctes(r0=_OPEN, s0=S.SCHOOLS, c0=S.COMMUTE)}
+SELECT req_id, s0.school, c0.minutes FROM r0 CROSS JOIN s0 LEFT JOIN c0 ON c0.station = r0.station AND c0.school = s0.school
+WHERE NOT no_admission AND CASE course WHEN '定時制' THEN contains(courses, '定時制') WHEN '高専' THEN courses = '高専' ELSE contains(courses, '全日制') OR (dept IS NOT NULL AND course IS NULL AND courses = '高専') END
+  AND (dept IS NULL OR contains(departments, dept))""",
+)
+def search_no_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = S.of(spark, sf_dir, _OPEN)
+    none = F.array().cast("array<string>")
+    asked = asked.select("*", _strings(F.col("course")).alias("course_types"), none.alias("clubs"), none.alias("relaxations")).drop("course")
+    return search.candidates(asked, S.of(spark, sf_dir, S.SCHOOLS), S.of(spark, sf_dir, S.COMMUTE)).select("req_id", "school", "minutes")
+
+
+_LABEL = "CASE tier WHEN 's' THEN '安全圏' WHEN 'm' THEN '適正圏' WHEN 'c' THEN '挑戦圏' END"
+_REASON = f"""CASE WHEN course = '定時制' AND contains(courses, '全日制') AND contains(courses, '定時制') THEN '{scoring.NO_TIER["併設"]}' WHEN selection_type = 'no_exam' THEN '{scoring.NO_TIER["no_exam"]}'
+  WHEN target_score IS NULL THEN CASE WHEN courses = '高専' THEN '{scoring.NO_TIER["高専"]}' WHEN courses = '定時制' THEN '{scoring.NO_TIER["定時制"]}' ELSE '{scoring.NO_TIER["target"]}' END
+  WHEN score IS NULL THEN '{scoring.NO_TIER["score"]}' WHEN tier = 's' THEN '{scoring.TIER_REASONS["s"]}' WHEN tier = 'm' THEN '{scoring.TIER_REASONS["m"]}' WHEN tier = 'c' THEN '{scoring.TIER_REASONS["c"]}'
+  WHEN gap > 0 THEN '{scoring.NO_TIER["above"]}' ELSE '{scoring.NO_TIER["below"]}' END"""
+_ANSWERED = f"""
+, a AS (SELECT k.req_id, k.school, k.rank, k.tier, k.minutes, {_LABEL.replace("tier", "k.tier")} AS tier_label, r.course, s1.name, s1.ward, s1.designation, s1.courses, CASE WHEN s1.target_score IS NOT NULL THEN k.gap END AS score_gap,
+  CASE WHEN s1.selection_type = 'no_exam' THEN '学力検査なし（面接・作文で選抜）' END AS selection_note, k.role, {_REASON.replace("gap", "k.gap").replace("tier =", "k.tier =")} AS tier_reason
+  FROM ranked k JOIN r USING (req_id) JOIN s1 ON s1.school = k.school)
+SELECT req_id, school, rank, tier_label, tier_reason, score_gap, concat(greatest(5, CAST(floor(minutes / 15) AS INT) * 15), '〜', greatest(5, CAST(floor(minutes / 15) AS INT) * 15) + 15, '分') AS commute_range, selection_note,
+  course IS NOT NULL AS requested_course, role = 'suggested' AS suggested_course, role = 'encourage' AS encourage,
+  concat_ws('。', concat(name, 'は', ward, 'にある学校で、通学はおよそ', minutes, '分です'),
+    CASE WHEN tier_label IS NOT NULL THEN concat('合格の見込みは', tier_label, coalesce(concat('（目安点との差 ', CASE WHEN score_gap > 0 THEN '+' ELSE '' END, CAST(score_gap AS VARCHAR), '点）'), '')) ELSE tier_reason END,
+    designation || 'に指定されています', CASE WHEN role = 'encourage' THEN '学力検査によらない選抜のため、点数では判定していませんが候補に残しています' END, CASE WHEN role = 'suggested' THEN 'ものづくり系をお探しなので、5年制の高専も挙げています' END,
+    CASE WHEN course IS NOT NULL THEN CASE WHEN courses = '高専' THEN 'ご希望の高専です' WHEN contains(courses, '全日制') THEN '全日制と定時制の両方がある学校で、ご希望の定時制課程があります' ELSE 'ご希望の定時制です' END END,
+    selection_note) || '。' AS text FROM a"""
+
+
+@query("search_answers", _oracle(final=_ANSWERED))
+def search_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = search.answers(_run(spark, sf_dir, requests(spark, sf_dir))).withColumn("text", explain.school_text())
+    return told.select("req_id", "school", "rank", "tier_label", "tier_reason", "score_gap", "commute_range", "selection_note", "requested_course", "suggested_course", "encourage", "text")
+
+
+_PRIORITY_SAID = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in explain.PRIORITY_SAID.items())
+
+
+@query("search_summary", _oracle(final=f"""
+, l AS (SELECT req_id, {_LABEL} AS label, count(*) AS n, min(rank) AS first FROM ranked GROUP BY ALL),
+t AS (SELECT req_id, CAST(sum(n) AS BIGINT) AS n, string_agg(label || n || '校', '・' ORDER BY first) AS tally FROM l GROUP BY req_id),
+c AS (SELECT r.*, concat_ws('、', concat(station, '駅から', commute_limit, '分以内'), course || 'のある学校', concat('学科は「' || dept, '」'), CASE WHEN academic THEN '大学進学に力を入れている学校' END, CASE priority {_PRIORITY_SAID} END,
+  CASE WHEN score IS NOT NULL THEN concat('お子さんの成績（換算内申', kansan, CASE WHEN rough THEN '・概算' ELSE '' END, '）') END) AS said FROM r)
+SELECT req_id, CASE WHEN n IS NULL THEN said || 'で探しましたが、条件をすべて満たす学校は見つかりませんでした。' ELSE concat(said, 'で、', n, '校が見つかりました。',
+  CASE WHEN score IS NULL THEN '成績の入力がないため、合格の見込みは判定せず、通学の近い順にご案内しています。' WHEN rough THEN '成績が概算のため、合格の見込みは幅を広めに取っています。' ELSE '' END, coalesce('内訳は' || tally || 'です。', '')) END AS text FROM c LEFT JOIN t USING (req_id)""").replace("concat('学科は「' || dept, '」')", "'学科は「' || dept || '」'"))
+def search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = requests(spark, sf_dir)
+    return explain.summaries(asked, _run(spark, sf_dir, asked))
+
+
+@query("search_status", _oracle(
+    requests="SELECT * REPLACE (CASE WHEN req_id % 10 = 3 THEN ' ' WHEN req_id % 10 = 4 THEN '-' ELSE station END AS station) FROM r0",
+    final="""
+SELECT req_id, CASE WHEN station = ' ' THEN 400 WHEN station NOT IN (SELECT station FROM c0) THEN 404 ELSE 200 END AS status, count(rank) AS count,
+  CASE WHEN station IN (SELECT station FROM c0) AND count(rank) = 0 THEN concat_ws(',', 'commute_15', CASE WHEN any_value(kansan) IS NOT NULL THEN 'score_range' END) END AS options FROM r LEFT JOIN ranked USING (req_id) GROUP BY req_id, station""",
+))
+def search_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("req_id") % 10
+    asked = requests(spark, sf_dir).withColumn("station", F.when(key == 3, " ").when(key == 4, "-").otherwise(F.col("station")))
+    got = search.responses(asked, _run(spark, sf_dir, asked), S.of(spark, sf_dir, S.COMMUTE))
+    return got.select("req_id", "status", "count", F.array_join("options", ",").alias("options"))

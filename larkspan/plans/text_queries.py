@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.functions import geo, text
+from larkspan.functions import geo, ranks, text
 from larkspan.operators import extraction, joins, pages, rollups, sequences
 from larkspan.plans import standins as S
 from larkspan.sources import readers
@@ -408,3 +408,36 @@ def link_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, ("application/pdf", "text/csv; charset=cp932", "application/vnd.ms-excel", "application/json", "text/html"))), (F.col("page_id") % 5 + 1).cast("int"))
     return S.table(spark, sf_dir, "pages").select("page_id", text.extension(F.col("url"), kind).alias("extension"))
+
+
+_SAID = ("インターハイ予選でベスト4", "関東大会に出場", "全国選抜で優勝", "都大会3回戦進出", "支部予選を突破", "文化祭で発表", "関東大会の支部大会で3位")
+
+
+@query("meet_levels", "SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN '東京都大会（予選）' WHEN 1 THEN '関東大会' WHEN 2 THEN '全国大会' WHEN 3 THEN '東京都大会' WHEN 4 THEN '東京都大会' WHEN 5 THEN '' ELSE '東京都大会（予選）' END AS meet FROM orders")
+def meet_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    return S.table(spark, sf_dir, "orders").select("o_orderkey", ranks.meet_of(said).alias("meet"))
+
+
+@query(
+    "band_lines",
+    """SELECT s_suppkey AS file, 2 AS pos, 'A組' AS section, 'K' || s_suppkey AS name, CASE s_suppkey % 3 WHEN 0 THEN '金賞・最優秀' WHEN 1 THEN '銀賞' ELSE '銅賞・代表' END AS rank FROM supplier
+UNION ALL SELECT s_suppkey, 4, 'B組', 'K' || s_suppkey, '金賞' FROM supplier""",
+)
+def band_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey").cast("string")
+    prize = F.element_at(F.array(*map(F.lit, ("金 最優秀", "銀", "銅 代表"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    lines = F.array(F.lit("Ａ組 審査結果"), F.concat(F.lit("9 東京都立K"), key, F.lit(" 高等学校 "), prize), F.lit("B組 8日"), F.concat(F.lit("10 都立K"), key, F.lit("高等学校 金")), F.concat(F.lit("11 私立K"), key, F.lit(" 金")))
+    supplier = S.table(spark, sf_dir, "supplier")
+    rows = supplier.select(F.col("s_suppkey").alias("file"), F.posexplode(lines).alias("pos", "line")).withColumn("pos", F.col("pos") + 1)
+    return extraction.band_results(rows, supplier.select(F.concat(F.lit("K"), key).alias("name")))
+
+
+@query(
+    "award_lists",
+    """SELECT s_suppkey AS id, 'A' || s_suppkey AS name, '最優秀賞' AS award FROM supplier UNION ALL SELECT s_suppkey, 'B' || s_suppkey, '優秀賞' FROM supplier UNION ALL SELECT s_suppkey, 'C', '優秀賞' FROM supplier""",
+)
+def award_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey").cast("string")
+    article = F.concat(F.lit("開会 団体賞 ○最優秀賞　都立A"), key, F.lit("高校「劇」 ◯優秀賞／B"), key, F.lit("『作』、C「他」 ◎会場の案内 ＊講師 ○講師賞 D「不」"))
+    return S.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.explode(extraction.award_chunks(article)).alias("a")).select("id", "a.name", "a.award")

@@ -162,9 +162,22 @@ def read_html(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract(name, "^([^_]+)_", 1).alias("number"), F.regexp_replace(name, "^[^_]+_", "").alias("slug"), decoded("content").alias("html"))
 
 
+@F.pandas_udf(T.StringType())
+def json_prefix(x: pd.Series) -> pd.Series:
+    """The JSON value that a text begins with, over as many lines as it has; null where there is none."""
+
+    def first(v: str | None) -> str | None:
+        try:
+            return None if v is None else v[: json.JSONDecoder().raw_decode(v)[1]]
+        except ValueError:
+            return None
+
+    return x.map(first)
+
+
 def embedded_json(page: Column, marker: str) -> Column:
-    """The JSON text of a literal after a marker, up to the end of its line or the statement's end."""
-    return F.nullif(F.regexp_extract(page, marker + r"\s*([\[{].*?[\]}])\s*;?\s*(?:\n|$|</script)", 1), F.lit(""))
+    """The JSON text of the literal that follows a marker."""
+    return json_prefix(F.nullif(F.regexp_extract(page, "(?s)" + marker + r"\s*(.*)", 1), F.lit("")))
 
 
 def read_key_urls(spark: SparkSession, path: str) -> DataFrame:

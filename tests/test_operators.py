@@ -110,3 +110,22 @@ def test_dictionary_numbers_are_dense(spark):
     numbered, _ = rollups.encode(words, "g", "w")
     got = sorted((r.word, r.number) for r in numbered.collect())
     assert [n for _, n in got] == list(range(100))
+
+
+def test_long_paths_end_without_a_bound_of_rounds(spark):
+    rows = [(("s%d" % i, "L"), ("s%d" % (i + 1), "L"), 0.5) for i in range(12)]
+    edges = spark.createDataFrame(rows, "src struct<station: string, line: string>, dst struct<station: string, line: string>, minutes double")
+    start = spark.createDataFrame([("s0",)], "station string")
+    ends = {small: {(r.station, r.minutes) for r in graph.shortest_paths(edges, start, small=small).collect()} for small in (0, 100)}
+    assert ends[0] == ends[100] and ("s12", 10.0) in ends[0]
+
+
+def test_answer_tells_status_and_offers(spark):
+    engine = Engine(S.of(spark, SF, S.SCHOOLS), S.of(spark, SF, S.COMMUTE))
+    asked = search_queries.requests(spark, SF).withColumn("station", F.when(F.col("req_id") == 1, None).when(F.col("req_id") == 2, "none").otherwise(F.col("station")))
+    told, rows = engine.answer(asked)
+    by = {r.req_id: r for r in told.collect()}
+    assert (by[1].status, by[1].error, by[2].status) == (400, "station_required", 404)
+    counts = {r.req_id: r["count"] for r in rows.groupBy("req_id").count().collect()}
+    assert all(r["count"] == counts.get(r.req_id, 0) and (r.options is not None) == (r.status == 200 and r["count"] == 0) for r in by.values())
+    assert rows.where("text is null or tier_reason = '' or sources.commute is null").isEmpty()

@@ -123,3 +123,9 @@ def test_sinks(spark, tmp_path):
     assert not (tmp_path / "bad").exists()
     report = sinks.markdown(rows, "T", most=1)
     assert "… 1 more rows" in report and report.startswith("# T")
+
+
+def test_embedded_json_over_lines_and_brackets(spark):
+    page = 'x\nconst D = {"a": "};\\n]",\n "b": [1, {"c": 2}]};\nconst E = 1;'
+    got = spark.range(1).select(readers.embedded_json(F.lit(page), "const D ="), readers.embedded_json(F.lit(page), "const F ="), readers.embedded_json(F.lit(page), "const ")).first()
+    assert json.loads(got[0]) == {"a": "};\n]", "b": [1, {"c": 2}]} and got[1] is None and got[2] is None
