@@ -1,10 +1,10 @@
 """Quality classifier: naive Bayes support vectors over n-gram indicators.
 
-The features of a text are the set of its byte bigrams and trigrams (hashed) and of its word bigrams,
-trigrams and 5-grams reduced to whether all their words are equal. Each indicator is scaled by the log-ratio of its smoothed
+The features of a text are the set of its words and word bigrams (hashed), of its byte bigrams and trigrams
+(hashed), and of its word bigrams, trigrams and 5-grams reduced to whether all their words are equal. Each indicator is scaled by the log-ratio of its smoothed
 counts in the two classes; texts are brought to length 1; a linear model of squared hinge loss is fitted
 by dual coordinate descent, with the classes weighted evenly; margins become scores between 0 and 1 by
-a logistic curve fitted on a part of the rows kept back from the descent.
+a logistic curve fitted on a part of the rows kept back from the ratios and the descent.
 
 Only the fit is bounded: it uses at most about ``FIT_ROWS`` labelled rows, drawn by a hash of the id. All
 rows are scored, over whole texts, without a shuffle.
@@ -31,11 +31,11 @@ FIT_ROWS = 8_000
 #: A score from here on predicts label 1.
 THRESHOLD = 0.3
 
-_PAIRS, _TRIPLES = 1 << 16, 1 << 17
+_PAIRS, _TRIPLES, _GRAMS = 1 << 16, 1 << 17, 1 << 17
 #: Lengths of word n-grams of which only "all words are equal" and "not all" are features.
 _RUNS = (2, 3, 5)
-#: Number of features: byte pairs, hashed byte triples, and the runs.
-SIZE = _PAIRS + _TRIPLES + 2 * len(_RUNS)
+#: Number of features: byte pairs, hashed byte triples, hashed words and word bigrams, and the runs.
+SIZE = _PAIRS + _TRIPLES + 2 * _GRAMS + 2 * len(_RUNS)
 
 
 def features(column: pa.Array) -> Iterator[np.ndarray]:
@@ -45,6 +45,8 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
     wide = raw.astype(np.uint32)
     pairs = (wide[:-1] << 8) | wide[1:]
     triples = _PAIRS + ((((pairs[:-1] << 8) | wide[2:]) * np.uint32(2654435761)) >> np.uint32(15))
+    single = _PAIRS + _TRIPLES + (words.hashes >> np.uint64(47)).astype(np.int64)
+    double = _PAIRS + _TRIPLES + _GRAMS + (text.combine(words.hashes, 2) >> np.uint64(47)).astype(np.int64)
     seen = np.zeros(SIZE, bool)
     for d in range(len(offsets) - 1):
         a, b = offsets[d], offsets[d + 1]
@@ -52,6 +54,9 @@ def features(column: pa.Array) -> Iterator[np.ndarray]:
             seen[pairs[a : b - 1]] = True
         if b - a > 2:
             seen[triples[a : b - 2]] = True
+        first, last = words.first[d], words.first[d + 1]
+        seen[single[first:last]] = True
+        seen[double[first : max(last - 1, first)]] = True
         steps = np.diff(words.hashes[words.first[d] : words.first[d + 1]]) == 0
         for k, n in enumerate(_RUNS):
             if len(steps) >= n - 1:
@@ -136,8 +141,9 @@ def fit(rows: list[np.ndarray], labels: list[int]) -> Model:
     if y[~back].min() == y[~back].max():
         back[:] = False
     counts = np.ones((2, SIZE))
-    for row, label in zip(rows, labels, strict=True):
-        counts[label, row] += 1
+    for row, label, kept in zip(rows, labels, back, strict=True):
+        if not kept:
+            counts[label, row] += 1
     ratio = np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum())).astype(np.float32)
 
     def unit(row: np.ndarray) -> np.ndarray:
