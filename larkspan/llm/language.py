@@ -8,7 +8,10 @@ For each document and language l, the log-posterior is the sum of
     all documents.
 The last three are counts over all documents, of what the text alone says, by grouped aggregation. Host
 priors are broadcast up to ``HOSTS`` hosts and joined beyond. Only the text model is fitted on a sample:
-at most about ``FIT_ROWS`` rows drawn by hash, labelled by their declared language.
+at most about ``FIT_ROWS`` rows labelled by their declared language, of each language the same number, drawn by hash
+(of a rarer one all), so that no declared language is lost as the table grows.
+The ``LANGUAGES`` most declared languages have a column of their own; rarer ones share the language ``OTHER``. As
+evidence the ``VALUES`` most frequent declarations, and suffixes, are told apart; rarer ones count together.
 
 Evidence that is null is left out. A document is accepted if its best language has at least ``CONFIDENCE``
 of the posterior and, where a set of languages is asked for, is one of them.
@@ -32,6 +35,10 @@ from larkspan.llm import store, text
 
 #: Rows that the text model is fitted on, at most, in expectation.
 FIT_ROWS = 20_000
+#: Declared languages that have a column of their own, at most, and the name of all others.
+LANGUAGES, OTHER = 200, "und"
+#: Declared languages, and suffixes, that are told apart as evidence, at most.
+VALUES = 2_000
 #: Hosts up to which the table of priors is broadcast.
 HOSTS = 100_000
 #: Weight of a trigram's log-likelihood, and the most that the text may say for one language over another.
@@ -118,14 +125,30 @@ def page_evidence(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     return evidence(view, id_col="id", declared="lang", host="host", suffix=F.regexp_extract("host", r"\.([a-z]+)$", 1))
 
 
-def fit_text(facts: DataFrame, fit_rows: int = FIT_ROWS) -> TextModel:
-    """The text model of the declared languages of a sample of at most about ``fit_rows`` rows."""
+def _sizes(facts: DataFrame, most: int) -> tuple[dict[str, int], int]:
+    """Rows of the ``most`` most declared languages (of equal counts the first by name), and of all others together."""
+    counts = store.written(facts.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n")), "declared")
+    named = {r.declared: r.n for r in counts.orderBy(F.col("n").desc(), "declared").limit(most).collect()}
+    return named, (counts.agg(F.sum("n")).first()[0] or 0) - sum(named.values())
+
+
+def fit_text(facts: DataFrame, fit_rows: int = FIT_ROWS, most: int = LANGUAGES) -> TextModel:
+    """The text model of at most about ``fit_rows`` declared rows, dealt evenly to the languages.
+
+    Beyond the ``most`` most declared languages, the others are one: ``OTHER``.
+    """
     spark = facts.sparkSession
     store.bounded_batches(spark)
-    labelled = facts.where("declared is not null")
-    total = labelled.count()
-    if total > fit_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.col("id").cast("string"), "declared"), F.lit(1 << 30)) < int(fit_rows / total * (1 << 30)))
+    named, others = _sizes(facts, most)
+    each = fit_rows / max(len(named) + (others > 0), 1)
+
+    def below(n: int) -> int:
+        return int(min(each / n, 1.0) * (1 << 30)) if n else 0
+
+    known = F.map_from_arrays(F.lit(list(named)).cast("array<string>"), F.lit([below(n) for n in named.values()]).cast("array<long>"))
+    share = F.coalesce(F.try_element_at(known, F.col("declared")), F.lit(below(others)))
+    kept = facts.where("declared is not null").where(F.pmod(F.xxhash64(F.col("id").cast("string"), "declared"), F.lit(1 << 30)) < share)
+    labelled = kept.withColumn("declared", F.when(F.map_contains_key(known, F.col("declared")), F.col("declared")).otherwise(OTHER))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -182,13 +205,17 @@ def _by_language(counts: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 
 def _channel(counts: DataFrame, key: str, n: int) -> dict[str, np.ndarray]:
-    """log P(value | language) of a declared language or suffix; None is a value never seen.
+    """log P(value | language) of a declared language or suffix.
 
-    As many values as there are declared languages or suffixes.
+    The ``VALUES`` most frequent values have their own; None is any other, seen or not.
     """
-    rows = {r[key]: np.array(r["counts"]) for r in _by_language(counts, [key], n).collect()}
-    total = sum(rows.values(), np.zeros(n)) + CHANNEL * (len(rows) + 1)
-    return {value: np.log((own + CHANNEL) / total) for value, own in [*rows.items(), (None, np.zeros(n))]}
+    grouped = store.written(_by_language(counts, [key], n).withColumn("all", F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)), "channel")
+    rows = {r[key]: np.array(r["counts"]) for r in grouped.orderBy(F.col("all").desc(), key).limit(VALUES).collect()}
+    sums = grouped.agg(*(F.sum(F.get("counts", F.lit(i))) for i in range(n))).first()
+    whole = np.array([x or 0.0 for x in sums])
+    total = whole + CHANNEL * (len(rows) + 1)
+    rare = whole - sum(rows.values(), np.zeros(n))
+    return {value: np.log((own + CHANNEL) / total) for value, own in [*rows.items(), (None, rare)]}
 
 
 def _priors(counts: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:

@@ -67,3 +67,23 @@ def test_text_alone_is_right_on_documents(spark):
     got = language.identify(language.evidence(docs)).collect()
     sure = [r for r in got if r.text_language is not None]
     assert sum(r.text_language == r.declared for r in sure) >= 0.95 * len(sure)
+
+
+def test_rare_languages_keep_their_model_and_the_rest_is_one(spark):
+    rows = [(i, t, "en", "a.example.com") for i, t in enumerate(texts(400, "en", 1))] + [(1000 + i, t, "de", "b.example.de") for i, t in enumerate(texts(8, "de", 2))] + [(2000 + i, t, "fr", "c.example.fr") for i, t in enumerate(texts(6, "fr", 3))]
+    facts = language.evidence(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    model = language.fit_text(facts, fit_rows=60)
+    assert model.languages == ["de", "en", "fr"]
+    assert all(r.language == r.declared for r in language.identify(facts, fit_rows=60).collect())
+    assert language.fit_text(facts, most=2).languages == ["de", "en", language.OTHER]
+    assert language.fit_text(facts, most=1).languages == ["en", language.OTHER]
+    assert language.fit_text(facts.limit(0)).languages == []
+
+
+def test_rare_values_count_together(spark, monkeypatch):
+    counts = spark.createDataFrame([("en", 0, 9), ("de", 1, 5), ("fr", 1, 2), ("it", 0, 1)], "declared string, said int, n long")
+    whole = language._channel(counts, "declared", 2)
+    monkeypatch.setattr(language, "VALUES", 2)
+    pooled = language._channel(counts, "declared", 2)
+    assert set(whole) == {"en", "de", "fr", "it", None} and set(pooled) == {"en", "de", None}
+    assert pooled[None][1] > pooled["en"][1] and abs(sum(2.718281828 ** pooled[x][0] for x in pooled) - 1) < 1e-6
