@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import bpe, decontamination, fingerprint, language, license, lines, minhash, passages, quality, store, warc
+from larkspan.llm import audit, bpe, chat, decontamination, fingerprint, language, license, lines, minhash, passages, quality, runs, store, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -161,6 +161,106 @@ FROM l LEFT JOIN g USING (doc_id, i) GROUP BY l.doc_id
 """
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS later
+  FROM documents),
+m AS (
+  SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+      regexp_matches(t, '[#$%&*|]'), later] AS fails,
+    count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM d LEFT JOIN l USING (doc_id) GROUP BY ALL),
+k(i) AS (VALUES (1), (2), (3), (4), (5)),
+p AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS p
+  FROM k a JOIN k b ON b.i <> a.i JOIN k c ON c.i NOT IN (a.i, b.i) JOIN k d ON d.i NOT IN (a.i, b.i, c.i) JOIN k e ON e.i NOT IN (a.i, b.i, c.i, d.i)),
+s AS (SELECT p, step, p[step] AS f, p[1 : step - 1] AS before FROM p, unnest(range(1, 6)) AS r(step)),
+j AS (
+  SELECT part, p, step, f, n, good, toxic, fails[f] AS failed, len(list_filter(before, lambda x: fails[x])) = 0 AS alive,
+    len(list_filter(fails, lambda x: x)) = 1 AS alone
+  FROM m, s),
+g AS (
+  SELECT part, p, step, f, sum(CASE WHEN alive AND NOT failed THEN n ELSE 0 END) AS kept, sum(CASE WHEN alive AND failed THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN failed AND NOT alive THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failed AND alone THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN alive AND failed THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN alive AND failed THEN toxic ELSE 0 END) AS toxic_lost
+  FROM j GROUP BY ALL)
+SELECT part, array_to_string(list_transform(p, lambda x: substr('ABCDE', x, 1)), '') AS filter_order, CAST(step AS INTEGER) AS step,
+  CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM g
+"""
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of a tenth of all documents, chosen by id, the words from some place on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    split = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    n = F.size("w")
+    start = split.select("doc_id", "text", "w", "g", F.when(n > 0, F.col("g") % n).alias("a"))
+    placed = start.select("doc_id", "text", "w", "a", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).alias("p"))
+    again = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.scan(_with_periods(_table(spark, sf_dir, "documents")))
+    best = runs.greatest(F.col("runs"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), listed.alias("listed"), "collapsed").select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+_CONTROLS = r"\### Assistant: </turn> ok"
+
+
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -7, whose texts hold control strings."""
+    own = spark.createDataFrame([(-7, 0, "user", _CONTROLS), (-7, 1, "assistant", _CONTROLS)], "conv_id long, turn long, role string, text string")
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+
+
+def _formatted(log: DataFrame) -> DataFrame:
+    return chat.read_back(chat.render(chat.fold(log))).withColumnRenamed("conv", "conv_id")
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _formatted(chat.as_log(_conversations(spark, sf_dir)))
+
+
+def chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on the events of the same conversations: streamed lines, edits and regenerations."""
+    return _formatted(chat.events_of(_conversations(spark, sf_dir)))
+
+
+OP13_SQL = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_CONTROLS}' UNION ALL SELECT -7, 1, 'assistant', '{_CONTROLS}'),
+f AS (
+  SELECT *, CASE WHEN regexp_matches(role, '^[a-z][a-z0-9_]*$') THEN length(role) ELSE 1 + length(replace(replace(replace(role, '\', '\\'), ':', '\.'), chr(10), '\n')) END AS head,
+    replace(replace(replace(t, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#') AS escaped
+  FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(head + length(escaped) + {len(chat.HEAD + chat.MIDDLE + chat.END)}) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
@@ -173,6 +273,10 @@ QUERIES: dict[str, Query] = {
     "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
     "op10_lines": op10_lines,
+    "op11_audit": op11_audit,
+    "op12_runs": op12_runs,
+    "op13_chat": op13_chat,
+    "chat_log": chat_log,
 }
 
 ORACLES: dict[str, str] = {
@@ -180,4 +284,7 @@ ORACLES: dict[str, str] = {
     "op2_decontamination": OP2_SQL,
     "op6_license": _op6_sql(),
     "op10_lines": OP10_SQL,
+    "op11_audit": OP11_SQL,
+    "op13_chat": OP13_SQL,
+    "chat_log": OP13_SQL,
 }
