@@ -28,6 +28,9 @@ from pyspark.sql.types import DataType, IntegerType, LongType, StringType, Struc
 #: Bytes of text that the chains of the map side hold before they are sent on.
 HELD = 16 << 20
 
+#: Rows to one routed partition, and most partitions: of more rows each sorts more, on disk where they don't fit in memory.
+ROUTED, MOST = 10_000, 50_000
+
 #: Fewest words; distinct words in percent of words; capitals in percent of code points.
 LEAST_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT = 200, 50, 2
 _CAPITALS, _SIGNS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
@@ -126,9 +129,8 @@ def masks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pa
     spark = docs.sparkSession
     source = docs.select(F.col(id_col), F.col(part_col).cast("string"), F.col(text_col))
     kind = source.schema[0].dataType
-    rows = source.rdd
-    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * rows.getNumPartitions())
-    routed = rows.mapPartitions(lambda x: _own_chains(x, hashed, held)).repartitionAndSortWithinPartitions(count, lambda key: key % count)
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(source.count() // ROUTED, MOST))
+    routed = source.rdd.mapPartitions(lambda x: _own_chains(x, hashed, held)).repartitionAndSortWithinPartitions(count, lambda key: key % count)
     found = routed.mapPartitions(_met_chains).flatMap(lambda one: [(one[0], part, one[1], n) for part, n in one[2].items()])
     return _frame(docs, found, [("id", kind), ("part", StringType()), ("mask", IntegerType()), ("n", LongType())])
 

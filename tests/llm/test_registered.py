@@ -18,7 +18,7 @@ def test_same_rows(spark, con, name):
     oracle.same(spark, con, queries.QUERIES[name], queries.ORACLES[name])
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_one_query_for_each_operator(n):
     assert len([q for q in queries.QUERIES if q.startswith(f"op{n}_")]) == 1
 
