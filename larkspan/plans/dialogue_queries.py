@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspan.operators import dialogue
 from larkspan.plans import standins as S
 from larkspan.session import shared_folder
-from larkspan.streaming import sessions
+from larkspan.streaming import sessions, turns
 
 QUERIES, ORACLES, query = S.registry()
 
@@ -194,15 +194,91 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(source).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
 
 
-@query("streaming_session_state")
+def _through_stream(updates: DataFrame, out: str, mode: str) -> DataFrame:
+    """What a stream gave, once all that is there has gone through it."""
+    write = updates.writeStream.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/result/batch={n}"))
+    write.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return updates.sparkSession.read.parquet(f"{out}/result")
+
+
+_GAPS = """g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 24 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)"""
+
+
+@query(
+    "streaming_session_state",
+    f"""WITH {_GAPS}, l AS (SELECT user_id, max(session) AS session FROM s GROUP BY user_id)
+SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS events, round(sum(value), 2) AS total, arg_max(event_type, (ts, event_id)) AS last_type FROM s JOIN l USING (user_id, session) GROUP BY user_id""",
+)
 def streaming_session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last state of each user's session, after the events went through the stream once."""
-    out = shared_folder(spark, "stream")
+    """The last session of each user, after the events went through the stream once."""
     updates = sessions.session_state(_streamed(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")))
-    job = updates.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/state/batch={n}")).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    job.awaitTermination()
-    state = spark.read.parquet(f"{out}/state").where("not expired")
-    return state.groupBy("user_id").agg(F.max(F.struct("events", "total", "last_type")).alias("s")).select("user_id", "s.*")
+    state = _through_stream(updates, shared_folder(spark, "stream"), "update").where("not expired")
+    last = state.groupBy("user_id").agg(F.max_by(F.struct("started", "ended", "events", "total", "last_type"), F.struct("ended", "events")).alias("s"))
+    return last.select("user_id", "s.started", "s.ended", "s.events", F.round("s.total", 2).alias("total"), "s.last_type")
+
+
+#: Conversations as turns of a dialogue, hours apart: utterances, answers of searches with offers, and what is said to these.
+_TURNS = f"""
+SELECT u.session, u.turn, CAST(u.turn * 3 + 26 * floor((u.turn + u.session % 3) / 3) AS BIGINT) AS hour,
+  CASE (u.session + u.turn) % 4 WHEN 1 THEN NULL WHEN 2 THEN r.text ELSE u.text END AS text,
+  CASE WHEN (u.session + u.turn) % 4 = 1 THEN u.session % 4 END AS k, CASE u.turn % 3 WHEN 0 THEN 'station' WHEN 1 THEN 'wants' END AS asked
+FROM ({S.UTTERANCES}) u JOIN ({_REPLIES}) r ON u.session = r.session AND u.turn = r.turn"""
+_STATES = [*(f"{k}" for k in ("station", *dialogue.NUMERIC, "priority", "dept"))]
+_OPTIONS = "['commute_15', 'club_similar', 'score_range']"
+_JOINED = ("course_types", "clubs", "relaxations", "offered")
+
+
+def _fold_sql() -> str:
+    """A step of the recursion for each turn: the session before it, what the turn is, and the session after it."""
+    hints = ", ".join(f"CASE WHEN regexp_matches(v.text, '{p}') THEN '{k}' END" for k, p in dialogue.HINTS.items())
+    keep = lambda a: f"CASE WHEN fresh THEN NULL ELSE {a} END"
+    lists = ("course_types", "clubs")
+    before = ", ".join([*(f"{keep(f'r_{k}')} AS b_{k}" for k in _STATES), "CASE WHEN fresh THEN false ELSE r_academic END AS b_academic", *(f"CASE WHEN fresh THEN CAST([] AS VARCHAR[]) ELSE r_{k} END AS b_{k}" for k in (*lists, "relaxations", "offered"))])
+    both = lambda k: f"list_concat(b_{k}, e_{k})"
+    merged = ", ".join(
+        [
+            *(f"CASE WHEN done = 'slots' THEN coalesce(e_{k}, b_{k}) ELSE b_{k} END" for k in _STATES),
+            "CASE WHEN done = 'slots' THEN b_academic OR coalesce(e_academic, false) ELSE b_academic END",
+            *(f"CASE WHEN done = 'slots' THEN {_UNIQUE.format(both(k))} ELSE b_{k} END" for k in lists),
+            "CASE WHEN done = 'accepted' AND NOT list_contains(b_relaxations, key) THEN list_append(b_relaxations, key) ELSE b_relaxations END",
+            "CASE done WHEN 'offer' THEN offers WHEN 'unclear' THEN b_offered ELSE CAST([] AS VARCHAR[]) END",
+        ]
+    )
+    columns = [*_STATES, "academic", *lists, "relaxations", "offered"]
+    none = ", ".join([*("CAST(NULL AS VARCHAR)" if k in ("station", "priority", "dept") else "CAST(NULL AS INTEGER)" for k in _STATES), "false", *["CAST([] AS VARCHAR[])"] * 4])
+    return rf"""{_SLOTS.replace(S.ctes(u0=S.UTTERANCES), S.ctes(u0=_TURNS))},
+v AS (SELECT *, list_filter([{hints}], lambda x: x IS NOT NULL) AS named, CASE WHEN k IS NOT NULL THEN {_OPTIONS}[1:k] END AS offers,
+  regexp_matches(text, '{dialogue.YES}') AS yes, regexp_matches(text, '{dialogue.NO}') AS no, regexp_matches(text, '{dialogue.UNCLEAR}') AS vague, regexp_matches(text, '[1-9１-９]') AS digits,
+  CAST(translate(nullif(coalesce(nullif(regexp_extract(text, '^([1-9１-９])\s*[。.]?$', 1), ''), regexp_extract(text, '([1-9１-９])\s*(?:番|つ目|つめ)', 1)), ''), '１２３４５６７８９', '123456789') AS INT) AS number FROM u0 v),
+e AS (SELECT v.*, {", ".join(f"s.{k} AS e_{k}" for k in columns[:-2])}, row_number() OVER (PARTITION BY v.session ORDER BY v.turn) AS rn,
+  CASE WHEN asked = 'station' THEN s.station IS NULL AND NOT s.declines ELSE true END AS wants FROM v JOIN slots s ON s.session = v.session AND s.turn = v.turn),
+r(session, rn, turn, hour, number, done, calls, allowed, {", ".join(f"r_{k}" for k in columns)}) AS (
+  SELECT session, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 0, CAST(NULL AS VARCHAR), 0, CAST(NULL AS BOOLEAN), {none} FROM (SELECT DISTINCT session FROM e)
+  UNION ALL
+  SELECT session, rn, turn, CASE WHEN done = 'unclear' AND last IS NOT NULL AND NOT fresh THEN last ELSE hour END, sessions + CAST(fresh AS INTEGER), done,
+    used + CAST(done = 'slots' AND wants AND used < 3 AS INTEGER), used < 3, {merged}
+  FROM (
+    SELECT *, CASE WHEN offers IS NOT NULL THEN 'offer' WHEN len(b_offered) = 0 OR text = '' THEN 'slots' WHEN no THEN 'declined' WHEN vague AND NOT yes AND NOT digits AND len(named) = 0 THEN 'unclear'
+        WHEN number <= len(b_offered) THEN 'accepted' WHEN len(hits) = 1 THEN 'accepted' WHEN len(hits) > 1 THEN 'unclear' WHEN yes AND len(b_offered) = 1 THEN 'accepted' WHEN yes THEN 'unclear' ELSE 'slots' END AS done,
+      CASE WHEN number <= len(b_offered) THEN b_offered[number] WHEN len(hits) = 1 THEN hits[1] ELSE b_offered[1] END AS key
+    FROM (
+      SELECT *, list_filter(b_offered, lambda x: list_contains(named, x)) AS hits
+      FROM (SELECT *, {before} FROM (SELECT e.*, r.hour AS last, r.number AS sessions, r.calls AS used, {", ".join(f"r.r_{k}" for k in columns)}, r.hour IS NULL OR e.hour > r.hour + 24 AS fresh FROM r JOIN e ON e.session = r.session AND e.rn = r.rn + 1)))))
+SELECT session, turn, number AS session_no, done, {", ".join(f"r_{k} AS {k}" for k in _STATES)}, r_academic AS academic, {", ".join(f"array_to_string(r_{k}, ',') AS {k}" for k in _JOINED)}, calls, allowed FROM r WHERE rn > 0"""
+
+
+@query("streaming_dialogue", _fold_sql())
+def streaming_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of each session after each turn: slots, the open offer and the calls made, folded on a stream."""
+    source = S.table(spark, sf_dir, "conversations").schema
+    spoken = spark.readStream.schema(source).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/conversations.parquet*")
+    said = spark.sql(_TURNS, conversations=spoken.select("conv_id", "turn"))
+    options = F.array(*(F.lit(x) for x in _OFFERED[3]))
+    said = said.select("session", "turn", F.timestamp_seconds(F.lit(1704067200) + F.col("hour") * 3600).alias("at"), "text", "asked", F.when(F.col("k").isNotNull(), F.slice(options, 1, F.coalesce("k", F.lit(0)).cast("int"))).alias("offers"))
+    with turns.state_store(spark):
+        rows = _through_stream(turns.fold_turns(turns.read_turns(said, asked="asked"), most=3), shared_folder(spark, "stream"), "append")
+    return rows.where("turn is not null").select("session", "turn", "session_no", "done", *_STATES, "academic", *(F.array_join(k, ",").alias(k) for k in _JOINED), "calls", "allowed")
 
 
 @query("streaming_upsert", "SELECT user_id, count(*) AS n, max(ts) AS at FROM events GROUP BY user_id")

@@ -12,32 +12,38 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 #: Milliseconds after which a session without an event ends.
 TTL_MS = 24 * 3600 * 1000
 
-OUTPUT = "user_id long, events long, total double, last_type string, expired boolean"
-STATE = "events long, total double, last_type string, last_at long"
+OUTPUT = "user_id long, started timestamp, ended timestamp, events long, total double, last_type string, expired boolean"
+STATE = "started long, ended long, events long, total double, last_type string"
+
+
+def _row(key: tuple, state: tuple, expired: bool) -> dict[str, object]:
+    started, ended, events, total, last_type = state
+    return {"user_id": key[0], "started": pd.Timestamp(started, unit="us"), "ended": pd.Timestamp(ended, unit="us"), "events": events, "total": total, "last_type": last_type, "expired": expired}
 
 
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Events in the order of their time; one that comes more than the time to live after the last begins another session."""
     if state.hasTimedOut:
-        events, total, last_type, _ = state.get
+        yield pd.DataFrame([_row(key, state.get, True)])
         state.remove()
-        yield pd.DataFrame({"user_id": [key[0]], "events": [events], "total": [total], "last_type": [last_type], "expired": [True]})
         return
-    events, total, last_type, last_at = state.get if state.exists else (0, 0.0, None, 0)
-    for pdf in frames:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        events += len(pdf)
-        total += float(pdf["value"].sum())
-        newest = pdf.iloc[-1]
-        at = int(newest["ts"].timestamp() * 1000)
-        if at >= last_at:
-            last_type, last_at = newest["event_type"], at
-    state.update((events, total, last_type, last_at))
-    state.setTimeoutTimestamp(last_at + TTL_MS)
-    yield pd.DataFrame({"user_id": [key[0]], "events": [events], "total": [total], "last_type": [last_type], "expired": [False]})
+    now = state.get if state.exists else None
+    rows = []
+    events = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+    for ts, value, kind in zip(events["ts"], events["value"], events["event_type"], strict=True):
+        at, worth = ts.value // 1000, 0.0 if pd.isna(value) else float(value)
+        if now and at > now[1] + TTL_MS * 1000:
+            rows.append(_row(key, now, True))
+            now = None
+        started, ended, n, total, last_type = now or (at, at, 0, 0.0, None)
+        now = (min(started, at), max(ended, at), n + 1, total + worth, kind if at >= ended else last_type)
+    state.update(now)
+    state.setTimeoutTimestamp(now[1] // 1000 + TTL_MS + 1)
+    yield pd.DataFrame([*rows, _row(key, now, False)])
 
 
 def session_state(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Running state of each user's session, in update mode; a session that expires is reported once more.
+    """Running state of each user's session, in update mode; a session that ends, by a gap or on time, is reported once more.
 
     events: event_id, ts, user_id, event_type, value.
     """
