@@ -2,35 +2,76 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Columns and words that give persons away.
-PERSON_COLUMNS = ("氏名", "名前", "選手", "生徒名", "name_person", "player", "student_name")
-PERSON_TEXT = r"[一-龥]{1,4}[\s　]+[一-龥]{1,4}(選手|さん|君)|\([1-3１-３]年\)|（[1-3１-３]年）"
+# Columns and words that give persons away; in a column's name in any case of letters.
+PERSON_COLUMNS = ("氏名", "名前", "選手名", "name", "student", "学年", "grade")
+PERSON_TEXT = r"(さん|君|くん|選手)(?![権団])|[一-龥]{1,2}\s[一-龥]{1,2}\s*(?:さん|君|選手)"
 
 
-def forbidden_columns(rows: DataFrame, forbidden: tuple[str, ...] = PERSON_COLUMNS) -> list[str]:
-    return [c for c in rows.columns if c in forbidden]
+@dataclass(frozen=True)
+class PersonRule:
+    """What a source must not hold: words in some columns (None: in any), and columns by part of their name or by their whole name."""
 
+    pattern: str | None = PERSON_TEXT
+    columns: tuple[str, ...] | None = None
+    forbidden: tuple[str, ...] = ()
+    whole: bool = False
 
-def check_columns(rows: DataFrame, forbidden: tuple[str, ...] = PERSON_COLUMNS) -> DataFrame:
-    if found := forbidden_columns(rows, forbidden):
+    def forbids(self, columns: list[str]) -> list[str]:
+        if self.whole:
+            return [c for c in columns if c in self.forbidden]
+        return [c for c in columns if any(k.lower() in c.lower() for k in self.forbidden)]
+
+    def broken(self, columns: list[str]) -> dict[str, Column]:
+        """For each column that is looked at, whether it names a person."""
+        looked = [c for c in columns if self.pattern and (self.columns is None or c in self.columns)]
+        return {c: F.coalesce(F.col(c).cast("string").rlike(f"(?U){self.pattern}"), F.lit(False)) for c in looked}
+
+
+# The checks of each source of results. What a page may hold differs: where baseball is played there are pitchers, "君" also ends the names of schools.
+PERSON_RULES = {
+    "attributed": PersonRule(forbidden=PERSON_COLUMNS),
+    "baseball": PersonRule("さん|君|くん|選手(?![権団])|投手|捕手|本塁打", ("school", "rank", "event", "division")),
+    "drama": PersonRule("作：|さん|君|くん", ("school", "rank")),
+    "dance": PersonRule("さん|くん|[^校]君|選手(?![権団])|作[:：]", ("line",)),
+    "art": PersonRule(r"[一-龥]{1,4}[\s　]+[一-龥]{1,4}", ("school",)),
+    "athletics": PersonRule(None, forbidden=("name", "選手名", "grade", "record"), whole=True),
+}
+
+
+def check_columns(rows: DataFrame, rule: PersonRule = PERSON_RULES["attributed"]) -> DataFrame:
+    """The rows; a column that a person's data would have ends the job before it begins."""
+    if found := rule.forbids(rows.columns):
         raise ValueError(f"columns of persons: {', '.join(found)}")
     return rows
 
 
-def person_cells(rows: DataFrame, key: str, columns: list[str], pattern: str = PERSON_TEXT) -> DataFrame:
+def person_cells(rows: DataFrame, key: str, columns: list[str], rule: PersonRule = PERSON_RULES["attributed"]) -> DataFrame:
     """Every cell that names a person: key, column, value."""
-    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns)))
-    return rows.select(key, cells.alias("cell")).select(key, "cell.*").where(F.col("value").rlike(pattern))
+    cells = F.array(*(F.when(bad, F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))) for c, bad in rule.broken(columns).items()))
+    return rows.select(key, F.explode(F.array_compact(cells)).alias("cell")).select(key, "cell.*")
+
+
+def person_cells_by_source(rows: DataFrame, key: str, source: str, columns: list[str], rules: dict[str, PersonRule] = PERSON_RULES) -> DataFrame:
+    """The same for rows of several sources, each with its own rule, in one pass; a source without a rule has the common one."""
+    common = PERSON_RULES["attributed"]
+    known = F.coalesce(F.col(source).isin(*rules), F.lit(False))
+    cells = [
+        F.when(condition & bad, F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")))
+        for condition, rule in [*((F.col(source) == name, rule) for name, rule in rules.items()), (~known, common)]
+        for c, bad in rule.broken(columns).items()
+    ]
+    return rows.select(key, source, F.explode(F.array_compact(F.array(*cells))).alias("cell")).select(key, source, "cell.*")
 
 
-def gate(rows: DataFrame, columns: list[str], pattern: str = PERSON_TEXT) -> DataFrame:
+def gate(rows: DataFrame, columns: list[str], rule: PersonRule = PERSON_RULES["attributed"]) -> DataFrame:
     """The rows; one that names a person ends the job."""
-    bad = reduce(lambda a, b: a | b, (F.coalesce(F.col(c).cast("string").rlike(pattern), F.lit(False)) for c in columns))
+    bad = reduce(lambda a, b: a | b, rule.broken(columns).values())
     return rows.where(F.when(bad, F.raise_error(F.lit("a row names a person")).isNull()).otherwise(True))
 
 

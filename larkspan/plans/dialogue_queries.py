@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspan.operators import dialogue
 from larkspan.plans import standins as S
 from larkspan.session import shared_folder
+from larkspan.sources.snapshots import Folded, Store
 from larkspan.streaming import sessions, turns
 
 QUERIES, ORACLES, query = S.registry()
@@ -284,6 +285,25 @@ def streaming_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("streaming_upsert", "SELECT user_id, count(*) AS n, max(ts) AS at FROM events GROUP BY user_id")
 def streaming_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_folder(spark, "stream")
-    job = _streamed(spark, sf_dir).writeStream.foreachBatch(sessions.upsert_batches(f"{out}/counters")).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    job.awaitTermination()
-    return sessions.counters(spark, f"{out}/counters")
+    table = sessions.counters(Store(spark, f"{out}/store"))
+    _added(sessions.counted(_streamed(spark, sf_dir)), table, out)
+    return table.read()
+
+
+@query(
+    "streaming_key_values",
+    """WITH l AS (SELECT user_id, max(ts) AS at FROM events GROUP BY user_id), v AS (SELECT CAST(user_id AS VARCHAR) AS key, at, max(event_type || ':' || event_id) AS value FROM events JOIN l USING (user_id) WHERE ts = at GROUP BY ALL)
+SELECT key, value, at FROM v WHERE at + INTERVAL 24 HOUR > (SELECT max(ts) - INTERVAL 48 HOUR FROM events)""",
+)
+def streaming_key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last value put of each key, of those that hadn't expired two days before the last event."""
+    out = shared_folder(spark, "stream")
+    table = sessions.values(Store(spark, f"{out}/store"))
+    put = F.concat("event_type", F.lit(":"), F.col("event_id").cast("string"))
+    _added(_streamed(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), F.col("ts").alias("at"), put.alias("value"), (F.col("ts") + F.expr("INTERVAL 24 HOURS")).alias("expires_at")), table, out)
+    now = S.table(spark, sf_dir, "events").agg((F.max("ts") - F.expr("INTERVAL 48 HOURS")).alias("now"))
+    return table.read().join(F.broadcast(now), F.col("expires_at") > F.col("now")).select("key", "value", "at")
+
+
+def _added(stream: DataFrame, table: Folded, out: str) -> None:
+    stream.writeStream.foreachBatch(table.add).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspan.operators import extraction
 from larkspan.plans import standins as S
 from larkspan.session import shared_folder
-from larkspan.sources import readers, sinks
+from larkspan.sources import readers, sinks, snapshots
 
 QUERIES, ORACLES, query = S.registry()
 
@@ -72,11 +72,11 @@ def key_value_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("refreshed_tables", "SELECT r_name, count(n_nationkey) AS nations FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
 def refreshed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parents and children replaced whole, twice, and joined from what was written."""
-    path = shared_folder(spark, "refresh")
+    """Parents and children switched together, twice, and joined from the newest version."""
+    store = snapshots.Store(spark, shared_folder(spark, "refresh"))
     for _ in range(2):
-        sinks.refresh({n: S.table(spark, sf_dir, n) for n in ("region", "nation")}, path, partition={"nation": "n_regionkey"})
-    region, nation = (spark.read.parquet(f"{path}/{n}") for n in ("region", "nation"))
+        store.publish({n: S.table(spark, sf_dir, n) for n in ("region", "nation")}, checks={"nation": {"no region": F.col("n_regionkey").isNull()}})
+    region, nation = store.read("region"), store.read("nation")
     return region.join(nation, F.col("r_regionkey") == F.col("n_regionkey"), "left").groupBy("r_name").agg(F.count("n_nationkey").alias("nations"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from larkspan.sources.snapshots import Folded, Store
+
 #: Milliseconds after which a session without an event ends.
 TTL_MS = 24 * 3600 * 1000
 
@@ -56,19 +58,25 @@ def hourly_counts(events: DataFrame, who: str = "user_id", late: str = "1 hour")
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), who).agg(F.count("*").alias("n")).select(who, F.col("window.start").alias("hour"), "n")
 
 
-def upsert_batches(target: str):
-    """A ``foreachBatch`` function that adds each batch's counts to a Parquet table of counters, by batch number.
+def counters(store: Store) -> Folded:
+    """A table of counters by user that micro-batches add to, exact when one is run again; ``add`` is for ``foreachBatch``."""
 
-    A batch that is run again overwrites its own part, so that counts are exact after a failure.
-    """
+    def fold(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("user_id").agg(F.sum("n").alias("n"), F.max("at").alias("at"))
+
+    return Folded(store, "counters", fold)
+
+
+def counted(events: DataFrame) -> DataFrame:
+    """Events as rows of the table of counters."""
+    return events.select("user_id", F.lit(1).cast("long").alias("n"), F.col("ts").alias("at"))
 
-    def write(batch: DataFrame, number: int) -> None:
-        counts = batch.groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("at"))
-        counts.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    return write
+def values(store: Store) -> Folded:
+    """A table of key, value and expiry that micro-batches put values to: of each key the one put last, ``at`` and then by value."""
 
+    def fold(rows: DataFrame) -> DataFrame:
+        last = F.max(F.struct("at", "value", "expires_at")).alias("v")
+        return rows.groupBy("key").agg(last).select("key", "v.at", "v.value", "v.expires_at")
 
-def counters(spark, target: str) -> DataFrame:
-    """The counters that ``upsert_batches`` has written so far."""
-    return spark.read.parquet(target).groupBy("user_id").agg(F.sum("n").alias("n"), F.max("at").alias("at"))
+    return Folded(store, "values", fold)

@@ -92,12 +92,37 @@ def test_gates(spark):
     with pytest.raises(Exception, match="names a person"):
         quality.gate(rows, ["text"]).collect()
     assert quality.gate(rows.where("id = 2"), ["text"]).count() == 1
-    with pytest.raises(ValueError, match="選手"):
-        quality.check_columns(rows.withColumnRenamed("text", "選手"))
     with pytest.raises(ValueError, match="unknown or missing"):
         quality.tagged_union({"a": rows, "b": rows.drop("text")})
 
 
+@pytest.mark.parametrize("column", ["選手名", "学年", "grade", "name", "student", "氏名", "名前", "School_Name", "生徒の名前"])
+def test_columns_of_persons_are_refused(spark, column):
+    with pytest.raises(ValueError, match=column):
+        quality.check_columns(spark.createDataFrame([("x",)], f"`{column}` string"))
+
+
+def test_columns_by_whole_name(spark):
+    rule = quality.PERSON_RULES["athletics"]
+    assert rule.forbids(["school_name", "grades", "選手"]) == [] and rule.forbids(["name", "record", "school"]) == ["name", "record"]
+    quality.check_columns(spark.createDataFrame([("x",)], "school_name string"), rule)
+
+
+PERSONS = [
+    ("attributed", "山田太郎さん", True), ("attributed", "田中くん", True), ("attributed", "鈴木選手", True), ("attributed", "選手権大会", False), ("attributed", "選手団", False), ("attributed", "君権", False),
+    ("attributed", "山田\u3000太郎 君", True), ("attributed", "優勝", False), ("attributed", None, False), ("baseball", "先発投手", True), ("baseball", "選手権", False), ("baseball", "本塁打王", True), ("drama", "作：x", True),
+    ("drama", "作:x", False), ("drama", "選手", False), ("dance", "高校君", False), ("dance", "王君", True), ("dance", "作:x", True), ("art", "新宿 山吹", True), ("art", "新宿山吹", False), ("athletics", "山田太郎さん", False),
+    ("unknown", "鈴木さん", True), (None, "鈴木さん", True),
+]
+
+
+def test_persons_by_source(spark):
+    rows = spark.createDataFrame([(i, s, t, t, t) for i, (s, t, _) in enumerate(PERSONS)], "id int, source string, school string, line string, other string")
+    found = {(r.id, r.column) for r in quality.person_cells_by_source(rows, "id", "source", ["school", "line", "other"]).collect()}
+    looked = {"attributed": ("school", "line", "other"), "dance": ("line",), "baseball": ("school",), "drama": ("school",), "art": ("school",), "athletics": ()}
+    assert found == {(i, c) for i, (s, _, bad) in enumerate(PERSONS) if bad for c in looked.get(s, looked["attributed"])}
+
+
 def test_empty_rows(spark):
     empty = spark.createDataFrame([], "school long, division string, meet string, rank string, official boolean, seq long")
     assert rollups.best_achievement(empty, ["school", "division"]).count() == 0

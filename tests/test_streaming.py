@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from larkspan.sources.snapshots import Store
 from larkspan.streaming import sessions, turns
 from tests.oracle import SF
 
@@ -31,12 +32,19 @@ def test_session_state_folds_batches(spark, tmp_path):
 
 
 def test_upsert_is_exact_when_a_batch_runs_again(spark, tmp_path):
-    write = sessions.upsert_batches(str(tmp_path / "out"))
-    batch = spark.read.parquet(f"{SF}/events.parquet")
-    write(batch, 0)
-    write(batch, 0)
-    write(batch.limit(0), 1)
-    assert sessions.counters(spark, str(tmp_path / "out")).agg(F.sum("n")).first()[0] == batch.count()
+    table = sessions.counters(Store(spark, f"file://{tmp_path}"))
+    batch = sessions.counted(spark.read.parquet(f"{SF}/events.parquet"))
+    for part, number in ((batch, 0), (batch, 0), (batch.limit(0), 1), (batch, 2)):
+        table.add(part, number)
+    assert table.read().agg(F.sum("n")).first()[0] == 2 * batch.count()
+
+
+def test_the_value_put_last_counts(spark, tmp_path):
+    table = sessions.values(Store(spark, f"file://{tmp_path}"))
+    rows = lambda *r: spark.createDataFrame(r, "key string, at int, value string, expires_at int")
+    table.add(rows(("a", 2, "x", 9), ("b", 1, "y", 9)), 0)
+    table.add(rows(("a", 1, "late", 9), ("b", 3, "z", 10)), 1)
+    assert {tuple(r) for r in table.read().collect()} == {("a", 2, "x", 9), ("b", 3, "z", 10)}
 
 
 def test_a_gap_of_more_than_a_day_begins_another_session(spark, tmp_path):
