@@ -20,57 +20,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.llm import store, text
 
 #: Words of a window.
 N = 10
-#: Windows that one broadcast set holds (at most about 100 MB with their words).
-BLOCK = 500_000
+#: Windows that one broadcast set holds, in expectation; 32 bytes of words count as a window as well. A set takes 30 bytes a window and its words.
+BLOCK, WORD_BYTES = 500_000, 32
 
 _SPANS = "array<struct<start:int,end:int>>"
 SCHEMA = f"n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans {_SPANS}"
 
 
+class _Length:
+    """Windows of one length: their hashes in order, where their words are in a buffer, and the items of each."""
+
+    def __init__(self, hashes: list[np.ndarray], starts: list[np.ndarray], ends: list[np.ndarray], owners: list[np.ndarray], words: np.ndarray) -> None:
+        every, start, end, owner = (np.concatenate(x) for x in (hashes, starts, ends, owners))
+        order = np.argsort(every, kind="stable")
+        every, start, end, owner = every[order], start[order], end[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        self.hashes, self.first = every[first], np.concatenate([first, [len(every)]])
+        self.start, self.end, self.owner, self.words = start, end, owner, words
+        self.filter = np.zeros(1 << 22, bool)
+        self.filter[self.hashes >> np.uint64(42)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions whose hashes are known, and the numbers of these."""
+        at = np.flatnonzero(self.filter[hashes >> np.uint64(42)])
+        place = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        same = self.hashes[place] == hashes[at]
+        return at[same], place[same]
+
+    def items(self, number: int, said: bytes) -> set[int]:
+        """The items that have these words in a window of a known hash."""
+        own = slice(self.first[number], self.first[number + 1])
+        groups = zip(self.start[own].tolist(), self.end[own].tolist(), self.owner[own].tolist(), strict=True)
+        return {o for s, e, o in groups if self.words[s:e].tobytes() == said}
+
+
 class Windows:
-    """Windows of benchmark items by length and hash, with their words and item ids."""
+    """Windows of benchmark items by length, of rows of item id and its words, joined by one space."""
 
     def __init__(self, rows: list[tuple[str | None, str]], n: int) -> None:
-        self.by_length: dict[int, dict[int, dict[bytes, set[str | None]]]] = {}
-        for item, words in rows:
-            parts = text.Words(pa.array([words]))
-            total = int(parts.counts()[0])
-            length = min(n, total)
-            if not length:
+        self.ids = list(dict.fromkeys(item for item, _ in rows))
+        number = {x: i for i, x in enumerate(self.ids)}
+        parts = text.Words(pa.array([words for _, words in rows], pa.string()))
+        by_length: dict[int, list[list[np.ndarray]]] = {}
+        for (item, _), first, last in zip(rows, parts.first[:-1].tolist(), parts.first[1:].tolist(), strict=True):
+            if not (length := min(n, last - first)):
                 continue
-            group = self.by_length.setdefault(length, {})
-            for i, h in enumerate(text.combine(parts.hashes, length).tolist()):
-                group.setdefault(h, {}).setdefault(parts.bytes_of(i, i + length), set()).add(item)
-        self.sorted = {m: np.array(sorted(g), np.uint64) for m, g in self.by_length.items()}
-        self.filter = {m: self._filter(a) for m, a in self.sorted.items()}
-
-    @staticmethod
-    def _filter(hashes: np.ndarray) -> np.ndarray:
-        out = np.zeros(1 << 22, bool)
-        out[hashes >> np.uint64(42)] = True
-        return out
-
-    def hits(self, words: text.Words) -> Iterator[tuple[int, int, set[str]]]:
+            hashes = text.combine(parts.hashes[first:last], length)
+            made = hashes, parts.start[first : last - length + 1], parts.end[first + length - 1 : last], np.full(len(hashes), number[item], np.int32)
+            for column, x in zip(by_length.setdefault(length, [[], [], [], []]), made, strict=True):
+                column.append(x)
+        self.by_length = {m: _Length(*columns, parts.lower) for m, columns in by_length.items()}
+
+    def hits(self, words: text.Words) -> Iterator[tuple[int, int, set[str | None]]]:
         """First word, length and items of each verified occurrence."""
-        for m, known in self.sorted.items():
-            hashes = text.combine(words.hashes, m)
-            at = np.flatnonzero(self.filter[m][hashes >> np.uint64(42)])
-            if not len(at):
-                continue
-            place = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
-            at = at[known[place] == hashes[at]]
+        for m, known in self.by_length.items():
+            at, numbers = known.find(text.combine(words.hashes, m))
             inside = np.searchsorted(words.first, at, "right") == np.searchsorted(words.first, at + m - 1, "right")
-            for i in at[inside].tolist():
-                items = self.by_length[m][int(hashes[i])].get(words.bytes_of(i, i + m))
-                if items:
-                    yield i, m, items
+            for i, number in zip(at[inside].tolist(), numbers[inside].tolist(), strict=True):
+                if found := known.items(number, words.bytes_of(i, i + m)):
+                    yield i, m, {self.ids[x] for x in found}
 
 
 class _Block:
@@ -131,19 +147,33 @@ def _columns(n_words: np.ndarray, n_hit: np.ndarray, items: list[list[str]], spa
 _NAMES = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block: int) -> list[list[tuple[str | None, str]]]:
-    """The items in blocks of at most ``block`` windows (a single longer item is a block)."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    out: list[list[tuple[str | None, str]]] = [[]]
-    held = 0
-    for row in items.toLocalIterator(prefetchPartitions=False):
-        size = max(1, int(text.Words(pa.array([row.t])).counts()[0]) - n + 1)
-        if out[-1] and held + size > block:
-            out.append([])
-            held = 0
-        out[-1].append((row.i, row.t))
-        held += size
-    return out
+def _pieces(benchmark: DataFrame, item_col: str, text_col: str, n: int, block: int) -> DataFrame:
+    """item, words (normalised, joined by one space) and weight of each piece of at most ``block`` windows."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("words")).where("words is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text.slices(batches):
+            words = text.Words(part.column(1))
+            rows = []
+            for item, first, last in zip(part.column(0).to_pylist(), words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+                for start in range(first, max(last - n + 1, first + min(1, last - first)), block):
+                    piece = words.bytes_of(start, min(last, start + block + n - 1))
+                    rows.append((item, piece.decode("utf-8"), min(block, max(last - start - n + 1, 1)) + len(piece) // WORD_BYTES))
+            columns = zip(*rows, strict=True) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["item", "words", "weight"])
+
+    return items.mapInArrow(run, "item string, words string, weight long")
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block: int) -> tuple[DataFrame, int]:
+    """The pieces with the number of their block, and how many blocks there are."""
+    pieces = store.written(_pieces(benchmark, item_col, text_col, n, block), "benchmark")
+    count = -(-(pieces.agg(F.sum("weight")).first()[0] or 0) // block) or 1
+    return pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(count))), count
+
+
+def _block(pieces: DataFrame, number: int) -> list[tuple[str | None, str]]:
+    return [(r.item, r.words) for r in pieces.where(F.col("block") == number).select("item", "words").collect()]
 
 
 def scan(
@@ -160,20 +190,29 @@ def scan(
     """Per document: its id, words, hit words, items found (ids and digest), and the hit spans in words."""
     spark = docs.sparkSession
     store.bounded_batches(spark)
-    blocks = _blocks(benchmark, item_col, item_text_col, n, block)
+    pieces, count = _blocks(benchmark, item_col, item_text_col, n, block)
     source = docs.select(F.col(id_col), F.col(text_col))
     id_field = source.schema[0]
-    schema = f"`{id_field.name}` {id_field.dataType.simpleString()}, {SCHEMA}"
-    if len(blocks) == 1:
-        return source.mapInArrow(_scanner(spark, blocks[0], n, id_field.name), schema)
+    if count == 1:
+        scanner = _scanner(_broadcast(spark, _block(pieces, 0), n), id_field.name)
+        return source.mapInArrow(scanner, f"`{id_field.name}` {id_field.dataType.simpleString()}, {SCHEMA}")
     (row,) = store.fresh(source, "row")
     numbered = store.written(source.select(F.monotonically_increasing_id().alias(row), "*"), "scan-documents")
-    parts = [numbered.mapInArrow(_scanner(spark, b, n, id_field.name, skip=1), f"{row} long, {schema}") for b in blocks]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    merged = _merged(numbered, text_col, row, pieces, count, n)
+    return numbered.select(row, id_field.name).join(merged, row).drop(row)
+
+
+def _merged(numbered: DataFrame, text_col: str, row: str, pieces: DataFrame, count: int, n: int) -> DataFrame:
+    """row and the columns of ``scan`` of all blocks together, on texts as they are; one block is broadcast at a time."""
+    spark = numbered.sparkSession
+    source = numbered.select(row, F.col(text_col))
+    parts = []
+    for number in range(count):
+        shared = _broadcast(spark, _block(pieces, number), n)
+        parts.append(store.written(source.mapInArrow(_scanner(shared, row), f"{row} long, {SCHEMA}"), "scan-block"))
+        shared.destroy()
+    found = functools.reduce(DataFrame.unionByName, parts)
     merged = found.groupBy(row).agg(
-        F.first(id_field.name).alias(id_field.name),
         F.first("n_words").alias("n_words"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.sort_array(F.flatten(F.collect_list("spans"))).alias("parts"),
@@ -190,10 +229,8 @@ def scan(
         ).otherwise(F.concat(acc, F.array(x))),
     )
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
-    return merged.select(
-        id_field.name, "n_words", "items", spans.alias("spans")
-    ).select(
-        id_field.name,
+    return merged.select(row, "n_words", "items", spans.alias("spans")).select(
+        row,
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -204,15 +241,19 @@ def scan(
     )
 
 
-def _scanner(spark, rows: list[tuple[str, str]], n: int, id_name: str, skip: int = 0):
-    shared = spark.sparkContext.broadcast(_Block(rows, n))
+def _broadcast(spark: SparkSession, rows: list[tuple[str | None, str]], n: int) -> Broadcast:
+    return spark.sparkContext.broadcast(_Block(rows, n))
+
+
+def _scanner(shared: Broadcast, key: str):
+    """key, text -> key and what the scan of one block finds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value.windows
-        for part in text.slices(batches, skip + 1):
-            words = text.Words(part.column(skip + 1))
+        for part in text.slices(batches):
+            words = text.Words(part.column(1))
             n_hit, items, spans = _report(words, windows)
-            yield pa.RecordBatch.from_arrays([*part.columns[: skip + 1], *_columns(words.counts(), n_hit, items, spans)], [*part.schema.names[: skip + 1], *_NAMES])
+            yield pa.RecordBatch.from_arrays([part.column(0), *_columns(words.counts(), n_hit, items, spans)], [key, *_NAMES])
 
     return run
 
@@ -236,16 +277,46 @@ def remove(
         raise ValueError(f"what is document or span, not {what}")
     spark = docs.sparkSession
     store.bounded_batches(spark)
-    out = docs
     at = docs.columns.index(text_col)
-    for rows in _blocks(benchmark, item_col, item_text_col, n, block):
-        out = out.mapInArrow(_remover(spark, rows, n, at, what), docs.schema)
-    return out
+    pieces, count = _blocks(benchmark, item_col, item_text_col, n, block)
+    if count == 1:
+        return docs.mapInArrow(_remover(_broadcast(spark, _block(pieces, 0), n), at, what), docs.schema)
+    row, found = store.fresh(docs, "row", "found")
+    numbered = store.written(docs.select(F.monotonically_increasing_id().alias(row), "*"), "remove-documents")
+    hits = _merged(numbered, text_col, row, pieces, count, n).where("contaminated").select(row, F.col("spans").alias(found))
+    if what == "document":
+        return numbered.join(hits, row, "left_anti").select(*docs.columns)
+    return numbered.join(hits, row, "left").select(*docs.columns, found).mapInArrow(_cutter(at), docs.schema)
+
+
+def _cut(part: pa.RecordBatch, at: int, words: text.Words, spans: list[list[dict[str, int]] | None]) -> pa.Array:
+    """Texts without the bytes of their spans."""
+    values = part.column(at).to_pylist()
+    _, offsets = text.utf8(part.column(at))
+    for d, own in enumerate(spans):
+        if not own:
+            continue
+        raw, kept, last = values[d].encode(), [], 0
+        for span in own:
+            kept.append(raw[last : words.start[words.first[d] + span["start"]] - offsets[d]])
+            last = words.end[words.first[d] + span["end"] - 1] - offsets[d]
+        values[d] = b"".join([*kept, raw[last:]]).decode()
+    return pa.array(values, part.schema.field(at).type)
+
+
+def _cutter(at: int):
+    """Rows with their spans as a last column -> rows without these words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text.slices(batches, at):
+            columns = list(part.columns[:-1])
+            columns[at] = _cut(part, at, text.Words(part.column(at)), part.column(part.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
+
+    return run
 
-def _remover(spark, rows: list[tuple[str, str]], n: int, at: int, what: str):
-    shared = spark.sparkContext.broadcast(_Block(rows, n))
 
+def _remover(shared: Broadcast, at: int, what: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value.windows
         for part in text.slices(batches, at):
@@ -254,16 +325,8 @@ def _remover(spark, rows: list[tuple[str, str]], n: int, at: int, what: str):
             if what == "document":
                 yield part.filter(pa.array(n_hit == 0))
                 continue
-            values = part.column(at).to_pylist()
-            _, offsets = text.utf8(part.column(at))
-            for d in np.flatnonzero(n_hit):
-                raw, kept, last = values[d].encode(), [], 0
-                for span in spans[d]:
-                    kept.append(raw[last : words.start[words.first[d] + span["start"]] - offsets[d]])
-                    last = words.end[words.first[d] + span["end"] - 1] - offsets[d]
-                values[d] = b"".join([*kept, raw[last:]]).decode()
             columns = list(part.columns)
-            columns[at] = pa.array(values, part.schema.field(at).type)
+            columns[at] = _cut(part, at, words, spans)
             yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
     return run

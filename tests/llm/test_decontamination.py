@@ -70,6 +70,36 @@ def test_remove(spark):
         decontamination.remove(docs, items, what="x")
 
 
+@pytest.mark.parametrize("block", [decontamination.BLOCK, 5, 1])
+def test_cuts_do_not_depend_on_blocks(spark, block):
+    docs = spark.createDataFrame([(1, "x1 a b c d e x2"), (2, "c d e, a b c"), (3, "a b"), (4, None)], DOC_TYPE)
+    items = spark.createDataFrame([(1, "a b c"), (2, "c d e"), (3, "x2"), (4, "q " * 30)], "item_id long, text string")
+    cut = {r.doc_id: r.text for r in decontamination.remove(docs, items, n=3, what="span", block=block).collect()}
+    assert cut == {1: "x1 ", 2: "", 3: "a b", 4: None}
+    assert {r.doc_id for r in decontamination.remove(docs, items, n=3, block=block).collect()} == {3, 4}
+
+
+@pytest.mark.parametrize("block", [3, 7])
+def test_an_item_of_many_windows_goes_in_overlapping_pieces(spark, block):
+    words = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame([("long", " ".join(words)), ("short", "w1 W2")], "item_id string, text string")
+    pieces = decontamination._pieces(items, "item_id", "text", 4, block).collect()
+    assert all(len(p.words.split()) <= block + 3 for p in pieces)
+    docs = [(i, " ".join(words[i : i + 4])) for i in range(37)] + [(99, "w1 w2 w4 w5")]
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontamination.scan(spark.createDataFrame(docs, DOC_TYPE), items, n=4, block=block).collect()}
+    assert all("long" in got[i][1] and got[i][0] == 4 for i in range(37))
+    assert got[99] == (2, ["short"])
+
+
+def test_a_set_of_windows_takes_no_more_than_its_arrays():
+    import sys
+
+    windows = decontamination.Windows([(str(i), " ".join(f"word{i * 31 + k}" for k in range(200))) for i in range(500)], 10)
+    (known,) = windows.by_length.values()
+    arrays = sum(a.nbytes for a in (known.hashes, known.first, known.start, known.end, known.owner))
+    assert len(known.hashes) == 500 * 191 and arrays < 40 * len(known.hashes) and sys.getsizeof(windows.ids) < 10_000
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame(DOCS, DOC_TYPE), spark.createDataFrame([], "item_id long, text string")
     assert decontamination.scan(docs, items).where("n_hit > 0").count() == 0
