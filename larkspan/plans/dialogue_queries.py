@@ -292,8 +292,8 @@ def streaming_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "streaming_key_values",
-    """WITH l AS (SELECT user_id, max(ts) AS at FROM events GROUP BY user_id), v AS (SELECT CAST(user_id AS VARCHAR) AS key, at, max(event_type || ':' || event_id) AS value FROM events JOIN l USING (user_id) WHERE ts = at GROUP BY ALL)
-SELECT key, value, at FROM v WHERE at + INTERVAL 24 HOUR > (SELECT max(ts) - INTERVAL 48 HOUR FROM events)""",
+    """WITH l AS (SELECT user_id, max(ts) AS at FROM events GROUP BY user_id), v AS (SELECT CAST(user_id AS VARCHAR) AS key, l.at AS put, max(event_type || ':' || event_id) AS value FROM events JOIN l USING (user_id) WHERE ts = l.at GROUP BY ALL)
+SELECT key, value, put AS at FROM v WHERE put + INTERVAL 24 HOUR > (SELECT max(ts) - INTERVAL 48 HOUR FROM events)""",
 )
 def streaming_key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last value put of each key, of those that hadn't expired two days before the last event."""
