@@ -94,7 +94,7 @@ def test_an_item_of_many_windows_goes_in_overlapping_pieces(spark, block):
 def test_a_set_of_windows_takes_no_more_than_its_arrays():
     import sys
 
-    windows = decontamination.Windows([(str(i), " ".join(f"word{i * 31 + k}" for k in range(200))) for i in range(500)], 10)
+    windows = decontamination.Windows([(str(i), " ".join(f"word{i * 1000 + k}" for k in range(200))) for i in range(500)], 10)
     (known,) = windows.by_length.values()
     arrays = sum(a.nbytes for a in (known.hashes, known.first, known.start, known.end, known.owner))
     assert len(known.hashes) == 500 * 191 and arrays < 40 * len(known.hashes) and sys.getsizeof(windows.ids) < 10_000
