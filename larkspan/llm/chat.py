@@ -169,14 +169,14 @@ def fold(log: DataFrame, *, conv_col: str = "conv_id", seq_col: str = "seq", mes
         folded = _fold(_rows(batches, 5, kinds))
         yield from _batched(folded, lambda: [*kinds[:3], pa.int32(), pa.string(), pa.string(), kinds[2]], _FOLDED, 5)
 
-    folded = dealt.mapInArrow(run, schema).repartitionByRange("conv", "seq").withColumn("range", F.spark_partition_id())
-    return _surviving(store.written(folded, "messages"))
+    return _surviving(store.written(dealt.mapInArrow(run, schema), "messages"))
 
 
 def _surviving(folded: DataFrame) -> DataFrame:
     """Messages that no cut ended: none of a later sequence goes back to before the message was opened."""
     messages = folded.where("role is not null")
-    points = folded.select("conv", "message", "seq", "nth", "range", "low", F.col("role").isNull().alias("cut"))
+    points = folded.select("conv", "message", "seq", "nth", "low", F.col("role").isNull().alias("cut"))
+    points = store.written(points.repartitionByRange("conv", "seq").withColumn("range", F.spark_partition_id()), "points")
     later = Window.partitionBy("conv", "range").orderBy(F.col("seq").desc(), "cut").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     beyond = Window.partitionBy("conv").orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     lows = points.groupBy("conv", "range").agg(F.min("low").alias("low"))
