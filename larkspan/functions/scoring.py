@@ -146,12 +146,13 @@ def match_score(
     return reduce(lambda a, b: a + b, parts).cast("int")
 
 
-def reasons(minutes: Column, via: Column, tier: Column, priority: Column, academic: Column, designation: Column, dept: Column, dept_fits: Column, clubs: Column) -> Column:
-    """Why a candidate scores, as an array of phrases."""
+def reasons(minutes: Column, via: Column, mode: Column, tier: Column, priority: Column, academic: Column, designation: Column, dept: Column, dept_fits: Column, clubs: Column) -> Column:
+    """Why a candidate scores, as an array of phrases; a way whose mode isn't known is walked."""
     no = F.lit(False)
+    leg = F.when(mode == "bus", "バス").otherwise("徒歩")
     return F.array_compact(
         F.array(
-            F.when(minutes.isNotNull(), F.concat(F.lit("通学"), minutes.cast("string"), F.lit("分（"), F.coalesce(F.concat(via.cast("string"), F.lit("駅から")), F.lit("")), F.lit("徒歩）"))),
+            F.when(minutes.isNotNull(), F.concat(F.lit("通学"), minutes.cast("string"), F.lit("分（"), F.coalesce(F.concat(via.cast("string"), F.lit("駅から")), F.lit("")), leg, F.lit("）"))),
             F.coalesce(*(F.when(tier == k, v) for k, v in TIER_LABELS.items())),
             F.when(F.coalesce((priority == "reachable") & (tier == "s"), no), "いま届きそう"),
             F.when(F.coalesce(academic, no) & designation.isNotNull(), F.concat(F.lit("大学進学重視 → "), designation)),

@@ -128,22 +128,29 @@ def token(x: Column) -> Column:
     return F.decode(F.try_to_binary(F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), F.lit("=")), F.lit("base64")), "utf-8")
 
 
-# Kana syllables, two-character ones first, in Hepburn romanisation.
-DIGRAPHS = {k + y: r + v for k, r in (("キ", "ky"), ("シ", "sh"), ("チ", "ch"), ("ニ", "ny"), ("ヒ", "hy"), ("ミ", "my"), ("リ", "ry"), ("ギ", "gy"), ("ジ", "j"), ("ビ", "by"), ("ピ", "py")) for y, v in (("ャ", "a"), ("ュ", "u"), ("ョ", "o"))}
-ROWS = {"": "アイウエオ", "k": "カキクケコ", "g": "ガギグゲゴ", "s": "サシスセソ", "z": "ザジズゼゾ", "t": "タチツテト", "d": "ダヂヅデド", "n": "ナニヌネノ", "h": "ハヒフヘホ", "b": "バビブベボ", "p": "パピプペポ", "m": "マミムメモ", "r": "ラリルレロ"}
-IRREGULAR = {"シ": "shi", "チ": "chi", "ツ": "tsu", "フ": "fu", "ジ": "ji", "ヂ": "ji", "ヅ": "zu", "ヤ": "ya", "ユ": "yu", "ヨ": "yo", "ワ": "wa", "ヲ": "o", "ン": "n"}
+# Kana in Hepburn romanisation, syllables of two characters first.
+DIGRAPHS = {
+    "キャ": "kya", "キュ": "kyu", "キョ": "kyo", "シャ": "sha", "シュ": "shu", "ショ": "sho", "チャ": "cha", "チュ": "chu", "チョ": "cho", "ニャ": "nya", "ニュ": "nyu", "ニョ": "nyo",
+    "ヒャ": "hya", "ヒュ": "hyu", "ヒョ": "hyo", "ミャ": "mya", "ミュ": "myu", "ミョ": "myo", "リャ": "rya", "リュ": "ryu", "リョ": "ryo", "ギャ": "gya", "ギュ": "gyu", "ギョ": "gyo",
+    "ジャ": "ja", "ジュ": "ju", "ジョ": "jo", "ビャ": "bya", "ビュ": "byu", "ビョ": "byo", "ピャ": "pya", "ピュ": "pyu", "ピョ": "pyo",
+}
+KANA = {
+    "ア": "a", "イ": "i", "ウ": "u", "エ": "e", "オ": "o", "カ": "ka", "キ": "ki", "ク": "ku", "ケ": "ke", "コ": "ko", "サ": "sa", "シ": "shi", "ス": "su", "セ": "se", "ソ": "so",
+    "タ": "ta", "チ": "chi", "ツ": "tsu", "テ": "te", "ト": "to", "ナ": "na", "ニ": "ni", "ヌ": "nu", "ネ": "ne", "ノ": "no", "ハ": "ha", "ヒ": "hi", "フ": "fu", "ヘ": "he", "ホ": "ho",
+    "マ": "ma", "ミ": "mi", "ム": "mu", "メ": "me", "モ": "mo", "ヤ": "ya", "ユ": "yu", "ヨ": "yo", "ラ": "ra", "リ": "ri", "ル": "ru", "レ": "re", "ロ": "ro", "ワ": "wa", "ヲ": "o", "ン": "n",
+    "ガ": "ga", "ギ": "gi", "グ": "gu", "ゲ": "ge", "ゴ": "go", "ザ": "za", "ジ": "ji", "ズ": "zu", "ゼ": "ze", "ゾ": "zo", "ダ": "da", "ヂ": "ji", "ヅ": "zu", "デ": "de", "ド": "do",
+    "バ": "ba", "ビ": "bi", "ブ": "bu", "ベ": "be", "ボ": "bo", "パ": "pa", "ピ": "pi", "プ": "pu", "ペ": "pe", "ポ": "po", "ァ": "a", "ィ": "i", "ゥ": "u", "ェ": "e", "ォ": "o",
+}
 
 
 def romaji(kana: Column) -> Column:
-    """Katakana as a Hepburn slug: digraphs first, small tsu doubles, long vowels collapse; nothing else is kept."""
-    table = DIGRAPHS | {c: r + v for r, row in ROWS.items() for c, v in zip(row, "aiueo", strict=True)} | IRREGULAR
-    out = kana
-    for k in sorted(table, key=lambda x: (-len(x), x)):
-        out = F.replace(out, F.lit(k), F.lit(table[k]))
-    out = F.regexp_replace(out, "ッ(?=ch)", "t")
-    out = F.regexp_replace(out, "ッ([a-z])", "$1$1")
-    out = F.translate(out, "ァィゥェォ", "aiueo")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "[^a-z]", ""), "o[ou]", "o"), "uu", "u")
+    """Katakana as a Hepburn slug: a small tsu doubles the next letter, ou and uu collapse; nothing else is kept."""
+    out = F.regexp_replace(kana, "[a-z]", "-")
+    for table in (DIGRAPHS, KANA):
+        for k, v in table.items():
+            out = F.replace(out, F.lit(k), F.lit(v))
+    plain = F.regexp_replace(F.regexp_replace(out, "ッ([a-z])", "$1$1"), "[^a-z]", "")
+    return F.replace(F.replace(plain, F.lit("ou"), F.lit("o")), F.lit("uu"), F.lit("u"))
 
 
 # Suffixes that go, up to twice; what is no club: words anywhere in a name, and whole names.

@@ -90,13 +90,14 @@ def _wanted_clubs(requests: DataFrame, categories: dict[str, list[str]]) -> Data
 def _matched(rows: DataFrame, clubs: DataFrame) -> DataFrame:
     """``matched``: the clubs of each candidate that contain a wanted term, by name as written or normalised; sorted.
 
-    A school's clubs are few; they are listed once a school, not once a candidate and club.
+    Matched once for each school and set of terms; only the clubs that match travel with the candidates.
     """
     listed = clubs.groupBy("school").agg(F.collect_set(F.struct("raw_name", F.lower("raw_name").alias("a"), F.lower(F.coalesce("normalized", F.lit(""))).alias("b"))).alias("listed"))
     low = F.transform("terms", F.lower)
     hits = F.filter("listed", lambda c: F.exists(low, lambda t: F.contains(c["a"], t) | F.contains(c["b"], t)))
     names = F.array_sort(F.array_distinct(F.transform(hits, lambda c: c["raw_name"])))
-    return rows.join(listed, "school", "left").withColumn("matched", F.coalesce(names, F.array().cast("array<string>"))).drop("listed")
+    sets = rows.where(F.size("terms") > 0).select("school", "terms").distinct().join(listed, "school").select("school", "terms", names.alias("matched")).where(F.size("matched") > 0)
+    return rows.join(sets, ["school", "terms"], "left").withColumn("matched", F.coalesce("matched", F.array().cast("array<string>")))
 
 
 def _of_course(asked: DataFrame, schools: DataFrame) -> DataFrame:
@@ -121,7 +122,8 @@ def candidates(requests: DataFrame, schools: DataFrame, commute: DataFrame, club
     asked = _wanted_clubs(students(asked), categories)
     limit = F.coalesce("commute_limit", F.lit(DEFAULT_LIMIT)) + F.when(F.array_contains("relaxations", "commute_15"), RELAXED_MINUTES).otherwise(0)
     asked = asked.withColumn("suggest", F.coalesce(F.col("dept") == TECHNICAL, F.lit(False)) & (F.size("course_types") == 0)).withColumn("most", limit)
-    times = commute.select("station", "school", F.col("minutes"), F.col("via"))
+    mode = F.col("access_mode") if "access_mode" in commute.columns else F.lit(None).cast("string")
+    times = commute.select("station", "school", F.col("minutes"), F.col("via"), mode.alias("access_mode"))
     within = asked.where(~F.coalesce("no_commute_limit", F.lit(False))).join(times, "station").where(F.col("minutes") <= F.col("most")).join(schools, "school")
     free = asked.where(F.coalesce("no_commute_limit", F.lit(False)))
     open_ = _of_course(free, schools).join(times, ["station", "school"], "left")
@@ -148,7 +150,7 @@ def judged(rows: DataFrame) -> DataFrame:
     judged_rows = rows.withColumn("tier", F.when(~F.coalesce(foreign, F.lit(False)), tier)).withColumn("gap", F.when(~F.coalesce(foreign, F.lit(False)) & (F.coalesce("selection_type", F.lit("")) != "no_exam"), F.col("student.score") - F.col("target_score")))
     scored = judged_rows.withColumn(
         "match_score", scoring.match_score(F.col("minutes"), F.col("tier"), F.col("priority"), F.col("academic"), F.col("designation"), fits, F.size("matched"), exact, F.size("clubs"))
-    ).withColumn("why", scoring.reasons(F.col("minutes"), F.col("via"), F.col("tier"), F.col("priority"), F.col("academic"), F.col("designation"), F.col("dept"), fits, F.col("matched")))
+    ).withColumn("why", scoring.reasons(F.col("minutes"), F.col("via"), F.col("access_mode"), F.col("tier"), F.col("priority"), F.col("academic"), F.col("designation"), F.col("dept"), fits, F.col("matched")))
     near = Window.partitionBy("req_id").orderBy(F.col("minutes").asc_nulls_last(), "school")
     return scored.withColumn("pos", F.row_number().over(near))
 

@@ -50,18 +50,40 @@ def lookback(text: Column, anchor: str, pattern: str, size: int = 300) -> Column
     return F.when(F.size(found) > 0, F.element_at(found, -1))
 
 
-def layered(text: Column, patterns: list[str]) -> Column:
-    """Matches of the first pattern that has any, layer by layer over what the layers before left."""
-    rest, out = text, None
-    for i, p in enumerate(patterns):
-        found = _layer(rest, p, i)
-        out = found if out is None else F.concat(out, found)
-        rest = F.regexp_replace(rest, p, " ")
-    return out
-
-
-def _layer(rest: Column, pattern: str, number: int) -> Column:
-    return F.transform(F.regexp_extract_all(rest, F.lit(f"({pattern})"), 1), lambda m: F.struct(F.lit(number).alias("layer"), m.alias("match")))
+def matches(text: Column, pattern: str) -> Column:
+    """All matches of a pattern from left to right: array of struct(start, end, match), by characters from 0."""
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["match"])
+        return F.struct(end.alias("at"), F.concat(acc["all"], F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("all"))
+
+    none = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)").alias("all"))
+    return F.aggregate(F.zip_with(between, found, lambda g, m: F.struct(g.alias("gap"), m.alias("match"))), none, step, lambda acc: acc["all"])
+
+
+def layered(text: Column, patterns: list[str], *, lead: str = "", first: int = 0) -> Column:
+    """Matches of patterns, layer by layer, without those that overlap a match of a layer before; in the order of the text.
+
+    array of struct(start, end, layer, match). Every layer reads the text as it is. What a match begins with and ``lead`` covers takes no room:
+    it may be shared. Layers are numbered from ``first``.
+    """
+    found = F.expr("cast(array() as array<struct<start:int,end:int,layer:int,match:string,taken:int>>)")
+    for layer, pattern in enumerate(patterns, first):
+        found = F.concat(found, _free(matches(text, pattern), found, layer, lead))
+    return F.transform(F.array_sort(found), lambda m: m.dropFields("taken"))
+
+
+def _free(new: Column, old: Column, layer: int, lead: str) -> Column:
+    """Matches of a layer that meet none that is taken."""
+
+    def placed(m: Column) -> Column:
+        head = F.length(F.regexp_extract(m["match"], f"^(?:{lead})", 0)) if lead else F.lit(0)
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(layer).alias("layer"), m["match"].alias("match"), (m["start"] + head).alias("taken"))
+
+    return F.filter(F.transform(new, placed), lambda m: ~F.exists(old, lambda t: (t["taken"] < m["end"]) & (m["taken"] < t["end"])))
 
 
 def positional(rows: DataFrame, keys: list[str], values: str, names: DataFrame, name: str = "name", pos: str = "pos") -> DataFrame:

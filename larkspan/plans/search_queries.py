@@ -47,7 +47,7 @@ r2 AS (SELECT *, CASE WHEN naishin5 BETWEEN 5 AND 25 AND jitsugi BETWEEN 4 AND 2
 r3 AS (SELECT *, coalesce(given, CAST(floor(CAST(kansan AS DOUBLE) / 65 * 500 * CAST(0.95 AS DOUBLE) + 0.5) AS INT)) AS exam, given IS NULL AND kansan IS NOT NULL AS rough FROM r2),
 r AS (SELECT *, CAST(floor(exam * CAST(1.4 AS DOUBLE) + kansan * (CAST(300 AS DOUBLE) / 65) + coalesce(e, 12) + CAST(0.5 AS DOUBLE)) AS INT) AS score FROM r3),
 j0 AS (
-  SELECT r.*, s.* EXCLUDE (school), c.school, c.minutes, c.via,
+  SELECT r.*, s.* EXCLUDE (school), c.school, c.minutes, c.via, c.access_mode,
     coalesce((SELECT list_sort(list_distinct(list(k.raw_name))) FROM k0 k WHERE k.school = c.school AND len(list_filter(r.terms, lambda t: contains(lower(k.raw_name), t) OR contains(lower(k.normalized), t))) > 0), CAST([] AS VARCHAR[])) AS matched
   FROM r JOIN c0 c ON c.station = r.station AND c.minutes <= r.commute_limit JOIN s1 s ON s.school = c.school
   WHERE NOT no_admission
@@ -65,7 +65,7 @@ j3 AS (SELECT *, CAST(near * CASE WHEN priority = 'commute' THEN 2 ELSE 1 END
   + CASE WHEN academic AND designation IS NOT NULL THEN CASE WHEN priority = 'academic' THEN 40 ELSE 10 END ELSE 0 END
   + CASE WHEN dept IS NOT NULL THEN 40 ELSE 0 END
   + CASE WHEN len(matched) > 0 THEN 30 + CASE WHEN priority = 'club' THEN CASE WHEN exact > 0 THEN 30 * least(exact, greatest(len(wanted), 1)) ELSE 10 END ELSE 0 END ELSE 0 END AS INT) AS match_score,
-  concat_ws('/', concat('通学', minutes, '分（', via, '駅から徒歩）'), CASE tier WHEN 's' THEN '安全圏' WHEN 'm' THEN '適正圏' WHEN 'c' THEN '挑戦圏' END,
+  concat_ws('/', concat('通学', minutes, '分（', via || '駅から', CASE access_mode WHEN 'bus' THEN 'バス' ELSE '徒歩' END, '）'), CASE tier WHEN 's' THEN '安全圏' WHEN 'm' THEN '適正圏' WHEN 'c' THEN '挑戦圏' END,
     CASE WHEN priority = 'reachable' AND tier = 's' THEN 'いま届きそう' END, CASE WHEN academic AND designation IS NOT NULL THEN concat('大学進学重視 → ', designation) END,
     CASE WHEN dept IS NOT NULL THEN concat('学科の希望「', dept, '」に一致') END, CASE WHEN len(matched) > 0 THEN concat('希望の部活: ', array_to_string(matched, '・')) END) AS why,
   row_number() OVER (PARTITION BY req_id ORDER BY minutes, school) AS pos FROM j2),

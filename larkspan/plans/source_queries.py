@@ -103,15 +103,23 @@ def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "applicant_tables",
-    """SELECT s_suppkey AS page, '普通科' AS department, 'K' || chr(CAST(65 + s_suppkey % 26 AS INT)) AS name, CAST(100 + s_suppkey % 200 AS INT) AS capacity, CAST(200 + s_suppkey % 300 AS INT) AS applicants, CAST(1.58 AS DOUBLE) AS ratio FROM supplier
-UNION ALL SELECT s_suppkey, '農業科', '園芸科', 35, 30, 0.86 FROM supplier""",
+    """WITH x AS (SELECT s_suppkey AS file, s_suppkey % 4 AS k, 'K' || chr(CAST(65 + s_suppkey % 26 AS INT)) AS name, 100 + s_suppkey % 200 AS capacity, 200 + s_suppkey % 300 AS wanted FROM supplier),
+r(kinds, page, department, name, capacity, wanted, ratio) AS (VALUES
+  ([0], 1, '普通科', '', 0, 0, 1.58), ([1], 1, '普通科', '-', 50, 0, 1.10), ([2], 1, '普通科', '', 0, 0, 1.58), ([0], 1, '農業科', '園芸科', 35, 30, 0.86), ([1, 2], 1, '農業科', '-', 20, 30, 0.86), ([0, 1, 2], 2, '農業科', '会計', 40, 50, 1.25))
+SELECT file, page, department, CASE r.name WHEN '' THEN x.name WHEN '-' THEN '' ELSE r.name END AS name, CAST(CASE WHEN r.capacity = 0 THEN x.capacity ELSE r.capacity END AS INT) AS capacity,
+  CAST(CASE WHEN r.wanted = 0 THEN x.wanted ELSE r.wanted END AS INT) AS applicants, CAST(ratio AS DOUBLE) AS ratio FROM x JOIN r ON list_contains(kinds, k)""",
 )
 def applicant_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of two layouts; a subtotal and a capacity that can't be go."""
+    """Pages of files whose heading tells boys and girls, which has layouts of nine and five numbers, of files that only have them, of files of three numbers, and summaries."""
+    k, name = F.col("s_suppkey") % 4, F.concat(F.lit("K"), F.char(65 + F.col("s_suppkey") % 26))
     capacity, wanted = (100 + F.col("s_suppkey") % 200).cast("string"), (200 + F.col("s_suppkey") % 300).cast("string")
-    page = F.concat(F.lit("1［普通科］ K"), F.char(65 + F.col("s_suppkey") % 26), F.lit(" "), capacity, F.lit(" "), wanted, F.lit(" 1.58 計 500 900 1.80 某校 900 950 1.06 2［農業科］ 園芸科 35 10 20 30 0.86"))
-    rows = extraction.applicants(S.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page"), page.alias("text")), ["page"])
-    return rows.select("page", "department", "name", "capacity", "applicants", "ratio")
+    head = F.when(k == 0, "男　女 計 ").when(k == 3, "令和 総括表 ").otherwise("応募状況 ")
+    nine = F.concat(name, F.lit(" 50 50 "), capacity, F.lit(" 99 50 "), wanted, F.lit(" 1.10 1.20 1.58"))
+    main = F.when(k < 2, nine).otherwise(F.concat(name, F.lit("（注） "), capacity, F.lit(" "), wanted, F.lit(" 1.58")))
+    first = F.concat(head, F.lit("1［普通科］ "), main, F.lit(" 計 500 900 1.80 某校 900 950 1.06 訂正 20 30 1.50 誤記でしました 20 30 1.50 2［農業科］ 園芸科 35 10 20 30 0.86"))
+    pages = F.array(F.struct(F.lit(1).alias("page"), first.alias("text")), F.struct(F.lit(2).alias("page"), F.lit("会計 ４０ 50 1.25").alias("text")))
+    files = S.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"), F.explode(pages).alias("p")).select("file", "p.*")
+    return extraction.applicants(files, ["file", "page"]).select("file", "page", "department", "name", "capacity", "applicants", "ratio")
 
 
 @query(
@@ -167,12 +175,20 @@ def dance_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LONG = "本校は自主自律の精神を重んじ、生徒一人一人の個性を伸ばす教育を行い、伝統ある行事を大切にしています。"
+#: Lines that could be a description, and whether they are one.
+_SAID = (
+    (_LONG, True), ("私は" + _LONG, False), ("トップ > 学校案内 > " + _LONG, False), ("教育課程" + _LONG, False), ("年間授業計画の概要、" + _LONG, False), ("災害時の対応と" + _LONG, False),
+    ("本校には奨学金があり、" + _LONG, True), ("奨学金のある" + _LONG, False), ("グランドデザインに沿い" + _LONG, True), (_LONG + "グランドデザイン", False), ("資料 (1.2 MB) " + _LONG, False), ("１２【" + _LONG, False),
+)
 
 
-@query("school_mottos", f"SELECT s_suppkey AS id, '１ 自主自律の人間を育てる ／ 心身を鍛え、健やかに' AS motto, CASE s_suppkey % 3 WHEN 0 THEN '{_LONG}' ELSE '' END AS spirit FROM supplier")
+@query(
+    "school_mottos",
+    f"SELECT p_partkey AS id, '１ 自主自律の人間を育てる ／ 心身を鍛え、健やかに' AS motto, CASE p_partkey % {len(_SAID)} {' '.join(f"WHEN {i} THEN '{x if good else ''}'" for i, (x, good) in enumerate(_SAID))} END AS spirit FROM part",
+)
 def school_mottos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short lines after the first are the motto; a description counts, an address of one's own voice or a crumb doesn't."""
-    last = _pick("s_suppkey", _LONG, "私は" + _LONG, "トップ > 学校案内 > " + _LONG)
-    lines = F.array(*map(F.lit, ("目標とするところ", "１ 自主自律の人間を育てる", "心身を鍛え、健やかに")), last)
-    said = extraction.spirit(F.concat(F.slice(lines, 1, 3), extraction.refine(F.slice(lines, 4, 1))))
-    return S.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), said.alias("s")).select("id", "s.motto", "s.spirit")
+    """Short lines after the first are the motto; a description counts, an address of one's own voice, a crumb or a heading of another page doesn't."""
+    last = F.element_at(F.array(*(F.lit(x) for x, _ in _SAID)), (F.col("p_partkey") % len(_SAID) + 1).cast("int"))
+    lines = F.array(*map(F.lit, ("目標とするところ", "１ 自主自律の人間を育てる", "心身を鍛え、健やかに")))
+    said = extraction.spirit(F.concat(lines, extraction.refine(F.array(last))))
+    return S.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), said.alias("s")).select("id", "s.motto", "s.spirit")

@@ -29,7 +29,7 @@ FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_re
 
 COMMUTE = """
 SELECT CAST(o_custkey AS STRING) AS station, l_suppkey AS school, CAST(min(l_quantity) AS INT) AS minutes,
-  CAST(min(l_quantity * 100000000 + l_partkey) AS BIGINT) % 100000000 AS via
+  CASE WHEN min(l_partkey) % 11 <> 0 THEN CAST(min(l_quantity * 100000000 + l_partkey) AS BIGINT) % 100000000 END AS via, CASE min(l_partkey) % 5 WHEN 0 THEN 'bus' WHEN 1 THEN NULL ELSE 'walk' END AS access_mode
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey"""
 
 CLUBS = """

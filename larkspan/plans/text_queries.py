@@ -154,14 +154,27 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", F.size("s").alias("n"), F.get("s", F.lit(1))["marker"].alias("second"), F.get("s", F.lit(1))["body"].alias("body"))
 
 
-_ROWS = "SELECT l_orderkey * 10 + l_linenumber AS id, concat('n', CAST(l_partkey AS STRING), ' ', CAST(CAST(l_quantity AS INT) AS STRING), ' ', CAST(l_suppkey AS STRING), CASE WHEN l_linenumber > 3 THEN ' 7 8' ELSE '' END) AS text FROM {lineitem}"
+_ROWS = """SELECT l_orderkey * 10 + l_linenumber AS id, concat('n', CAST(l_partkey AS STRING), ' ', CAST(CAST(l_quantity AS INT) AS STRING), ' ', CAST(l_suppkey AS STRING),
+  CASE l_linenumber WHEN 3 THEN ' 8' WHEN 4 THEN ' 7 8' WHEN 5 THEN ' 9 x 1 2' WHEN 6 THEN ' a 1 2 3 4 8 9' WHEN 7 THEN ' 5 6 7 y 1 2 3 4 z 8' ELSE '' END) AS text FROM {lineitem}"""
+_FOUR, _TWO = "[0-9]+ [0-9]+ [0-9]+ [0-9]+", "[0-9]+ [0-9]+"
 
 
-@query("layered_matches", rf"""{S.ctes(x0=_ROWS)}, a AS (SELECT id, regexp_extract_all(text, '[0-9]+ [0-9]+ [0-9]+ [0-9]+') AS one, regexp_replace(text, '[0-9]+ [0-9]+ [0-9]+ [0-9]+', ' ', 'g') AS rest FROM x0), b AS (SELECT id, one, regexp_extract_all(rest, '[0-9]+ [0-9]+') AS two FROM a)
-SELECT id, CASE WHEN len(one) > 0 THEN 0 ELSE 1 END AS layer, CASE WHEN len(one) > 0 THEN one[1] ELSE two[1] END AS "match", CAST(len(one) + len(two) AS INT) AS n FROM b""")
+def _matches_sql(name: str, pattern: str) -> str:
+    """Matches with their offsets: what is between them and what they are, added up."""
+    return f"""{name}0 AS (SELECT id, text, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM x0),
+{name}1 AS (SELECT id, text, m[i] AS match, length(array_to_string(g[1:i], '')) + length(array_to_string(m[1:i - 1], '')) AS a FROM {name}0, unnest(range(1, len(m) + 1)) AS r(i)),
+{name} AS (SELECT *, a + length(match) AS b FROM {name}1)"""
+
+
+@query(
+    "layered_matches",
+    f"""{S.ctes(x0=_ROWS)}, {_matches_sql("p", _FOUR)}, {_matches_sql("q", _TWO)},
+l AS (SELECT id, 0 AS layer, a, b, match FROM p UNION ALL SELECT id, 1, a, b, match FROM q WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.id = q.id AND p.text = q.text AND p.a < q.b AND q.a < p.b))
+SELECT id, CAST(layer AS INT) AS layer, CAST(a AS INT) AS "start", CAST(b AS INT) AS "end", match FROM l""",
+)
 def layered_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.of(spark, sf_dir, _ROWS).select("id", sequences.layered(F.col("text"), ["[0-9]+ [0-9]+ [0-9]+ [0-9]+", "[0-9]+ [0-9]+"]).alias("m"))
-    return found.select("id", F.get("m", F.lit(0))["layer"].alias("layer"), F.get("m", F.lit(0))["match"].alias("match"), F.size("m").alias("n"))
+    found = S.of(spark, sf_dir, _ROWS).select("id", F.explode(sequences.layered(F.col("text"), [_FOUR, _TWO])).alias("m"))
+    return found.select("id", "m.layer", "m.start", "m.end", "m.match")
 
 
 _SPELLINGS = "SELECT p_partkey AS id, concat(CASE p_partkey % 3 WHEN 0 THEN '男子' WHEN 1 THEN '女子' ELSE '' END, CASE WHEN p_partkey % 5 = 0 THEN 'バレー' ELSE replace(p_name, ' ', '') END, CASE p_partkey % 4 WHEN 0 THEN '部' WHEN 1 THEN '同好会' ELSE '' END) AS name FROM {part}"
@@ -220,10 +233,21 @@ def b64_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "events").select("event_id", F.from_json(text.token(token), "u long, t string").alias("j")).select("event_id", "j.u", "j.t")
 
 
-@query("romaji_slugs", "SELECT n_nationkey AS id, CASE n_nationkey % 7 WHEN 0 THEN 'shinjuku' WHEN 1 THEN 'tokyo' WHEN 2 THEN 'nippori' WHEN 3 THEN 'kotcho' WHEN 4 THEN 'fuaabc' WHEN 5 THEN 'chuo' ELSE 'hibiya' END AS slug FROM nation")
+#: Names in kana and their slugs.
+_SLUGS = {
+    "シンジュク": "shinjuku", "トウキョウ": "tokyo", "ニッポリ": "nippori", "コッチョウ": "koccho", "ファー・abc": "fua", "チュウオウ": "chuo", "ヒビヤ": "hibiya", "オオタ": "oota", "マッチャ": "maccha",
+    "ティーッ": "tei", "ジュウニ": "juni", "ッーカ": "ka", "ヅカ": "zuka", "ワヲン": "waon", "キャッッキャ": "kyakkya", "ビョウイン": "byoin", "イッショ": "issho", "漢字カナ": "kana",
+}
+
+
+@query(
+    "romaji_slugs",
+    "WITH x AS (SELECT p_partkey AS id, " + ", ".join(f"CASE {k} {' '.join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_SLUGS.values()))} END AS s{n}" for n, k in enumerate((f"p_partkey % {len(_SLUGS)}", f"p_size % {len(_SLUGS)}"))) + " FROM part) SELECT id, s0 || s1 AS slug FROM x",
+)
 def romaji_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kana = F.element_at(F.array(*map(F.lit, ("シンジュク", "トウキョウ", "ニッポリ", "コッチョウ", "ファー・abc", "チュウオウ", "ヒビヤ"))), F.col("n_nationkey") % 7 + 1)
-    return S.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), text.romaji(kana).alias("slug"))
+    kana = F.array(*map(F.lit, _SLUGS))
+    pick = [F.element_at(kana, (F.col(c) % len(_SLUGS) + 1).cast("int")) for c in ("p_partkey", "p_size")]
+    return S.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.romaji(F.concat_ws("・", *pick)).alias("slug"))
 
 
 @query("ordered_array_union", "WITH l AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-zÀ-ÿ]+') AS l FROM conversations), w AS (SELECT conv_id, turn, i, l[i] AS w FROM l, unnest(range(1, len(l) + 1)) AS r(i)), f AS (SELECT conv_id, w, min(turn * 10000000 + i) AS first FROM w GROUP BY ALL) SELECT conv_id, string_agg(w, ',' ORDER BY first) AS words FROM f GROUP BY conv_id")

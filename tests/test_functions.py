@@ -105,7 +105,8 @@ def test_names(spark):
     assert one(spark, text.pieces(F.lit("写真部・美術部"))) == ["写真部", "美術部"]
     assert one(spark, text.pieces(F.lit("写真・美術"))) == ["写真・美術"]
     assert one(spark, text.unescape(F.lit("&lt;a&gt; &hearts;"))) == "<a> ♥"
-    assert one(spark, text.romaji(F.lit("キッチョウ"))) == "kitcho"
+    assert one(spark, text.romaji(F.lit("キッチョウ"))) == "kiccho"
+    assert [one(spark, text.romaji(F.lit(x))) for x in ("オオタ", "コウッチ", "ッaカ", "ッ", "トオウ")] == ["oota", "kocchi", "ka", "", "too"]
 
 
 def test_json_inside(spark):
