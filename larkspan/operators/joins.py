@@ -133,44 +133,6 @@ def reconcile(official: DataFrame, reported: DataFrame) -> DataFrame:
     )
 
 
-def gazetteer(lines: DataFrame, names: DataFrame, *, suffix: str, rejected: tuple[str, ...], least: tuple[int, int] = (2, 3)) -> DataFrame:
-    """The name found in each line: first names followed by the suffix, then bare ones; the longest, then the first.
-
-    Words of a line are looked up by equality (``words``: array of struct(word, next)), so that no line meets
-    every name. A name before a rejected word doesn't count.
-    """
-    words = lines.select("line_id", F.posexplode("words").alias("pos", "w")).select("line_id", "pos", "w.word", "w.next")
-    hits = words.join(names.select(F.col("name").alias("word")).distinct(), "word").where(~F.coalesce(F.col("next").isin(*rejected), F.lit(False)))
-    suffixed = F.coalesce(F.col("next") == suffix, F.lit(False))
-    able = hits.where(F.when(suffixed, F.length("word") >= least[0]).otherwise(F.length("word") >= least[1]))
-    best = F.min(F.struct((~suffixed).alias("bare"), (-F.length("word")).alias("length"), "pos", "word"))
-    return able.groupBy("line_id").agg(best.alias("b")).select("line_id", F.col("b.word").alias("name"), (~F.col("b.bare")).alias("suffixed"))
-
-
-# What stands after a name that is a destination or a line, not a place to board.
-NOT_BOARDED = "^[」』]?\\s*駅?\\s*(行|方面|ゆき|経由|線)"
-STATION = "^[」』]?\\s*駅"
-
-
-def boarded(lines: DataFrame, names: DataFrame, keys: list[str], line: str) -> DataFrame:
-    """keys and the name of the place at which each line boards, for lines that have one.
-
-    Every part of a line of a name's length is looked up by equality, so that names are found inside words and no line
-    meets every name. A name that is a destination or a line each time doesn't count. Names of two characters that
-    are called a station come first, then any of three; the longest wins, then the first in order.
-    """
-    longest = _longest(names)
-    distinct = names.select(F.col("name").alias("__name")).distinct()
-    starts = lines.select(*keys, F.col(line).alias("__line")).where(F.length("__line") >= 2).withColumn("__at", F.explode(F.sequence(F.lit(1), F.length("__line") - 1)))
-    room = F.least(F.lit(longest), F.length("__line") - F.col("__at") + 1)
-    parts = starts.where(room >= 2).withColumn("__n", F.explode(F.sequence(F.lit(2), room))).withColumn("__name", F.substring(F.col("__line"), F.col("__at"), F.col("__n")))
-    hits = parts.join(distinct, "__name").withColumn("__rest", F.substring(F.col("__line"), F.col("__at") + F.col("__n"), F.length("__line")))
-    seen = hits.groupBy(*keys, "__name").agg(F.bool_or(F.col("__rest").rlike(STATION)).alias("called"), F.bool_or(~F.col("__rest").rlike(NOT_BOARDED)).alias("boards"))
-    able = seen.where(F.col("boards") & (F.col("called") | (F.length("__name") >= 3)))
-    best = F.min(F.struct((~F.col("called")).alias("x"), (-F.length("__name")).alias("y"), F.col("__name").alias("name")))
-    return able.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.name").alias("name"))
-
-
 def by_priority(sources: list[tuple[DataFrame, int]], keys: list[str], whole: str, value: str) -> DataFrame:
     """Rows of the strongest source that has any for ``whole``; of one strength the least value for each key."""
     every = reduce(lambda a, b: a.unionByName(b), (df.withColumn("strength", F.lit(s)) for df, s in sources))

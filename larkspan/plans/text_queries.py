@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.functions import geo, ranks, text
-from larkspan.operators import extraction, joins, pages, rollups, sequences
+from larkspan.operators import extraction, gazetteer, joins, pages, rollups, sequences
 from larkspan.plans import standins as S
 from larkspan.sources import readers
 
@@ -309,7 +309,23 @@ def gazetteer_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_id"), words.alias("w"))
     after = F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1)))
     lines = lines.select("line_id", F.zip_with("w", after, lambda a, b: F.struct(a.alias("word"), b.alias("next"))).alias("words"))
-    return joins.gazetteer(lines, S.of(spark, sf_dir, _GAZETTEER), suffix="is", rejected=("or", "and"))
+    return gazetteer.words(lines, S.of(spark, sf_dir, _GAZETTEER), suffix="is", rejected=("or", "and"))
+
+
+#: Names to be found inside words: of parts, and pieces of words; none of them begins as it ends.
+_PIECES = "SELECT DISTINCT name FROM (SELECT lower(split_part(p_name, ' ', 1)) AS name FROM {part} UNION ALL SELECT lower(split_part(p_name, ' ', 2)) FROM {part}) p WHERE length(name) > 2 UNION ALL SELECT 'tion' UNION ALL SELECT 'ention' UNION ALL SELECT 'que' UNION ALL SELECT 'the' UNION ALL SELECT 'chen' UNION ALL SELECT 'éau' UNION ALL SELECT 'th' UNION ALL SELECT '. '"
+
+
+@query(
+    "gazetteer_inside",
+    f"""{S.ctes(n0=f"SELECT DISTINCT name FROM ({_PIECES}) q")}, d AS (SELECT doc_id, lower(text) AS t FROM documents)
+SELECT doc_id, name, CAST((length(t) - length(replace(t, name, ''))) / length(name) AS INT) AS n, CAST(instr(t, name) - 1 AS INT) AS first, regexp_matches(t, replace(name, '.', '\\.') || 's') AS plural FROM d JOIN n0 ON contains(t, name)""",
+)
+def gazetteer_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name inside every document, within words too: how often, where first, and whether an s is behind one."""
+    texts = S.table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
+    found = gazetteer.inside(texts, S.of(spark, sf_dir, _PIECES), "t", marks={"plural": "s"})
+    return found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.name", "f.n", "f.first", F.col("f.plural_any").alias("plural"))
 
 
 #: Every word of the documents, and (for abbreviations) of the parts' names.
@@ -381,17 +397,28 @@ def club_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.of(spark, sf_dir, _CLUB_SPELLINGS).select("id", text.club(F.col("name")).alias("club"), text.is_club(F.col("name")).alias("is_club"))
 
 
-_WAYS = """SELECT s_suppkey AS doc, 1 AS pos, 'JR八王子駅からのご利用' AS line FROM {supplier}
-UNION ALL SELECT s_suppkey, 2, concat('バス「新宿駅行き」乗車', CAST(3 + s_suppkey % 9 AS STRING), '分 徒歩', CAST(1 + s_suppkey % 5 AS STRING), '分') FROM {supplier}
-UNION ALL SELECT s_suppkey, 3, CASE s_suppkey % 3 WHEN 0 THEN '最寄り駅から徒歩10分' WHEN 1 THEN '都営三田線平和台より徒歩7分' ELSE '有楽町線 新宿駅 徒歩12分' END FROM {supplier}"""
-_STATIONS = "SELECT name FROM VALUES ('八王子'), ('新宿'), ('平和台'), ('有楽町'), ('三田') AS t(name)"
+#: Lines of directions in turn: where one boards, destinations and lines that are no place to board, buses by other words, ways on foot instead, bicycles, wide digits.
+_WAY_LINES = (
+    ("JR八王子駅からのご利用", None), ("バス「新宿駅行き」乗車{a}分 徒歩{b}分", ("八王子", "bus", "a", "b")), ("都営三田線平和台より徒歩 ７ 分", ("平和台", "walk", None, 7)), ("有楽町線 新宿駅 徒歩{b}分", ("新宿", "walk", None, "b")),
+    ("【バス】", None), ("八王子行き、いずれか", ("新宿", "bus", None, None)), ("【徒歩】", None), ("自転車で約{a}分、歩いて{b}分", ("新宿", "walk", None, "b")), ("西八王子　駅 3番のりば 約{a}分（徒歩約{b}分）", ("西八王子", "bus", "a", None, "b")),
+    ("八王子駅下車", None), ("「学校前」下車 {a}分（駅から）徒歩約{b}分", ("八王子", "bus", "a", "b")), ("電話 03", None),
+)
+_DAY = {"a": "3 + s_suppkey % 9", "b": "1 + s_suppkey % 5"}
+_WAYS = " UNION ALL ".join("SELECT s_suppkey AS doc, {} AS pos, concat({}, '') AS line FROM {{supplier}}".format(i, "'" + line.replace("{a}", f"', CAST({_DAY['a']} AS STRING), '").replace("{b}", f"', CAST({_DAY['b']} AS STRING), '") + "'") for i, (line, _) in enumerate(_WAY_LINES))
+_STATIONS = "SELECT name FROM VALUES ('八王子'), ('西八王子'), ('新宿'), ('平和台'), ('有楽町'), ('三田') AS t(name)"
 
 
-@query(
-    "access_ways",
-    """SELECT s_suppkey AS doc, 2 AS pos, '八王子' AS station, 'bus' AS mode, CAST(3 + s_suppkey % 9 AS INT) AS ride, CAST(1 + s_suppkey % 5 AS INT) AS walk FROM supplier
-UNION ALL SELECT s_suppkey, 3, CASE s_suppkey % 3 WHEN 0 THEN '八王子' WHEN 1 THEN '平和台' ELSE '新宿' END, 'walk', NULL, CASE s_suppkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 7 ELSE 12 END FROM supplier""",
-)
+def _ways_sql() -> str:
+    def row(pos: int, station: str, mode: str, ride: object, walk: object) -> str:
+        ride, walk = ("NULL" if x is None else _DAY.get(x, x) for x in (ride, walk))
+        return f"SELECT s_suppkey AS doc, {pos} AS pos, '{station}' AS station, '{mode}' AS mode, CAST({ride} AS INT) AS ride, CAST({walk} AS INT) AS walk FROM supplier"
+
+    rows = [row(pos, *way[:4]) for pos, (_, way) in enumerate(_WAY_LINES) if way]
+    rows += [row(pos, way[0], "walk", None, way[4]) for pos, (_, way) in enumerate(_WAY_LINES) if way and len(way) > 4]
+    return " UNION ALL ".join(rows)
+
+
+@query("access_ways", _ways_sql())
 def access_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.access(S.of(spark, sf_dir, _WAYS), spark.sql(_STATIONS)).select("doc", "pos", "station", "mode", "ride", "walk")
 
