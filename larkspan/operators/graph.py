@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,13 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions import geo
-from larkspan.operators import sequences
-from larkspan.session import shared_folder
+from larkspan.operators import paths, sequences
 
 # Minutes of changing lines and of boarding, and the longest journey kept.
 TRANSFER, BOARDING, CAP = 5.0, 4.0, 120
-#: Edges up to which a graph is broadcast (under 200 bytes each).
-SMALL = 500_000
+#: Edges up to which a graph is broadcast (under 200 bytes each), and minutes of a bucket beyond.
+SMALL, DELTA = 500_000, 10.0
 
 
 def ride_edges(stops: DataFrame, factors: DataFrame | None = None) -> DataFrame:
@@ -42,15 +40,15 @@ def transfer_edges(stops: DataFrame, minutes: float = TRANSFER) -> DataFrame:
 def shortest_paths(edges: DataFrame, origins: DataFrame, *, boarding: float = BOARDING, cap: float = CAP, small: int = SMALL) -> DataFrame:
     """Least minutes from each origin station to every station within the cap; origins board on every line.
 
-    A graph of up to ``small`` edges is broadcast and searched origin by origin, in parallel; a larger one is relaxed
-    by joins, round by round.
+    A graph of up to ``small`` edges is broadcast and searched origin by origin, in parallel; a larger one stays
+    partitioned and is settled bucket by bucket (see ``paths``).
     """
     nodes = edges.select("src").distinct()
     start = origins.select(F.col("station").alias("origin")).distinct().join(nodes, F.col("src.station") == F.col("origin"))
     if edges.count() <= small:
         best = _searched(edges, start, boarding, cap)
     else:
-        best = _relaxed(edges, start, boarding, cap)
+        best = paths.delta_stepping(edges, start.select("origin", F.col("src").alias("node"), F.lit(float(boarding)).alias("minutes")), cap=cap, delta=DELTA)
     return best.groupBy("origin", F.col("node.station").alias("station")).agg(F.min("minutes").alias("minutes"))
 
 
@@ -82,31 +80,9 @@ def _searched(edges: DataFrame, start: DataFrame, boarding: float, cap: float) -
     return found.select("origin", F.struct("station", "line").alias("node"), "minutes")
 
 
-def _relaxed(edges: DataFrame, start: DataFrame, boarding: float, cap: float) -> DataFrame:
-    """Rounds that extend only what the last one improved, until none does (minutes are never negative); distances are written every round, which cuts lineage."""
-    spark = edges.sparkSession
-    base = shared_folder(spark, "paths")
-
-    def kept(df: DataFrame, n: int, name: str) -> DataFrame:
-        path = f"{base}/{n}-{name}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    best = kept(start.select("origin", F.col("src").alias("node"), F.lit(float(boarding)).alias("minutes")), 0, "best")
-    fresh = best
-    for n in itertools.count(1):
-        step = fresh.join(edges.withColumnRenamed("minutes", "ride"), F.col("node") == F.col("src"))
-        reached = step.select("origin", F.col("dst").alias("node"), (F.col("minutes") + F.col("ride")).alias("minutes")).where(F.col("minutes") <= cap).groupBy("origin", "node").agg(F.min("minutes").alias("minutes"))
-        fresh = kept(reached.join(best.withColumnRenamed("minutes", "known"), ["origin", "node"], "left").where("known is null or minutes < known - 1e-9").select("origin", "node", "minutes"), n, "fresh")
-        if fresh.isEmpty():
-            break
-        best = kept(best.unionByName(fresh).groupBy("origin", "node").agg(F.min("minutes").alias("minutes")), n, "best")
-    return best
-
-
-def matrix(paths: DataFrame, access: DataFrame, *, cap: int = CAP) -> DataFrame:
+def matrix(times: DataFrame, access: DataFrame, *, cap: int = CAP) -> DataFrame:
     """Least door-to-door minutes per (origin, school), with the station and mode that give it."""
-    joined = paths.join(access, "station").select("origin", "school", (F.bround(F.col("minutes") + F.col("access"))).cast("int").alias("total"), "seq", F.col("station").alias("via"), "mode")
+    joined = times.join(access, "station").select("origin", "school", (F.bround(F.col("minutes") + F.col("access"))).cast("int").alias("total"), "seq", F.col("station").alias("via"), "mode")
     best = joined.where(F.col("total") <= cap).groupBy("origin", "school").agg(F.min(F.struct("total", "seq", "via", "mode")).alias("best"))
     return best.select("origin", "school", F.col("best.total").alias("minutes"), "best.via", "best.mode")
 
