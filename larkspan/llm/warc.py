@@ -2,18 +2,19 @@
 
 Headers (id, digest, length) are aggregated by digest to name each group's response; a payload of at
 least ``SMALL`` bytes that another record holds as well is written once, and its other records become
-revisits that refer to the response. Archives are gzip files of whole records, written with Spark's text
-writer (the record separator of the format is its line separator), so that they go to any file system that
-Spark can write. Reading parses records by their Content-Length, never by searching in payloads, and
-digests each payload again. Reading resolves revisits: they are joined to the responses that they name.
-
-Defined results: a null html is an empty payload; null ids order first, so that they are a response only in a
-group of nulls; rows of one group that share the largest id are all responses; a null url has no target
-header; control characters in a url are percent-encoded; an empty table gives an empty archive.
+revisits that refer to the response. A record's id is made of the page's id and the payload's digest. Archives are gzip files of whole records,
+``RECORDS`` at most, written with Spark's text writer (the record separator of the format is its line separator), so that they go to any file system that
+Spark can write; a writer of binary files, which one gzip member for each record would need, it doesn't have. Reading parses records by their Content-Length, never by
+searching in payloads, inflates an archive piece by piece and digests each payload again. Reading resolves revisits: they are joined to the responses that they name, by record id and digest.
+
+Defined results: a null html is an empty payload; ids are of any type that can be ordered; null ids order first, so that they are a response only in a
+group of nulls; rows of one group that share the largest id are all responses; rows equal in id and payload have one record id; an id of several payloads has a record for each; a null url has no target
+header; control characters in a url are percent-encoded; a payload of any length is one record, which a task holds whole; an empty table gives an empty archive; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import io
 import zlib
@@ -29,10 +30,11 @@ from larkspan.llm import store
 SMALL = 1000
 #: Digests of repeated payloads up to which their table is broadcast (about 100 bytes a row).
 KEEPERS = 200_000
+#: Records of one archive, at most.
+RECORDS = 20_000
 
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_DATE = "2024-01-01T00:00:00Z"
 _RECORD = "urn:page:"
 
 
@@ -40,7 +42,7 @@ def records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """id, url, payload, its bytes and digest of each row."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     return pages.select(
-        F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("bytes"), F.sha1(payload).alias("digest")
+        F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("bytes"), F.sha1(payload).alias("digest")
     )
 
 
@@ -54,26 +56,33 @@ def resolve(found: DataFrame, *, small: int = SMALL, keepers: int = KEEPERS) ->
     return joined.select(*found.columns, F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("keeper")).alias("refers_to"))
 
 
+def record_id(row_id: Column, digest: Column) -> Column:
+    """The id of a record: of the page's id (with a sign before it, none for null) and the digest of its payload."""
+    name = F.coalesce(F.concat(F.lit("="), F.url_encode(row_id.cast("string"))), F.lit(""))
+    return F.concat(F.lit(f"<{_RECORD}"), name, F.lit(":"), digest, F.lit(">"))
+
+
 def _record(row_id: Column, url: Column, kind: Column, refers: Column, digest: Column, size: Column, payload: Column, date: str) -> Column:
     target = F.regexp_replace(F.regexp_replace(F.regexp_replace(url, "\r", "%0D"), "\n", "%0A"), r"[\x00-\x1f\x7f]", "%00")
     block = F.concat(F.lit(_HTTP), F.when(kind == "response", payload).otherwise(""))
     headers = [
         F.concat(F.lit("WARC/1.1\r\nWARC-Type: "), kind),
-        F.concat(F.lit(f"WARC-Record-ID: <{_RECORD}"), F.coalesce(row_id.cast("string"), F.lit("null")), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: "), record_id(row_id, digest)),
         F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), target),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), digest),
-        F.when(kind == "revisit", F.concat(F.lit(f"WARC-Profile: {_PROFILE}\r\nWARC-Refers-To: <{_RECORD}"), refers.cast("string"), F.lit(">"))),
+        F.when(kind == "revisit", F.concat(F.lit(f"WARC-Profile: {_PROFILE}\r\nWARC-Refers-To: "), record_id(refers, digest))),
         F.lit("Content-Type: application/http;msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
     return F.concat(F.concat_ws("\r\n", *headers), F.lit("\r\n\r\n"), block)
 
 
-def write(resolved: DataFrame, path: str, *, date: str = _DATE) -> None:
-    """Archives of fresh headers and deduplicated payloads, one per task."""
+def write(resolved: DataFrame, path: str, *, date: str | None = None, most: int = RECORDS) -> None:
+    """Archives of fresh headers, dated now unless told otherwise, and deduplicated payloads."""
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     value = _record(F.col("id"), F.col("url"), F.col("record_type"), F.col("refers_to"), F.col("digest"), F.col("bytes"), F.col("payload"), date)
-    resolved.select(value.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    resolved.select(value.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 class _Unzipped(io.RawIOBase):
@@ -170,13 +179,14 @@ def join_revisits(found: DataFrame) -> DataFrame:
     good = F.col("declared_digest").isNull() | (F.col("declared_digest") == F.col("digest"))
     responses = found.where("record_type = 'response'").select("record_id", "url", "record_type", "refers_to_record", F.when(good, F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("payload digest differs: "), "record_id"))).alias("digest"), "bytes")
     revisits = found.where("record_type = 'revisit'").select("record_id", "url", "record_type", "refers_to_record", "declared_digest")
-    originals = responses.groupBy(F.col("record_id").alias("refers_to_record")).agg(F.max("digest").alias("original"), F.max("bytes").alias("bytes"))
-    resolved = revisits.join(originals, "refers_to_record", "left")
+    originals = responses.groupBy(F.col("record_id").alias("refers_to_record"), F.col("digest").alias("declared_digest")).agg(F.max("bytes").alias("bytes"), F.first("digest").alias("original"))
+    resolved = revisits.join(originals, ["refers_to_record", "declared_digest"], "left")
     return responses.unionByName(resolved.select("record_id", "url", "record_type", "refers_to_record", F.coalesce("original", "declared_digest").alias("digest"), "bytes"))
 
 
-def page_id(record_id: Column) -> Column:
-    return F.nullif(F.regexp_extract(record_id, f"^<{_RECORD}(-?[0-9]+)>$", 1), F.lit("")).cast("long")
+def page_id(record_id: Column, kind: str = "long") -> Column:
+    """The page's id that a record's id was made of."""
+    return F.url_decode(F.nullif(F.regexp_extract(record_id, f"^<{_RECORD}=([^:>]*):", 1), F.lit(""))).cast(kind)
 
 
 def archive(pages: DataFrame, path: str, **columns: str) -> DataFrame:

@@ -35,7 +35,8 @@ def test_archives_round_trip(spark, keepers):
     warc.write(warc.resolve(warc.records(pages), keepers=keepers), path)
     assert rows_of(warc.join_revisits(warc.read(spark, path).drop("payload"))) == sorted(expected(ROWS), key=str)
     payloads = {r.record_id: bytes(r.payload) for r in warc.read(spark, path).where("record_type = 'response'").collect()}
-    assert payloads["<urn:page:9>"] == ROWS[8][2].encode() and payloads["<urn:page:6>"] == b""
+    by_page = {x.split(":")[2]: v for x, v in payloads.items()}
+    assert by_page["=9"] == ROWS[8][2].encode() and by_page["=6"] == b""
 
 
 def test_ties_nulls_and_none(spark):
@@ -46,6 +47,37 @@ def test_ties_nulls_and_none(spark):
     assert warc.archive(pages.limit(0), store.scratch(spark, "warc-test")).count() == 0
 
 
+def test_an_id_of_several_payloads(spark):
+    a, b = "a" * 1500, "b" * 2000
+    rows = [(5, "u", a), (5, "u", b), (2, "v", b), (3, "w", a)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    digest = {x: hashlib.sha1(x.encode()).hexdigest() for x in (a, b)}
+    got = rows_of(warc.archive(pages, store.scratch(spark, "warc-test")))
+    assert got == sorted([(5, 1500, digest[a], "response", None), (5, 2000, digest[b], "response", None), (2, 2000, digest[b], "revisit", 5), (3, 1500, digest[a], "revisit", 5)], key=str)
+
+
+def test_ids_of_text_extra_columns_and_a_long_payload(spark):
+    long = "é\r\n\r\nWARC/1.1\r\n" * 300_000
+    rows = [("a b:c>", "u", long, 1), ("é", "u", long, 1), ("", "u", long, 1), (None, "u", "x", 1)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string, bytes int")
+    found = warc.archive(pages, store.scratch(spark, "warc-test"))
+    got = {(warc_id, r.record_type, to, r.bytes) for r in found.select("*", warc.page_id(found.record_id, "string").alias("p"), warc.page_id(found.refers_to_record, "string").alias("t")).collect() for warc_id, to in [(r.p, r.t)]}
+    n = len(long.encode())
+    assert got == {("é", "response", None, n), ("a b:c>", "revisit", "é", n), (None, "revisit", "é", n), (None, "response", None, 1)}
+
+
+def test_archives_are_bounded_and_dated(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(95)], "page_id long, url string, html string").coalesce(1)
+    warc.write(warc.resolve(warc.records(pages)), f"file://{tmp_path}/w", most=10)
+    files = sorted((tmp_path / "w").glob("*.gz"))
+    each = [list(warc.parse(f.read_bytes())) for f in files]
+    assert len(files) == 10 and max(map(len, each)) == 10 and sum(map(len, each)) == 95
+    ids = [h["warc-record-id"] for r in each for h, _ in r]
+    assert len(set(ids)) == 95 and {h["warc-date"][:2] for r in each for h, _ in r} == {"20"}
+    warc.write(warc.resolve(warc.records(pages)), f"file://{tmp_path}/v", date="2020-02-02T00:00:00Z")
+    assert {h["warc-date"] for f in (tmp_path / "v").glob("*.gz") for h, _ in warc.parse(f.read_bytes())} == {"2020-02-02T00:00:00Z"}
+
+
 def test_parser_reads_members_and_plain_text():
     def record(i, body):
         head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x:{i}>\r\nContent-Length: {len(body)}\r\n\r\n".encode()
