@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions import text
 from larkspan.operators import sequences
+from larkspan.session import shared_folder
 
 #: Headings, list items, table cells and links, with their contents.
 TOKEN = r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]>|<li\b[^>]*>.*?</li>|<td\b[^>]*>.*?</td>"
@@ -77,3 +82,57 @@ def ranked_links(pages: DataFrame, words: list[str], most: int = 4, id_col: str
     best = found.withColumn("rank", rank).where("rank is not null").where(~F.lower("whole").rlike("[.](pdf|jpg|png)$")).groupBy(id_col, "whole").agg(F.min(F.struct("rank", "pos")).alias("b"))
     nth = F.row_number().over(Window.partitionBy(id_col).orderBy("b"))
     return best.withColumn("nth", nth).where(F.col("nth") <= most).select(id_col, "nth", F.col("whole").alias("url"))
+
+
+def headed_links(pages: DataFrame, marks: dict[str, str], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", link: str = LINK) -> DataFrame:
+    """page, pos, url (whole), label and, for each mark, what the last one before the link said: headings, contests, years, groups.
+
+    marks: patterns with one group. Links and marks are one stream of tokens, in the order of the page; what isn't said before is null.
+    """
+    body = text.strip_noise(F.col(html_col)) if link == LINK else F.col(html_col)
+    every = "|".join(f"(?:{re.sub('^[(][?][a-z]+[)]', '', p)})" for p in (link, *marks.values()))
+    plain = re.sub(r"(?<!\\)\((?!\?)", "(?:", every)
+    tokens = pages.select(F.col(id_col), F.col(url_col).alias("__base"), F.posexplode(F.regexp_extract_all(body, F.lit(f"(?is)({plain})"), 1)).alias("pos", "token"))
+    said = {m: F.when(F.col("token").rlike(f"(?is)^(?:{p})$"), F.trim(F.regexp_replace(F.regexp_extract("token", f"(?is){p}", 1), r"(?s)<[^>]*>", " "))) for m, p in marks.items()}
+    rows = tokens.select("*", F.col("token").rlike(f"(?is)^(?:{re.sub('^[(][?][a-z]+[)]', '', link)})$").alias("is_link"), *(v.alias(f"__{m}") for m, v in said.items()))
+    for m in marks:
+        rows = sequences.carry_forward(rows, [id_col], "pos", F.col(f"__{m}"), m)
+    href = F.regexp_replace(F.regexp_extract("token", r"""(?is)href\s*=\s*["']([^"']*)["']""", 1), "#.*$", "")
+    label = F.trim(F.regexp_replace("token", r"(?s)<[^>]*>", " "))
+    return rows.where("is_link").select(id_col, "pos", text.resolved(F.col("__base"), href).alias("url"), label.alias("label"), *marks)
+
+
+def entry_links(pages: DataFrame, labels: tuple[str, ...], addresses: tuple[str, ...], url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """url and next: the first link of each page, on its host and not to itself, whose label has one of the words or whose path one of the others."""
+    found = links(pages.select(F.col(url_col).alias("page_url"), F.col(html_col).alias("html")), "page_url", "html").where("url <> ''")
+    whole = found.select("page_url", "pos", text.resolved(F.col("page_url"), F.col("url")).alias("next"), F.regexp_replace("label", r"(?U)\s+", "").alias("label"))
+    path = F.lower(F.regexp_replace("next", "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""))
+    host = lambda c: F.regexp_extract(c, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    named = reduce(lambda a, b: a | b, [F.lit(False), *(F.contains("label", F.lit(w)) for w in labels), *(F.contains(path, F.lit(w)) for w in addresses)])
+    itself = F.regexp_replace("next", "/+$", "") == F.regexp_replace("page_url", "/+$", "")
+    able = whole.where((host("next") == host("page_url")) & ~itself & named)
+    return able.groupBy(F.col("page_url").alias("url")).agg(F.min_by("next", "pos").alias("next"))
+
+
+def follow(fetched: DataFrame, starts: DataFrame, choose: Callable[[DataFrame], DataFrame], *, hops: int) -> DataFrame:
+    """start, hop and url of the pages that are reached from each start by the links that ``choose`` gives (url, next), for at most so many hops.
+
+    fetched: url and html of pages at hand. An address that isn't fetched is reached, but leads nowhere. A frontier goes on until nothing new is
+    reached: what a start has seen is left out by an anti-join, so that circles end.
+    """
+    spark, base = fetched.sparkSession, shared_folder(fetched.sparkSession, "frontier")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    frontier = kept(starts.select("start", F.lit(0).alias("hop"), F.col("start").alias("url")).distinct(), "hop-0")
+    seen = frontier
+    for hop in range(1, hops + 1):
+        here = fetched.join(frontier.select("url").distinct(), "url", "left_semi")
+        reached = frontier.select("start", "url").join(choose(here), "url").select("start", F.lit(hop).alias("hop"), F.col("next").alias("url")).distinct()
+        frontier = kept(reached.join(seen.select("start", "url"), ["start", "url"], "left_anti").select("start", "hop", "url"), f"hop-{hop}")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen

@@ -65,6 +65,40 @@ def link_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.best_links(found.withColumn("score", pages.link_score(F.col("url"), F.col("label"), _POINTS)))
 
 
+@query(
+    "headed_links",
+    r"""WITH t AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') AS host, regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'),
+    '(?is)<a\b[^>]*\bhref\s*=\s*"[^"]*"[^>]*>.*?</a>|<html\b[^>]*\blang="[a-z]+"|<title>.*?</title>|<h1>.*?</h1>') AS l FROM pages),
+u AS (SELECT page_id, host, i, l[i] AS token FROM t, unnest(range(1, len(l) + 1)) AS r(i)),
+m AS (SELECT *, CASE WHEN token LIKE '<html%' THEN regexp_extract(token, 'lang="([a-z]+)"', 1) END AS lg, CASE WHEN token NOT LIKE '<html%' AND token NOT LIKE '<a%' THEN trim(regexp_replace(token, '(?s)<[^>]*>', ' ', 'g')) END AS hd FROM u),
+c AS (SELECT *, last_value(lg IGNORE NULLS) OVER w AS lang, last_value(hd IGNORE NULLS) OVER w AS heading FROM m WINDOW w AS (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING))
+SELECT page_id, CAST(i - 1 AS INT) AS pos, host || regexp_extract(token, 'href="([^"#]*)', 1) AS url, trim(regexp_replace(token, '(?s)<[^>]*>', ' ', 'g')) AS label, lang, heading FROM c WHERE token LIKE '<a%' AND lang IN ('en', 'de')""",
+)
+def headed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links with the heading before them, on pages of two languages."""
+    marks = {"lang": r'<html\b[^>]*\blang="([a-z]+)"', "heading": "(?:<title>|<h1>)(.*?)(?:</title>|</h1>)"}
+    return pages.headed_links(S.table(spark, sf_dir, "pages"), marks).where("lang IN ('en', 'de')")
+
+
+#: A site of the pages: of those whose first link says the same word the first is at that word's address.
+_SITE = "SELECT concat('https://h.example', min_by(word, page_id)) AS url, min_by(html, page_id) AS html FROM (SELECT page_id, html, regexp_extract(html, 'href=\"([^\"]*)\"', 1) AS word FROM {pages}) x WHERE word <> '' GROUP BY word"
+
+
+@query(
+    "followed_links",
+    rf"""WITH RECURSIVE s0 AS ({S.duck(_SITE).replace("min_by(word, page_id)", "arg_min(word, page_id)").replace("min_by(html, page_id)", "arg_min(html, page_id)")}),
+l AS (SELECT url, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h, regexp_extract_all(html, 'href="[^"]*">([^<]*)<', 1) AS t FROM s0),
+e AS (SELECT url, i, 'https://h.example' || h[i] AS next, t[i] AS label FROM l, unnest(range(1, len(h) + 1)) AS r(i)),
+n AS (SELECT url, arg_min(next, i) AS next FROM e WHERE next <> url AND (contains(label, 'an') OR contains(label, 'ch') OR contains(lower(next[18:]), 'en')) GROUP BY url),
+f AS (SELECT url AS start, 0 AS hop, url, [url] AS seen FROM s0 UNION ALL SELECT f.start, f.hop + 1, n.next, list_append(f.seen, n.next) FROM f JOIN n ON n.url = f.url WHERE f.hop < 4 AND NOT list_contains(f.seen, n.next))
+SELECT start, hop, url FROM f""",
+)
+def followed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every page along the first link that fits, four hops at most."""
+    site = S.of(spark, sf_dir, _SITE)
+    return pages.follow(site, site.select(F.col("url").alias("start")), lambda here: pages.entry_links(here, ("an", "ch"), ("en",)), hops=4)
+
+
 @query(
     "link_strategies",
     rf"""WITH {_TOKENS}, {_LINKS.split('p AS (')[0].rstrip().rstrip(',')}, two AS (SELECT DISTINCT page_id, label AS value FROM u WHERE contains(url, 'th') AND label <> ''),
