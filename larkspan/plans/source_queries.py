@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.operators import extraction
 from larkspan.plans import standins as S
 from larkspan.session import shared_folder
-from larkspan.sources import readers, sinks, snapshots
+from larkspan.sources import files, readers, sinks, snapshots
 
 QUERIES, ORACLES, query = S.registry()
 
@@ -80,6 +81,56 @@ def refreshed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region.join(nation, F.col("r_regionkey") == F.col("n_regionkey"), "left").groupBy("r_name").agg(F.count("n_nationkey").alias("nations"))
 
 
+@query("workbook_sheets", "SELECT p_brand AS sheet, p_partkey AS id, p_name || ' <&> 学校' AS name, p_size AS size FROM part WHERE p_brand <> 'Brand#11'")
+def workbook_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as workbooks with a sheet for each brand, read sheet by sheet, without those of one brand."""
+    files.register(spark)
+    path = shared_folder(spark, "workbooks")
+    rows = S.table(spark, sf_dir, "part").select(F.col("p_brand").alias("sheet"), F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" <&> 学校")).alias("name"), F.col("p_size").alias("size"))
+    rows.repartition("sheet").sortWithinPartitions("sheet", "id").write.format("workbook").mode("append").save(path)
+    cells = spark.read.format("workbook").load(path).where("sheet <> 'Brand#11' AND row_no > 1")
+    return cells.select("sheet", F.col("cells")["A"].cast("long").alias("id"), F.col("cells")["B"].alias("name"), F.col("cells")["C"].cast(rows.schema["size"].dataType).alias("size"))
+
+
+@query(
+    "zipped_points",
+    "SELECT 'n' || c_nationkey || '.geojson' AS member, c_name AS name, CAST(c_custkey % 360 AS DOUBLE) / 2 AS lon, CAST(c_custkey % 180 AS DOUBLE) / 4 AS lat FROM customer WHERE c_nationkey < 10",
+)
+def zipped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as points, one GeoJSON file for each nation, in archives."""
+    files.register(spark)
+    path = shared_folder(spark, "points")
+    key = F.col("c_custkey")
+    rows = S.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit(".geojson")).alias("member"), F.create_map(F.lit("name"), F.col("c_name"), F.lit("none"), F.lit(None).cast("string")).alias("properties"),
+        ((key % 360).cast("double") / 2).alias("lon"), ((key % 180).cast("double") / 4).alias("lat"),
+    )
+    rows.repartition("member").sortWithinPartitions("member").write.format("zipped_points").mode("append").save(path)
+    wanted = [f"n{k}.geojson" for k in range(10)]
+    return spark.read.format("zipped_points").load(path).where(F.col("member").isin(wanted)).select("member", F.col("properties")["name"].alias("name"), "lon", "lat")
+
+
+@query("legacy_text", "SELECT CAST(s_suppkey AS VARCHAR) AS number, '都立「' || s_name || '」' AS name, CAST(NULL AS VARCHAR) AS ward FROM supplier")
+def legacy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files.register(spark)
+    path = shared_folder(spark, "legacy")
+    rows = S.table(spark, sf_dir, "supplier").select(F.lit("x,y").alias("other"), F.concat(F.lit("都立「"), "s_name", F.lit("」")).alias("name"), _text("s_suppkey").alias("number"))
+    rows.write.format("legacy_csv").option("encoding", "cp932").mode("append").save(path)
+    return spark.read.format("legacy_csv").option("encoding", "cp932").schema("number string, name string, ward string").load(path)
+
+
+@query("site_files", "SELECT CAST(s_suppkey AS VARCHAR) AS number, 'k' || s_nationkey || '-h' AS slug, '<p>写真部 ' || s_name || '</p>' AS html FROM supplier")
+def site_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page a supplier in a file of its own, in one of three charsets, which the reader finds out."""
+    files.register(spark)
+    path = shared_folder(spark, "site")
+    html = F.concat(F.lit("<p>写真部 "), "s_name", F.lit("</p>"))
+    encode = F.pandas_udf(lambda x, k: pd.Series([v.encode(("utf-8", "cp932", "euc-jp")[i % 3]) for v, i in zip(x, k, strict=True)]), "binary")
+    name = F.concat(_text("s_suppkey"), F.lit("_k"), _text("s_nationkey"), F.lit("-h.html"))
+    S.table(spark, sf_dir, "supplier").select(name.alias("name"), encode(html, F.col("s_suppkey")).alias("content")).write.format("named_files").mode("append").save(path)
+    return readers.read_html(spark, path)
+
+
 @query("extracted_pages", "SELECT CAST(p_partkey AS VARCHAR) AS file, 1 AS page, CAST(n AS INT) AS line_no, CASE n WHEN 0 THEN p_name ELSE p_type END AS text FROM part, range(2) AS r(n)")
 def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "pages")
