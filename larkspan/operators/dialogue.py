@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspan.functions import scoring, text
+from larkspan.operators import model as models
 from larkspan.operators.search import CLUB_CATEGORIES, COLLEGE, EVENING
 
 # Patterns of utterances, in the order in which they are tried.
@@ -161,24 +162,9 @@ def needs_model(slot: Column, found: Column) -> Column:
 
 
 def ask_model(rows: DataFrame, key: str, prompt: str, model: Callable[[str], str] | None, retries: int = 1) -> DataFrame:
-    """key and reply of rows that need a model; without one, or if it fails twice, the reply is null."""
-    if model is None:
-        return rows.select(key, F.lit(None).cast("string").alias("reply"))
-    kind = rows.schema[key].dataType
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def ask(p: str) -> str | None:
-            for _ in range(retries + 1):
-                try:
-                    return model(p)
-                except Exception:  # noqa: BLE001  a model's failure is an answer: the rules' result stands
-                    continue
-            return None
-
-        for pdf in frames:
-            yield pd.DataFrame({key: pdf[key], "reply": pdf[prompt].map(ask)})
-
-    return rows.select(key, prompt).mapInPandas(run, T.StructType([T.StructField(key, kind), T.StructField("reply", T.StringType())]))
+    """key and reply of rows that need a model, as it gave it (see ``sanitised``); without one, or if it fails each time, the reply is null."""
+    limits = models.Limits(attempts=retries + 1, again="")
+    return models.answers(rows, key, prompt, model, limits=limits, check=lambda reply, _: reply if isinstance(reply, str) else None).select(key, "reply")
 
 
 def resolve_station(asked: DataFrame, stations: DataFrame, most: int = 5) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.functions import scoring
-from larkspan.operators import explain, rollups, search
+from larkspan.operators import explain, model, rollups, search
 from larkspan.plans import standins as S
 
 #: Categories of similar clubs for the stand-in names.
@@ -315,6 +317,26 @@ def search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain.summaries(asked, _run(spark, sf_dir, asked))
 
 
+def _stub(prompt: str) -> str:
+    """A model that says how many schools the facts tell of, lies about one in three and fails for one in five."""
+    found = json.loads(prompt.partition("\n\n")[0])
+    if found["件数"] % 5 == 4:
+        raise TimeoutError
+    return f"<think>{found['件数'] + 90000}</think>{found['件数']}校です。" if found["件数"] % 3 else f"{found['件数'] + 90000}校です。"
+
+
+@query("search_rewrite", _oracle(final="""
+, l AS (SELECT req_id, count(*) AS n FROM ranked GROUP BY 1), c AS (SELECT req_id, coalesce(n, 0) AS n, req_id % 6 = 5 AS spent FROM r LEFT JOIN l USING (req_id))
+SELECT req_id, CASE WHEN spent THEN 'template(budget_exhausted)' WHEN n % 5 = 4 OR n % 3 = 0 THEN 'template(llm_failed)' ELSE 'llm' END AS source, CASE WHEN NOT spent AND n % 5 <> 4 AND n % 3 <> 0 THEN concat(n, '校です。') END AS said,
+  CAST(CASE WHEN spent THEN 0 WHEN n % 5 = 4 OR n % 3 = 0 THEN 2 ELSE 1 END AS INT) AS attempts FROM c"""))
+def search_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explanations by a model that fails, and lies, and has no budget for some requests; what it may not say is the template."""
+    asked = requests(spark, sf_dir)
+    allowed = asked.select("req_id", (F.col("req_id") % 6 != 5).alias("allowed"))
+    told = model.explained(asked, _run(spark, sf_dir, asked), _stub, allowed=allowed)
+    return told.select("req_id", "source", F.when(F.col("source") == "llm", F.col("text")).alias("said"), "attempts")
+
+
 @query("search_status", _oracle(
     requests="SELECT * REPLACE (CASE WHEN req_id % 10 = 3 THEN ' ' WHEN req_id % 10 = 4 THEN '-' ELSE station END AS station) FROM r0",
     final="""
