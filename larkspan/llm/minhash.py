@@ -8,11 +8,13 @@ least rank. Ranks are searched up to a height at which a set gets some k ln k +
 coordinate empty is searched twice as high. Two signatures agree in a coordinate with probability of the weighted
 Jaccard similarity of their sets.
 
-Rows with the same word sequence collapse to one node. Nodes that share a band are linked to the least
-node of the band; the components of these links are clusters of candidates. Within a cluster all pairs are
-compared exactly, in blocks of at most ``BLOCK`` nodes a side, each of which returns a spanning forest of the pairs
-whose Jaccard similarity is ``SIMILARITY`` or more. Components of these forests are the classes: no link is lost
-within a cluster, and a pair of similarity 0.8 shares no band with a probability of 8e-5.
+Rows with the same word sequence collapse to one node. Nodes that share a band are its members; bands of the same members count once. Every member is
+compared exactly with the band's pivot, its least node, and pairs of similarity ``SIMILARITY`` or more are links. Components hold linked nodes
+only: a chain of candidates that are not alike stays apart. What else a band may link is compared too: members that are in one component need no
+further link, and, Jaccard's distance being a metric, a member further from the pivot than twice the distance of a link can't be linked to one that is linked to the
+pivot. While members of several components are left, one of them is the next pivot, for ``PIVOTS`` pivots; then all pairs that are left in a band are compared in
+blocks of at most ``BLOCK`` nodes a side, each of which returns a spanning forest of its links. Components of all links are the classes: no link between nodes that share a band
+is lost, and a pair of similarity 0.8 shares no band with a probability of 8e-5.
 
 Weights are 1 unless ``weights="count"`` makes them the shingles' multiplicity; similarity is Jaccard's,
 weighted likewise.
@@ -28,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +41,8 @@ from larkspan.llm import components, store, text
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 7
-#: Nodes of one side of a block that is compared in one task.
-BLOCK = 512
+#: Pivots that members of a band are compared with, and nodes of one side of a block of those that are left.
+PIVOTS, BLOCK = 3, 512
 #: Rows of small columns up to which a table is broadcast (under 50 bytes each).
 BROADCAST = 400_000
 
@@ -218,7 +221,7 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch], wanted: float, exact_sets: bool) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group; each group is one block of a cluster, or two."""
+    """Rows come sorted by group; each group is one block of a band's members, or two."""
 
     def links(group: list[tuple]) -> list[tuple[int, int]]:
         left = [g for g in group if g[1] == g[0][1]]
@@ -248,9 +251,9 @@ def _compare(batches: Iterator[pa.RecordBatch], wanted: float, exact_sets: bool)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, weights: str, broadcast: int) -> DataFrame:
-    """cluster, size, node and shingle set of every node in a cluster; the text is found by id and digest."""
+    """node and its shingle set (sorted) with multiplicities; the text is found by id and digest."""
     small = nodes.count() <= broadcast
-    joined = docs.join(F.broadcast(nodes) if small else nodes, F.col("id").eqNullSafe(F.col("first_id"))).select("node", "text", "da", "db", "cluster", "blocks")
+    joined = docs.join(F.broadcast(nodes) if small else nodes, F.col("id").eqNullSafe(F.col("first_id"))).select("node", "text", "da", "db")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text.slices(batches):
@@ -261,10 +264,82 @@ def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, weights: str, broadca
             times = times if weights == "count" else np.ones(len(times), np.uint32)
             sets = [grams[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
             heavy = [times[a:b].astype(np.uint32).tobytes() for a, b in zip(at, at[1:], strict=False)]
-            out = pa.RecordBatch.from_arrays([part.column(0), part.column(4), part.column(5), pa.array(sets, pa.binary()), pa.array(heavy, pa.binary())], ["node", "cluster", "blocks", "grams", "times"])
+            out = pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary()), pa.array(heavy, pa.binary())], ["node", "grams", "times"])
             yield out.filter(pa.array(mine))
 
-    return joined.mapInArrow(run, "node long, cluster long, blocks int, grams binary, times binary").dropDuplicates(["node"])
+    return joined.mapInArrow(run, "node long, grams binary, times binary").dropDuplicates(["node"])
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two sets of sorted elements."""
+    shared, x, y = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    common = float(np.minimum(wa[x], wb[y]).sum()) if len(shared) else 0.0
+    return common / (float(wa.sum()) + float(wb.sum()) - common)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with their similarity s. A pivot that many nodes are compared with is a key that Spark may split."""
+    left, right = (sets.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}"), F.col("times").alias(f"t{x}")) for x in "ab")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "ta", "gb", "tb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
+            found = [similarity_of(np.frombuffer(ga, np.uint64), np.frombuffer(gb, np.uint64), np.frombuffer(ta, np.uint32), np.frombuffer(tb, np.uint32)) for ga, ta, gb, tb in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "s"])
+
+    return joined.mapInArrow(run, "a long, b long, s double")
+
+
+def _once(members: DataFrame) -> DataFrame:
+    """``members`` (band, node and more) without bands whose members another band has as well."""
+    signed = members.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"), F.sum(F.hash("node").cast("long")).alias("g"))
+    return members.join(signed.groupBy("n", "h", "g").agg(F.min("band").alias("band")).select("band"), "band", "left_semi")
+
+
+def _left(state: DataFrame, similarity: float) -> DataFrame:
+    """Of members with their similarity s to the band's pivot (null: not compared, of its component), those that may still be linked to one of another component."""
+    linked = F.coalesce(F.col("s") >= similarity - 1e-9, F.lit(False))
+    shell = (F.col("component") != F.col("of_pivot")) & F.coalesce(F.col("s") >= 2 * similarity - 1 - 1e-9, F.lit(False))
+    others = state.where("node <> pivot")
+    near = others.groupBy("band").agg(F.count_if(shell).alias("shell"))
+    kept = others.join(near, "band").where(~linked | (F.col("shell") > 0)).select("band", "node", "component")
+    several = kept.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
+    return _once(kept.join(several, "band", "left_semi"))
+
+
+def _links(members: DataFrame, sets: DataFrame, similarity: float, exact_sets: bool, pivots: int, block: int) -> DataFrame:
+    """Links (a, b) that connect the members (band, node) of each band as all links between them would."""
+    found: list[DataFrame] = []
+    state = members.withColumn("component", F.col("node"))
+    for number in range(pivots):
+        least = F.min(F.struct(F.when(F.lit(number == 0), F.col("node")).otherwise(F.xxhash64("node")).alias("order"), "node", "component")).alias("p")
+        heads = state.groupBy("band").agg(least).select("band", F.col("p.node").alias("pivot"), F.col("p.component").alias("of_pivot"))
+        asked = state.join(heads, "band")
+        apart = asked.where("node <> pivot and component <> of_pivot")
+        pairs = apart.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+        compared = store.written(_verified(pairs, sets), "compared")
+        links = compared.where(F.col("s") >= similarity - 1e-9)
+        if not links.isEmpty():
+            found.append(links.select("a", "b"))
+        # components of the links so far, of components as they were
+        ends = state.select("node", "component").distinct()
+        joined = links.join(ends.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(ends.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+        merged = components.components(joined, "ca", "cb").withColumnRenamed("component", "now")
+        scored = asked.join(compared.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "s"), ["node", "pivot"], "left")
+        scored = scored.join(merged.select(F.col("node").alias("component"), "now"), "component", "left")
+        scored = scored.join(merged.select(F.col("node").alias("of_pivot"), F.col("now").alias("pivot_now")), "of_pivot", "left")
+        scored = scored.select("band", "node", "pivot", "s", F.coalesce("now", "component").alias("component"), F.coalesce("pivot_now", "of_pivot").alias("of_pivot"))
+        state = store.written(_left(scored, similarity), "left")
+        if state.isEmpty():
+            break
+    else:
+        sizes = state.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        placed = state.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = placed.select(F.col("band").alias("cluster"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node").join(sets, "node")
+        dealt = dealt.select("cluster", "i", "j", "own", "node", "grams", "times").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+        found.append(dealt.mapInArrow(lambda b: _compare(b, similarity, exact_sets), "a long, b long"))
+    return reduce(DataFrame.unionByName, found, sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
 
 
 def classes(
@@ -277,6 +352,7 @@ def classes(
     weights: str = "one",
     n_bands: int = BANDS,
     rows: int = ROWS,
+    pivots: int = PIVOTS,
     block: int = BLOCK,
     broadcast: int = BROADCAST,
 ) -> DataFrame:
@@ -288,18 +364,11 @@ def classes(
     # one node for each word sequence: the least row that has it
     groups = store.written(sketched.where("da is not null").groupBy("da", "db").agg(F.min("row").alias("node"), F.min("id").alias("first_id")), "nodes")
     buckets = sketched.select("row", "bands").join(groups.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), F.explode("bands").alias("band"))
-    pivots = buckets.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").drop("last")
-    linked = buckets.join(pivots, "band").where("node <> pivot").select("node", "pivot").distinct()
-    clusters = store.written(components.components(linked, "node", "pivot"), "clusters")
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    nodes = store.written(groups.join(clusters, "node").join(sizes, "component").select("node", "first_id", "da", "db", F.col("component").alias("cluster"), "blocks"), "candidates")
-    sets = _sets(source, nodes, shingle, weights, broadcast)
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "grams", "times")
-    dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    edges = dealt.mapInArrow(lambda b: _compare(b, similarity, weights != "count"), "a long, b long")
-    joined = components.components(edges, "a", "b")
+    shared = buckets.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("band")
+    members = store.written(_once(buckets.join(shared, "band", "left_semi")), "members")
+    nodes = store.written(groups.join(members.select("node").distinct(), "node", "left_semi").select("node", "first_id", "da", "db"), "candidates")
+    sets = store.written(_sets(source, nodes, shingle, weights, broadcast), "sets")
+    joined = components.components(_links(members, sets, similarity, weights != "count", pivots, block), "a", "b")
     of_class = groups.join(joined, "node", "left").select("da", "db", "first_id", "node", F.coalesce("component", "node").alias("component"))
     # the row that stays: the least id of the class (null last), of its rows the least
     least = store.written(of_class, "classes")

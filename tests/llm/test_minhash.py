@@ -93,11 +93,11 @@ def corpus(n=60, seed=5):
     return rows
 
 
-@pytest.mark.parametrize("block", [minhash.BLOCK, 2])
-def test_classes_are_those_of_all_pairs(spark, block):
+@pytest.mark.parametrize(("pivots", "block"), [(minhash.PIVOTS, minhash.BLOCK), (0, 2), (1, 3)])
+def test_classes_are_those_of_all_pairs(spark, pivots, block):
     rows = corpus()
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string")
-    got = {r.id: r.class_id for r in minhash.classes(docs, block=block).collect()}
+    got = {r.id: r.class_id for r in minhash.classes(docs, pivots=pivots, block=block).collect()}
     assert got == {d: c for (d, _), c in zip(rows, brute(rows), strict=True)}
 
 
@@ -143,3 +143,66 @@ def test_large_group_of_near_copies(spark):
         rows.append((i, " ".join(changed)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.class_id for r in minhash.classes(docs, block=128).collect()} == {0}
+
+
+def _frames(spark, sets, bands):
+    """Sets by node, and members by band."""
+    rows = [(i, np.array(sorted(x), np.uint64).tobytes(), np.ones(len(x), np.uint32).tobytes()) for i, x in enumerate(sets)]
+    return spark.createDataFrame(rows, "node long, grams binary, times binary"), spark.createDataFrame([(b, n) for b, own in enumerate(bands) for n in own], "band long, node long")
+
+
+def _classes_of(edges, n):
+    parent = list(range(n))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        parent[find(a)] = find(b)
+    return sorted(sorted(x for x in range(n) if find(x) == r) for r in {find(x) for x in range(n)})
+
+
+@pytest.mark.parametrize(("pivots", "block", "seed"), [(3, 512, 1), (3, 4, 2), (1, 3, 3), (0, 5, 4), (6, 512, 5)])
+def test_no_link_within_a_band_is_lost(spark, pivots, block, seed):
+    """Sets whose similarities lie around the threshold, all in a few bands, so that pivots settle little."""
+    rng = random.Random(seed)
+    sets = []
+    for _ in range(6):
+        centre = set(rng.sample(range(10_000), 40))
+        for _ in range(14):
+            gone = rng.sample(sorted(centre), rng.choice([0, 2, 4, 6, 8]))
+            sets.append((centre - set(gone)) | {rng.randrange(20_000, 10**6) for _ in range(rng.choice([0, 1, 3]))})
+            if rng.random() < 0.3:
+                centre = sets[-1]
+    rng.shuffle(sets)
+    n = len(sets)
+    bands = [list(range(n)), list(range(n)), list(range(0, n, 2)), rng.sample(range(n), 20)]
+    frame, members = _frames(spark, sets, bands)
+    links = [(r.a, r.b) for r in minhash._links(members, frame, 0.8, True, pivots, block).collect()]
+    together = {(i, j) for own in bands for i in own for j in own if i < j}
+    alike = [(i, j) for i, j in together if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 - 1e-9]
+    assert _classes_of(links, n) == _classes_of(alike, n)
+    assert {tuple(sorted(x)) for x in links} <= set(alike) and 5 < len(_classes_of(alike, n)) < n
+
+
+def test_a_long_chain_costs_its_links(spark, monkeypatch):
+    """Every node shares a band with the next one, and every third link is none: as many pairs are compared as there are bands."""
+    compared = []
+    verified = minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, sets: compared.append(pairs.count()) or verified(pairs, sets))
+    monkeypatch.setattr(minhash, "_compare", lambda *a: pytest.fail("no block is left to compare"))
+    n, sets, base = 3000, [], 0
+    for i in range(n):
+        base += 40 if i % 3 == 0 else 1
+        sets.append(set(range(base * 100, base * 100 + 1)) | set(range(base, base + 30)))
+    frame, members = _frames(spark, sets, [[i, i + 1] for i in range(n - 1)])
+    links = [(r.a, r.b) for r in minhash._links(members, frame, 0.8, True, 3, 512).collect()]
+    assert sum(compared) == n - 1
+    assert {tuple(sorted(x)) for x in links} == {(i, i + 1) for i in range(n - 1) if i % 3 != 2}
+
+
+def test_bands_of_the_same_members_count_once(spark):
+    members = spark.createDataFrame([(b, n) for b in range(40) for n in range(50)] + [(99, 1), (99, 2)], "band long, node long")
+    assert {(r.band, r.n) for r in minhash._once(members).groupBy("band").agg({"*": "count"}).toDF("band", "n").collect()} == {(0, 50), (99, 2)}
