@@ -1,13 +1,16 @@
 """Entity joins: exact with checks, by prefix, by containment, by nearness, by priority.
 
-Joins without an equality are given one: prefixes are exploded to their lengths, spellings are grouped by length
-or by deletions of one character, places are gridded.
+Joins without an equality are given one: texts meet names that they begin with in a common order, spellings meet on deletions of one
+character, places are gridded.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,21 +72,54 @@ def nearest(points: DataFrame, places: DataFrame, cell: float = 1.0, rings: int
         cell *= 2
 
 
-def _longest(names: DataFrame, name: str | Column = "name") -> int:
-    """The length of the longest name."""
-    return names.agg(F.max(F.length(name))).first()[0] or 0
+def _prefixes(text: Column) -> Column:
+    return F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda n: F.substring(text, F.lit(1), n)))
 
 
-def _prefixes(text: Column, longest: int | None = None) -> Column:
-    most = F.length(text) if longest is None else F.least(F.length(text), F.lit(longest))
-    return F.explode(F.transform(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda n: F.substring(text, F.lit(1), n)))
+def prefix_names(texts: DataFrame, names: DataFrame, *, key: str = "text") -> DataFrame:
+    """key and names: all names that each distinct text begins with, shorter ones first; texts without any are left out.
+
+    Names and texts are sorted together by ranges. All that begins with a name follows it, so that a stack of the names that the current text begins with is all that a task keeps; what a
+    range needs of the ranges before it are names that its first text begins with, found by joining the few first texts. Rows grow with texts and what they begin with,
+    not with their lengths.
+    """
+    wanted = names.select(F.col("name").alias("value")).where("value <> ''").distinct()
+    items = wanted.withColumn("kind", F.lit(0)).unionByName(texts.select(F.col(key).cast("string").alias("value")).where("value <> ''").distinct().withColumn("kind", F.lit(1)))
+    ranged = items.repartitionByRange("value").sortWithinPartitions("value", "kind")
+    path = shared_folder(texts.sparkSession, "prefixes")
+    ranged.mapInArrow(_stacked, "value string, kind int, part int, names array<string>").write.parquet(path)
+    found = texts.sparkSession.read.schema("value string, kind int, part int, names array<string>").parquet(path)
+    firsts = found.where("kind = 2").select("part", "value", _prefixes(F.col("value")).alias("begin")).where("begin <> value")
+    before = firsts.join(wanted.select(F.col("value").alias("begin")), "begin").groupBy("part").agg(F.array_sort(F.collect_set("begin")).alias("before"))
+    # as many rows as there are ranges
+    joined = found.where("kind = 1").join(F.broadcast(before), "part", "left")
+    older = F.filter(F.coalesce("before", F.array().cast("array<string>")), lambda n: F.startswith("value", n) & ~F.array_contains("names", n))
+    return joined.select(F.col("value").alias(key), F.concat(older, "names").alias("names")).where(F.size("names") > 0)
+
+
+def _stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted names (kind 0) and texts (1): each text with the names of this range that it begins with; the first value as kind 2."""
+    part, stack, first = TaskContext.get().partitionId(), [], True
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+    for batch in batches:
+        rows = []
+        for value, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if first:
+                rows.append((value, 2, part, []))
+                first = False
+            while stack and not value.startswith(stack[-1]):
+                stack.pop()
+            if kind == 0:
+                stack.append(value)
+            else:
+                rows.append((value, 1, part, list(stack)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["value", "kind", "part", "names"])
 
 
 def longest_prefix(texts: DataFrame, names: DataFrame, *, key: str = "text") -> DataFrame:
     """The longest name that each text begins with, or null."""
-    wanted = names.select(F.col("name")).distinct()
-    hits = texts.select(key).distinct().select(key, _prefixes(F.col(key), _longest(names)).alias("name")).join(wanted, "name")
-    best = hits.groupBy(key).agg(F.max_by("name", F.length("name")).alias("name"))
+    best = prefix_names(texts, names, key=key).select(key, F.element_at("names", -1).alias("name"))
     return texts.join(best, key, "left")
 
 
@@ -93,14 +129,12 @@ def qualified_prefix(texts: DataFrame, names: DataFrame, *, key: str = "text") -
     Candidates are names at the start and names after the name's own ward. One is valid if what follows is not
     itself the start of a name; valid ones come first, then those after a ward, then longer ones.
     """
-    longest = _longest(names)
-    distinct = texts.select(key).distinct()
-    plain = distinct.select(key, _prefixes(F.col(key), longest).alias("name")).join(names, "name").select(key, "name", F.lit(False).alias("warded"), F.length("name").alias("used"))
+    plain = prefix_names(texts, names, key=key).select(key, F.explode("names").alias("name")).select(key, "name", F.lit(False).alias("warded"), F.length("name").alias("used"))
     whole = names.select("name", F.concat("ward", "name").alias("full")).where("ward is not null and ward <> ''")
-    warded = distinct.select(key, _prefixes(F.col(key), _longest(whole, "full")).alias("full")).join(whole, "full").select(key, "name", F.lit(True).alias("warded"), F.length("full").alias("used"))
+    qualified = prefix_names(texts, whole.select(F.col("full").alias("name")), key=key).select(key, F.explode("names").alias("full"))
+    warded = qualified.join(whole, "full").select(key, "name", F.lit(True).alias("warded"), F.length("full").alias("used"))
     both = plain.unionByName(warded).withColumn("rest", F.substring(F.col(key), F.col("used") + 1, F.length(key)))
-    rests = both.where("rest <> ''").select("rest").distinct()
-    starts = rests.select("rest", _prefixes(F.col("rest"), longest).alias("name")).join(names.select("name").distinct(), "name").select("rest").distinct().withColumn("again", F.lit(True))
+    starts = prefix_names(both.select("rest"), names, key="rest").select("rest", F.lit(True).alias("again"))
     ranked = both.join(starts, "rest", "left").withColumn(
         "nth", F.row_number().over(Window.partitionBy(key).orderBy(F.col("again").isNotNull(), F.col("warded").desc(), F.length("name").desc(), "name"))
     )
@@ -147,9 +181,13 @@ def one_character(names: DataFrame, *, name: str = "name", least: int = 4, excep
     Names meet on what is left without one position, never all of one length with each other.
     """
     distinct = names.select(F.col(name).alias("a")).distinct().where(F.length("a") >= least)
-    holes = F.explode(F.transform(F.sequence(F.lit(1), F.length("a")), lambda i: F.concat(F.substring("a", F.lit(1), i - 1), F.lit("\u0000"), F.substring(F.col("a"), i + 1, F.length("a")))))
-    keyed = distinct.select("a", holes.alias("hole"))
-    pairs = keyed.join(keyed.withColumnRenamed("a", "b"), "hole").where("a < b").select("a", "b").distinct()
+    # a hash of what is left and of the position, not the letters; holes of one name meet none
+    left = lambda i: F.xxhash64(i, F.substring("a", F.lit(1), i - 1), F.substring(F.col("a"), i + 1, F.length("a")))
+    keyed = distinct.select("a", F.explode(F.transform(F.sequence(F.lit(1), F.length("a")), lambda i: F.struct(i.alias("i"), left(i).alias("hole")))).alias("h")).select("a", "h.i", "h.hole")
+    several = keyed.groupBy("hole").agg(F.count("*").alias("n")).where("n > 1").select("hole")
+    met = keyed.join(several, "hole", "left_semi")
+    same = (F.substring("a", F.lit(1), F.col("i") - 1) == F.substring("b", F.lit(1), F.col("i") - 1)) & (F.substring(F.col("a"), F.col("i") + 1, F.length("a")) == F.substring(F.col("b"), F.col("i") + 1, F.length("b")))
+    pairs = met.join(met.withColumnRenamed("a", "b"), ["hole", "i"]).where((F.col("a") < F.col("b")) & same).select("a", "b")
     if except_pairs:
         x, y = except_pairs
         pairs = pairs.where(~((F.replace("a", F.lit(x), F.lit(y)) == F.col("b")) | (F.replace("a", F.lit(y), F.lit(x)) == F.col("b"))))
