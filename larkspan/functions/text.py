@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -97,6 +98,21 @@ def section(x: Column, start: str, stop: str, limit: int) -> Column:
     return F.when(end > 1, F.substring(rest, F.lit(1), end - 1)).otherwise(rest)
 
 
+def lines_between(lines: Column, starts: tuple[str, ...], stops: tuple[str, ...], most: int, keep: str | None = None) -> Column:
+    """Of an array of lines those from the first with a word of ``starts`` (else from the first line) to before the next with one of ``stops``, ``most`` at most; of these the ones that match ``keep``."""
+
+    def has(x: Column, words: tuple[str, ...]) -> Column:
+        return reduce(lambda a, b: a | b, (x.contains(w) for w in words), F.lit(False))
+
+    def first(x: Column, words: tuple[str, ...]) -> Column:
+        return F.array_position(F.transform(x, lambda v: has(v, words)), True)
+
+    rest = F.slice(lines, F.greatest(first(lines, starts).cast("int"), F.lit(1)), F.greatest(F.size(lines), F.lit(1)))
+    end = first(rest, stops).cast("int")
+    inner = F.slice(rest, F.lit(1), F.least(F.when(end > 0, end - 1).otherwise(F.size(rest)), F.lit(most)))
+    return inner if keep is None else F.filter(inner, lambda v: v.rlike(keep))
+
+
 def quote(x: Column) -> Column:
     """The first sentence, if it has 8 to 160 characters."""
     first = F.trim(F.split(x, "[。！.!]").getItem(0))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,12 +45,35 @@ def segments(text: Column, marker: str) -> Column:
     return F.zip_with(marks, F.split(text, marker, -1), lambda m, s: F.struct(m.alias("marker"), s.alias("body")))
 
 
-def lookback(text: Column, anchor: str, pattern: str, size: int = 300) -> Column:
-    """The last match of a pattern in the characters before an anchor."""
-    at = F.instr(text, anchor)
-    before = F.when(at > 1, F.substring(text, F.greatest(F.lit(1), at - size), F.least(F.lit(size), at - 1)))
-    found = F.regexp_extract_all(before, F.lit(f"({pattern})"), 1)
-    return F.when(F.size(found) > 0, F.element_at(found, -1))
+_FOUND = "array<struct<start: int, end: int, match: string>>"
+
+
+def finditer(text: Column, pattern: str) -> Column:
+    """All matches of a pattern from left to right, as ``matches`` gives them, of texts of any length: one pass in Python's regular expressions."""
+    wanted = re.compile(pattern)
+
+    @F.pandas_udf(_FOUND)
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else [{"start": m.start(), "end": m.end(), "match": m.group()} for m in wanted.finditer(x)])
+
+    return found(text)
+
+
+def lookbacks(text: Column, anchor: str, pattern: str, size: int = 300) -> Column:
+    """For every anchor of a text the last match of a pattern in the ``size`` characters before it (null: none): array of struct(at, match)."""
+    here, wanted = re.compile(anchor), re.compile(pattern)
+
+    def last(text: str, at: int) -> str | None:
+        found = None
+        for m in wanted.finditer(text[max(0, at - size) : at]):
+            found = m.group()
+        return found
+
+    @F.pandas_udf("array<struct<at: int, match: string>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else [{"at": m.start(), "match": last(x, m.start())} for m in here.finditer(x)])
+
+    return found(text)
 
 
 def matches(text: Column, pattern: str) -> Column:

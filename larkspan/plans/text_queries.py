@@ -177,15 +177,68 @@ def sentence_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.select("doc_id", "pos", "sentence", F.regexp_extract("sentence", "[0-9]+", 0).alias("number"), F.when(F.col("sentence").rlike("[A-Z]{2,}"), "要確認").otherwise("OK").alias("flag"))
 
 
-@query("lookback_match", r"WITH x AS (SELECT doc_id, CASE WHEN instr(text, '. ') > 1 THEN substr(text, greatest(1, instr(text, '. ') - 300), least(300, instr(text, '. ') - 1)) END AS b FROM documents) SELECT doc_id, regexp_extract_all(b, '[A-Za-z]+th')[-1] AS word FROM x")
+@query(
+    "lookback_match",
+    r"""WITH g AS (SELECT doc_id, text, string_split(text, '. ') AS g FROM documents), a AS (SELECT doc_id, text, length(array_to_string(g[1:i], '. ')) AS x FROM g, unnest(range(1, len(g))) AS r(i)),
+b AS (SELECT doc_id, x, regexp_extract_all(substr(text, greatest(0, x - 300) + 1, least(300, x)), '[A-Za-z]+th') AS w FROM a)
+SELECT doc_id, CAST(x AS INT) AS at, w[-1] AS word FROM b""",
+)
 def lookback_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.table(spark, sf_dir, "documents").select("doc_id", sequences.lookback(F.col("text"), ". ", "[A-Za-z]+th").alias("word"))
+    """Before the end of every sentence, the last word of a kind."""
+    found = sequences.lookbacks(F.col("text"), r"\. ", "[A-Za-z]+th")
+    return S.table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.at", F.col("f.match").alias("word"))
 
 
-@query("segments", "WITH x AS (SELECT doc_id, string_split_regex(text, '[.!]') AS b, list_concat([''], regexp_extract_all(text, '[.!]')) AS m FROM documents) SELECT doc_id, CAST(len(b) AS INT) AS n, m[2] AS second, b[2] AS body FROM x")
+@query(
+    "segments",
+    "WITH x AS (SELECT doc_id, string_split_regex(text, '[.!]') AS b, list_concat([''], regexp_extract_all(text, '[.!]')) AS m FROM documents) SELECT doc_id, CAST(i - 1 AS INT) AS pos, m[i] AS marker, b[i] AS body FROM x, unnest(range(1, len(b) + 1)) AS r(i)",
+)
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = S.table(spark, sf_dir, "documents").select("doc_id", sequences.segments(F.col("text"), "[.!]").alias("s"))
-    return parts.select("doc_id", F.size("s").alias("n"), F.get("s", F.lit(1))["marker"].alias("second"), F.get("s", F.lit(1))["body"].alias("body"))
+    parts = sequences.segments(F.col("text"), "[.!]")
+    return S.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts).alias("pos", "s")).select("doc_id", "pos", "s.marker", "s.body")
+
+
+@query(
+    "section_lines",
+    f"""WITH {_DOC_LINES}, f AS (SELECT doc_id, coalesce(min(CASE WHEN contains(line, 'th') OR contains(line, 'sch') THEN i END), 1) AS a FROM l GROUP BY doc_id),
+t AS (SELECT l.doc_id, i, line, a, min(CASE WHEN contains(line, '%%%') OR contains(line, 'ñ') THEN i END) OVER (PARTITION BY l.doc_id) AS b FROM l JOIN f USING (doc_id) WHERE i >= a)
+SELECT doc_id, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (i < coalesce(b, i + 1) AND i < a + 6 AND regexp_matches(line, '[aeiou]{{2}}|[0-9]')), '')) AS lines_sha256 FROM t GROUP BY doc_id""",
+)
+def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a section: from the first with a word of some, before one with a word of others, six at most, and of these the ones of a kind."""
+    lines = text.lines_between(F.split("text", "\n", -1), ("th", "sch"), ("%%%", "ñ"), 6, "[aeiou]{2}|[0-9]")
+    return S.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.array_join(lines, "\n"), 256).alias("lines_sha256"))
+
+
+#: Sentences of pages of clubs, and what is mined from them after a club's name.
+_TOLD = (
+    ("令和{y}年度 東京都大会 ベスト{r}", ("令和{y}年度", "東京都大会", "OK")), ("平成３年 インターハイ予選 第{r}位", ("平成３年", "東京都大会（予選）", "OK")), ("令和{y}年関東大会 準優勝を目指しています", ("令和{y}年度", "関東大会", "要確認")),
+    ("令和元年度ベスト16、令和{y}年度ベスト{r}", ("令和元年度", "", "要確認")), ("活動日 令和{y}年度 優勝", ("令和{y}年度", "", "要確認")), ("平成30年 全国選抜 金賞 ・", ("平成30年", "全国大会", "OK")), ("毎日たのしく練習しています", None), ("令和{y}年度は12人が入部しました", None),
+)
+_MINED = """SELECT p_partkey AS doc, concat('うちの夏休み体験入部。', CASE p_partkey % 3 WHEN 0 THEN '男子バレーボール部' WHEN 1 THEN '写真班と吹奏楽部' ELSE 'あたらしい部' END, '！　', CASE p_partkey % {n} {cases} END, '。終わり') AS text FROM {{part}}"""
+
+
+def _of_part(x: str) -> str:
+    return "concat('" + x.replace("{y}", "', CAST(2 + p_size % 5 AS STRING), '").replace("{r}", "', CAST(1 + p_partkey % 8 AS STRING), '") + "')"
+
+
+_PAGES = _MINED.format(n=len(_TOLD), cases=" ".join(f"WHEN {i} THEN {_of_part(x)}" for i, (x, _) in enumerate(_TOLD)))
+
+
+@query(
+    "result_mining",
+    "SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"SELECT p_partkey AS doc, CASE p_partkey % 3 WHEN 0 THEN '男子バレーボール部' WHEN 1 THEN '写真班' ELSE '' END AS club, {S.duck(_of_part(year))} AS year, '{meet}' AS meet, regexp_replace({S.duck(_of_part(x))}, '[ ・]+$', '') AS text, '{flag}' AS flag FROM part WHERE p_partkey % {len(_TOLD)} = {i}"
+        for i, (x, found) in enumerate(_TOLD)
+        if found
+        for year, meet, flag in [found]
+    ).replace("AS STRING", "AS VARCHAR")
+    + ")",
+)
+def result_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results told in sentences, with the club named before and the level of the meet."""
+    return extraction.mined(S.of(spark, sf_dir, _PAGES)).select("doc", "club", "year", "meet", F.regexp_replace("text", "^　", "").alias("text"), "flag")
 
 
 _ROWS = """SELECT l_orderkey * 10 + l_linenumber AS id, concat('n', CAST(l_partkey AS STRING), ' ', CAST(CAST(l_quantity AS INT) AS STRING), ' ', CAST(l_suppkey AS STRING),
@@ -292,7 +345,7 @@ def ordered_array_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.where(F.size("words") > 0).select("conv_id", F.array_join("words", ",").alias("words"))
 
 
-_HEAD = "SELECT doc_id, substr(text, 1, 40) AS head FROM {documents}"
+_HEAD = "SELECT doc_id, text AS head FROM {documents}"
 _HEAD_NAMES = "SELECT DISTINCT substr(text, 1, CAST(3 + doc_id % 9 AS INT)) AS name FROM {documents} WHERE length(text) > 12"
 
 
