@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.operators import dialogue, explain, rollups, search
+from larkspan.operators import dialogue, explain, model, rollups, search
+from larkspan.sources.snapshots import Store
+from larkspan.streaming.sessions import values
 
 
 @dataclass
@@ -58,11 +61,31 @@ class Engine:
             raise ValueError("no yearly figures")
         return search.detail(self.schools, self.stats, school)
 
-    def health(self, expected: dict[str, int]) -> DataFrame:
+    def health(self, expected: dict[str, int], store: Store | None = None) -> DataFrame:
+        """name, n, expected and ok: rows of each table, of schools joined to their ways, and, with a store, whether a value that is put is read back."""
         tables = {"schools": self.schools, "commute": self.commute, "clubs": self.clubs, "stats": self.stats, "stations": self.stations}
-        return rollups.expected_counts({k: v for k, v in tables.items() if v is not None}, expected)
-
-    def health_model(self, calls: DataFrame, *, most: int = 6) -> DataFrame:
-        """Probes of the model (id, at): those beyond ``most`` in an hour are answered with rate_limited, uncalled."""
-        limited = dialogue.rate_limit(calls, [], "at", "id", most)
-        return limited.select("id", "at", "ok", F.when(~F.col("ok"), "rate_limited").alias("error"))
+        joined = self.schools.select("school").join(self.commute.select("school").distinct(), "school", "left_semi")
+        found = rollups.expected_counts({k: v for k, v in tables.items() if v is not None} | {"join": joined}, expected)
+        joins = found.where("name = 'join'").withColumn("ok", F.col("n") > 0)
+        found = found.where("name <> 'join'").unionByName(joins)
+        if store is None:
+            return found
+        spark = self.schools.sparkSession
+        return found.unionByName(spark.createDataFrame([("store", 1, 1, self._round_trip(store))], "name string, n long, expected long, ok boolean"))
+
+    @staticmethod
+    def _round_trip(store: Store) -> bool:
+        """Whether a value that was never there before is put and read back."""
+        value = uuid.uuid4().hex
+        table = values(store)
+        row = store.spark.createDataFrame([("health", value)], "key string, value string").select("key", F.current_timestamp().alias("at"), "value", F.lit(None).cast("timestamp").alias("expires_at"))
+        before = store.current()
+        table.add(row, 0 if before is None else before["batch"] + 1)
+        return table.read().where(F.col("key") == "health").first().value == value
+
+    def health_model(self, calls: DataFrame, probe: model.Model | None = None, *, most: int = 6) -> DataFrame:
+        """Probes of the model (id, at): those beyond ``most`` in an hour are answered with rate_limited, uncalled; others with ok, or why there is no answer."""
+        limited = dialogue.rate_limit(calls, [], "at", "id", most).select("id", "at", "ok", F.lit("ok?").alias("prompt"))
+        told = model.answers(limited, "id", "prompt", probe, allowed="ok", limits=model.Limits(attempts=1)).select("id", F.col("source").alias("error"))
+        error = F.when(F.col("error") == "budget_exhausted", "rate_limited").when(F.col("error") != "llm", F.col("error"))
+        return limited.join(told, "id").select("id", "at", error.isNull().alias("ok"), error.alias("error"))

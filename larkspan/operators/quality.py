@@ -81,6 +81,23 @@ def split_valid(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, D
     return broken.where(F.size("reasons") == 0).drop("reasons"), broken.where(F.size("reasons") > 0)
 
 
+def drift(rows: DataFrame, key: str, *, headers: dict[str, tuple[Column, list[str]]] | None = None, markers: dict[str, tuple[Column, str]] | None = None) -> DataFrame:
+    """key and problem of rows whose structure is another than it was: arrays of cells that don't begin with their header, texts that lack a marker."""
+    found = [F.when(~F.coalesce(F.slice(cells, 1, len(names)) == F.array(*map(F.lit, names)), F.lit(False)), F.lit(f"header of {what}")) for what, (cells, names) in (headers or {}).items()]
+    found += [F.when(~F.coalesce(F.contains(text, F.lit(word)), F.lit(False)), F.lit(f"no {what}")) for what, (text, word) in (markers or {}).items()]
+    return rows.select(key, F.explode(F.array_compact(F.array(*found))).alias("problem"))
+
+
+def steady(rows: DataFrame, key: str, **expected) -> DataFrame:
+    """The rows; a structure that has drifted, or no row at all, ends the job before it begins."""
+    problems = drift(rows, key, **expected).groupBy("problem").agg(F.count("*").alias("n"), F.min(F.col(key).cast("string")).alias("first")).collect()
+    if problems:
+        raise ValueError("; ".join(f"{p.problem}: {p.n}, first {p.first}" for p in sorted(problems)))
+    if rows.isEmpty():
+        raise ValueError("no rows")
+    return rows
+
+
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 

@@ -416,9 +416,39 @@ def unpivot_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.unpivot(["o_orderkey"], ["first", "second", "third"], "place", "who").where("who is not null")
 
 
-@query("param_grid", "SELECT y AS year, k AS kind FROM range(2019, 2026) AS a(y), (VALUES ('team'), ('single'), ('mixed')) AS b(k)")
+@query(
+    "param_grid",
+    "SELECT year, flag, r_name AS region FROM (SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS year FROM orders), (SELECT DISTINCT l_returnflag AS flag FROM lineitem), (SELECT DISTINCT r_name FROM region)",
+)
 def param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.grid(spark, year=list(range(2019, 2026)), kind=["team", "single", "mixed"]).withColumn("year", F.col("year").cast("long"))
+    """Years, kinds and regions that the tables have, each with each."""
+    years = S.table(spark, sf_dir, "orders").select(F.year("o_orderdate"))
+    return readers.grid_of(year=years, flag=S.table(spark, sf_dir, "lineitem").select("l_returnflag"), region=S.table(spark, sf_dir, "region").select("r_name"))
+
+
+@query(
+    "report_lines",
+    """WITH g AS (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL), l AS (SELECT row_number() OVER (ORDER BY p_brand, CASE WHEN p_size % 7 <> 0 THEN p_size END NULLS FIRST, n) + 4 AS pos, '| ' || p_brand || ' \\| x | ' || CASE WHEN p_size % 7 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END || ' | ' || n || ' |' AS line FROM g)
+SELECT pos, line FROM l UNION ALL SELECT * FROM (VALUES (0, '# Parts'), (1, 'by brand'), (2, ''), (3, '| brand | size | n |'), (4, '| --- | --- | --- |')) v(pos, line)""",
+)
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts as the lines of a report, bars in cells escaped, cells without a value empty."""
+    counts = S.table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
+    cells = counts.select(F.concat("p_brand", F.lit(" |\n x")).alias("brand"), F.when(F.col("p_size") % 7 != 0, F.col("p_size")).alias("size"), "n")
+    return sinks.report(cells, "Parts", ["brand", "size", "n"], summary="by brand")
+
+
+@query(
+    "structure_drift",
+    """WITH x AS (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS cells, html FROM pages)
+SELECT page_id, 'header of menu' AS problem FROM x WHERE len(cells) < 2 OR cells[1] <> 'the' OR cells[2] <> 'and' UNION ALL SELECT page_id, 'no article' FROM x WHERE NOT contains(html, '<article>')
+UNION ALL SELECT page_id, 'no notice' FROM x WHERE NOT contains(html, 'icen')""",
+)
+def structure_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose menu doesn't begin as it should, or that lack what all had."""
+    cells = F.regexp_extract_all("html", F.lit('<li><a href="[^"]*">([^<]*)</a>'), 1)
+    markers = {"article": (F.col("html"), "<article>"), "notice": (F.col("html"), "icen")}
+    return quality.drift(S.table(spark, sf_dir, "pages"), "page_id", headers={"menu": (cells, ["the", "and"])}, markers=markers)
 
 
 @query(

@@ -7,9 +7,12 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspan.api import Engine
 from larkspan.functions import scoring
 from larkspan.operators import explain, model, rollups, search
 from larkspan.plans import standins as S
+from larkspan.session import shared_folder
+from larkspan.sources.snapshots import Store
 
 #: Categories of similar clubs for the stand-in names.
 CATEGORIES = {"metal": ["gear", "bolt", "rod"], "flat": ["plate", "ring"]}
@@ -175,6 +178,17 @@ def health_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.expected_counts(tables, {"supplier": 100, "nation": 25})
 
 
+@query(
+    "engine_health",
+    f"""{S.ctes(s0=S.SCHOOLS, c0=S.COMMUTE)} SELECT 'schools' AS name, count(*) AS n, 100 AS expected, count(*) = 100 AS ok FROM s0 UNION ALL SELECT 'commute', count(*), NULL, false FROM c0
+UNION ALL SELECT 'join', count(*), NULL, count(*) > 0 FROM s0 WHERE school IN (SELECT school FROM c0) UNION ALL SELECT 'store', 1, 1, true""",
+)
+def engine_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables counted, schools joined to ways, and a value put and read back."""
+    engine = Engine(S.of(spark, sf_dir, S.SCHOOLS), S.of(spark, sf_dir, S.COMMUTE))
+    return engine.health({"schools": 100}, Store(spark, shared_folder(spark, "health")))
+
+
 @query("health_join", "SELECT count(*) AS n FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 1")
 def health_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = S.table(spark, sf_dir, "orders").where("o_custkey = 1")

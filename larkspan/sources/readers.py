@@ -212,6 +212,28 @@ def grid(spark: SparkSession, **axes: list) -> DataFrame:
     return out
 
 
+#: Combinations that a grid of values of tables may have.
+GRID = 1_000_000
+
+
+def grid_of(most: int = GRID, **axes: DataFrame) -> DataFrame:
+    """All combinations of the distinct values of tables of one column, null not among them; more than ``most`` are an error before any is made."""
+    listed = {name: df.select(F.col(df.columns[0]).alias("v")).where("v is not null").distinct() for name, df in axes.items()}
+    size = 1
+    for df in listed.values():
+        size *= df.count()
+    if size > most:
+        raise ValueError(f"{size} combinations of {', '.join(axes)} are more than {most}")
+    out = None
+    for name, df in listed.items():
+        values = df.agg(F.array_sort(F.collect_set("v")).alias(f"__{name}"))
+        out = values if out is None else out.join(F.broadcast(values), F.lit(True))
+    # one row of arrays, whose sizes are known
+    for name in axes:
+        out = out.withColumn(name, F.explode(f"__{name}")).drop(f"__{name}")
+    return out.select(*axes)
+
+
 def read_json_gz(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 

@@ -86,6 +86,15 @@ def markdown(rows: DataFrame, title: str, most: int = 200) -> str:
     return "\n".join(lines) + "\n"
 
 
+def report(rows: DataFrame, title: str, order: list[str], *, summary: str | None = None) -> DataFrame:
+    """A table of any size as the lines of a Markdown report: pos and line; null cells are empty, bars in cells are escaped."""
+    spark = rows.sparkSession
+    cells = F.concat_ws(" | ", *(F.coalesce(F.regexp_replace(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), r"\s+", " "), F.lit("")) for c in rows.columns))
+    head = [f"# {title}", *([summary] if summary else []), "", "| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
+    body = rollups.positions(rows, *order).select((F.col("pos") + len(head) - 1).alias("pos"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
+    return spark.createDataFrame(list(enumerate(head)), "pos long, line string").unionByName(body)
+
+
 def literal(x: Column) -> Column:
     """A value as an SQL literal: quotes doubled, null as NULL."""
     return F.coalesce(F.concat(F.lit("'"), F.replace(x.cast("string"), F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL"))

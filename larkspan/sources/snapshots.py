@@ -86,10 +86,10 @@ class Store:
         self.counts[name] = {"rows": found["rows"]} | {c: found[f"check_{i}"] for i, c in enumerate(checks) if found[f"check_{i}"]}
         return folder
 
-    def publish(self, tables: dict[str, DataFrame], *, batch: int | None = None, checks: dict[str, dict[str, Column]] | None = None) -> bool:
+    def publish(self, tables: dict[str, DataFrame], *, batch: int | None = None, checks: dict[str, dict[str, Column]] | None = None, least: dict[str, int] | None = None) -> bool:
         """Write all tables and switch to them; whether that was done (not for a batch that is there already).
 
-        checks: by table, names and conditions that no row may meet. A broken one ends the job with ``GateError`` before anything is switched.
+        checks: by table, names and conditions that no row may meet; least: the rows that a table has at least. What is broken ends the job with ``GateError`` before anything is switched.
         """
         before = self.current()
         number = batch if batch is not None else 0 if before is None else before["batch"] + 1
@@ -97,6 +97,9 @@ class Store:
             return False
         self.counts = {}
         folders = {name: self._written(name, rows, (checks or {}).get(name, {})) for name, rows in tables.items()}
+        for name, n in (least or {}).items():
+            if self.counts[name]["rows"] < n:
+                self.counts[name]["rows too few"] = self.counts[name]["rows"]
         if any(len(c) > 1 for c in self.counts.values()):
             for folder in folders.values():
                 self._fs.delete(self._path("data", folder.split("/")[0]), True)

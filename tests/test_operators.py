@@ -154,3 +154,32 @@ def test_answer_tells_status_and_offers(spark):
     counts = {r.req_id: r["count"] for r in rows.groupBy("req_id").count().collect()}
     assert all(r["count"] == counts.get(r.req_id, 0) and (r.options is not None) == (r.status == 200 and r["count"] == 0) for r in by.values())
     assert rows.where("text is null or tier_reason = '' or sources.commute is null").isEmpty()
+
+
+def test_structures_that_drift(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "c"], "x <m> y"), (2, ["a"], "<m>"), (3, None, None)], "k int, cells array<string>, t string")
+    expected = {"headers": {"table": (F.col("cells"), ["a", "b"])}, "markers": {"mark": (F.col("t"), "<m>")}}
+    assert {tuple(r) for r in quality.drift(rows, "k", **expected).collect()} == {(2, "header of table"), (3, "header of table"), (3, "no mark")}
+    with pytest.raises(ValueError, match="header of table: 2, first 2; no mark: 1, first 3"):
+        quality.steady(rows, "k", **expected)
+    assert quality.steady(rows.where("k = 1"), "k", **expected).count() == 1
+    with pytest.raises(ValueError, match="no rows"):
+        quality.steady(rows.limit(0), "k", **expected)
+
+
+def test_health_tells_what_is_wrong(spark, tmp_path):
+    from larkspan.sources.snapshots import Store
+
+    engine = Engine(S.of(spark, SF, S.SCHOOLS), S.of(spark, SF, S.COMMUTE).limit(0))
+    store = Store(spark, f"file://{tmp_path}")
+    for _ in range(2):
+        told = {r.name: r.ok for r in engine.health({"schools": 5}, store).collect()}
+        assert told == {"schools": False, "commute": False, "join": False, "store": True}
+    calls = spark.range(8).select("id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("at"))
+
+    def answers(probe):
+        return [r.error for r in engine.health_model(calls, probe).orderBy("id").collect()]
+
+    assert answers(lambda p: "yes") == [None] * 6 + ["rate_limited"] * 2
+    assert answers(None) == ["ai_unavailable"] * 6 + ["rate_limited"] * 2
+    assert answers(lambda p: 1 / 0) == ["llm_failed"] * 6 + ["rate_limited"] * 2

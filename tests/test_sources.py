@@ -129,3 +129,18 @@ def test_embedded_json_over_lines_and_brackets(spark):
     page = 'x\nconst D = {"a": "};\\n]",\n "b": [1, {"c": 2}]};\nconst E = 1;'
     got = spark.range(1).select(readers.embedded_json(F.lit(page), "const D ="), readers.embedded_json(F.lit(page), "const F ="), readers.embedded_json(F.lit(page), "const ")).first()
     assert json.loads(got[0]) == {"a": "};\n]", "b": [1, {"c": 2}]} and got[1] is None and got[2] is None
+
+
+def test_grids_of_tables_are_bounded(spark):
+    one, two = spark.createDataFrame([(1,), (2,), (2,), (None,)], "x int"), spark.createDataFrame([("a",), ("b",)], "y string")
+    assert sorted(map(tuple, readers.grid_of(n=one, s=two).collect())) == [(1, "a"), (1, "b"), (2, "a"), (2, "b")]
+    assert [r.n for r in readers.grid_of(n=one).orderBy("n").collect()] == [1, 2] and readers.grid_of(n=one.limit(0), s=two).count() == 0
+    with pytest.raises(ValueError, match="4 combinations of n, s are more than 3"):
+        readers.grid_of(3, n=one, s=two)
+
+
+def test_reports_of_any_size(spark):
+    rows = spark.createDataFrame([(2, "b|c\nd"), (1, None)], "n int, t string")
+    lines = [r.line for r in sinks.report(rows, "T", ["n"]).orderBy("pos").collect()]
+    assert lines == ["# T", "", "| n | t |", "| --- | --- |", "| 1 |  |", "| 2 | b\\|c d |"]
+    assert sinks.report(rows.limit(0), "T", ["n"]).count() == 4
