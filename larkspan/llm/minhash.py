@@ -302,7 +302,8 @@ def _left(state: DataFrame, similarity: float) -> DataFrame:
     linked = F.coalesce(F.col("s") >= similarity - 1e-9, F.lit(False))
     shell = (F.col("component") != F.col("of_pivot")) & F.coalesce(F.col("s") >= 2 * similarity - 1 - 1e-9, F.lit(False))
     others = state.where("node <> pivot")
-    near = others.groupBy("band").agg(F.count_if(shell).alias("shell"))
+    # most bands have members of one component by now
+    near = others.groupBy("band").agg(F.count_if(shell).alias("shell"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band", "shell")
     kept = others.join(near, "band").where(~linked | (F.col("shell") > 0)).select("band", "node", "component")
     several = kept.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
     return _once(kept.join(several, "band", "left_semi"))
