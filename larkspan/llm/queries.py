@@ -101,6 +101,12 @@ def _op6_sql() -> str:
     none = ", ".join(f"'{x}'" for x in license.FUNCTION_WORDS)
     names = ", ".join(f"'{x}'" for x in license.LICENSE_FILES)
     index = ", ".join(f"'{x}'" for x in license.INDEX_FILES if x)
+    deciding = ", ".join(f"'{x}'" for x in license.DECIDING)
+
+    def has(words: tuple[str, ...]) -> str:
+        return "list_has_any(m, [" + ", ".join(f"'{x}'" for x in words) + "])" if words else "false"
+
+    fits = " ".join(f"WHEN '{name}' THEN {' AND '.join([*map(has, r.needs), f'NOT {has(r.bars)}', f'({has(r.versions)} OR NOT {has(r.others)})'])}" for name, r in license.RULES.items())
     return rf"""
 WITH RECURSIVE v(notice, name, t, x) AS (VALUES {notices}), idf(t, w) AS (VALUES {idf}),
 f AS (
@@ -115,7 +121,9 @@ tf AS (SELECT id, unit, t, count(*) AS n FROM (SELECT id, unit, unnest(terms) AS
 w AS (SELECT id, unit, t, n * coalesce(idf.w, CAST({vectors.unseen!r} AS DOUBLE)) AS w FROM tf LEFT JOIN idf USING (t)),
 len AS (SELECT id, unit, sqrt(sum(w * w)) AS length FROM w GROUP BY ALL),
 dot AS (SELECT id, unit, notice, name, sum(w * x) AS d FROM w JOIN v USING (t) GROUP BY ALL),
-c AS (SELECT id, name, round(max(d / length), 9) AS cosine FROM dot JOIN len USING (id, unit) GROUP BY ALL),
+marks AS (SELECT id, unit, list(t) AS m FROM tf WHERE t IN ({deciding}) GROUP BY ALL),
+fit AS (SELECT dot.*, coalesce(m, CAST([] AS VARCHAR[])) AS m FROM dot LEFT JOIN marks USING (id, unit)),
+c AS (SELECT id, name, round(max(d / length), 9) AS cosine FROM fit JOIN len USING (id, unit) WHERE CASE name {fits} ELSE true END GROUP BY ALL),
 best AS (SELECT id, name, cosine FROM c WHERE cosine >= {license.COSINE} QUALIFY row_number() OVER (PARTITION BY id ORDER BY cosine DESC, name) = 1),
 own AS (SELECT f.id, path, name AS license, round(cosine, 6) AS cosine FROM f LEFT JOIN best USING (id)),
 named AS (

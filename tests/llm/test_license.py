@@ -20,9 +20,15 @@ FILES = [
 ]
 
 
+VECTORS = license.Vectors()
+
+
 def cosine(text, name):
-    vectors = license.Vectors()
+    """The cosine to a licence's nearest notice; 0 if a deciding term speaks against it."""
+    vectors = VECTORS
     terms = Counter(t for t in re.findall(license._TERM, text.lower()) if t not in license.FUNCTION_WORDS)
+    if name in license.RULES and not license.RULES[name].fits(set(terms)):
+        return 0
     weights = {t: n * vectors.idf.get(t, vectors.unseen) for t, n in terms.items()}
     length = math.sqrt(sum(w * w for w in weights.values()))
     return max((sum(w * v.get(t, 0) for t, w in weights.items()) / length for n, v in vectors.notices if n == name), default=0) if length else 0
@@ -62,6 +68,31 @@ def test_filter_loses_nothing(spark):
             assert got[i].license is None
 
 
+RELATED = {
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License.",
+    "CC-BY-SA-4.0": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit https://creativecommons.org/licenses/by-sa/4.0/.",
+    "CC-BY-3.0": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy, visit https://creativecommons.org/licenses/by/4.0/.",
+    "CC-BY-ND-4.0": "Licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "MPL-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\")",
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+}
+
+
+def test_licences_that_differ_in_a_word(spark):
+    texts = [*RELATED.items(), *((name, f"// SPDX-License-Identifier: {tag}") for name in license.TEMPLATES for tag in (n.partition(": ")[2] for n in license.TEMPLATES[name] if n.startswith("SPDX")))]
+    # of licences that are not known none is named by a relative's name
+    texts += [(None, "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License."), (None, "Licensed under CC BY-SA 2.0."), (None, "Licensed under the Apache License, Version 1.1.")]
+    got = {r.id: r.license for r in license.own(spark.createDataFrame([(i, f"f/{i}", t) for i, (_, t) in enumerate(texts)], "id long, path string, text string")).collect()}
+    assert [(got[i], t[:60]) for i, (_, t) in enumerate(texts)] == [(name, t[:60]) for name, t in texts]
+
+
 def test_licence_files_of_any_length_and_wrapped_headers(spark):
     import textwrap
 
