@@ -9,10 +9,10 @@ coordinate empty is searched twice as high. Two signatures agree in a coordinate
 Jaccard similarity of their sets.
 
 Rows with the same word sequence collapse to one node. Nodes that share a band are its members; bands of the same members count once. Every member is
-compared exactly with the band's pivot, its least node, and pairs of similarity ``SIMILARITY`` or more are links. Components hold linked nodes
+compared exactly with the band's pivot, the member that shares the largest bands, and pairs of similarity ``SIMILARITY`` or more are links. Components hold linked nodes
 only: a chain of candidates that are not alike stays apart. What else a band may link is compared too: members that are in one component need no
 further link, and, Jaccard's distance being a metric, a member further from the pivot than twice the distance of a link can't be linked to one that is linked to the
-pivot. While members of several components are left, one of them is the next pivot, for ``PIVOTS`` pivots; then all pairs that are left in a band are compared in
+pivot. While members of several components are left, one of them is the next pivot, for ``PIVOTS`` pivots; then all pairs of nodes that bands still hold together are compared in
 blocks of at most ``BLOCK`` nodes a side, each of which returns a spanning forest of its links. Components of all links are the classes: no link between nodes that share a band
 is lost, and a pair of similarity 0.8 shares no band with a probability of 8e-5.
 
@@ -42,7 +42,7 @@ from larkspan.llm import components, store, text
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 7
 #: Pivots that members of a band are compared with, and nodes of one side of a block of those that are left.
-PIVOTS, BLOCK = 3, 512
+PIVOTS, BLOCK = 2, 512
 #: Rows of small columns up to which a table is broadcast (under 50 bytes each).
 BROADCAST = 400_000
 
@@ -221,7 +221,7 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch], wanted: float, exact_sets: bool) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group; each group is one block of a band's members, or two."""
+    """Rows come sorted by group; each group is one block of a cluster, or two."""
 
     def links(group: list[tuple]) -> list[tuple[int, int]]:
         left = [g for g in group if g[1] == g[0][1]]
@@ -304,7 +304,7 @@ def _left(state: DataFrame, similarity: float) -> DataFrame:
     others = state.where("node <> pivot")
     # most bands have members of one component by now
     near = others.groupBy("band").agg(F.count_if(shell).alias("shell"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band", "shell")
-    kept = others.join(near, "band").where(~linked | (F.col("shell") > 0)).select("band", "node", "component")
+    kept = others.join(near, "band").where(~linked | (F.col("shell") > 0)).select("band", "node", "order", "component")
     several = kept.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
     return _once(kept.join(several, "band", "left_semi"))
 
@@ -312,9 +312,12 @@ def _left(state: DataFrame, similarity: float) -> DataFrame:
 def _links(members: DataFrame, sets: DataFrame, similarity: float, exact_sets: bool, pivots: int, block: int) -> DataFrame:
     """Links (a, b) that connect the members (band, node) of each band as all links between them would."""
     found: list[DataFrame] = []
-    state = members.withColumn("component", F.col("node"))
-    for number in range(pivots):
-        least = F.min(F.struct(F.when(F.lit(number == 0), F.col("node")).otherwise(F.xxhash64("node")).alias("order"), "node", "component")).alias("p")
+    # in a group of copies of one text that text, or one near it, shares the most bands with the others
+    sizes = members.groupBy("band").agg(F.count("*").alias("n"))
+    central = store.written(members.join(sizes, "band").groupBy("node").agg((-F.sum("n")).alias("order")), "central")
+    state = members.join(central, "node").withColumn("component", F.col("node"))
+    for _ in range(pivots):
+        least = F.min(F.struct("order", "node", "component")).alias("p")
         heads = state.groupBy("band").agg(least).select("band", F.col("p.node").alias("pivot"), F.col("p.component").alias("of_pivot"))
         asked = state.join(heads, "band")
         apart = asked.where("node <> pivot and component <> of_pivot")
@@ -330,19 +333,27 @@ def _links(members: DataFrame, sets: DataFrame, similarity: float, exact_sets: b
         scored = asked.join(compared.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "s"), ["node", "pivot"], "left")
         scored = scored.join(merged.select(F.col("node").alias("component"), "now"), "component", "left")
         scored = scored.join(merged.select(F.col("node").alias("of_pivot"), F.col("now").alias("pivot_now")), "of_pivot", "left")
-        scored = scored.select("band", "node", "pivot", "s", F.coalesce("now", "component").alias("component"), F.coalesce("pivot_now", "of_pivot").alias("of_pivot"))
+        scored = scored.select("band", "node", "order", "pivot", "s", F.coalesce("now", "component").alias("component"), F.coalesce("pivot_now", "of_pivot").alias("of_pivot"))
         state = store.written(_left(scored, similarity), "left")
         if state.isEmpty():
             break
     else:
-        sizes = state.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-        placed = state.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = placed.select(F.col("band").alias("cluster"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node").join(sets, "node")
-        dealt = dealt.select("cluster", "i", "j", "own", "node", "grams", "times").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-        found.append(dealt.mapInArrow(lambda b: _compare(b, similarity, exact_sets), "a long, b long"))
+        found.append(_blocks(state, sets, similarity, exact_sets, block))
     return reduce(DataFrame.unionByName, found, sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
 
 
+def _blocks(state: DataFrame, sets: DataFrame, similarity: float, exact_sets: bool, block: int) -> DataFrame:
+    """Links of what is left: nodes that bands still hold together are clusters, all of whose pairs are compared in blocks."""
+    least = state.groupBy("band").agg(F.min("node").alias("first"))
+    held = state.join(least, "band").where("node <> first").select("node", "first").distinct()
+    clusters = store.written(components.components(held, "node", "first").withColumnRenamed("component", "cluster"), "clusters")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = clusters.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = placed.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node").join(sets, "node")
+    dealt = dealt.select("cluster", "i", "j", "own", "node", "grams", "times").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return dealt.mapInArrow(lambda b: _compare(b, similarity, exact_sets), "a long, b long")
+
+
 def classes(
     docs: DataFrame,
     *,
