@@ -42,7 +42,7 @@ from larkspan.llm import components, store, text
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 7
 #: Pivots that members of a band are compared with, and nodes of one side of a block of those that are left.
-PIVOTS, BLOCK = 2, 512
+PIVOTS, BLOCK = 1, 512
 #: Rows of small columns up to which a table is broadcast (under 50 bytes each).
 BROADCAST = 400_000
 
@@ -284,9 +284,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
-            found = [similarity_of(np.frombuffer(ga, np.uint64), np.frombuffer(gb, np.uint64), np.frombuffer(ta, np.uint32), np.frombuffer(tb, np.uint32)) for ga, ta, gb, tb in zip(*columns, strict=True)]
+            # views of the batch, not copies
+            ga, ta, gb, tb = ([np.frombuffer(x.as_buffer(), kind) for x in batch.column(i)] for i, kind in ((2, np.uint64), (3, np.uint32), (4, np.uint64), (5, np.uint32)))
+            found = [similarity_of(*row) for row in zip(ga, gb, ta, tb, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "s"])
+        text.give_back()
 
     return joined.mapInArrow(run, "a long, b long, s double")
 
