@@ -3,7 +3,7 @@
 A file is compared line by line (one-line notices), paragraph by paragraph (wrapped headers: consecutive lines
 that are not blank) and as a whole (licence files), whatever its length; its licence is the template of greatest
 cosine, at least ``COSINE``, among those whose deciding terms fit: notices of related licences differ in a word or a version (``RULES``), which no cosine
-would tell apart. Templates are notices and whole licence texts. A file without a licence of its own
+would tell apart, so that a licence without a template isn't named by a relative's name. Templates are notices and whole licence texts. A file without a licence of its own
 inherits that of the nearest ancestor directory which declares one; a directory declares the licence of the licence
 files in it (by name), or of the index file when it has none.
 
@@ -89,27 +89,6 @@ You should have received a copy of the GNU General Public License along with thi
 _MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
 distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 
-_GPL_2_HEADER = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as
-published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
-This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
-MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
-_AGPL_HEADER = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public
-License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
-This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
-MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."""
-_LGPL_HEADER = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
-License as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version.
-This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
-MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""
-_ZERO_BSD = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
-WARRANTIES OF MERCHANTABILITY AND FITNESS."""
-_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
-damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
-commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
-1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.
-2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
-3. This notice may not be removed or altered from any source distribution."""
 
 #: Identifiers, and the notices that licence texts ask for, in short and in full.
 TEMPLATES = {
@@ -126,26 +105,14 @@ TEMPLATES = {
         f"{_BSD_1_2}\n{_BSD_3}\n{_BSD_END}",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
-    "0BSD": [_ZERO_BSD, "SPDX-License-Identifier: 0BSD"],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", _AGPL_HEADER, "SPDX-License-Identifier: AGPL-3.0-or-later"],
-    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
-    "CC-BY-3.0": ["Licensed under CC BY 3.0.", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
-    "CC0-1.0": ["This work is dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
-    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "SPDX-License-Identifier: EPL-2.0"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", _GPL_2_HEADER, "SPDX-License-Identifier: GPL-2.0-or-later"],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         _GPL_HEADER,
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
-    "LGPL-2.1": [_LGPL_HEADER.format(version="2.1"), "SPDX-License-Identifier: LGPL-2.1-or-later"],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", _LGPL_HEADER.format(version="3"), "SPDX-License-Identifier: LGPL-3.0-or-later"],
     "ISC": [_ISC, "SPDX-License-Identifier: ISC"],
     "MIT": [
         "Released under the MIT License.",
@@ -153,10 +120,7 @@ TEMPLATES = {
         _MIT,
         "SPDX-License-Identifier: MIT",
     ],
-    "MPL-1.1": ["The contents of this file are subject to the Mozilla Public License Version 1.1.", "SPDX-License-Identifier: MPL-1.1"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", _MPL_HEADER, "SPDX-License-Identifier: MPL-2.0"],
-    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
-    "Zlib": [_ZLIB, "SPDX-License-Identifier: Zlib"],
 }
 
 
@@ -187,27 +151,12 @@ _SHARE, _NO_TRADE, _NO_CHANGE = ("sharealike", "sa"), ("noncommercial", "nc"), (
 _AFFERO, _LESSER = ("affero", "agpl"), ("lesser", "library", "lgpl")
 _OLD = ("1.0", "2.0", "2.5")
 RULES = {
-    "0BSD": Rule(bars=("provided", "isc")),
-    "AGPL-3.0": Rule(needs=(_AFFERO,)),
     "Apache-2.0": Rule(needs=(("apache",),), versions=("2.0", "2"), others=("1.0", "1.1")),
-    "BSL-1.0": Rule(needs=(("boost", "bsl"),)),
-    "CC-BY-3.0": Rule(needs=(("3.0", "3"),), bars=(*_SHARE, *_NO_TRADE, *_NO_CHANGE)),
     "CC-BY-4.0": Rule(bars=(*_SHARE, *_NO_TRADE, *_NO_CHANGE), versions=("4.0", "4"), others=("3.0", *_OLD)),
     "CC-BY-NC-4.0": Rule(needs=(_NO_TRADE,), bars=(*_SHARE, *_NO_CHANGE), versions=("4.0", "4"), others=("3.0", *_OLD)),
-    "CC-BY-ND-4.0": Rule(needs=(_NO_CHANGE,), bars=_NO_TRADE, versions=("4.0", "4"), others=("3.0", *_OLD)),
-    "CC-BY-SA-4.0": Rule(needs=(_SHARE,), bars=_NO_TRADE, versions=("4.0", "4"), others=("3.0", *_OLD)),
-    "CC-BY-NC-SA-4.0": Rule(needs=(_SHARE, _NO_TRADE), versions=("4.0", "4"), others=("3.0", *_OLD)),
-    "CC0-1.0": Rule(needs=(("cc0",),)),
-    "EPL-2.0": Rule(needs=(("eclipse", "epl"),), versions=("2.0", "2"), others=("1.0",)),
-    "GPL-2.0": Rule(needs=(("2", "2.0"),), bars=(*_AFFERO, *_LESSER)),
     "GPL-3.0": Rule(bars=(*_AFFERO, *_LESSER), versions=("3", "3.0"), others=("2", "2.0", "1")),
     "ISC": Rule(needs=(("provided", "isc"),)),
-    "LGPL-2.1": Rule(needs=(_LESSER, ("2.1", "2", "2.0"))),
-    "LGPL-3.0": Rule(needs=(_LESSER,), versions=("3", "3.0"), others=("2.1", "2", "2.0")),
-    "MPL-1.1": Rule(needs=(("mozilla", "mpl"), ("1.1",))),
     "MPL-2.0": Rule(needs=(("mozilla", "mpl"),), versions=("2.0", "2"), others=("1.0", "1.1")),
-    "Unlicense": Rule(needs=(("unencumbered", "unlicense"),)),
-    "Zlib": Rule(needs=(("zlib", "misrepresented"),)),
 }
 #: Every deciding term.
 DECIDING = sorted({t for r in RULES.values() for g in (*r.needs, r.bars, r.versions, r.others) for t in g})
