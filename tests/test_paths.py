@@ -66,3 +66,28 @@ def test_no_edges_no_starts_and_no_width(spark):
     assert paths.delta_stepping(edges, starts.limit(0), cap=1.0, delta=1.0).count() == 0
     with pytest.raises(ValueError, match="width"):
         paths.delta_stepping(edges, starts, cap=1.0, delta=0.0)
+
+
+@pytest.mark.parametrize("part", [0, 30, 1000])
+def test_routes_by_parts_against_a_search(spark, part):
+    """Parts that tasks search, parts beyond their bound, and both give the same; a start without edges, and one of several origins."""
+    rng = random.Random(5)
+    edges = [(f"{g}{rng.randrange(12)}", f"{g}{rng.randrange(12)}", rng.choice([0.0, 0.5, 1.0, 2.5, 6.0, 30.0])) for g, n in (("a", 60), ("b", 20), ("c", 15)) for _ in range(n)]
+    edges += [(None, "a1", 1.0), ("a1", None, 1.0), ("a2", "b3", 30.0), ("b0", "b5", -4.0)]
+    starts = ["a0", "a7", "b1", "c0", "alone"]
+    got = {}
+    for r in paths.shortest_routes(*frames(spark, edges, starts), cap=9.0, delta=1.5, part=part).collect():
+        assert (r.origin, r.node) not in got
+        got[r.origin, r.node] = r.minutes
+        assert r.route[0] == r.origin and r.route[-1] == r.node and len(set(r.route)) == len(r.route)
+        rides = [min(m for x, y, m in edges if (x, y) == way and m is not None and m >= 0) for way in zip(r.route, r.route[1:], strict=False)]
+        assert abs(sum(rides) - r.minutes) < 1e-9
+    expected = {(s, n): m for s in starts for n, m in dijkstra(edges, s, 9.0).items()}
+    assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+
+
+def test_parts_are_searched_without_rounds_over_all(spark, monkeypatch):
+    monkeypatch.setattr(paths, "delta_stepping", None)
+    edges = [(f"{g}{i}", f"{g}{i + 1}", 1.0) for g in "xyz" for i in range(4)]
+    rows = paths.shortest_routes(*frames(spark, edges, ["x0", "z2"]), cap=2.0, delta=1.0).collect()
+    assert {(r.origin, r.node): r.route for r in rows if r.minutes == 2.0} == {("x0", "x2"): ["x0", "x1", "x2"], ("z2", "z4"): ["z2", "z3", "z4"]}
