@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +185,24 @@ def test_health_tells_what_is_wrong(spark, tmp_path):
     assert answers(lambda p: "yes") == [None] * 6 + ["rate_limited"] * 2
     assert answers(None) == ["ai_unavailable"] * 6 + ["rate_limited"] * 2
     assert answers(lambda p: 1 / 0) == ["llm_failed"] * 6 + ["rate_limited"] * 2
+
+
+def test_containment_finds_hits_once_for_all_groups(spark):
+    """Against all pairs of a group; nulls and empty strings among them. No plan joins texts and members on their group before what holds what is known."""
+    rng = random.Random(3)
+    word = lambda: rng.choice([None, "", *("".join(rng.choice("ab") for _ in range(rng.randrange(1, 6))) for _ in range(6))])
+    rows = [(i, rng.choice([None, 1, 2, 3]), word()) for i in range(150)]
+    members = [(rng.choice([None, 1, 2]), word()) for _ in range(40)]
+    made = spark.createDataFrame(rows, "id int, g int, t string"), spark.createDataFrame(members, "g int, n string")
+    for shortest in (0, 3):
+        got = {r.id: r.n for r in joins.contained(*made, "g", "t", "n", shortest).collect()}
+        assert got == {
+            i: max((n for h, n in members if g is not None and h == g and t is not None and n is not None and (n in t or (len(t) >= shortest and t in n))), key=lambda n: (len(n), n), default="")
+            for i, g, t in rows
+        }
+    wide = [(g, f"{c}{i}") for g in range(30) for c in "xyz" for i in range(40)]
+    asked = [(g * 100 + i, g, f"q{i}") for g in range(30) for i in range(40)] + [(9999, 0, "x7y")]
+    out = joins.contained(spark.createDataFrame(asked, "id int, g int, t string"), spark.createDataFrame(wide, "g int, n string"), "g", "t", "n")
+    assert [r.n for r in out.where("n <> ''").collect()] == ["x7"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" not in plan
