@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from functools import reduce
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,6 +36,17 @@ def unescape(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else html.unescape(v))
 
 
+#: An entity with the semicolon that ends it.
+ENTITY = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+@F.pandas_udf(T.StringType())
+def unescape_closed(x: pd.Series) -> pd.Series:
+    """All HTML entities that a semicolon ends; what is cut off before it stays as it is."""
+    known = lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0]
+    return x.map(lambda v: None if v is None else ENTITY.sub(known, v))
+
+
 def bare(x: Column) -> Column:
     """Without blanks (the ideographic one too), dots and brackets."""
     return F.regexp_replace(x, r"[\s　・()（）]", "")
@@ -82,11 +95,12 @@ def html_text(page: Column) -> Column:
     return F.trim(F.regexp_replace(decoded, r"[\s　]+", " "))
 
 
-def html_lines(page: Column) -> Column:
-    """Non-blank lines of HTML: block tags end a line, other tags are blanks, the head is left out, entities decoded."""
+def html_lines(page: Column, closed: bool = False) -> Column:
+    """Non-blank lines of HTML: block tags end a line, other tags are blanks, the head is left out, entities decoded (``closed``: only those that a semicolon ends)."""
     body = F.regexp_replace(strip_noise(page), r"(?is)<head\b.*?</head\s*>", " ")
     broken = F.regexp_replace(body, r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6])\s*>", "\n")
-    lines = F.split(unescape(F.regexp_replace(broken, r"(?s)<[^>]*>", " ")), "\n")
+    decoded = unescape_closed if closed else unescape
+    lines = F.split(decoded(F.regexp_replace(broken, r"(?s)<[^>]*>", " ")), "\n")
     return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[\s\x{A0}　]+", " "))), lambda x: x != "")
 
 

@@ -117,3 +117,9 @@ def test_json_inside(spark):
 def test_commute_range(spark):
     assert one(spark, scoring.commute_range(F.lit(44))) == "30〜45分"
     assert one(spark, scoring.commute_range(F.lit(3))) == "5〜20分"
+
+
+def test_only_entities_that_a_semicolon_ends_are_decoded(spark):
+    page = "<p>a &amp b &ampx; &lt;i&gt; &am &quot</p><p>x&copy=1 &#39;&#x41; &hellip;&nope;&amp;lt;</p>"
+    assert one(spark, text.html_lines(F.lit(page), closed=True)) == ["a &amp b &ampx; <i> &am &quot", "x&copy=1 'A …&nope;&lt;"]
+    assert one(spark, text.html_lines(F.lit("<p>a &amp b</p>"))) == ["a & b"]
