@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,20 +47,47 @@ def segments(text: Column, marker: str) -> Column:
     return F.zip_with(marks, F.split(text, marker, -1), lambda m, s: F.struct(m.alias("marker"), s.alias("body")))
 
 
-_FOUND = "array<struct<start: int, end: int, match: string>>"
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)``, for which x is evaluated once, however often it occurs there; an expression that repeats a column repeats all that it is made of."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
 
 
-def finditer(text: Column, pattern: str) -> Column:
-    """All matches of a pattern from left to right, as ``matches`` gives them, of texts of any length: one pass in Python's regular expressions."""
-    wanted = re.compile(pattern)
+#: Texts that a pass in Python takes apart before what it found goes into Arrow arrays.
+STEP = 256
+
+
+def _arrays(texts: pa.Array, scan: Callable[[str], list[tuple]], kind: pa.ListType) -> pa.Array:
+    def part(some: list[str | None]) -> pa.Array:
+        rows, offsets, n = [None if x is None else scan(x) for x in some], [], 0
+        for r in rows:
+            offsets.append(None if r is None else n)
+            n += len(r or ())
+        fields = list(kind.value_type)
+        columns = list(zip(*(m for r in rows if r for m in r), strict=True)) or [()] * len(fields)
+        values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
+        return pa.ListArray.from_arrays(pa.array([*offsets, n], pa.int32()), values).cast(kind)
 
-    @F.pandas_udf(_FOUND)
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else [{"start": m.start(), "end": m.end(), "match": m.group()} for m in wanted.finditer(x)])
+    return pa.concat_arrays([part(texts.slice(at, STEP).to_pylist()) for at in range(0, len(texts), STEP)] or [pa.array([], kind)])
+
+
+def _scanned(text: Column, scan: Callable[[str], list[tuple]], **fields: pa.DataType) -> Column:
+    """What ``scan`` finds in each text, as an array of structs; no more than ``STEP`` texts are held as Python's objects."""
+    kind = pa.list_(pa.struct(list(fields.items())))
+    names = {pa.int32(): "int", pa.string(): "string"}
+
+    @F.arrow_udf(f"array<struct<{', '.join(f'{k}: {names[t]}' for k, t in fields.items())}>>")
+    def found(texts: pa.Array) -> pa.Array:
+        return _arrays(texts, scan, kind)
 
     return found(text)
 
 
+def finditer(text: Column, pattern: str) -> Column:
+    """All matches of a pattern from left to right, as ``matches`` gives them, of texts of any length: one pass in Python's regular expressions."""
+    wanted = re.compile(pattern)
+    return _scanned(text, lambda x: [(*m.span(), m.group()) for m in wanted.finditer(x)], start=pa.int32(), end=pa.int32(), match=pa.string())
+
+
 def lookbacks(text: Column, anchor: str, pattern: str, size: int = 300) -> Column:
     """For every anchor of a text the last match of a pattern in the ``size`` characters before it (null: none): array of struct(at, match)."""
     here, wanted = re.compile(anchor), re.compile(pattern)
@@ -69,11 +98,7 @@ def lookbacks(text: Column, anchor: str, pattern: str, size: int = 300) -> Colum
             found = m.group()
         return found
 
-    @F.pandas_udf("array<struct<at: int, match: string>>")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else [{"at": m.start(), "match": last(x, m.start())} for m in here.finditer(x)])
-
-    return found(text)
+    return _scanned(text, lambda x: [(m.start(), last(x, m.start())) for m in here.finditer(x)], at=pa.int32(), match=pa.string())
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -94,22 +119,29 @@ def layered(text: Column, patterns: list[str], *, lead: str = "", first: int = 0
     """Matches of patterns, layer by layer, without those that overlap a match of a layer before; in the order of the text.
 
     array of struct(start, end, layer, match). Every layer reads the text as it is. What a match begins with and ``lead`` covers takes no room:
-    it may be shared. Layers are numbered from ``first``.
+    it may be shared. Layers are numbered from ``first``. One pass for each layer in Python's regular expressions, with the classes of ASCII.
     """
-    found = F.expr("cast(array() as array<struct<start:int,end:int,layer:int,match:string,taken:int>>)")
-    for layer, pattern in enumerate(patterns, first):
-        found = F.concat(found, _free(matches(text, pattern), found, layer, lead))
-    return F.transform(F.array_sort(found), lambda m: m.dropFields("taken"))
-
-
-def _free(new: Column, old: Column, layer: int, lead: str) -> Column:
-    """Matches of a layer that meet none that is taken."""
-
-    def placed(m: Column) -> Column:
-        head = F.length(F.regexp_extract(m["match"], f"^(?:{lead})", 0)) if lead else F.lit(0)
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(layer).alias("layer"), m["match"].alias("match"), (m["start"] + head).alias("taken"))
-
-    return F.filter(F.transform(new, placed), lambda m: ~F.exists(old, lambda t: (t["taken"] < m["end"]) & (m["taken"] < t["end"])))
+    layers, before = [re.compile(p, re.ASCII) for p in patterns], re.compile(lead, re.ASCII)
+
+    def scan(x: str) -> list[tuple]:
+        found: list[tuple] = []
+        # room that is taken, in order; no two overlap
+        taken: list[tuple[int, int]] = []
+        for layer, wanted in enumerate(layers, first):
+            new = []
+            for m in wanted.finditer(x):
+                start, end = m.span()
+                room = start + len(before.match(m.group()).group()) if lead else start
+                i = bisect_left(taken, (end,))
+                if i and taken[i - 1][1] > room:
+                    continue
+                found.append((start, end, layer, m.group()))
+                new.append((room, end))
+            for one in new:
+                insort(taken, one)
+        return sorted(found)
+
+    return _scanned(text, scan, start=pa.int32(), end=pa.int32(), layer=pa.int32(), match=pa.string())
 
 
 def positional(rows: DataFrame, keys: list[str], values: str, names: DataFrame, name: str = "name", pos: str = "pos") -> DataFrame:
