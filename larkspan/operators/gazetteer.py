@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import cached_property, reduce
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
@@ -22,6 +23,8 @@ from larkspan.session import shared_folder
 
 #: Characters of names in one list (an automaton takes about a hundred bytes for each).
 SHARD = 1_000_000
+#: Lines whose words are looked up at once.
+ROWS = 256
 
 
 class _Names:
@@ -152,16 +155,18 @@ def words(lines: DataFrame, names: DataFrame, *, suffix: str, rejected: tuple[st
 
     def scanner(shared: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                listed = batch.column(1)
-                flat = listed.flatten()
-                rows = pc.list_parent_indices(listed)
-                start = pa.array(listed.offsets.to_numpy()[:-1] - listed.offsets[0].as_py())
-                at = pc.subtract(pa.array(range(len(flat)), pa.int64()), pc.cast(start.take(rows), pa.int64())) if len(flat) else pa.array([], pa.int64())
-                word, after = flat.field(0), flat.field(1)
-                hit = pc.is_in(word, value_set=shared.value.values)
-                columns = [batch.column(0).take(rows), pc.cast(at, pa.int32()), word, after]
-                yield pa.RecordBatch.from_arrays([c.filter(hit) for c in columns], names_of)
+            for whole in batches:
+                for first in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(first, ROWS)
+                    listed = batch.column(1)
+                    flat, offsets = listed.flatten(), listed.offsets.to_numpy()
+                    hit = pc.is_in(flat.field(0), value_set=shared.value.values)
+                    chosen = np.flatnonzero(hit.to_numpy(zero_copy_only=False))
+                    rows = np.searchsorted(offsets - offsets[0], chosen, side="right") - 1
+                    at = chosen - (offsets[rows] - offsets[0])
+                    of = pa.array(chosen)
+                    columns = [batch.column(0).take(pa.array(rows)), pa.array(at, pa.int32()), flat.field(0).take(of), flat.field(1).take(of)]
+                    yield pa.RecordBatch.from_arrays(columns, names_of)
 
         return run
 

@@ -77,3 +77,14 @@ def test_words(spark, shard):
     names = spark.createDataFrame([(n,) for n in ("gear", "bolt", "rod", "of", "plate")], "name string")
     got = {r.line_id: (r.name, r.suffixed) for r in gazetteer.words(rows, names, suffix="is", rejected=("or",), shard=shard).collect()}
     assert got == {1: ("gear", True), 2: ("rod", False), 3: ("of", True), 6: ("plate", False)}
+
+
+def test_words_are_looked_up_a_few_lines_at_once(spark, monkeypatch):
+    """Positions and words are right across slices of a batch, with null and empty lines between."""
+    monkeypatch.setattr(gazetteer, "ROWS", 3)
+    lines = [(i, None if i % 5 == 0 else [("the", f"n{i}"), (f"n{i}", None)] * (i % 4)) for i in range(23)]
+    rows = spark.createDataFrame(lines, "line_id int, words array<struct<word: string, next: string>>").coalesce(1)
+    names = spark.createDataFrame([(f"n{i}",) for i in range(10, 23)], "name string")
+    got = {r.line_id: r.name for r in gazetteer.words(rows, names, suffix="is", rejected=("or",), least=(2, 3)).collect()}
+    assert got == {i: f"n{i}" for i in range(10, 23) if i % 5 and i % 4}
+    assert gazetteer.ROWS == 3
