@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import collections
+import math
 import random
 
 import pytest
@@ -206,3 +208,23 @@ def test_containment_finds_hits_once_for_all_groups(spark):
     assert [r.n for r in out.where("n <> ''").collect()] == ["x7"]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(" not in plan
+
+
+def test_nearest_among_crowds_meets_few(spark, monkeypatch):
+    """A crowd in one first cell, copies at one spot and a point far away: the same as all pairs, from cells that hold few."""
+    rng = random.Random(4)
+    spots = [(i, 35 + rng.random() * 0.2, 139 + rng.random() * 0.2) for i in range(600)] + [(600 + i, 35.1, 139.1) for i in range(50)] + [(900, -20.0, 10.0), (901, None, 1.0)]
+    used = []
+    chosen = joins._uncrowded
+    monkeypatch.setattr(joins, "_uncrowded", lambda there, cell: used.append((chosen(there, cell), there.count())) or used[-1][0])
+    places = spark.createDataFrame(spots, "id int, lat double, lon double")
+    got = {r.id: r.place for r in joins.nearest(places.where("id % 10 = 0 or id = 901"), places, cell=0.25, others=True).collect()}
+
+    def km(a, b):
+        return math.hypot((b[1] - a[1]) * 111, (b[2] - a[2]) * 111 * math.cos(math.radians((a[1] + b[1]) / 2)))
+
+    known = spots[:-1]
+    assert got == {901: None} | {a[0]: min(((km(a, b), b[0]) for b in known if b[0] != a[0]))[1] for a in known if a[0] % 10 == 0}
+    assert used[0][0] < 0.25 and used[0][1] == 603
+    cells = collections.Counter((x // used[0][0], y // used[0][0]) for _, x, y in {(0, *s[1:]) for s in known})
+    assert max(cells.values()) <= joins.CROWD
