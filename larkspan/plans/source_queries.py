@@ -242,4 +242,6 @@ def school_mottos(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.element_at(F.array(*(F.lit(x) for x, _ in _SAID)), (F.col("p_partkey") % len(_SAID) + 1).cast("int"))
     lines = F.array(*map(F.lit, ("目標とするところ", "１ 自主自律の人間を育てる", "心身を鍛え、健やかに")))
     said = extraction.spirit(F.concat(lines, extraction.refine(F.array(last))))
-    return S.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), said.alias("s")).select("id", "s.motto", "s.spirit")
+    # few bytes of keys are much work each, so that a part of a file is more than one task should have
+    keys = S.table(spark, sf_dir, "part").select("p_partkey").repartition(4 * spark.sparkContext.defaultParallelism)
+    return keys.select(F.col("p_partkey").alias("id"), said.alias("s")).select("id", "s.motto", "s.spirit")
