@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspan.functions import scoring
+from larkspan.session import shared_folder
 
 #: Parts into which the requests for one course are dealt, as one course may be most of the candidates.
 SALTS = 64
@@ -87,17 +88,39 @@ def _wanted_clubs(requests: DataFrame, categories: dict[str, list[str]]) -> Data
     return requests.withColumn("terms", wide)
 
 
-def _matched(rows: DataFrame, clubs: DataFrame) -> DataFrame:
-    """``matched``: the clubs of each candidate that contain a wanted term, by name as written or normalised; sorted.
+def _club_sets(asked: DataFrame, clubs: DataFrame) -> DataFrame:
+    """school, terms, clubs, matched, n_matched and n_exact: for each school and what some request wants, the clubs that contain a wanted term, by name as written or normalised; sorted.
 
-    Matched once for each school and set of terms; only the clubs that match travel with the candidates.
+    Which names hold which terms is found once for all schools, before the names of a school are gathered. Kept as a table, since candidates need the
+    numbers and only what is shown needs the names.
     """
-    listed = clubs.groupBy("school").agg(F.collect_set(F.struct("raw_name", F.lower("raw_name").alias("a"), F.lower(F.coalesce("normalized", F.lit(""))).alias("b"))).alias("listed"))
-    low = F.transform("terms", F.lower)
-    hits = F.filter("listed", lambda c: F.exists(low, lambda t: F.contains(c["a"], t) | F.contains(c["b"], t)))
-    names = F.array_sort(F.array_distinct(F.transform(hits, lambda c: c["raw_name"])))
-    sets = rows.where(F.size("terms") > 0).select("school", "terms").distinct().join(listed, "school").select("school", "terms", names.alias("matched")).where(F.size("matched") > 0)
-    return rows.join(sets, ["school", "terms"], "left").withColumn("matched", F.coalesce("matched", F.array().cast("array<string>")))
+    wanted = asked.where(F.size("terms") > 0).select("terms", "clubs").distinct()
+    low, a, b = F.transform("terms", F.lower), F.lower("raw_name"), F.lower(F.coalesce("normalized", F.lit("")))
+    listed = clubs.select("school", "raw_name", "normalized").distinct()
+    hits = listed.select("raw_name", "normalized").distinct().join(wanted.select("terms").distinct(), F.exists(low, lambda t: F.contains(a, t) | F.contains(b, t)))
+    held = listed.join(hits.select(F.col("raw_name").alias("__raw"), F.col("normalized").alias("__normal"), "terms"), (F.col("raw_name") == F.col("__raw")) & F.col("normalized").eqNullSafe(F.col("__normal")))
+    named = held.groupBy("school", "terms").agg(F.array_sort(F.collect_set("raw_name")).alias("matched")).join(wanted, "terms")
+    exact = F.size(F.filter("matched", lambda c: F.exists("clubs", lambda w: c.contains(w))))
+    sets, path = named.select("school", "terms", "clubs", "matched", F.size("matched").alias("n_matched"), exact.alias("n_exact")), shared_folder(clubs.sparkSession, "clubs")
+    sets.write.parquet(path)
+    return clubs.sparkSession.read.schema(sets.schema).parquet(path)
+
+
+def _counted(rows: DataFrame, sets: DataFrame | None) -> DataFrame:
+    """Candidates that the wish for clubs leaves, with the numbers of clubs that match."""
+    if sets is None:
+        return rows.withColumn("n_matched", F.lit(0)).withColumn("n_exact", F.lit(0))
+    counted = rows.join(sets.drop("matched"), ["school", "terms", "clubs"], "left")
+    counted = counted.withColumn("n_matched", F.coalesce("n_matched", F.lit(0))).withColumn("n_exact", F.coalesce("n_exact", F.lit(0)))
+    return counted.where((F.size("clubs") == 0) | F.array_contains("relaxations", "club_similar") | (F.col("n_matched") > 0))
+
+
+def _named(rows: DataFrame, sets: DataFrame | None) -> DataFrame:
+    """``matched``: the names of the clubs that match, for the numbers."""
+    none, rows = F.array().cast("array<string>"), rows.drop("n_matched", "n_exact")
+    if sets is None:
+        return rows.withColumn("matched", none)
+    return rows.join(sets.select("school", "terms", "clubs", "matched"), ["school", "terms", "clubs"], "left").withColumn("matched", F.coalesce("matched", none))
 
 
 def _of_course(asked: DataFrame, schools: DataFrame) -> DataFrame:
@@ -111,7 +134,13 @@ def _of_course(asked: DataFrame, schools: DataFrame) -> DataFrame:
 
 
 def candidates(requests: DataFrame, schools: DataFrame, commute: DataFrame, clubs: DataFrame | None = None, categories: dict[str, list[str]] = CLUB_CATEGORIES) -> DataFrame:
-    """Every admissible (request, school) with travel minutes and matched clubs.
+    """Every admissible (request, school) with travel minutes and matched clubs."""
+    rows, sets = _admissible(requests, schools, commute, clubs, categories)
+    return _named(rows, sets)
+
+
+def _admissible(requests: DataFrame, schools: DataFrame, commute: DataFrame, clubs: DataFrame | None, categories: dict[str, list[str]]) -> tuple[DataFrame, DataFrame | None]:
+    """Candidates with the numbers of matched clubs, and the sets of these clubs.
 
     A wanted course narrows; a wish for technical subjects adds the college to the default course. Clubs narrow
     unless relaxed to similar ones, when candidates without any stay too.
@@ -134,9 +163,8 @@ def candidates(requests: DataFrame, schools: DataFrame, commute: DataFrame, club
     )
     rows = rows.where(~F.coalesce("no_admission", F.lit(False)) & F.coalesce(course, F.lit(False)))
     rows = rows.where(F.col("dept").isNull() | F.coalesce(F.col("departments").contains(F.col("dept")), F.lit(False)))
-    if clubs is None:
-        return rows.withColumn("matched", F.array().cast("array<string>"))
-    return _matched(rows, clubs).where((F.size("clubs") == 0) | F.array_contains("relaxations", "club_similar") | (F.size("matched") > 0))
+    sets = None if clubs is None else _club_sets(asked, clubs)
+    return _counted(rows, sets), sets
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -145,12 +173,11 @@ def judged(rows: DataFrame) -> DataFrame:
     relaxed = F.array_contains("relaxations", "score_range")
     tier = scoring.tier(F.col("selection_type"), F.col("target_score"), F.col("student.score"), F.coalesce("student.rough", F.lit(False)), relaxed)
     foreign = evening & F.col("courses").contains(FULL_TIME)
-    exact = F.size(F.filter("matched", lambda c: F.exists("clubs", lambda w: c.contains(w))))
     fits = F.col("departments").contains(F.col("dept"))
     judged_rows = rows.withColumn("tier", F.when(~F.coalesce(foreign, F.lit(False)), tier)).withColumn("gap", F.when(~F.coalesce(foreign, F.lit(False)) & (F.coalesce("selection_type", F.lit("")) != "no_exam"), F.col("student.score") - F.col("target_score")))
     scored = judged_rows.withColumn(
-        "match_score", scoring.match_score(F.col("minutes"), F.col("tier"), F.col("priority"), F.col("academic"), F.col("designation"), fits, F.size("matched"), exact, F.size("clubs"))
-    ).withColumn("why", scoring.reasons(F.col("minutes"), F.col("via"), F.col("access_mode"), F.col("tier"), F.col("priority"), F.col("academic"), F.col("designation"), F.col("dept"), fits, F.col("matched")))
+        "match_score", scoring.match_score(F.col("minutes"), F.col("tier"), F.col("priority"), F.col("academic"), F.col("designation"), fits, F.col("n_matched"), F.col("n_exact"), F.size("clubs"))
+    )
     near = Window.partitionBy("req_id").orderBy(F.col("minutes").asc_nulls_last(), "school")
     return scored.withColumn("pos", F.row_number().over(near))
 
@@ -189,8 +216,11 @@ def pick(rows: DataFrame) -> DataFrame:
 
 
 def search(requests: DataFrame, schools: DataFrame, commute: DataFrame, clubs: DataFrame | None = None, categories: dict[str, list[str]] = CLUB_CATEGORIES) -> DataFrame:
-    """What each request is shown."""
-    return pick(judged(candidates(requests, schools, commute, clubs, categories)))
+    """What each request is shown; names of clubs and reasons are added to what is shown only."""
+    rows, sets = _admissible(requests, schools, commute, clubs, categories)
+    fits = F.col("departments").contains(F.col("dept"))
+    why = scoring.reasons(*(F.col(c) for c in ("minutes", "via", "access_mode", "tier", "priority", "academic", "designation", "dept")), fits, F.col("matched"))
+    return _named(pick(judged(rows)), sets).withColumn("why", why)
 
 
 def attach(shown: DataFrame, achievements: DataFrame, uniforms: DataFrame) -> DataFrame:

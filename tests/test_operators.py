@@ -228,3 +228,15 @@ def test_nearest_among_crowds_meets_few(spark, monkeypatch):
     assert used[0][0] < 0.25 and used[0][1] == 603
     cells = collections.Counter((x // used[0][0], y // used[0][0]) for _, x, y in {(0, *s[1:]) for s in known})
     assert max(cells.values()) <= joins.CROWD
+
+
+def test_only_shown_rows_carry_names_of_clubs(spark):
+    """Windows over all candidates see numbers of clubs; names are as candidates have them."""
+    asked = search_queries.requests(spark, SF, clubs=True, relaxations=("club_similar",))
+    schools, commute, clubs = (S.of(spark, SF, q) for q in (S.SCHOOLS, S.COMMUTE, S.CLUBS))
+    rows, sets = search._admissible(asked, schools, commute, clubs, search_queries.CATEGORIES)
+    assert "matched" not in rows.columns and {"n_matched", "n_exact"} <= set(rows.columns)
+    every = {(r.req_id, r.school): r for r in search._named(rows.withColumn("n", F.col("n_matched")).withColumn("x", F.col("n_exact")), sets).collect()}
+    assert any(r.n for r in every.values())
+    for r in every.values():
+        assert r.n == len(r.matched) and r.x == sum(any(w in c for w in r.clubs) for c in r.matched) and r.matched == sorted(r.matched)
