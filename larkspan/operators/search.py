@@ -17,6 +17,9 @@ from larkspan.session import shared_folder
 #: Parts into which the requests for one course are dealt, as one course may be most of the candidates.
 SALTS = 64
 
+#: Schools, and numbers of matched clubs, are broadcast up to so many rows (some 200 MB); beyond, candidates meet them by shuffle.
+BROADCAST_ROWS = 1_000_000
+
 # Default course, codes of courses and departments, quotas, categories of similar clubs.
 FULL_TIME, EVENING, COLLEGE, TECHNICAL = "全日制", "定時制", "高専", "工"
 DEFAULT_LIMIT, RELAXED_MINUTES, NO_MINUTES = 60, 15, 999
@@ -88,20 +91,30 @@ def _wanted_clubs(requests: DataFrame, categories: dict[str, list[str]]) -> Data
     return requests.withColumn("terms", wide)
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _wish(terms: Column, clubs: Column) -> Column:
+    """The digest that stands for the terms and clubs of a request wherever rows are shuffled; null without terms."""
+    lists = (F.array_join(F.transform(c, F.hex), ",", "-") for c in (terms, clubs))
+    return F.when(F.size(terms) > 0, F.md5(F.concat_ws(";", *lists)))
+
+
 def _club_sets(asked: DataFrame, clubs: DataFrame) -> DataFrame:
-    """school, terms, clubs, matched, n_matched and n_exact: for each school and what some request wants, the clubs that contain a wanted term, by name as written or normalised; sorted.
+    """school, wish, matched, n_matched and n_exact: for each school and wish, the clubs that contain a wanted term, by name as written or normalised; sorted.
 
     Which names hold which terms is found once for all schools, before the names of a school are gathered. Kept as a table, since candidates need the
     numbers and only what is shown needs the names.
     """
-    wanted = asked.where(F.size("terms") > 0).select("terms", "clubs").distinct()
+    wishes = asked.where(F.size("terms") > 0).select("wish", "terms", "clubs").distinct()
     low, a, b = F.transform("terms", F.lower), F.lower("raw_name"), F.lower(F.coalesce("normalized", F.lit("")))
     listed = clubs.select("school", "raw_name", "normalized").distinct()
-    hits = listed.select("raw_name", "normalized").distinct().join(wanted.select("terms").distinct(), F.exists(low, lambda t: F.contains(a, t) | F.contains(b, t)))
-    held = listed.join(hits.select(F.col("raw_name").alias("__raw"), F.col("normalized").alias("__normal"), "terms"), (F.col("raw_name") == F.col("__raw")) & F.col("normalized").eqNullSafe(F.col("__normal")))
-    named = held.groupBy("school", "terms").agg(F.array_sort(F.collect_set("raw_name")).alias("matched")).join(wanted, "terms")
+    hits = listed.select("raw_name", "normalized").distinct().join(wishes.select("wish", "terms"), F.exists(low, lambda t: F.contains(a, t) | F.contains(b, t)))
+    held = listed.join(hits.select(F.col("raw_name").alias("__raw"), F.col("normalized").alias("__normal"), "wish"), (F.col("raw_name") == F.col("__raw")) & F.col("normalized").eqNullSafe(F.col("__normal")))
+    named = held.groupBy("school", "wish").agg(F.array_sort(F.collect_set("raw_name")).alias("matched")).join(wishes.select("wish", "clubs"), "wish")
     exact = F.size(F.filter("matched", lambda c: F.exists("clubs", lambda w: c.contains(w))))
-    sets, path = named.select("school", "terms", "clubs", "matched", F.size("matched").alias("n_matched"), exact.alias("n_exact")), shared_folder(clubs.sparkSession, "clubs")
+    sets, path = named.select("school", "wish", "matched", F.size("matched").alias("n_matched"), exact.alias("n_exact")), shared_folder(clubs.sparkSession, "clubs")
     sets.write.parquet(path)
     return clubs.sparkSession.read.schema(sets.schema).parquet(path)
 
@@ -110,9 +123,9 @@ def _counted(rows: DataFrame, sets: DataFrame | None) -> DataFrame:
     """Candidates that the wish for clubs leaves, with the numbers of clubs that match."""
     if sets is None:
         return rows.withColumn("n_matched", F.lit(0)).withColumn("n_exact", F.lit(0))
-    counted = rows.join(sets.drop("matched"), ["school", "terms", "clubs"], "left")
+    counted = rows.join(_small(sets.drop("matched")), ["school", "wish"], "left")
     counted = counted.withColumn("n_matched", F.coalesce("n_matched", F.lit(0))).withColumn("n_exact", F.coalesce("n_exact", F.lit(0)))
-    return counted.where((F.size("clubs") == 0) | F.array_contains("relaxations", "club_similar") | (F.col("n_matched") > 0))
+    return counted.where((F.col("n_wanted") == 0) | F.col("similar") | (F.col("n_matched") > 0))
 
 
 def _named(rows: DataFrame, sets: DataFrame | None) -> DataFrame:
@@ -120,7 +133,7 @@ def _named(rows: DataFrame, sets: DataFrame | None) -> DataFrame:
     none, rows = F.array().cast("array<string>"), rows.drop("n_matched", "n_exact")
     if sets is None:
         return rows.withColumn("matched", none)
-    return rows.join(sets.select("school", "terms", "clubs", "matched"), ["school", "terms", "clubs"], "left").withColumn("matched", F.coalesce("matched", none))
+    return rows.join(sets.select("school", "wish", "matched"), ["school", "wish"], "left").withColumn("matched", F.coalesce("matched", none))
 
 
 def _of_course(asked: DataFrame, schools: DataFrame) -> DataFrame:
@@ -140,7 +153,7 @@ def candidates(requests: DataFrame, schools: DataFrame, commute: DataFrame, club
 
 
 def _admissible(requests: DataFrame, schools: DataFrame, commute: DataFrame, clubs: DataFrame | None, categories: dict[str, list[str]]) -> tuple[DataFrame, DataFrame | None]:
-    """Candidates with the numbers of matched clubs, and the sets of these clubs.
+    """Candidates with their tiers and the numbers of matched clubs, and the sets of these clubs.
 
     A wanted course narrows; a wish for technical subjects adds the college to the default course. Clubs narrow
     unless relaxed to similar ones, when candidates without any stay too.
@@ -148,35 +161,65 @@ def _admissible(requests: DataFrame, schools: DataFrame, commute: DataFrame, clu
     asked = requests
     for name in ("course_types", "clubs", "relaxations"):
         asked = asked.withColumn(name, _list(name))
-    asked = _wanted_clubs(students(asked), categories)
+    asked = _wanted_clubs(students(asked), categories).withColumn("wish", _wish(F.col("terms"), F.col("clubs")))
+    asked = _plain(asked)
     limit = F.coalesce("commute_limit", F.lit(DEFAULT_LIMIT)) + F.when(F.array_contains("relaxations", "commute_15"), RELAXED_MINUTES).otherwise(0)
     asked = asked.withColumn("suggest", F.coalesce(F.col("dept") == TECHNICAL, F.lit(False)) & (F.size("course_types") == 0)).withColumn("most", limit)
     mode = F.col("access_mode") if "access_mode" in commute.columns else F.lit(None).cast("string")
     times = commute.select("station", "school", F.col("minutes"), F.col("via"), mode.alias("access_mode"))
-    within = asked.where(~F.coalesce("no_commute_limit", F.lit(False))).join(times, "station").where(F.col("minutes") <= F.col("most")).join(schools, "school")
+    within = asked.where(~F.coalesce("no_commute_limit", F.lit(False))).join(times, "station").where(F.col("minutes") <= F.col("most")).join(_small(schools), "school")
     free = asked.where(F.coalesce("no_commute_limit", F.lit(False)))
     open_ = _of_course(free, schools).join(times, ["station", "school"], "left")
     rows = within.unionByName(open_.select(*within.columns))
     course = (
-        F.when(F.size("course_types") > 0, (F.array_contains("course_types", EVENING) & F.col("courses").contains(EVENING)) | (F.array_contains("course_types", COLLEGE) & (F.col("courses") == COLLEGE)))
+        F.when(F.col("chooses"), (F.col("wants_evening") & F.col("courses").contains(EVENING)) | (F.col("wants_college") & (F.col("courses") == COLLEGE)))
         .otherwise(F.col("courses").contains(FULL_TIME) | (F.col("suggest") & (F.col("courses") == COLLEGE)))
     )
     rows = rows.where(~F.coalesce("no_admission", F.lit(False)) & F.coalesce(course, F.lit(False)))
     rows = rows.where(F.col("dept").isNull() | F.coalesce(F.col("departments").contains(F.col("dept")), F.lit(False)))
     sets = None if clubs is None else _club_sets(asked, clubs)
-    return _counted(rows, sets), sets
+    return _counted(_tiered(rows), sets), sets
+
+
+def _plain(asked: DataFrame) -> DataFrame:
+    """Requests with what candidates ask of their arrays and of the student, so that none of these is shuffled."""
+    no = F.lit(False)
+    return asked.withColumns(
+        {
+            "n_wanted": F.size("clubs"),
+            "chooses": F.size("course_types") > 0,
+            "wants_evening": F.coalesce(F.array_contains("course_types", EVENING), no),
+            "wants_college": F.coalesce(F.array_contains("course_types", COLLEGE), no),
+            "similar": F.coalesce(F.array_contains("relaxations", "club_similar"), no),
+            "relaxed": F.coalesce(F.array_contains("relaxations", "score_range"), no),
+            "score": F.col("student.score"),
+            "rough": F.coalesce("student.rough", no),
+        }
+    )
+
+
+def _tiered(rows: DataFrame) -> DataFrame:
+    """Candidates with tier, gap and what later steps ask of a request and a school together, so that few columns are shuffled."""
+    no = F.lit(False)
+    tier = scoring.tier(*(F.col(c) for c in ("selection_type", "target_score", "score", "rough", "relaxed")))
+    foreign = F.coalesce(F.col("wants_evening") & F.col("courses").contains(EVENING) & F.col("courses").contains(FULL_TIME), no)
+    scored, exempt = F.col("score").isNotNull(), F.coalesce(F.col("selection_type") == "no_exam", no)
+    return rows.withColumns(
+        {
+            "tier": F.when(~foreign, tier),
+            "gap": F.when(~foreign & ~exempt, F.col("score") - F.col("target_score")),
+            "fits": F.coalesce(F.col("departments").contains(F.col("dept")), no),
+            "scored": scored,
+            "exempt": exempt,
+            "college": F.coalesce(F.col("courses") == COLLEGE, no) & F.col("suggest") & scored,
+        }
+    )
 
 
 def judged(rows: DataFrame) -> DataFrame:
-    """Candidates with tier, gap, match score, and position by travel time (null last, then school)."""
-    evening = F.array_contains("course_types", EVENING) & F.col("courses").contains(EVENING)
-    relaxed = F.array_contains("relaxations", "score_range")
-    tier = scoring.tier(F.col("selection_type"), F.col("target_score"), F.col("student.score"), F.coalesce("student.rough", F.lit(False)), relaxed)
-    foreign = evening & F.col("courses").contains(FULL_TIME)
-    fits = F.col("departments").contains(F.col("dept"))
-    judged_rows = rows.withColumn("tier", F.when(~F.coalesce(foreign, F.lit(False)), tier)).withColumn("gap", F.when(~F.coalesce(foreign, F.lit(False)) & (F.coalesce("selection_type", F.lit("")) != "no_exam"), F.col("student.score") - F.col("target_score")))
-    scored = judged_rows.withColumn(
-        "match_score", scoring.match_score(F.col("minutes"), F.col("tier"), F.col("priority"), F.col("academic"), F.col("designation"), fits, F.col("n_matched"), F.col("n_exact"), F.size("clubs"))
+    """Candidates with match score, and position by travel time (null last, then school)."""
+    scored = rows.withColumn(
+        "match_score", scoring.match_score(F.col("minutes"), F.col("tier"), F.col("priority"), F.col("academic"), F.col("designation"), F.col("fits"), F.col("n_matched"), F.col("n_exact"), F.col("n_wanted"))
     )
     near = Window.partitionBy("req_id").orderBy(F.col("minutes").asc_nulls_last(), "school")
     return scored.withColumn("pos", F.row_number().over(near))
@@ -192,18 +235,16 @@ def pick(rows: DataFrame) -> DataFrame:
     whole = Window.partitionBy("req_id")
     by_tier = Window.partitionBy("req_id", "tier").orderBy(F.col("match_score").desc(), "pos")
     quota = F.when(F.col("tier") == "c", F.when(F.coalesce("academic", F.lit(False)), 2).otherwise(QUOTA["c"])).when(F.col("tier") == "m", QUOTA["m"]).when(F.col("tier") == "s", QUOTA["s"])
-    scored = F.col("student.score").isNotNull()
-    ranked = rows.withColumn("scored", scored).withColumn("in_tier", F.row_number().over(by_tier))
+    ranked = rows.withColumn("in_tier", F.row_number().over(by_tier))
     ranked = ranked.withColumn("pool", F.count_if(F.col("tier").isNotNull()).over(whole))
     tiered = F.col("scored") & F.col("tier").isNotNull() & (F.col("in_tier") <= quota)
     ranked = ranked.withColumn("main", tiered | ((~F.col("scored") | (F.col("pool") == 0)) & (F.col("pos") <= 4)))
-    exempt = F.coalesce(F.col("selection_type") == "no_exam", F.lit(False))
-    ranked = ranked.withColumn("exempt_pos", F.min(F.when(exempt, F.col("pos"))).over(whole)).withColumn("safe", F.count_if(F.col("main") & (F.col("tier") == "s")).over(whole))
+    ranked = ranked.withColumn("exempt_pos", F.min(F.when(F.col("exempt"), F.col("pos"))).over(whole)).withColumn("safe", F.count_if(F.col("main") & (F.col("tier") == "s")).over(whole))
     encourage = (
-        F.col("scored") & ~F.col("main") & (F.col("pos") == F.col("exempt_pos")) & (F.coalesce("student.rough", F.lit(False)) | (F.col("safe") == 0) | (F.col("pool") < 3))
+        F.col("scored") & ~F.col("main") & (F.col("pos") == F.col("exempt_pos")) & (F.col("rough") | (F.col("safe") == 0) | (F.col("pool") < 3))
     )
     ranked = ranked.withColumn("encourage", F.coalesce(encourage, F.lit(False)))
-    college = F.coalesce(F.col("courses") == COLLEGE, F.lit(False)) & F.col("suggest") & F.col("scored") & ~F.col("main") & ~F.col("encourage")
+    college = F.col("college") & ~F.col("main") & ~F.col("encourage")
     ranked = ranked.withColumn("college_pos", F.min(F.when(college, F.col("pos"))).over(whole))
     ranked = ranked.withColumn("suggested", college & (F.col("pos") == F.col("college_pos")))
     role = F.when(F.col("main"), F.when(F.col("tier").isNotNull() & F.col("scored"), "tier").otherwise("near")).when(F.col("encourage"), "encourage").when(F.col("suggested"), "suggested")
@@ -218,8 +259,7 @@ def pick(rows: DataFrame) -> DataFrame:
 def search(requests: DataFrame, schools: DataFrame, commute: DataFrame, clubs: DataFrame | None = None, categories: dict[str, list[str]] = CLUB_CATEGORIES) -> DataFrame:
     """What each request is shown; names of clubs and reasons are added to what is shown only."""
     rows, sets = _admissible(requests, schools, commute, clubs, categories)
-    fits = F.col("departments").contains(F.col("dept"))
-    why = scoring.reasons(*(F.col(c) for c in ("minutes", "via", "access_mode", "tier", "priority", "academic", "designation", "dept")), fits, F.col("matched"))
+    why = scoring.reasons(*(F.col(c) for c in ("minutes", "via", "access_mode", "tier", "priority", "academic", "designation", "dept", "fits", "matched")))
     return _named(pick(judged(rows)), sets).withColumn("why", why)
 
 

@@ -240,3 +240,31 @@ def test_only_shown_rows_carry_names_of_clubs(spark):
     assert any(r.n for r in every.values())
     for r in every.values():
         assert r.n == len(r.matched) and r.x == sum(any(w in c for w in r.clubs) for c in r.matched) and r.matched == sorted(r.matched)
+
+
+def test_candidates_are_shuffled_as_plain_columns(spark, monkeypatch):
+    """Rows of requests and schools carry no arrays and no structs where they are shuffled, and meet schools and numbers of clubs without a shuffle; by shuffle, the rows are the same."""
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    def run():
+        out = search_queries.search_club_similar(spark, SF)
+        dealt = [p for p in nodes(out._jdf.queryExecution().executedPlan()) if p.nodeName() == "Exchange" and "req_id" in list(p.schema().fieldNames())]
+        return [p.outputPartitioning().toString() for p in dealt], [p.schema().catalogString() for p in dealt], sorted(map(str, out.collect()))
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "-1")):
+            spark.conf.set(k, v)
+        keys, carried, rows = run()
+        monkeypatch.setattr(search, "BROADCAST_ROWS", 0)
+        shuffled_keys, shuffled_carried, shuffled_rows = run()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert rows and rows == shuffled_rows
+    assert not any("array<" in c or "struct<" in c.removeprefix("struct<") for c in carried + shuffled_carried)
+    assert sum("(school" in k for k in keys) == 1 < sum("(school" in k for k in shuffled_keys)
