@@ -3,6 +3,7 @@ from __future__ import annotations
 import heapq
 import random
 
+import pyarrow as pa
 import pytest
 
 from larkspan.operators import paths
@@ -91,3 +92,37 @@ def test_parts_are_searched_without_rounds_over_all(spark, monkeypatch):
     edges = [(f"{g}{i}", f"{g}{i + 1}", 1.0) for g in "xyz" for i in range(4)]
     rows = paths.shortest_routes(*frames(spark, edges, ["x0", "z2"]), cap=2.0, delta=1.0).collect()
     assert {(r.origin, r.node): r.route for r in rows if r.minutes == 2.0} == {("x0", "x2"): ["x0", "x1", "x2"], ("z2", "z4"): ["z2", "z3", "z4"]}
+
+
+def test_edges_are_written_once(spark, monkeypatch):
+    """What is written to find the parts of a dense graph is one row for each edge, and few for each node."""
+    written = []
+    kept = paths._Tables.kept
+
+    def counted(self, df):
+        out = kept(self, df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(paths._Tables, "kept", counted)
+    edges = [(f"a{i}", f"b{j}", 1.0 + (i * 7 + j) % 50 / 64) for i in range(90) for j in range(90)]
+    assert paths.shortest_routes(*frames(spark, edges, ["a0"]), cap=2.0, delta=1.0).count() == 91
+    assert sum(written) < 1.5 * len(edges)
+
+
+def test_edges_both_ways_and_many_origins_in_batches(spark, monkeypatch):
+    """Edges given once for both ways find what they find given twice; results of many origins leave a task in several batches."""
+    rng = random.Random(3)
+    edges = [(f"{g}{rng.randrange(15)}", f"{g}{rng.randrange(15)}", rng.choice([0.5, 1.0, 2.5, 6.0])) for g in "ab" for _ in range(30)]
+    nodes = sorted({n for e in edges for n in e[:2]})
+    frame, starts = frames(spark, edges, nodes)
+    once = paths.shortest_routes(frame, starts, cap=7.0, delta=1.5, both=True)
+    twice = paths.shortest_routes(frame.unionByName(frame.selectExpr("dst AS src", "src AS dst", "minutes")), starts, cap=7.0, delta=1.5)
+    got = sorted((r.origin, r.node, r.minutes, *r.route) for r in once.collect())
+    assert got == sorted((r.origin, r.node, r.minutes, *r.route) for r in twice.collect())
+    both = edges + [(b, a, m) for a, b, m in edges]
+    assert {r[:3] for r in got} == {(s, n, m) for s in nodes for n, m in dijkstra(both, s, 7.0).items()}
+    monkeypatch.setattr(paths, "BATCH", 100)
+    rows = pa.RecordBatch.from_pylist([{"src": a, "dst": b, "ride": m, "origin": None} for a, b, m in edges] + [{"src": n, "dst": None, "ride": 0.0, "origin": n} for n in nodes])
+    batches = list(paths._searched(iter([rows]), 7.0, True))
+    assert len(batches) > 3 and sorted((r["origin"], r["node"], r["minutes"], *r["route"]) for b in batches for r in b.to_pylist()) == got
